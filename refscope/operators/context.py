@@ -34,50 +34,53 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy(*key)
         .agg(F.collect_list(F.struct("start_line", "context_lines")).alias("asked"))
     )
-    each = (
+    here = lambda at: _snippet(F.col("lines"), F.col("file_path"), at["start_line"], at["context_lines"])
+    return (
         asked.join(_file_lines(files), key, "left")
-        .select(*key, "lines", F.explode("asked").alias("at"))
-        .select(*key, "lines", "at.start_line", "at.context_lines")
+        .select(*key, F.explode(F.transform("asked", here)).alias("snippet"))
+        .select(*key, "snippet.*")
     )
-    at, around, total = F.col("start_line"), F.col("context_lines"), F.size("lines")
+
+
+def _snippet(lines: Column, path: Column, at: Column, around: Column) -> Column:
+    """One snippet as a struct, cut out of the file's line array in place."""
+    total = F.size(lines)
     status = (
         F.when(around < 0, "negative_context")
         .when(at < 1, "bad_line")
-        .when(F.col("lines").isNull(), "missing_file")
+        .when(lines.isNull(), "missing_file")
         .when(total == 0, "empty_file")
         .when(at > total, "beyond_end")
         .otherwise("ok")
     )
     low = F.greatest(F.lit(1), at - around)
     high = F.least(total, at + around)
-    ok = F.col("status") == "ok"
+    ok, empty = status == "ok", status == "empty_file"
     content = (
-        F.when(ok, _joined(F.col("lines"), low, high))
-        .when(F.col("status") == "empty_file", F.lit(""))
-        .when(F.col("status") == "missing_file", F.concat(F.lit("// File not found: "), F.col("file_path")))
+        F.when(ok, _joined(lines, low, high))
+        .when(empty, F.lit(""))
+        .when(status == "missing_file", F.concat(F.lit("// File not found: "), path))
         .when(
-            F.col("status") == "beyond_end",
+            status == "beyond_end",
             F.concat(
                 F.lit("// Target line "), at.cast("string"),
                 F.lit(" is beyond file length ("), total.cast("string"), F.lit(" lines)"),
             ),
         )
         .when(
-            F.col("status") == "bad_line",
+            status == "bad_line",
             F.lit("// Error reading file: Target line must be 1 or greater (Parameter 'targetLine')"),
         )
         .otherwise(F.lit("// Error reading file: Context lines cannot be negative (Parameter 'contextLines')"))
     )
-    empty = F.col("status") == "empty_file"
-    return each.withColumn("status", status).select(
-        *key,
-        "start_line",
-        "context_lines",
+    return F.struct(
+        at.alias("start_line"),
+        around.alias("context_lines"),
         content.alias("content"),
         F.when(ok, low).when(empty, F.lit(1)).otherwise(at).cast("int").alias("first_line"),
         F.when(ok, high).when(empty, F.lit(1)).otherwise(at).cast("int").alias("last_line"),
         F.when(ok, (at - around < 1) | (at + around > total)).otherwise(~empty).alias("truncated"),
-        "status",
+        status.alias("status"),
     )
 
 
@@ -107,14 +110,16 @@ def attach_context(usages: DataFrame, files: DataFrame) -> DataFrame:
 def context_of_every_line(files: DataFrame, context_lines: int) -> DataFrame:
     """Context of all lines at once. Narrow: each file yields its own rows, nothing is shuffled."""
     lines = F.col("lines")
-    each = _file_lines(files).select("solution", "file_path", "lines", F.posexplode("lines").alias("pos", "line"))
-    low = F.greatest(F.lit(1), F.col("pos") + 1 - context_lines)
-    high = F.least(F.size(lines), F.col("pos") + 1 + context_lines)
-    return each.select(
-        "solution",
-        "file_path",
-        (F.col("pos") + 1).cast("int").alias("line_no"),
-        _joined(lines, low, high).alias("content"),
+
+    def around(_: Column, i: Column) -> Column:
+        low = F.greatest(F.lit(1), i + 1 - context_lines)
+        high = F.least(F.size(lines), i + 1 + context_lines)
+        return F.struct((i + 1).alias("line_no"), _joined(lines, low, high).alias("content"))
+
+    return (
+        _file_lines(files)
+        .select("solution", "file_path", F.explode(F.transform(lines, around)).alias("at"))
+        .select("solution", "file_path", "at.line_no", "at.content")
     )
 
 

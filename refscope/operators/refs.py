@@ -63,28 +63,17 @@ def expand_nodes(refs: DataFrame) -> DataFrame:
     """A generic name also yields one row per type argument. Narrow: no shuffle."""
     if "type_args" not in refs.columns:
         return refs
-    own = F.struct(
-        "node_kind", "symbol_name", "namespace", "display_name", "assembly_name", "code_text", "symbol_kind"
-    )
-    arguments = F.transform(
-        "type_args",
-        lambda a: F.struct(
-            F.lit("TypeArgument").alias("node_kind"),
-            a["symbol_name"].alias("symbol_name"),
-            a["namespace"].alias("namespace"),
-            a["display_name"].alias("display_name"),
-            a["assembly_name"].alias("assembly_name"),
-            a["code_text"].alias("code_text"),
-            F.lit("NamedType").alias("symbol_kind"),
-        ),
-    )
-    none = F.filter(F.array(own), lambda _: F.lit(False))
-    extra = F.when((F.col("node_kind") == "GenericName") & F.col("type_args").isNotNull(), arguments).otherwise(none)
-    replaced = own_fields = ["node_kind", "symbol_name", "namespace", "display_name", "assembly_name", "code_text", "symbol_kind"]
-    keep = [c for c in refs.columns if c not in replaced and c != "type_args"]
-    return refs.select(*keep, F.explode(F.concat(F.array(own), extra)).alias("node")).select(
-        *keep, *[F.col(f"node.{c}").alias(c) for c in own_fields]
-    )
+    symbol = ["node_kind", "symbol_kind", "symbol_name", "namespace", "display_name", "assembly_name", "code_text"]
+    keep = [c for c in refs.columns if c not in symbol and c != "type_args"]
+    own = F.array(F.struct(*symbol))
+
+    def argument(a: Column) -> Column:
+        taken = [a[c].alias(c) for c in symbol[2:]]
+        return F.struct(F.lit("TypeArgument").alias("node_kind"), F.lit("NamedType").alias("symbol_kind"), *taken)
+
+    has_arguments = (F.col("node_kind") == "GenericName") & F.col("type_args").isNotNull()
+    nodes = F.when(has_arguments, F.concat(own, F.transform("type_args", argument))).otherwise(own)
+    return refs.select(*keep, F.explode(nodes).alias("node")).select(*keep, "node.*")
 
 
 def to_usages(matched: DataFrame) -> DataFrame:
@@ -124,13 +113,12 @@ def lexical_refs(lines: DataFrame) -> DataFrame:
     Over-matches (strings, comments) and knows no types; one row per match.
     ``UsingDirective`` names a namespace, the other kinds a name or dotted chain.
     """
-    found = [
-        F.transform(
-            F.regexp_extract_all("line", F.lit(pattern), 1),
-            lambda m, kind=kind: F.struct(F.lit(kind).alias("node_kind"), m.alias("name")),
-        )
-        for kind, pattern in LEXICAL_PATTERNS
-    ]
+
+    def matches(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all("line", F.lit(pattern), 1)
+        return F.transform(names, lambda m: F.struct(F.lit(kind).alias("node_kind"), m.alias("name")))
+
+    found = [matches(kind, pattern) for kind, pattern in LEXICAL_PATTERNS]
     keys = ["solution", "project_name", "file_path", "line_no"]
     return lines.select(*keys, F.explode(F.concat(*found)).alias("ref")).select(*keys, "ref.node_kind", "ref.name")
 
