@@ -98,7 +98,7 @@ VIEWS = {
     "projects": """
         SELECT n_name AS solution, s_name AS project_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     "project_errors": """
-        SELECT n_name AS solution, s_name AS project_name, concat('balance ', cast(cast(s_acctbal AS int) AS varchar(20))) AS error
+        SELECT n_name AS solution, s_name AS project_name, concat('balance ', cast(cast(floor(s_acctbal) AS int) AS varchar(20))) AS error
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal < 0""",
     "source_state": """
         SELECT n_name AS solution, max(ts) AS mtime FROM {events} JOIN {customer} ON user_id = c_custkey

@@ -1,15 +1,25 @@
-"""Stored results: usage rows and one header per result, by fingerprint."""
+"""Stored results: usage rows by generation, and one header per stored result.
+
+Saving only ever appends. A save writes the rows of all its jobs as one
+generation and then the headers that point there, so a result becomes visible
+whole or not at all, and a later save replaces an earlier one by being newer.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refscope.schemas import USAGE_SCHEMA
 
-HEADER = "fingerprint string, job_id string, usage_count bigint, saved_at timestamp"
-USAGES = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA) + ", fingerprint string"
+HEADER = "fingerprint string, generation string, job_id string, usage_count bigint, saved_at timestamp"
+USAGES = (
+    ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA)
+    + ", fingerprint string, generation string"
+)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,63 +30,67 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the fingerprints in ``df``; others stay.
-
-    Rows are rebalanced by fingerprint: small results share a task and give one
-    file each, a very large one is split over several tasks and files.
-    """
-    (
-        df.hint("rebalance", "fingerprint")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("fingerprint")
-        .parquet(path)
-    )
-
-
 def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
-    """Store the results of ``jobs(job_id, fingerprint)``; an older result is replaced.
+    """Store the results of ``jobs(job_id, fingerprint)``; an older result is superseded.
 
-    The header, with the number of rows, is written last: a result counts as
-    stored only when its header agrees with its rows.
+    Rows are laid out by fingerprint, then place: a reader of a few results
+    touches few files, and a result of any size spreads over several.
     """
+    generation = uuid.uuid4().hex
     keyed = jobs.where(F.col("fingerprint").isNotNull()).select("job_id", "fingerprint")
-    rows = usages.join(keyed, "job_id")
-    _write(rows, f"{root}/usages")
-    counts = rows.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
+    place = ["fingerprint", "project_name", "file_path", "start_line"]
+    path = f"{root}/usages/generation={generation}"
+    usages.join(keyed, "job_id").repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
+    written = _read(usages.sparkSession, f"{root}/usages", USAGES).where(F.col("generation") == generation)
+    counts = written.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
     header = keyed.join(counts, "fingerprint", "left").select(
         "fingerprint",
+        F.lit(generation).alias("generation"),
         "job_id",
         F.coalesce("usage_count", F.lit(0)).alias("usage_count"),
         F.current_timestamp().alias("saved_at"),
     )
-    _write(header, f"{root}/headers")
+    header.write.mode("append").parquet(f"{root}/headers")
+
+
+def _latest(spark: SparkSession, root: str) -> DataFrame:
+    newest = F.max(F.struct("saved_at", "generation", "job_id", "usage_count")).alias("h")
+    return (
+        _read(spark, f"{root}/headers", HEADER)
+        .groupBy("fingerprint")
+        .agg(newest)
+        .select("fingerprint", "h.generation", "h.job_id", "h.usage_count", "h.saved_at")
+        .where(F.col("usage_count") >= 0)
+    )
 
 
 def stored_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Headers whose rows are all there; a damaged or missing result is a miss."""
-    headers = _read(spark, f"{root}/headers", HEADER)
+    """Headers whose rows are all there; a damaged, missing or forgotten result is a miss."""
+    latest = _latest(spark, root)
     rows = _read(spark, f"{root}/usages", USAGES)
-    present = rows.groupBy("fingerprint").agg(F.count("*").alias("present"))
+    present = rows.groupBy("generation", "fingerprint").agg(F.count("*").alias("present"))
     return (
-        headers.join(present, "fingerprint", "left")
+        latest.join(present, ["generation", "fingerprint"], "left")
         .where(F.coalesce("present", F.lit(0)) == F.col("usage_count"))
         .drop("present")
     )
 
 
 def load_results(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
-    """Usage rows of the stored fingerprints in ``keys``; only their partitions are read."""
+    """Usage rows of the stored fingerprints in ``keys``, from their newest generation."""
+    wanted = _latest(spark, root).join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
     rows = _read(spark, f"{root}/usages", USAGES)
-    return rows.join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return rows.join(wanted.select("generation", "fingerprint"), ["generation", "fingerprint"], "left_semi").drop("generation")
 
 
 def invalidate(spark: SparkSession, root: str, keys: DataFrame) -> None:
-    """Forget the results of ``keys``. Harmless if they are not stored.
-
-    The header is replaced by one that no number of rows can agree with.
-    """
-    known = _read(spark, f"{root}/headers", HEADER)
-    gone = known.join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    _write(gone.withColumn("usage_count", F.lit(-1).cast("bigint")), f"{root}/headers")
+    """Forget the results of ``keys`` by a newer header without rows. Harmless if not stored."""
+    gone = _latest(spark, root).join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    forgotten = gone.select(
+        "fingerprint",
+        "generation",
+        "job_id",
+        F.lit(-1).cast("bigint").alias("usage_count"),
+        F.current_timestamp().alias("saved_at"),
+    )
+    forgotten.write.mode("append").parquet(f"{root}/headers")
