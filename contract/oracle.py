@@ -364,6 +364,14 @@ _SQL = {
         counts AS (SELECT job_id, count(*) AS n FROM kept WHERE usage_type IN ({SHIPPED_TYPES}) GROUP BY job_id)
         SELECT job_id, true AS success, NULL::VARCHAR AS error, coalesce(n, 0) AS usage_count FROM {{jobs}} LEFT JOIN counts USING (job_id)
         UNION ALL SELECT DISTINCT c_mktsegment || '|none', false, 'Solution not found: ' || c_mktsegment, NULL::BIGINT FROM customer""",
+    "incremental_analysis": f"""WITH {RESOLVED},
+        found AS (SELECT * FROM (SELECT j.job_id, r.*, {CLASSIFIED} AS usage_type FROM {{symbol_refs}} r JOIN resolved a
+          ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution
+          AND j.package = a.package AND j.version = a.version) WHERE usage_type IS NOT NULL),
+        job_projects AS (SELECT DISTINCT job_id, project_name FROM {{jobs}} JOIN {{projects}} USING (solution)),
+        job_errors AS (SELECT job_id FROM {{jobs}} JOIN {{project_errors}} USING (solution)),
+        {totals("{jobs}", "found")}
+        SELECT job_id, total_usage_count, analyzed_project_count, error_count FROM summaries""",
 }
 
 ORACLE = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -13,7 +13,7 @@ from refscope.config import COMMENTS_FIRST_SIMILARITY, SHIPPED_SIMILARITY, SHIPP
 from refscope.functions.distance import are_similar
 from refscope.functions.text import normalize_whitespace, remove_comments, simplify
 from refscope.operators import audit, context, dedup, incremental, match, refs, reports, resolve
-from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_package, analyze_symbol
+from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_incremental, analyze_package, analyze_symbol
 from refscope.runtime import cut, scratch_root
 from refscope.sources import files, jobs, packages, results
 
@@ -53,11 +53,16 @@ def _solution_usages(spark: SparkSession, sf: str) -> DataFrame:
     return refs.to_usages(view(spark, sf, "symbol_refs").withColumn("job_id", F.col("solution")))
 
 
+def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A derived input as the written table it would be in use."""
+    return cut(view(spark, sf, name), name)
+
+
 def _tables(spark: SparkSession, sf: str) -> Tables:
     return Tables(
         refs=view(spark, sf, "symbol_refs"),
         projects=view(spark, sf, "projects"),
-        reference_paths=view(spark, sf, "reference_paths"),
+        reference_paths=_stored(spark, sf, "reference_paths"),
         package_assemblies=packages.assemblies_from_listing(view(spark, sf, "package_files")),
         files=view(spark, sf, "ref_files"),
         project_errors=view(spark, sf, "project_errors"),
@@ -238,6 +243,7 @@ def symbol_contains(spark, sf):
 @query
 def assemblies_from_paths(spark, sf):
     paths, wanted = view(spark, sf, "reference_paths"), view(spark, sf, "jobs")
+    wanted = cut(wanted, "jobs")
     loose = resolve.assemblies_from_paths(paths, wanted)
     strict = resolve.assemblies_from_paths(paths, wanted, strict=True)
     return loose.withColumn("strict", F.lit(False)).unionByName(strict.withColumn("strict", F.lit(True)))
@@ -246,8 +252,8 @@ def assemblies_from_paths(spark, sf):
 @query
 def resolve_assemblies(spark, sf):
     return resolve.resolve_assemblies(
-        view(spark, sf, "jobs"),
-        view(spark, sf, "reference_paths"),
+        _stored(spark, sf, "jobs"),
+        _stored(spark, sf, "reference_paths"),
         packages.assemblies_from_listing(view(spark, sf, "package_files")),
     )
 
@@ -525,7 +531,7 @@ def _rows(found: Analysis) -> DataFrame:
 
 @query
 def package_analysis(spark, sf):
-    return _rows(analyze_package(view(spark, sf, "jobs"), _tables(spark, sf), OPTIONS))
+    return _rows(analyze_package(_stored(spark, sf, "jobs"), _tables(spark, sf), OPTIONS))
 
 
 @query
@@ -535,7 +541,7 @@ def symbol_analysis(spark, sf):
 
 def _batch(spark, sf) -> DataFrame:
     """The package jobs and, as jobs that must fail, market segments taken for solutions."""
-    wanted = view(spark, sf, "jobs")
+    wanted = _stored(spark, sf, "jobs")
     unknown = (
         view(spark, sf, "customer")
         .select(F.col("c_mktsegment").alias("solution"))
@@ -552,3 +558,14 @@ def _batch(spark, sf) -> DataFrame:
 def batch_analysis(spark, sf):
     rows, _ = analyze_batch(_batch(spark, sf), _tables(spark, sf), OPTIONS)
     return rows.select("job_id", "success", "error", "usage_count")
+
+
+@query
+def incremental_analysis(spark, sf):
+    """A first run answers the jobs marked for refresh, a second run all jobs and reuses what it may."""
+    root = f"{scratch_root(spark)}/refscope/results-{uuid.uuid4().hex}"
+    wanted, tables, state = _stored(spark, sf, "jobs"), _tables(spark, sf), _stored(spark, sf, "source_state")
+    analyze_incremental(wanted.where(F.col("force_refresh")), tables, state, root)
+    again = wanted.withColumn("force_refresh", ~F.col("force_refresh"))
+    found = analyze_incremental(again, tables, state, root)
+    return found.summary().select("job_id", "total_usage_count", "analyzed_project_count", "error_count")

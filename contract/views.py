@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from refscope.runtime import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -130,7 +132,8 @@ def _names(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # The generated files hold one row group each: one scan task, whatever the cores.
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     sql = VIEWS[name]
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _names(sql)})
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from refscope.sources.files import is_binary, split_lines
 
 
-def _file_lines(files: DataFrame) -> DataFrame:
-    """Lines per file; a binary or unreadable (null) file has none."""
+def _lines() -> Column:
+    """Lines of a file row; a binary or unreadable (null) text has none."""
     none = F.array().cast("array<string>")
-    lines = F.when(is_binary(F.col("file_path")) | F.col("text").isNull(), none).otherwise(split_lines(F.col("text")))
-    return files.select("solution", "file_path", lines.alias("lines"))
+    unread = is_binary(F.col("file_path")) | F.col("text").isNull()
+    return F.when(unread, none).otherwise(split_lines(F.col("text")))
 
 
 def _joined(lines: Column, first: Column, last: Column) -> Column:
@@ -35,8 +35,10 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("start_line", "context_lines")).alias("asked"))
     )
     here = lambda at: _snippet(F.col("lines"), F.col("file_path"), at["start_line"], at["context_lines"])
+    texts = files.select(*key, "text", F.lit(True).alias("exists"))
     return (
-        asked.join(_file_lines(files), key, "left")
+        asked.join(texts, key, "left")
+        .select(*key, "asked", F.when(F.col("exists"), _lines()).alias("lines"))
         .select(*key, F.explode(F.transform("asked", here)).alias("snippet"))
         .select(*key, "snippet.*")
     )
@@ -117,7 +119,7 @@ def context_of_every_line(files: DataFrame, context_lines: int) -> DataFrame:
         return F.struct((i + 1).alias("line_no"), _joined(lines, low, high).alias("content"))
 
     return (
-        _file_lines(files)
+        files.select("solution", "file_path", _lines().alias("lines"))
         .select("solution", "file_path", F.explode(F.transform(lines, around)).alias("at"))
         .select("solution", "file_path", "at.line_no", "at.content")
     )

@@ -30,7 +30,7 @@ from refscope.config import SimilarityConfig
 from refscope.functions import distance
 from refscope.functions.distance import Reach, are_similar
 from refscope.functions.text import simplify
-from refscope.runtime import cut, join_bounded
+from refscope.runtime import cut, join_bounded, spread
 from refscope.schemas import USAGE_ORDER
 
 HEAD = 64
@@ -114,7 +114,7 @@ def _resolve(usages: DataFrame, config: SimilarityConfig, order: list[str]) -> t
         groups.orderBy("job_id", "first").withColumn("rank", F.monotonically_increasing_id()),
         "nodes",
     )
-    undecided = nodes.select("job_id", "rank", "text")
+    undecided = spread(nodes.select("job_id", "rank", "text"))
     left = undecided.count()
     kept: list[DataFrame] = []
     signatures = None
@@ -164,7 +164,7 @@ def _fold(undecided: DataFrame, config: SimilarityConfig) -> tuple[DataFrame, Da
         "kept", lambda k: are_similar(F.col("text"), k["text"], config)
     )
     rest = cut(
-        join_bounded(undecided, settled, ["job_id"]).where(survives).select("job_id", "rank", "text"),
+        join_bounded(undecided, settled, ["job_id"], written=True).where(survives).select("job_id", "rank", "text"),
         "undecided",
     )
     return settled.select(F.explode("kept.rank").alias("rank")), rest
@@ -299,7 +299,7 @@ def _absorb(nodes: DataFrame, kept: DataFrame, config: SimilarityConfig) -> Data
     to the best partner found so far; the rest look further in the next round.
     """
     own = kept.select("rank", F.col("rank").alias("kept_rank"))
-    texts = nodes.select("job_id", "rank", "text")
+    texts = spread(nodes.select("job_id", "rank", "text"))
     signatures = cut(_signatures(texts, config), "signatures")
     index = signatures.join(kept, "rank", "left_semi")
     seekers = cut(texts.select("rank").join(kept, "rank", "left_anti"), "seekers")

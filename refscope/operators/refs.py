@@ -9,6 +9,7 @@ from refscope.runtime import join_bounded
 
 # Usage type by node kind where nothing else matters.
 BY_NODE = {
+    "UsingDirective": "UsingDirective",
     "GenericName": "TypeReference",
     "TypeArgument": "GenericTypeArgument",
     "QualifiedName": "TypeReference",
@@ -33,30 +34,34 @@ MEMBER_BY_SYMBOL = {
 }
 
 
-def _lookup(key: Column, table: dict[str, str], default: str | None = None) -> Column:
-    out = F.lit(default)
-    for name, value in reversed(table.items()):
-        out = F.when(key == name, F.lit(value)).otherwise(out)
-    return out
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    entries = [F.lit(text) for pair in table.items() for text in pair]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def usage_type() -> Column:
-    """Usage type of a reference; null where the node yields no usage.
-
-    An import counts only if it is bound to a namespace.
-    """
+    """Usage type of a reference, by literal tables rather than a long chain of cases."""
     node = F.col("node_kind")
     return (
-        F.when(node == "IdentifierName", _lookup(F.col("parent_kind"), IDENTIFIER_BY_PARENT, "Direct"))
-        .when(node == "MemberAccess", _lookup(F.col("symbol_kind"), MEMBER_BY_SYMBOL, "Direct"))
-        .when((node == "UsingDirective") & (F.col("symbol_kind") == "Namespace"), F.lit("UsingDirective"))
-        .otherwise(_lookup(node, BY_NODE))
+        F.when(node == "IdentifierName", F.coalesce(_lookup(IDENTIFIER_BY_PARENT, F.col("parent_kind")), F.lit("Direct")))
+        .when(node == "MemberAccess", F.coalesce(_lookup(MEMBER_BY_SYMBOL, F.col("symbol_kind")), F.lit("Direct")))
+        .otherwise(_lookup(BY_NODE, node))
     )
 
 
+def is_usage() -> Column:
+    """Known node kinds; an import counts only if it is bound to a namespace.
+
+    Stated on the input columns, so that the scan can apply it.
+    """
+    node = F.col("node_kind")
+    known = node.isin([*BY_NODE, "IdentifierName", "MemberAccess"])
+    return known & ((node != "UsingDirective") | (F.col("symbol_kind") == "Namespace"))
+
+
 def classify_usage(refs: DataFrame) -> DataFrame:
     """Add ``usage_type`` and drop references that are no usage."""
-    return refs.withColumn("usage_type", usage_type()).where(F.col("usage_type").isNotNull())
+    return refs.where(is_usage()).withColumn("usage_type", usage_type())
 
 
 def expand_nodes(refs: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ from refscope.operators.match import filter_usage_types, match_assembly, match_s
 from refscope.operators.refs import expand_nodes, to_usages
 from refscope.operators.reports import batch_outcome, batch_results, error_message, summary
 from refscope.operators.resolve import job_assemblies, resolve_assemblies
+from refscope.operators.incremental import fingerprint, split_jobs
+from refscope.runtime import cut
 from refscope.schemas import USAGE_COLUMNS
+from refscope.sources.results import load_results, save_results, stored_headers
 
 
 @dataclass
@@ -53,9 +56,15 @@ def _finish(jobs: DataFrame, matched: DataFrame, tables: Tables, options: Analys
             usages = usages.join(jobs.select("job_id", "context_lines"), "job_id")
         else:
             usages = usages.withColumn("context_lines", F.lit(options.context_lines))
-        usages = attach_context(usages, tables.files)
+        # Read twice, for positions and for rows: written once instead of matched twice.
+        usages = attach_context(cut(usages, "usages"), tables.files)
     usages = near_dedup(usages.select(*USAGE_COLUMNS), options.similarity)
     usages = filter_usage_types(usages, options.usage_types, options.configured_usage_types)
+    return _analysis(jobs, usages, tables)
+
+
+def _analysis(jobs: DataFrame, usages: DataFrame, tables: Tables) -> Analysis:
+    """Add every job's projects (also those without usages) and project errors."""
     scoped = jobs.select("job_id", "solution")
     job_projects = scoped.join(tables.projects.select("solution", "project_name").distinct(), "solution").select(
         "job_id", "project_name"
@@ -108,3 +117,30 @@ def analyze_batch(
     runnable = jobs.join(known, "solution", "left_semi").drop("context_lines")
     results = batch_results(jobs, analyze_package(runnable, tables, plain).usages, failures)
     return results, batch_outcome(results)
+
+
+def analyze_incremental(
+    jobs: DataFrame,
+    tables: Tables,
+    source_state: DataFrame,
+    root: str,
+    options: AnalysisOptions = AnalysisOptions(),
+    symbol: bool = False,
+) -> Analysis:
+    """As the two analyses above, reusing results stored under ``root``.
+
+    Only forced, unknown and outdated jobs (``jobs`` has ``force_refresh``) enter
+    the plan, and their results are stored; the others are read from the store. A
+    job whose solution has no known source state is computed and not stored.
+    """
+    named = jobs
+    if symbol:
+        named = jobs.withColumn("package", F.col("target")).withColumn("version", F.lit("symbol"))
+    keyed = cut(fingerprint(named, source_state, options), "jobs")
+    run, reuse = split_jobs(keyed, stored_headers(jobs.sparkSession, root))
+    run = cut(run, "run")
+    fresh = (analyze_symbol if symbol else analyze_package)(run, tables, options)
+    usages = cut(fresh.usages, "results")
+    save_results(run, usages, root)
+    stored = load_results(jobs.sparkSession, root, reuse)
+    return _analysis(keyed, usages.unionByName(stored.select(*USAGE_COLUMNS)), tables)

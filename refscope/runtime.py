@@ -45,6 +45,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deal out a stored table that would be read by far fewer tasks than there are cores.
+
+    For steps that compute much per row. Tables of many files are left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() * 2 > cores:
+        return table
+    return table.repartition(cores)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Measure whether ``df`` is small; never looks at more than ``rows + 1`` rows."""
     head = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n"))
@@ -52,19 +63,24 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return seen["rows"] <= rows and seen["bytes"] <= size
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_bounded(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", written: bool = False
+) -> DataFrame:
     """Join a large side with one that is usually small.
 
-    Measured small: broadcast, the large side does not move. Otherwise: a
-    shuffle join whose large side is spread over ``SALTS`` sub-keys, so that a
-    hot key is shared by that many tasks; the other side is copied per sub-key.
+    The small side is written first (unless it already is a ``written`` table):
+    it is computed once, then measured, then used. Measured small: broadcast,
+    the large side does not move. Otherwise: a shuffle join whose large side is
+    spread over ``SALTS`` sub-keys, so that a hot key is shared by that many
+    tasks; the other side is copied per sub-key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how} does not keep the large side whole under salting")
-    if fits_broadcast(small):
-        return big.join(F.broadcast(small), on, how)
+    side = small if written else cut(small, "side")
+    if fits_broadcast(side):
+        return big.join(F.broadcast(side), on, how)
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 

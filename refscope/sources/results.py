@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refscope.runtime import join_bounded
 from refscope.schemas import USAGE_SCHEMA
 
 HEADER = "fingerprint string, generation string, job_id string, usage_count bigint, saved_at timestamp"
@@ -37,7 +38,8 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
     touches few files, and a result of any size spreads over several.
     """
     generation = uuid.uuid4().hex
-    keyed = jobs.where(F.col("fingerprint").isNotNull()).select("job_id", "fingerprint")
+    # Jobs that ask for the same thing have the same result; it is stored once.
+    keyed = jobs.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("job_id").alias("job_id"))
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
     usages.join(keyed, "job_id").repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
@@ -76,11 +78,16 @@ def stored_headers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def load_results(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
-    """Usage rows of the stored fingerprints in ``keys``, from their newest generation."""
-    wanted = _latest(spark, root).join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    rows = _read(spark, f"{root}/usages", USAGES)
-    return rows.join(wanted.select("generation", "fingerprint"), ["generation", "fingerprint"], "left_semi").drop("generation")
+def load_results(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
+    """Stored usage rows for ``jobs(job_id, fingerprint)``, from the newest generation.
+
+    Rows carry the asking job's id, whatever the job was called when it was stored.
+    """
+    wanted = _latest(spark, root).select("generation", "fingerprint").join(
+        jobs.select("fingerprint", "job_id"), "fingerprint"
+    )
+    rows = _read(spark, f"{root}/usages", USAGES).drop("job_id")
+    return join_bounded(rows, wanted, ["generation", "fingerprint"]).drop("generation")
 
 
 def invalidate(spark: SparkSession, root: str, keys: DataFrame) -> None:
