@@ -170,65 +170,72 @@ def _fold(undecided: DataFrame, config: SimilarityConfig) -> tuple[DataFrame, Da
     return settled.select(F.explode("kept.rank").alias("rank")), rest
 
 
-def _gram_keys(text: str, reach: Reach) -> list[tuple[int, int]]:
+def _gram_keys(text: str, reach: Reach) -> np.ndarray:
     """Signature of one text: its first grams in a fixed global (hash) order.
 
     An edit changes at most q grams, so two texts within k edits differ in at
     most k*q grams on either side. Sorting all grams in one global order and
     keeping k*q+1 of them leaves at least one common gram. Repeated grams are
     numbered, which makes the comparison one of multisets.
+
+    A key packs the gram length (3 bits), the hash (37) and the number (23).
     """
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     n = len(codes)
-    if n == 0:
-        return []
-    keys: list[tuple[int, int]] = []
-    for q in reach.grams(n):
+    keys = [np.zeros(0, dtype=np.uint64)]
+    for q in reach.grams(n) if n else []:
         if q == 0:
-            keys.append((0, 0))
+            keys.append(np.zeros(1, dtype=np.uint64))
             continue
         grams = np.zeros(n - q + 1, dtype=np.uint64)
         for i in range(q):
             grams = (grams ^ codes[i : n - q + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             grams ^= grams >> np.uint64(29)
-        grams = np.sort(grams >> np.uint64(24))
+        grams = np.sort(grams >> np.uint64(27))
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         nth = np.arange(len(grams)) - np.repeat(starts, np.diff(np.r_[starts, len(grams)]))
-        numbered = (grams << np.uint64(23)) | nth.astype(np.uint64)
-        keys.extend((q, int(key)) for key in numbered[: reach.spread(n) * q + 1])
-    return keys
+        numbered = (np.uint64(q) << np.uint64(60)) | (grams << np.uint64(23)) | nth.astype(np.uint64)
+        keys.append(numbered[: reach.spread(n) * q + 1])
+    return np.concatenate(keys).astype(np.int64)
 
 
 def _signatures(nodes: DataFrame, config: SimilarityConfig) -> DataFrame:
-    """``(job_id, q, gram, rank, length)``: the buckets in which a text may meet a partner."""
+    """``(job_id, gram, rank, length)``: the buckets in which a text may meet a partner."""
     reach = Reach(config)
 
-    @F.pandas_udf("array<struct<q:int,gram:bigint>>")
+    @F.pandas_udf("array<bigint>")
     def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"q": q, "gram": g} for q, g in _gram_keys(t, reach)])
+        return texts.map(lambda t: _gram_keys(t, reach))
 
     return nodes.select(
-        "job_id", "rank", F.char_length("text").alias("length"), F.explode(keys("text")).alias("key")
-    ).select("job_id", "key.q", "key.gram", "rank", "length")
+        "job_id", "rank", F.char_length("text").alias("length"), F.explode(keys("text")).alias("gram")
+    )
+
+
+BUCKET = ["job_id", "gram"]
+
+
+def _heads(index: DataFrame, shown: int) -> DataFrame:
+    """The first ``shown`` members of each bucket; cut down before the shuffle and after it."""
+    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("rank"))
+    return (
+        index.withColumn("place", place)
+        .where(F.col("place") <= shown)
+        .groupBy(*BUCKET)
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "length"))).alias("head"))
+        .withColumn("last", F.when(F.size("head") == shown, F.element_at("head", -1)["rank"]))
+    )
 
 
 def _visible(
-    index: DataFrame, probes: DataFrame, texts: DataFrame, config: SimilarityConfig, shown: int
+    heads: DataFrame, probes: DataFrame, texts: DataFrame, config: SimilarityConfig
 ) -> tuple[DataFrame, DataFrame]:
-    """What each probe sees of earlier index members, ``shown`` per bucket.
+    """What each probe sees of earlier index members in the shown ``heads``.
 
     Returns the similar pairs ``(rank, earlier)`` and, per probe, ``limit``: the
     smallest rank up to which some bucket has been shown only in part (null if
     every bucket was shown whole as far as this probe is concerned).
     """
-    bucket = ["job_id", "q", "gram"]
-    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("rank"))
-    heads = (
-        index.withColumn("place", place)
-        .where(F.col("place") <= shown)
-        .groupBy(*bucket)
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "length"))).alias("head"))
-    )
     reach = Reach(config)
     slope = F.lit(1.0 - reach.threshold)
 
@@ -237,12 +244,10 @@ def _visible(
         cap = F.greatest(F.lit(reach.distance), F.least(longer, F.floor(slope * longer).cast("int") + 1))
         return (h["rank"] < F.col("rank")) & (F.abs(h["length"] - F.col("length")) <= cap)
 
-    last = F.element_at("head", -1)["rank"]
-    hidden = (F.size("head") == shown) & (F.col("rank") > last)
     seen = cut(
-        probes.join(heads, bucket).select(
+        probes.join(heads, BUCKET).select(
             "rank",
-            F.when(hidden, last).alias("limit"),
+            F.when(F.col("rank") > F.col("last"), F.col("last")).alias("limit"),
             F.transform(F.filter("head", in_reach), lambda h: h["rank"]).alias("earlier"),
         ),
         "seen",
@@ -265,7 +270,7 @@ def _bucket_round(
 ) -> tuple[DataFrame, DataFrame]:
     """Decide every text whose earlier similar texts are all visible."""
     live = signatures.join(undecided.select("rank"), "rank", "left_semi")
-    edges, limits = _visible(live, live, undecided, config, shown)
+    edges, limits = _visible(_heads(live, shown), live, undecided, config)
     waiting = limits.where(F.col("limit") < F.col("rank")).select("rank")
     waiting = cut(waiting, "waiting")
     open_ranks = undecided.select("rank")
@@ -295,30 +300,27 @@ def _bucket_round(
 def _absorb(nodes: DataFrame, kept: DataFrame, config: SimilarityConfig) -> DataFrame:
     """``(rank, kept_rank)``: every text with its earliest similar kept text.
 
-    A dropped text has looked far enough once every bucket was shown at least up
-    to the best partner found so far; the rest look further in the next round.
+    Each round shows the next kept members of every bucket. A text has looked
+    far enough once all its buckets were shown up to the best partner so far.
     """
-    own = kept.select("rank", F.col("rank").alias("kept_rank"))
     texts = spread(nodes.select("job_id", "rank", "text"))
     signatures = cut(_signatures(texts, config), "signatures")
     index = signatures.join(kept, "rank", "left_semi")
     seekers = cut(texts.select("rank").join(kept, "rank", "left_anti"), "seekers")
-    found: list[DataFrame] = [own]
-    shown = 2 * BUCKET_HEAD
+    out = kept.select("rank", F.col("rank").alias("kept_rank"))
+    best = None
     while not seekers.isEmpty():
+        heads = cut(_heads(index, BUCKET_HEAD_LIMIT), "heads")
         probes = signatures.join(seekers, "rank", "left_semi")
-        edges, limits = _visible(index, probes, texts, config, shown)
-        best = edges.groupBy("rank").agg(F.min("earlier").alias("kept_rank"))
-        settled = cut(
-            best.join(limits, "rank")
-            .where(F.col("limit").isNull() | (F.col("kept_rank") <= F.col("limit")))
-            .select("rank", "kept_rank"),
-            "absorbed",
-        )
-        found.append(settled)
+        edges, limits = _visible(heads, probes, texts, config)
+        pairs = edges.withColumnRenamed("earlier", "kept_rank")
+        pairs = pairs if best is None else pairs.unionByName(best)
+        best = cut(pairs.groupBy("rank").agg(F.min("kept_rank").alias("kept_rank")).join(limits, "rank", "left"), "best")
+        far_enough = F.col("limit").isNull() | (F.col("kept_rank") <= F.col("limit"))
+        settled = best.where(far_enough).select("rank", "kept_rank")
+        best = best.where(~far_enough).select("rank", "kept_rank")
+        out = out.unionByName(settled)
         seekers = cut(seekers.join(settled.select("rank"), "rank", "left_anti"), "seekers")
-        shown *= 2
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
+        shown = heads.where(F.col("last").isNotNull()).select(*BUCKET, "last")
+        index = cut(index.join(shown, BUCKET).where(F.col("rank") > F.col("last")).drop("last"), "index")
     return out

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.runtime import join_bounded
+from refscope.runtime import cut, join_bounded
+
+# A name with more namespaces than this is bound from the imports' side.
+AMBIGUOUS = 64
 
 # Usage type by node kind where nothing else matters.
 BY_NODE = {
@@ -138,9 +141,19 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     """
     names = refs.where(F.col("node_kind") != "UsingDirective").select("solution", "file_path", "name").distinct()
     plain = names.where(~F.col("name").contains(".")).withColumn("symbol_name", F.col("name"))
-    by_name = join_bounded(plain, catalog, ["symbol_name"])
     imported = imports.select("solution", "file_path", "namespace").distinct()
-    plain_bound = by_name.join(imported, ["solution", "file_path", "namespace"], "left_semi")
+    place = ["solution", "file_path"]
+    # A name found in few namespaces is looked up by name, then checked against the
+    # imports. A name found in many would multiply its files by all of them, so the
+    # imports are looked up instead, and the files' names checked.
+    homes = catalog.groupBy("symbol_name").agg(F.count("*").alias("homes"))
+    listed = cut(catalog.join(homes, "symbol_name"), "catalog")
+    rare = listed.where(F.col("homes") <= AMBIGUOUS).drop("homes")
+    common = listed.where(F.col("homes") > AMBIGUOUS).drop("homes")
+    plain_rare = join_bounded(plain, rare, ["symbol_name"], written=True).join(
+        imported, [*place, "namespace"], "left_semi"
+    )
+    plain_common = join_bounded(imported, common, ["namespace"], written=True).join(plain, [*place, "symbol_name"])
 
     parts = F.split("name", r"\.")
     chains = names.where(F.col("name").contains(".")).select(
@@ -155,5 +168,6 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     chain_bound = join_bounded(chains, qualified, ["qualified"]).drop("qualified")
 
     columns = ["solution", "file_path", "name", "symbol_name", "namespace", "assembly_name"]
-    bound = plain_bound.select(*columns).unionByName(chain_bound.select(*columns)).distinct()
+    found = [part.select(*columns) for part in (plain_rare, plain_common, chain_bound)]
+    bound = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
     return refs.where(F.col("node_kind") != "UsingDirective").join(bound, ["solution", "file_path", "name"])
