@@ -37,7 +37,8 @@ def read_source_files(spark: SparkSession, root: str, solution: str, pattern: st
 
     The project is the first folder below ``root``. Binary files are left out at
     listing time, before any content is read. A file that vanishes or cannot be
-    decoded is skipped and does not fail the job.
+    read is skipped and does not fail the job; Spark does not list files of zero
+    bytes, which hold no usage either.
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true")
