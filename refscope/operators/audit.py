@@ -84,16 +84,17 @@ def scan_summary(files: DataFrame, violations: DataFrame) -> DataFrame:
     No manifest at all is an error: nothing was checked out, nothing was checked.
     """
     name = file_name(F.col("file_path"))
-    counted = files.select(name.alias("name")).agg(
+    rows = files.select(name.alias("name"), F.lit(False).alias("violation")).unionByName(
+        violations.select(F.lit("").alias("name"), F.lit(True).alias("violation"))
+    )
+    counted = rows.agg(
         F.count_if(F.col("name").rlike(MANIFEST)).alias("manifests"),
         F.count_if(F.col("name").rlike(r"\.tt$")).alias("templates"),
         F.count_if(F.col("name").rlike(r"(?i)^(install|init)\.ps1$")).alias("install_scripts"),
+        F.count_if("violation").alias("violations"),
     )
-    found = violations.agg(F.count("*").alias("violations"))
-    # Two one-row tables, put side by side on a constant key.
-    both = counted.withColumn("_k", F.lit(1)).join(found.withColumn("_k", F.lit(1)), "_k").drop("_k")
     guard = F.raise_error(F.lit("no manifest found: an empty scan is not a clean scan")).cast("bigint")
-    return both.select(
+    return counted.select(
         F.when(F.col("manifests") == 0, guard).otherwise(F.col("manifests")).alias("manifests"),
         "templates",
         "install_scripts",
