@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refscope.runtime import cut, fits_broadcast
 from refscope.sources.files import is_binary, split_lines
 
 
@@ -28,14 +29,18 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
     ``last_line``, ``truncated`` and ``status``.
     """
     key = ["solution", "file_path"]
-    asked = (
+    asked = cut(
         positions.select(*key, "start_line", "context_lines")
         .distinct()
         .groupBy(*key)
-        .agg(F.collect_list(F.struct("start_line", "context_lines")).alias("asked"))
+        .agg(F.collect_list(F.struct("start_line", "context_lines")).alias("asked")),
+        "asked",
     )
     here = lambda at: _snippet(F.col("lines"), F.col("file_path"), at["start_line"], at["context_lines"])
     texts = files.select(*key, "text", F.lit(True).alias("exists"))
+    if fits_broadcast(asked.select(*key)):
+        # Few files are asked for: the others' texts are dropped where they are read.
+        texts = texts.join(F.broadcast(asked.select(*key)), key, "left_semi")
     return (
         asked.join(texts, key, "left")
         .select(*key, "asked", F.when(F.col("exists"), _lines()).alias("lines"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refscope.runtime import join_bounded
 from refscope.schemas import USAGE_ORDER
 
 PAGE_ENTRIES = 10_000
@@ -212,7 +213,7 @@ def _documents(
     )
     pages = parts.groupBy("job_id").agg(F.ceil(F.count("*") / entries).cast("bigint").alias("pages"))
     paged = (
-        parts.join(pages, "job_id")
+        join_bounded(parts, pages, ["job_id"])
         .withColumn("page", _page(F.concat(F.col("part").cast("string"), F.col("position")), F.col("pages")))
         .groupBy("job_id", "page")
         .agg(F.sort_array(F.collect_list(F.struct("part", "position", "json"))).alias("entries"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refscope.functions.paths import file_stem
-from refscope.runtime import join_bounded
+from refscope.runtime import cut, join_bounded
 
 # Lengths of the text windows used to look names up inside paths.
 ANCHOR_SIZES = [16, 8, 4, 2, 1]
@@ -44,6 +44,9 @@ def names_inside_paths(paths: DataFrame, names: DataFrame) -> DataFrame:
         .where(F.col("name_lc") != "")
         .select("name_lc", F.explode(_windows(F.col("name_lc"), size)).alias("gram"))
     )
+    # Only windows that occur in some name can lead anywhere.
+    sought = name_windows.select("gram").distinct()
+    path_windows = cut(join_bounded(path_windows, sought, ["gram"], "left_semi"), "windows")
     frequency = path_windows.groupBy("gram").agg(F.count("*").alias("paths"))
     anchors = (
         name_windows.join(frequency, "gram")

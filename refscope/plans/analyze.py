@@ -15,7 +15,7 @@ from refscope.operators.refs import expand_nodes, to_usages
 from refscope.operators.reports import batch_outcome, batch_results, error_message, summary
 from refscope.operators.resolve import job_assemblies, resolve_assemblies
 from refscope.operators.incremental import fingerprint, split_jobs
-from refscope.runtime import cut
+from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_COLUMNS
 from refscope.sources.results import load_results, save_results, stored_headers
 
@@ -53,7 +53,7 @@ def _finish(jobs: DataFrame, matched: DataFrame, tables: Tables, options: Analys
         if tables.files is None:
             raise ValueError("context lines need the source files")
         if "context_lines" in jobs.columns:
-            usages = usages.join(jobs.select("job_id", "context_lines"), "job_id")
+            usages = join_bounded(usages, jobs.select("job_id", "context_lines"), ["job_id"])
         else:
             usages = usages.withColumn("context_lines", F.lit(options.context_lines))
         # Read twice, for positions and for rows: written once instead of matched twice.

@@ -42,7 +42,8 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
     keyed = jobs.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("job_id").alias("job_id"))
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
-    usages.join(keyed, "job_id").repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
+    rows = join_bounded(usages, keyed, ["job_id"])
+    rows.repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
     written = _read(usages.sparkSession, f"{root}/usages", USAGES).where(F.col("generation") == generation)
     counts = written.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
     header = keyed.join(counts, "fingerprint", "left").select(
