@@ -67,6 +67,13 @@ class Reach:
         longest = math.ceil((n + 1) / self.threshold) + 1
         return max(self.cap(longest), self.cap(n + self.distance))
 
+    def bands(self, longest: int) -> list[int]:
+        """Start lengths of bands so wide that partners lie in the same or in adjacent bands."""
+        starts = [0]
+        while starts[-1] <= longest:
+            starts.append(starts[-1] + self.spread(starts[-1]) + 1)
+        return starts
+
     def gram(self, n: int) -> int:
         return min(self.MAX_GRAM, n // (self.spread(n) + 1))
 

@@ -36,6 +36,7 @@ from refscope.schemas import USAGE_ORDER
 HEAD = 64
 BUCKET_HEAD = 32
 BUCKET_HEAD_LIMIT = 512
+COMMON_GRAMS = 200_000
 
 # The signature helper travels with its task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -125,7 +126,7 @@ def _resolve(usages: DataFrame, config: SimilarityConfig, order: list[str]) -> t
         after = undecided.count()
         if after > left // 2:
             if signatures is None:
-                signatures = cut(_signatures(undecided, config), "signatures")
+                signatures = cut(_signatures(spread(undecided), config), "signatures")
             kept_now, undecided = _bucket_round(undecided, signatures, config, shown)
             kept.append(kept_now)
             shown = min(shown * 2, BUCKET_HEAD_LIMIT)
@@ -170,49 +171,94 @@ def _fold(undecided: DataFrame, config: SimilarityConfig) -> tuple[DataFrame, Da
     return settled.select(F.explode("kept.rank").alias("rank")), rest
 
 
-def _gram_keys(text: str, reach: Reach) -> np.ndarray:
-    """Signature of one text: its first grams in a fixed global (hash) order.
+NUMBER_BITS = np.uint64(23)
 
-    An edit changes at most q grams, so two texts within k edits differ in at
-    most k*q grams on either side. Sorting all grams in one global order and
-    keeping k*q+1 of them leaves at least one common gram. Repeated grams are
-    numbered, which makes the comparison one of multisets.
 
-    A key packs the gram length (3 bits), the hash (37) and the number (23).
+def _grams(text: str, reach: Reach) -> list[tuple[int, np.ndarray]]:
+    """``(q, grams)`` for every gram length under which the text may meet a partner.
+
+    A gram is packed as its length (3 bits) and hash (37 bits), with 23 low bits
+    left for numbering repeated grams. If q is 0, one key stands for all texts.
     """
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     n = len(codes)
-    keys = [np.zeros(0, dtype=np.uint64)]
+    out = []
     for q in reach.grams(n) if n else []:
-        if q == 0:
-            keys.append(np.zeros(1, dtype=np.uint64))
-            continue
-        grams = np.zeros(n - q + 1, dtype=np.uint64)
+        grams = np.zeros(n - q + 1 if q else 1, dtype=np.uint64)
         for i in range(q):
             grams = (grams ^ codes[i : n - q + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             grams ^= grams >> np.uint64(29)
-        grams = np.sort(grams >> np.uint64(27))
+        packed = (np.uint64(q) << np.uint64(60)) | ((grams >> np.uint64(27)) << NUMBER_BITS)
+        out.append((q, np.sort(packed)))
+    return out
+
+
+def _gram_keys(text: str, reach: Reach, common: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Signature of one text: its first grams in a fixed global order, rare ones first.
+
+    An edit changes at most q grams, so two texts within k edits differ in at
+    most k*q grams on either side. Sorting all grams in one global order and
+    keeping k*q+1 of them leaves at least one common gram. Repeated grams are
+    numbered, which makes the comparison one of multisets. ``common`` (sorted)
+    with ``uses`` are frequent grams; they only move to the end of the order.
+    """
+    keys = [np.zeros(0, dtype=np.uint64)]
+    for q, grams in _grams(text, reach):
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         nth = np.arange(len(grams)) - np.repeat(starts, np.diff(np.r_[starts, len(grams)]))
-        numbered = (np.uint64(q) << np.uint64(60)) | (grams << np.uint64(23)) | nth.astype(np.uint64)
-        keys.append(numbered[: reach.spread(n) * q + 1])
+        numbered = grams | nth.astype(np.uint64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+            numbered = numbered[np.lexsort((numbered, np.where(common[at] == grams, uses[at], 0)))]
+        keys.append(numbered[: reach.spread(len(text)) * q + 1])
     return np.concatenate(keys).astype(np.int64)
 
 
+def _common_grams(nodes: DataFrame, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams and their numbers of uses: at most ``COMMON_GRAMS``."""
+
+    @F.pandas_udf("array<bigint>")
+    def grams(texts: pd.Series) -> pd.Series:
+        found = texts.map(lambda t: [g for _, g in _grams(t, reach)])
+        return found.map(lambda g: np.unique(np.concatenate(g)).astype(np.int64) if g else np.zeros(0, dtype=np.int64))
+
+    top = (
+        nodes.select(F.explode(grams("text")).alias("gram"))
+        .groupBy("gram")
+        .agg(F.count("*").alias("uses"))
+        .where(F.col("uses") > BUCKET_HEAD)
+        .orderBy(F.desc("uses"), "gram")
+        .limit(COMMON_GRAMS)
+        .toPandas()
+        .sort_values("gram")
+    )
+    return top["gram"].to_numpy(np.int64).astype(np.uint64), top["uses"].to_numpy(np.int64)
+
+
 def _signatures(nodes: DataFrame, config: SimilarityConfig) -> DataFrame:
-    """``(job_id, gram, rank, length)``: the buckets in which a text may meet a partner."""
+    """``(job_id, gram, band, rank, length)``: where a text may meet a partner."""
     reach = Reach(config)
+    common, uses = _common_grams(nodes, reach)
 
     @F.pandas_udf("array<bigint>")
     def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _gram_keys(t, reach))
-
-    return nodes.select(
-        "job_id", "rank", F.char_length("text").alias("length"), F.explode(keys("text")).alias("gram")
+        return texts.map(lambda t: _gram_keys(t, reach, common, uses))
+
+    length = F.char_length("text")
+    longest = nodes.agg(F.max(length)).first()[0] or 0
+    starts = F.array(*[F.lit(n) for n in reach.bands(longest)])
+    # Everything about the text is settled per text, before its keys become rows.
+    signed = nodes.select(
+        "job_id",
+        "rank",
+        length.alias("length"),
+        F.size(F.filter(starts, lambda n: n <= length)).alias("band"),
+        keys("text").alias("keys"),
     )
+    return signed.select("job_id", "rank", "length", "band", F.explode("keys").alias("gram"))
 
 
-BUCKET = ["job_id", "gram"]
+BUCKET = ["job_id", "gram", "band"]
 
 
 def _heads(index: DataFrame, shown: int) -> DataFrame:
@@ -244,12 +290,14 @@ def _visible(
         cap = F.greatest(F.lit(reach.distance), F.least(longer, F.floor(slope * longer).cast("int") + 1))
         return (h["rank"] < F.col("rank")) & (F.abs(h["length"] - F.col("length")) <= cap)
 
+    # Partners are at most one length band away.
+    around = probes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     seen = cut(
-        probes.join(heads, BUCKET).select(
+        around.join(heads, BUCKET).select(
             "rank",
             F.when(F.col("rank") > F.col("last"), F.col("last")).alias("limit"),
             F.transform(F.filter("head", in_reach), lambda h: h["rank"]).alias("earlier"),
-        ),
+        ).where((F.size("earlier") > 0) | F.col("limit").isNotNull()),
         "seen",
     )
     limits = seen.groupBy("rank").agg(F.min("limit").alias("limit"))

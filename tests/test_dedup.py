@@ -116,6 +116,6 @@ def test_project_and_type_do_not_matter(spark):
 
 
 def test_heads_are_cut_down_before_the_shuffle(spark):
-    index = spark.createDataFrame([("j", 1, 1, 5)], "job_id string, gram bigint, rank bigint, length int")
+    index = spark.createDataFrame([("j", 1, 1, 1, 5)], "job_id string, gram bigint, band int, rank bigint, length int")
     plan = dedup._heads(index, 32)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

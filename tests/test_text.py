@@ -1,5 +1,6 @@
 """Simplifiers and the edit-distance predicate, edge by edge."""
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from refscope.config import COMMENTS_FIRST_SIMILARITY, SHIPPED_SIMILARITY, Comparison, SimilarityConfig, Simplifier
 from refscope.functions.distance import Reach, are_similar
 from refscope.functions.text import normalize_whitespace, register_simplifier, remove_comments, simplify
-from refscope.operators.dedup import _gram_keys
+from refscope.operators.dedup import _gram_keys, _grams
 
 
 def apply(spark, function, value):
@@ -143,4 +144,10 @@ def test_similar_texts_share_a_signature_key(a, changes, rule):
     b = "".join(chars)
     reach = Reach(SimilarityConfig(True, (), (Comparison(max_distance=rule[0], threshold=rule[1]),)))
     if b and similar(a, b, *rule):
-        assert set(_gram_keys(a, reach).tolist()) & set(_gram_keys(b, reach).tolist())
+        nothing = np.zeros(0, dtype=np.uint64)
+        for common in (nothing, np.sort(np.concatenate([g for _, g in _grams(a, reach)]))[::3]):
+            uses = np.arange(len(common))[::-1] + 40
+            sides = [set(_gram_keys(t, reach, common, uses).tolist()) for t in (a, b)]
+            assert sides[0] & sides[1]
+        starts = np.array(reach.bands(max(len(a), len(b))))
+        assert abs(np.searchsorted(starts, len(a), "right") - np.searchsorted(starts, len(b), "right")) <= 1
