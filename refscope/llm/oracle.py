@@ -3,3 +3,51 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+# Every run of lines, beginning or ending at a line, that just reaches 50 words; all but its first place goes.
+ORACLE["op5_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM l
+), o AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM w WHERE w > 0
+), f AS (
+  SELECT doc_id, pos, list(line) OVER a AS al, max(pos) OVER a AS ab, sum(w) OVER a AS aw,
+         list(line) OVER b AS bl, min(pos) OVER b AS ba, sum(w) OVER b AS bw
+  FROM (SELECT *, e - w AS s FROM o)
+  WINDOW a AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         b AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), v AS (
+  SELECT doc_id, pos AS a, ab AS b, al AS c FROM f WHERE aw >= 50
+  UNION SELECT doc_id, ba, pos, bl FROM f WHERE bw >= 50
+), g AS (
+  SELECT c, min(ROW(doc_id, a, b)) AS o FROM v GROUP BY c HAVING count(*) > 1
+), d AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = o[1] THEN greatest(a, o[3] + 1) ELSE a END, b + 1)) AS pos
+  FROM v JOIN g USING (c) WHERE ROW(doc_id, a, b) > o
+), k AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL) AS kept,
+         count(*) AS n_lines, count(d.pos) AS n_removed
+  FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY 1
+)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k"""
+
+ORACLE["op10_decontamination"] = f"""
+WITH i AS (SELECT CAST(item_id AS varchar) AS item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS t, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+h AS (
+  SELECT DISTINCT doc_id, p, n, item_id FROM (
+    SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM (
+      SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+  ) JOIN iw USING (t, n)
+), c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
