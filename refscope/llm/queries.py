@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refscope.llm import decontam, linededup, simhash
+from refscope.llm import decontam, linededup, pieces, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Where the public vocabulary files lie; only the driver reads them.
+TOKENIZERS = "/opt/tokenizers"
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 LINE_WORDS = 50
 WINDOW_WORDS = 10
 SIMHASH_SHINGLE, SIMHASH_DISTANCE = 4, 4
@@ -32,6 +36,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = pieces.Tokenizer(spark, pieces.load(PIECE_MODEL))
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", tokenizer.encode(F.col("text")).alias("ids"))
+    back = coded.select("doc_id", "text", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
 @query
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_DISTANCE)
@@ -40,6 +58,13 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(
