@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Cost of a character no piece covers, below the worst piece.
 UNKNOWN_PENALTY = 10.0
-_CACHE_ENTRIES, _CACHE_CHARS = 200_000, 48
+_CACHE_ENTRIES, _CACHE_CHARS = 300_000, 48
+_LONG = 10_000
+#: A letter or digit, and any other character but the space mark.
+_WORD, _OTHER = r"[^\W_]", rf"(?:(?!{SPACE})[\W_])"
 _MOST_PIECES = 1_000_000
 
 
@@ -53,19 +56,32 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         plain = [i for i, k in enumerate(words.kinds) if k == "normal" and words.pieces[i]]
         for i in plain:
-            self.automaton.add_word(words.pieces[i], i)
+            self.automaton.add_word(words.pieces[i], (i, len(words.pieces[i]), words.scores[i]))
         if plain:
             self.automaton.make_automaton()
         self.plain = bool(plain)
         self.size = [len(p) for p in words.pieces]
+        self.singles = {words.pieces[i] for i in plain if len(words.pieces[i]) == 1}
         self.unknown = min((words.scores[i] for i in plain), default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = words.kinds.index("unknown") if "unknown" in words.kinds else 0
         self.byte_ids = {int(words.pieces[i][3:-1], 16): i for i, k in enumerate(words.kinds) if k == "byte"}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        # Without a piece that goes on after a space mark, no best path crosses into a new word.
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", words.pieces[i]) for i in plain)
-        self.chunks = re.compile("(?s).+" if crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.chunks = re.compile(self._chunks([words.pieces[i] for i in plain]))
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _chunks(pieces: list[str]) -> str:
+        """Where every best path has a boundary, because no piece goes across."""
+
+        def across(pattern: str) -> bool:
+            return any(map(re.compile(pattern).search, pieces))
+
+        if across(f"[^{SPACE}]{SPACE}"):
+            return "(?s).+"
+        if across(f"{_WORD}{_OTHER}|{_OTHER}{_WORD}"):
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        return f"{SPACE}*{_WORD}+|{SPACE}*{_OTHER}+|{SPACE}+"
 
     def viterbi(self, chunk: str) -> list[int]:
         """Ids of the best path over ``chunk``, in one pass over the automaton's matches.
@@ -74,25 +90,31 @@ class Codec:
         the best score at its end. Of equal scores the longer last piece stays.
         """
         n = len(chunk)
-        scores, size = self.words.scores, self.size
-        best = array("d", bytes(8 * (n + 1)))
-        last = array("q", bytes(8 * (n + 1)))
-        matches = self.automaton.iter(chunk) if self.plain else iter(())
-        end, piece = next(matches, (n, -1))
-        for at in range(n):
-            top, chosen, single = -np.inf, -1, False
-            while end == at:
-                length = size[piece]
-                value = best[at + 1 - length] + scores[piece]
-                if value > top:
-                    top, chosen = value, piece
-                single |= length == 1
-                end, piece = next(matches, (n, -1))
-            if not single:
-                value = best[at] + self.unknown
-                if value > top:
-                    top, chosen = value, -1
-            best[at + 1], last[at + 1] = top, chosen
+        if n < _LONG:
+            best, last = [0.0, *[-np.inf] * n], [-1] * (n + 1)
+        else:
+            best, last = array("d", [0.0]) + array("d", [-np.inf]) * n, array("q", [-1]) * (n + 1)
+        size = self.size
+        if self.singles.issuperset(chunk):
+            for end, (piece, length, score) in self.automaton.iter(chunk):
+                value = best[end + 1 - length] + score
+                if value > best[end + 1]:
+                    best[end + 1], last[end + 1] = value, piece
+        else:
+            matches = self.automaton.iter(chunk) if self.plain else iter(())
+            nothing = (n, None)
+            end, found = next(matches, nothing)
+            for at in range(n):
+                single = False
+                while end == at:
+                    piece, length, score = found
+                    value = best[at + 1 - length] + score
+                    if value > best[at + 1]:
+                        best[at + 1], last[at + 1] = value, piece
+                    single |= length == 1
+                    end, found = next(matches, nothing)
+                if not single and best[at] + self.unknown > best[at + 1]:
+                    best[at + 1], last[at + 1] = best[at] + self.unknown, -1
         ids: list[int] = []
         at = n
         while at:
@@ -115,14 +137,22 @@ class Codec:
         for chunk in self.chunks.findall(text):
             found = known.get(chunk)
             if found is None:
-                found = self.viterbi(chunk)
-                if len(chunk) <= _CACHE_CHARS:
-                    if len(known) >= _CACHE_ENTRIES:
-                        known.clear()
-                    known[chunk] = found
+                found = self._remembered(chunk)
+                known = self.known
             ids += found
         return ids
 
+    def _remembered(self, chunk: str) -> list[int]:
+        """Ids of a chunk; those of late chunks are kept, in two bounded generations."""
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.viterbi(chunk)
+        if len(chunk) <= _CACHE_CHARS:
+            if len(self.known) >= _CACHE_ENTRIES:
+                self.known, self.older = {}, self.known
+            self.known[chunk] = found
+        return found
+
     def decode(self, ids) -> str:
         out: list[str] = []
         raw = bytearray()

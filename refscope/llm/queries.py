@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refscope.llm import decontam, linededup, pieces, quality, simhash
+from refscope.llm import decontam, licenses, linededup, pieces, quality, simhash, tokencounts, toolcalls, topk, urlfilter
+from refscope.runtime import scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,6 +18,24 @@ QUERIES: dict[str, Query] = {}
 TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
+URL_RULES = [
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+]
+TOOL_SCHEMAS = {
+    "answer": {
+        "type": "object",
+        "properties": {
+            "question": {"type": "string", "minLength": 1, "maxLength": 400},
+            "turn": {"type": "integer", "minimum": 0},
+        },
+        "required": ["question", "turn"],
+        "additionalProperties": False,
+    }
+}
 LINE_WORDS = 50
 WINDOW_WORDS = 10
 SIMHASH_SHINGLE, SIMHASH_DISTANCE = 4, 4
@@ -30,6 +50,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, all but English ones were counted anew, and later copies went."""
+    first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
+    files = {name: f"{TOKENIZERS}/{name}.tiktoken" for name in (first, second)}
+    docs = table(spark, sf_dir, "documents")
+    again = F.coalesce(F.col("lang") != "en", F.lit(False))
+    rows = tokencounts.counted(docs, files, F.when(again, F.array(F.lit(first), F.lit(second))).otherwise(F.array(F.lit(first))))
+    old, new = (F.lit(first), F.col(first)), (F.lit(second), F.col(second))
+    now = (F.when(again, second).otherwise(first), F.when(again, F.col(second)).otherwise(F.col(first)))
+    kept = rows.groupBy("copy").agg(F.min("doc_id").alias("kept"))
+    late = rows.join(kept, "copy").where("doc_id > kept")
+    rollup = tokencounts.Rollup(spark, f"{scratch_root(spark)}/refscope/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", tokencounts.event("insert", rows, old, None))
+    rollup.commit("recount", tokencounts.event("revise", rows.where(again), new, old))
+    rollup.commit("copies", tokencounts.event("delete", late, None, now))
+    # A batch that comes twice counts once.
+    rollup.commit("load", tokencounts.event("insert", rows, old, None))
+    return rollup.totals()
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by rule, else by list: an address is listed if any page has it with a campaign mark."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = urlfilter.split_url(F.col("url"))
+    marked = F.coalesce(F.col("url").contains("utm_source="), F.lit(False))
+    keys = pages.select(F.concat(host, path).alias("key"), marked.alias("listed"))
+    cascade = urlfilter.build_cascade(keys, "key", "listed")
+    return urlfilter.judged(pages, URL_RULES, "concat(host, path)", cascade)
+
+
+@query
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls and results: a user's turn calls ``answer``, the next assistant's turn is its result."""
+    turns = table(spark, sf_dir, "conversations")
+    turn, before = F.col("turn").cast("string"), (F.col("turn") - 1).cast("string")
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    items = turns.select(
+        "conv_id",
+        "turn",
+        F.when(user, "call").when(reply, "result").otherwise("message").alias("kind"),
+        F.concat(F.when(user, "c").otherwise("r"), turn).alias("id"),
+        F.when(user, F.concat(F.lit("r"), before)).alias("parent_id"),
+        F.when(reply, F.concat(F.lit("c"), before)).alias("call_id"),
+        F.when(user, "answer").alias("name"),
+        F.when(user, F.to_json(F.struct(F.col("turn"), F.col("text").alias("question")))).alias("arguments"),
+        "role",
+        F.col("text").alias("content"),
+    )
+    return toolcalls.linked(items, TOOL_SCHEMAS)
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.without_repeats(table(spark, sf_dir, "documents"), LINE_WORDS)
@@ -65,6 +143,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree by source, language and hundreds; every 20th is its directory's license file."""
+    name = F.when(F.col("doc_id") % 20 == 0, "LICENSE").otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", hundred, name).alias("path"), "text")
+    found = licenses.scan(files)
+    return found.select("row.doc_id", "path", "own_license", "score", "license", "inherited_from")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(
