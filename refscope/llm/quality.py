@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: documents of either label, and lines of one document.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 3000
 TRAIN_LINES = 400
 TRAIN_BYTES = 200_000
 #: A document is predicted good from this score on.
 GOOD = 0.7
-_STEPS, _RATE, _DECAY = 120, 0.15, 1e-3
+_STEPS, _RATE, _DECAY = 120, 0.15, 1e-2
 _LINES_AT_ONCE = 20_000
 
 _UPPER = bytes(range(65, 91))
@@ -25,7 +25,7 @@ _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 _DIGITS = bytes(range(48, 58))
 _STOPS = b".,;:'\"?()-"
 _SPACE = b" \t\r\x0b\x0c"
-FEATURES = 14
+FEATURES = 13
 
 
 def line_features(line: bytes, before: bytes | None) -> tuple:
@@ -52,7 +52,6 @@ def line_features(line: bytes, before: bytes | None) -> tuple:
         min(len(line) / count, 40.0),
         sum(map(eq, words, words[1:])) / count,
         len(set(words)) / count if words else 1.0,
-        float(line.rstrip()[-1:] in (b".", b"?", b"!", b":")),
         float(line == before),
     )
 
