@@ -1,0 +1,61 @@
+import random
+import re
+
+from refscope.llm import decontam as D
+
+
+def plain_words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def plain(docs, items, size):
+    windows = {}
+    for item, text in items:
+        w = plain_words(text)
+        if item is not None and w:
+            for i in range(max(1, len(w) - size + 1)):
+                windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+    out = []
+    for _, text in docs:
+        w, hit, found = plain_words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+def check(spark, docs, rows, items, size):
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = D.contaminated(docs(rows), table, size)
+    assert sorted((r.row.text or "", r.n_words, r.n_hit, r["items"]) for r in got.collect()) == sorted(
+        (t or "", *x) for (_, t), x in zip(rows, plain(rows, items, size), strict=True)
+    )
+
+
+def test_random_texts_against_plain_search(spark, docs):
+    rng = random.Random(5)
+    words = ["the", "a", "É", "é", "x1", "Zoo", "of", "rare"]
+
+    def text(n):
+        return "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "--"]) for _ in range(n))
+
+    items = [(i, text(rng.randint(1, 9))) for i in range(30)] + [(40, "the"), (41, "the the the the")]
+    rows = [(i, text(rng.randint(0, 60))) for i in range(60)]
+    check(spark, docs, rows, items, 4)
+
+
+def test_edge_cases(spark, docs):
+    items = [(1, "alpha beta gamma"), (2, "alpha beta gamma"), (None, "delta"), (3, ""), (4, None), (10, "omega")]
+    rows = [(1, None), (2, ""), (3, "ALPHA, beta-gamma!"), (3, "ALPHA, beta-gamma!"), (None, "omega omega"), (5, "alpha beta"), (6, "delta"), (7, "omega " * 30_000)]
+    check(spark, docs, rows, items, 10)
+    check(spark, docs, rows, [], 10)
+    check(spark, docs, [], items, 10)
+
+
+def test_a_hot_word_and_a_hot_window(spark, docs):
+    rows = [(i, "common words everywhere " * 20 + f"w{i}") for i in range(200)]
+    check(spark, docs, rows, [(1, "common words everywhere common words"), (2, "words everywhere w7")], 5)

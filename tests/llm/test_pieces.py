@@ -1,0 +1,115 @@
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from refscope.llm import pieces as P
+from refscope.llm.queries import PIECE_MODEL
+
+REAL = P.load(PIECE_MODEL)
+CODEC = P.Codec(REAL)
+BYTES = tuple(f"<0x{b:02X}>" for b in range(256))
+
+
+def small(pieces, with_bytes=True, prefix=True):
+    extra = BYTES if with_bytes else ()
+    return P.Vocabulary(
+        ("<unk>", *extra, *pieces),
+        (0.0, *[0.0] * len(extra), *pieces.values()),
+        ("unknown", *["byte"] * len(extra), *["normal"] * len(pieces)),
+        prefix,
+    )
+
+
+def plain_best(words, text):
+    """Best score over all segmentations, by plain dynamic programming over whole texts."""
+    table = {p: s for p, s, k in zip(words.pieces, words.scores, words.kinds, strict=True) if k == "normal"}
+    unknown = min(table.values()) - P.UNKNOWN_PENALTY
+    text = ("▁" if words.prefix and text else "") + text.replace(" ", "▁")
+    best = [0.0]
+    longest = max(map(len, table))
+    for end in range(1, len(text) + 1):
+        found = [best[a] + table[text[a:end]] for a in range(max(0, end - longest), end) if text[a:end] in table]
+        if text[end - 1] not in table:
+            found.append(best[end - 1] + unknown)
+        best.append(max(found, default=-np.inf))
+    return best[-1], unknown
+
+
+def score(words, ids, unknown):
+    """Score of a path; bytes of one character cost one unknown."""
+    total, at = 0.0, 0
+    while at < len(ids):
+        if words.kinds[ids[at]] == "byte":
+            first = int(words.pieces[ids[at]][3:-1], 16)
+            at += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            total += unknown
+        else:
+            total += unknown if words.kinds[ids[at]] == "unknown" else words.scores[ids[at]]
+            at += 1
+    return total
+
+
+VOCABULARIES = [
+    small({"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁ab": -4.0, "aba": -6.5, "ba": -3.5, ".": -1.0, "..": -1.5}),
+    small({"▁": -3.0, "a": -1.0, "a▁b": -1.5, "b": -2.0}),
+    small({"a": -1.0, "a.": -1.5, "bab": -0.5}, with_bytes=False, prefix=False),
+    small({"aa": -1.0}),
+]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(VOCABULARIES), st.text(alphabet="ab. \né", max_size=24))
+def test_best_path_of_small_vocabularies(words, text):
+    codec = P.Codec(words)
+    want, unknown = plain_best(words, text)
+    ids = codec.encode(text).tolist()
+    assert score(words, ids, unknown) == pytest.approx(want)
+    if "byte" in words.kinds:
+        assert codec.decode(np.array(ids, dtype=int)) == text
+
+
+def sample_texts(spark, n):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(n).collect()]
+
+
+def test_best_path_of_the_real_vocabulary(spark):
+    for text in sample_texts(spark, 15):
+        text = text[:300]
+        want, unknown = plain_best(REAL, text)
+        assert score(REAL, CODEC.encode(text).tolist(), unknown) == pytest.approx(want, abs=1e-6)
+
+
+def test_ids_decode_with_the_library_too(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    for text in [*sample_texts(spark, 60), "emoji 🙂 and 日本", "tab\tand\r\nlines", " two  spaces ", "\x00\x7f"]:
+        ids = CODEC.encode(text).tolist()
+        assert CODEC.decode(np.array(ids)) == text
+        assert library.decode(ids) == text
+
+
+def test_caches_are_bounded_and_do_not_matter(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 60))) for _ in range(40)) for _ in range(30)]
+    want = [CODEC.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(P, "_CACHE_ENTRIES", 50)
+    monkeypatch.setattr(P, "_CACHE_CHARS", 30)
+    codec = P.Codec(REAL)
+    assert [codec.encode(t).tolist() for t in texts] == want
+    assert len(codec.known) <= 50 and len(codec.older) <= 50
+
+
+def test_columns(spark, docs):
+    long = "x" * 300_000 + " end"
+    rows = [(1, "some text"), (2, None), (3, ""), (4, "▁"), (None, "some text"), (5, long), (1, "some text")]
+    coder = P.Tokenizer(spark, REAL)
+    df = docs(rows).select("doc_id", "text", coder.encode(F.col("text")).alias("ids"))
+    got = df.select("text", "ids", coder.decode(F.col("ids")).alias("back")).collect()
+    assert {(r.text, r.back) for r in got} == {(t, " " if t == "▁" else t) for _, t in rows}
+    assert [r.ids for r in got if r.text is None] == [None] and [r.ids for r in got if r.text == ""] == [[]]
+    assert all(r.ids == CODEC.encode(r.text).tolist() for r in got if r.text is not None)
+    assert docs([]).select(coder.encode(F.col("text"))).count() == 0

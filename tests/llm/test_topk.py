@@ -1,0 +1,62 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from refscope.llm import topk as T
+
+
+def plain(rows, k, scale):
+    vectors = {}
+    for i, v in rows:
+        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        w = [math.floor(scale * x) for x in v]
+        vectors[i] = min(vectors.get(i, w), w)
+    out = []
+    for q, v in vectors.items():
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def check(spark, rows, k=5, scale=256):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("qb", F.lit(1)).withColumn("v", F.lit("x"))
+    got = T.top_k(df, F.col("vec_id") % 50 == 0, k, scale)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == plain(rows, k, scale)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(T, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(T, "ROW_BLOCK", 40)
+    monkeypatch.setattr(T, "_TILE", 2)
+    monkeypatch.setattr(T, "BINS", 16)
+
+
+def test_random_vectors(spark, small_blocks):
+    rng = random.Random(4)
+    check(spark, [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(260)])
+
+
+def test_ties_and_a_common_vector(spark, small_blocks):
+    rng = random.Random(5)
+    check(spark, [(i, [0.5, -0.25] if i % 3 else [rng.choice((0.0, 0.5)), 1.0]) for i in range(220)])
+
+
+def test_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 2.0]), (50, None), (100, [nan, 1.0]), (1, [inf, 1.0]), (2, [None, 1.0]), (3, []), (None, [1.0, 1.0])]
+    rows += [(4, [1.0, 1.0]), (4, [1.0, 1.0]), (150, [1.0, 2.0, 3.0]), (5, [-3.0, 0.25]), (200, [0.0, 0.0])]
+    check(spark, rows)
+    check(spark, rows, k=1, scale=1)
+    check(spark, [])
+    check(spark, [(0, [1.0])])
+
+
+def test_large_components(spark):
+    check(spark, [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [-3e6, 5.0])])
+    with pytest.raises(OverflowError):
+        check(spark, [(0, [1e9, 1.0]), (1, [1e9, 2.0])])
