@@ -113,7 +113,8 @@ def without_repeats(
     table gives an empty table.
     """
     runs = written(repeated_runs(docs, min_words, id_column, text_column), "runs")
-    runs = runs.select(F.struct("id", "t1", "t2").alias("key"), "runs")
+    # Both sides are shuffled whatever their size: the plan of a small input is that of a large one.
+    runs = runs.select(F.struct("id", "t1", "t2").alias("key"), "runs").hint("merge")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_column}`").alias("doc_id"),
