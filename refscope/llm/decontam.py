@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.llm.common import LOWER, UPPER, beside, document_key, written
+from refscope.llm.common import LOWER, UPPER, beside, document_key, let, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -94,14 +94,15 @@ def contaminated(
         key,
         F.col(f"`{text_column}`").alias("text"),
     )
-    rows = rows.join(beside(candidates), "key", "left").select("row", "doc_id", words(F.col("text")).alias("w"), "found")
-    same = F.filter(
-        "found", lambda c: F.array_join(F.slice("w", c["begin"] + 1, c["n"]), " ") == c["window"]
-    )
+    # Candidates grow with the documents: shuffled whatever their size.
+    rows = rows.join(candidates.hint("merge"), "key", "left")
     none = F.array().cast("array<struct<begin:int,n:int,window:string,items:array<string>>>")
-    rows = rows.select(
-        "row", "doc_id", F.size("w").cast("long").alias("n_words"), F.array_sort(F.coalesce(same, none)).alias("hits")
-    )
+
+    def verified(w):
+        same = F.filter("found", lambda c: F.array_join(F.slice(w, c["begin"] + 1, c["n"]), " ") == c["window"])
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.array_sort(F.coalesce(same, none)).alias("hits"))
+
+    rows = rows.select("row", "doc_id", let(words(F.col("text")), verified).alias("x")).select("row", "doc_id", "x.n_words", "x.hits")
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
 
     def cover(seen, hit):
