@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refscope.llm.common import document_key, written
+from refscope.llm.common import document_key, let, written
 
 MIN_WORDS = 50
 
@@ -121,19 +121,22 @@ def without_repeats(
         F.col(f"`{text_column}`").alias("text"),
         document_key(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")).alias("key"),
     )
-    rows = rows.join(runs, "key", "left").withColumn("lines", F.split("text", "\n"))
+    rows = rows.join(runs, "key", "left")
 
-    def gap(i):
-        after = F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["b"] + 1)
-        before = F.when(i == F.size("runs"), F.size("lines")).otherwise(F.get("runs", i)["a"])
-        return F.slice("lines", after + 1, F.greatest(before - after, F.lit(0)))
+    def without_runs(lines):
+        def gap(i):
+            after = F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["b"] + 1)
+            before = F.when(i == F.size("runs"), F.size(lines)).otherwise(F.get("runs", i)["a"])
+            return F.slice(lines, after + 1, F.greatest(before - after, F.lit(0)))
 
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), gap)), "\n")
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), gap)), "\n")
+
+    kept = let(F.split("text", "\n"), without_runs)
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["b"] - r["a"] + 1))
     return rows.select(
         "row",
         "doc_id",
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("kept"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
