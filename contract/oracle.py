@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from contract.views import with_views
+from refscope.sources.files import BINARY_EXTENSIONS
 
-BINARY = (
-    "'.dll','.exe','.pdb','.lib','.obj','.bin','.dat','.zip','.rar','.7z','.tar','.gz','.jpg','.jpeg','.png','.gif',"
-    "'.bmp','.ico','.mp3','.mp4','.avi','.mov','.wmv','.pdf','.doc','.docx','.xls','.xlsx','.ppt','.pptx'"
-)
+BINARY = ",".join(f"'{e}'" for e in BINARY_EXTENSIONS)
 
 CLASSIFIED = """
   CASE node_kind
@@ -45,20 +43,20 @@ def comments_first(x: str) -> str:
     return squeeze(strip(x))
 
 
-def similar(a: str, b: str) -> str:
+def similar(a: str, b: str, edits: int = 3, ratio: float = 0.9) -> str:
     longer = f"greatest(length({a}), length({b}))"
     return (
-        f"({a} = {b} OR (length({a}) > 0 AND length({b}) > 0 AND (levenshtein({a}, {b}) <= 3 "
-        f"OR 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / {longer}::DOUBLE >= 0.9::DOUBLE)))"
+        f"({a} = {b} OR (length({a}) > 0 AND length({b}) > 0 AND (levenshtein({a}, {b}) <= {edits} "
+        f"OR 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / {longer}::DOUBLE >= {ratio}::DOUBLE)))"
     )
 
 
-def greedy(source: str, text: str) -> str:
+def greedy(source: str, text: str, edits: int = 3, ratio: float = 0.9) -> str:
     """CTEs: distinct texts of a job in order, then the sequential filter as a list fold."""
     return f"""texts AS (SELECT *, {text} AS txt FROM {source}),
 firsts AS (SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY job_id, txt ORDER BY {ORDER}) = 1),
 folded AS (SELECT job_id, list_reduce(list([txt] ORDER BY {ORDER}),
-  lambda kept, t: CASE WHEN len(list_filter(kept, lambda k: {similar("k", "t[1]")})) > 0 THEN kept
+  lambda kept, t: CASE WHEN len(list_filter(kept, lambda k: {similar("k", "t[1]", edits, ratio)})) > 0 THEN kept
     ELSE list_concat(kept, t) END) AS kept FROM firsts GROUP BY job_id),
 kept AS (SELECT f.* FROM firsts f JOIN folded USING (job_id) WHERE list_contains(folded.kept, f.txt))"""
 
@@ -103,14 +101,13 @@ def totals(analyses: str, usages: str) -> str:
   LEFT JOIN (SELECT job_id, count(*) AS n FROM job_errors GROUP BY job_id) e USING (job_id))"""
 
 
-def json_lists(usages: str, item: str) -> str:
-    return f"""lists AS (SELECT job_id,
-  '[' || coalesce((SELECT string_agg(to_json(p.project_name)::VARCHAR, ',' ORDER BY project_name) FROM job_projects p
-    WHERE p.job_id = s.job_id), '') || ']' AS projects,
-  '[' || coalesce((SELECT string_agg(to_json({item})::VARCHAR, ',' ORDER BY {ORDER}) FROM {usages} u
-    WHERE u.job_id = s.job_id), '') || ']' AS usages,
-  '[' || coalesce((SELECT string_agg(to_json(e.error)::VARCHAR, ',' ORDER BY error) FROM job_errors e
-    WHERE e.job_id = s.job_id), '') || ']' AS errors FROM summaries s)"""
+def report_parts(usages: str, item: str) -> str:
+    """Rows of a report; ``heads`` holds the head objects."""
+    place = "concat_ws('|', project_name, file_path, " + f"{part('start_line', 10)}, {part('end_line', 10)}, usage_type, symbol_name)"
+    return f"""SELECT job_id, 0 AS part, '' AS position, head AS json FROM heads
+  UNION ALL SELECT job_id, 1, project_name, to_json(project_name)::VARCHAR FROM job_projects
+  UNION ALL SELECT job_id, 2, {place}, to_json({item})::VARCHAR FROM {usages}
+  UNION ALL SELECT job_id, 3, error, to_json(error)::VARCHAR FROM job_errors"""
 
 
 NINE = (
@@ -131,9 +128,19 @@ HEAD_FIELDS = (
 MATCHED_SYMBOLS = """hits AS (SELECT t.job_id, r.* FROM {symbol_refs} r JOIN {targets} t
   ON r.namespace = t.target OR r.display_name = t.target OR starts_with(lower(r.namespace), lower(t.target) || '.'))"""
 
+FOUND_SYMBOLS = f"""classified AS (SELECT *, {CLASSIFIED} AS usage_type FROM {{symbol_refs}}),
+found AS (SELECT t.job_id, r.* FROM classified r JOIN {{symbol_jobs}} t ON t.solution = r.solution AND (r.namespace = t.target
+  OR r.display_name = t.target OR starts_with(lower(r.namespace), lower(t.target) || '.')) WHERE usage_type IS NOT NULL),
+job_projects AS (SELECT DISTINCT job_id, project_name FROM {{symbol_jobs}} JOIN {{projects}} USING (solution)),
+job_errors AS (SELECT job_id, 'Project ' || project_name || ': ' || error AS error FROM {{symbol_jobs}}
+  JOIN {{project_errors}} USING (solution)),
+started AS (SELECT s.*, a.analyzed_at, a.duration_ms FROM {{symbol_jobs}} s JOIN (SELECT solution, max(analyzed_at) AS analyzed_at,
+  max(duration_ms) AS duration_ms FROM {{analyses}} GROUP BY solution) a USING (solution)),
+{totals("started", "found")}"""
+
 RESOLVED = """listing AS (SELECT DISTINCT lower(package) AS package, lower(version) AS version,
   lower(regexp_replace(regexp_extract(path, '([^/]*)$'), '\\.[^.]*$', '')) AS assembly_lc FROM {package_files}
-  WHERE regexp_matches(path, '^(lib|ref)/', 'i') AND lower(path) LIKE '%.dll'),
+  WHERE CASE WHEN from_archive THEN regexp_matches(path, '^(lib|ref)/', 'i') ELSE path LIKE 'lib/%' END AND lower(path) LIKE '%.dll'),
 loose AS (SELECT DISTINCT r.solution, j.package, lower(regexp_replace(regexp_extract(r.path, '([^/]*)$'), '\\.[^.]*$', '')) AS assembly_lc
   FROM {reference_paths} r JOIN (SELECT DISTINCT package FROM {jobs}) j
   ON contains(lower(r.path), lower(j.package)) AND contains(lower(r.path), 'packages')),
@@ -207,7 +214,7 @@ _SQL = {
         "sha256(solution", "sha256(j.solution"
     ),
     "invalidate_results": f"""WITH {ALL_USAGES}, counts AS (SELECT job_id, count(*) AS n FROM job_usages GROUP BY job_id)
-        SELECT j.job_id, sha256({KEY} || '0') AS fingerprint, coalesce(n, 0) AS usage_count
+        SELECT j.job_id, sha256({KEY} || '0') AS fingerprint, coalesce(n, 0) AS usage_count, coalesce(n, 0) AS rows_left
         FROM {{jobs}} j JOIN {{source_state}} s USING (solution) LEFT JOIN counts USING (job_id) WHERE NOT force_refresh""",
     "lexical_refs": f"WITH {LINES} "
     + "SELECT file_path, node_kind, name, count(*) AS n FROM ("
@@ -227,6 +234,24 @@ _SQL = {
         UNION ALL SELECT l.solution, l.file_path, line_no, node_kind, name, c.namespace, c.symbol_name, c.assembly_name
           FROM lexical l JOIN catalog c ON l.name = c.namespace || '.' || c.symbol_name || '.Run'
           WHERE contains(name, '.')""",
+    "lexical_analysis": """WITH numbered AS (SELECT solution, project_name, file_path, i AS line_no, a[i] AS line FROM
+          (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS a FROM {code_files}))),
+        found AS (
+          SELECT solution, project_name, file_path, 'UsingDirective' AS usage_type, regexp_extract(line, 'using\s+([A-Za-z0-9_.]+);', 1) AS name
+            FROM numbered WHERE line_no = 1
+          UNION ALL SELECT solution, project_name, file_path, 'MethodInvocation', unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))
+            FROM numbered WHERE line_no > 1
+          UNION ALL SELECT solution, project_name, file_path, 'Direct', unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*'))
+            FROM numbered WHERE line_no > 1),
+        symbols AS (
+          SELECT solution, project_name, file_path, usage_type, regexp_extract(name, '^(.*)\.', 1) AS namespace, name AS display_name
+            FROM found WHERE usage_type = 'UsingDirective'
+          UNION ALL SELECT f.solution, f.project_name, f.file_path, f.usage_type, c.namespace, c.namespace || '.' || c.symbol_name FROM found f
+            JOIN found i ON i.solution = f.solution AND i.file_path = f.file_path AND i.usage_type = 'UsingDirective'
+            JOIN {code_catalog} c ON c.namespace = i.name AND c.symbol_name = f.name WHERE f.usage_type <> 'UsingDirective')
+        SELECT t.job_id, project_name, usage_type, count(*) AS usages FROM symbols s JOIN {code_targets} t
+          ON s.namespace = t.target OR s.display_name = t.target OR starts_with(lower(s.namespace), lower(t.target) || '.')
+        GROUP BY ALL""",
     "generic_fanout": """SELECT project_name, file_path, start_line, 'TypeReference' AS usage_type, symbol_name, assembly_name, code_text
           FROM {generic_refs}
         UNION ALL SELECT project_name, file_path, start_line, 'GenericTypeArgument', arg_symbol, arg_assembly, arg_text
@@ -249,10 +274,13 @@ _SQL = {
         SELECT *, false AS strict FROM loose UNION ALL SELECT *, true FROM strict""",
     "resolve_assemblies": f"WITH {RESOLVED} SELECT solution, package, version, assembly_lc, tier FROM resolved",
     "batch_usages": f"WITH {ALL_USAGES} SELECT job_id, count(*) AS usages FROM job_usages GROUP BY job_id",
-    "unused_packages": """WITH d AS (SELECT DISTINCT solution, project_name, lower(assembly_name) AS package FROM {symbol_refs}),
-        u AS (SELECT DISTINCT solution, project_name, lower(assembly_name) AS package FROM {symbol_refs}
-          WHERE node_kind = 'MemberAccess' AND start_line >= 4)
-        SELECT * FROM d EXCEPT SELECT * FROM u""",
+    "unused_packages": f"""WITH declared AS (SELECT DISTINCT solution, project_name,
+          regexp_extract(text, 'Include="([^"]*)"', 1) AS package, regexp_extract(text, 'Version="([^"]*)"', 1) AS version
+          FROM {{project_manifests}}),
+        {RESOLVED.replace("{jobs}", "declared")}
+        SELECT * FROM declared EXCEPT SELECT r.solution, r.project_name, a.package, a.version
+          FROM (SELECT *, {CLASSIFIED} AS usage_type FROM {{symbol_refs}}) r
+          JOIN resolved a ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) WHERE usage_type IS NOT NULL""",
     "context_snippet": f"""WITH {context("{doc_usages}", "{source_files}", "context_lines")}
         SELECT event_id, file_path, start_line, first_line AS context_start_line, last_line AS context_end_line,
           status = 'ok' AS has_context, content AS code_text FROM ctx""",
@@ -282,6 +310,13 @@ _SQL = {
         QUALIFY row_number() OVER (PARTITION BY job_id, txt ORDER BY {ORDER}) = 1""",
     "near_dedup": f"""WITH {ALL_USAGES}, {greedy("solution_usages", shipped("code_text"))}
         SELECT job_id, project_name, file_path, start_line, usage_type, code_text FROM kept""",
+    "near_dedup_default": f"""WITH {ALL_USAGES}, {greedy("solution_usages", comments_first("code_text"), 10, 0.8)}
+        SELECT job_id, project_name, file_path, start_line, usage_type, code_text FROM kept""",
+    "registered_plugins": f"""WITH {ALL_USAGES}, texts AS (SELECT *, regexp_replace(code_text, '[0-9]', '', 'g') AS txt FROM solution_usages),
+        sizes AS (SELECT job_id, txt, count(*) AS copies FROM texts GROUP BY ALL),
+        firsts AS (SELECT job_id, substr(txt, 1, 9) AS start, txt AS kept_text FROM texts
+          QUALIFY row_number() OVER (PARTITION BY job_id, substr(txt, 1, 9) ORDER BY {ORDER}) = 1)
+        SELECT s.job_id, txt AS text, kept_text, copies FROM sizes s JOIN firsts f ON f.job_id = s.job_id AND f.start = substr(s.txt, 1, 9)""",
     "dedup_groups": f"""WITH {ALL_USAGES}, {greedy("solution_usages", shipped("code_text"))},
         sizes AS (SELECT job_id, txt, count(*) AS copies FROM texts GROUP BY job_id, txt)
         SELECT s.job_id, s.txt AS text, (list_filter(f.kept, lambda k: {similar("k", "s.txt")}))[1] AS kept_text, s.copies
@@ -305,40 +340,39 @@ _SQL = {
           coalesce(sum(CASE WHEN success THEN coalesce(n, 0) END), 0)::BIGINT AS usages FROM r LEFT JOIN c USING (job_id)""",
     "usage_spread": f"""WITH {ALL_USAGES} SELECT job_id, count(*) AS usages, count(DISTINCT file_path) AS files,
         count(DISTINCT project_name) AS projects, count(DISTINCT symbol_name) AS symbols FROM job_usages GROUP BY job_id""",
+    "usage_spread_approx": f"""WITH {ALL_USAGES} SELECT job_id, count(*) AS usages, count(DISTINCT file_path) AS files,
+        count(DISTINCT project_name) AS projects, count(DISTINCT symbol_name) AS symbols, true AS files_near, true AS projects_near,
+        true AS symbols_near FROM job_usages GROUP BY job_id""",
     "detailed_report": f"""WITH {ALL_USAGES} SELECT job_id, project_name, file_path, start_line, end_line, usage_type, symbol_name,
         namespace, code_text FROM job_usages ORDER BY job_id, {ORDER}""",
-    "report_json": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")}, {json_lists("job_usages", NINE)}
-        SELECT job_id, 0::BIGINT AS page, '{{"summary":' || to_json({{'solutionPath': solution, 'packageName': package,
-          'packageVersion': version, {HEAD_FIELDS}}})::VARCHAR || ',"analyzedProjects":' || projects || ',"usages":' || usages ||
-          ',"errors":' || errors || '}}' AS json FROM summaries JOIN lists USING (job_id)""",
-    "symbol_report_json": f"""WITH classified AS (SELECT *, {CLASSIFIED} AS usage_type FROM {{symbol_refs}}),
-        found AS (SELECT t.job_id, r.* FROM classified r JOIN {{symbol_jobs}} t ON t.solution = r.solution AND (r.namespace = t.target
-          OR r.display_name = t.target OR starts_with(lower(r.namespace), lower(t.target) || '.')) WHERE usage_type IS NOT NULL),
-        job_projects AS (SELECT DISTINCT job_id, project_name FROM {{symbol_jobs}} JOIN {{projects}} USING (solution)),
-        job_errors AS (SELECT job_id, 'Project ' || project_name || ': ' || error AS error FROM {{symbol_jobs}}
-          JOIN {{project_errors}} USING (solution)),
-        started AS (SELECT s.*, a.analyzed_at, a.duration_ms FROM {{symbol_jobs}} s JOIN (SELECT solution, max(analyzed_at) AS analyzed_at,
-          max(duration_ms) AS duration_ms FROM {{analyses}} GROUP BY solution) a USING (solution)),
-        {totals("started", "found")}, {json_lists("found", NINE)}
-        SELECT job_id, 0::BIGINT AS page, '{{"summary":' || to_json({{'solutionPath': solution, 'targetSymbol': target,
-          {HEAD_FIELDS}}})::VARCHAR || ',"analyzedProjects":' || projects || ',"usages":' || usages ||
-          ',"errors":' || errors || '}}' AS json FROM summaries JOIN lists USING (job_id)""",
-    "result_json": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")}, {json_lists("job_usages", TWELVE)},
+    "report_json": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")},
+        heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'packageName': package,
+          'packageVersion': version, {HEAD_FIELDS}}})::VARCHAR AS head FROM summaries)
+        {report_parts("job_usages", NINE)}""",
+    "symbol_report_json": f"""WITH {FOUND_SYMBOLS},
+        heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'targetSymbol': target,
+          {HEAD_FIELDS}}})::VARCHAR AS head FROM summaries)
+        {report_parts("found", NINE)}""",
+    "result_json": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")},
         heads AS (SELECT job_id, to_json({{'SolutionPath': solution, 'PackageName': package, 'PackageVersion': version,
           'AnalyzedAt': {STAMP.format("analyzed_at")}, 'AnalysisDuration': {DURATION},
           'TotalUsageCount': total_usage_count}})::VARCHAR AS head FROM summaries)
-        SELECT job_id, 0::BIGINT AS page, head[:-2] || ',"AnalyzedProjects":' || projects || ',"Usages":' || usages ||
-          ',"Errors":' || errors || '}}' AS json FROM heads JOIN lists USING (job_id)""",
+        {report_parts("job_usages", TWELVE)}""",
+    "symbol_result_json": f"""WITH {FOUND_SYMBOLS},
+        heads AS (SELECT job_id, to_json({{'SolutionPath': solution, 'PackageName': 'symbol:' || target, 'PackageVersion': 'N/A',
+          'AnalyzedAt': {STAMP.format("analyzed_at")}, 'AnalysisDuration': {DURATION},
+          'TotalUsageCount': total_usage_count}})::VARCHAR AS head FROM summaries)
+        {report_parts("found", TWELVE)}""",
     "error_report": f"""SELECT job_id, to_json({{'error': error, 'solutionPath': a.solution, 'packageName': package,
         'packageVersion': version, 'timestamp': {STAMP.format("analyzed_at")}}})::VARCHAR AS json
         FROM {{analyses}} a JOIN {{project_errors}} e ON e.solution = a.solution""",
     "fingerprint": f"""SELECT job_id, sha256({KEY} || '0') AS fingerprint, sha256({KEY} || '1{SETTINGS}') AS with_settings
         FROM {{jobs}} LEFT JOIN {{source_state}} USING (solution)""",
-    "jobs_to_run": """SELECT job_id, CASE WHEN NOT force_refresh AND mtime IS NOT NULL AND package IN
-        (SELECT p_brand FROM part WHERE p_size < 3) THEN 'reuse' ELSE 'run' END AS action
+    "jobs_to_run": """SELECT job_id, CASE WHEN force_refresh AND mtime IS NOT NULL THEN 'reuse' ELSE 'run' END AS action
         FROM {jobs} LEFT JOIN {source_state} USING (solution)""",
-    "changed_files": """SELECT 'docs' AS solution, cast(user_id AS varchar) AS file_path, max(ts) AS mtime FROM events GROUP BY user_id
-        HAVING max(ts) > max(ts) FILTER (event_type <> 'error') OR max(ts) FILTER (event_type <> 'error') IS NULL""",
+    "changed_files": """SELECT 'orders' AS solution, 'src/' || l_orderkey || '.cs' AS file_path, max(l_shipdate) AS mtime
+        FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey
+        HAVING max(l_shipdate) > max(o_orderdate) OR max(o_orderdate) IS NULL""",
     "rule_scan": f"""WITH {RULES} SELECT file_path, "check", detail FROM violations""",
     "scan_summary": f"""WITH {RULES} SELECT count(*) FILTER (regexp_matches(file_path, '\\.(csproj|targets|props)$')) AS manifests,
         count(*) FILTER (file_path LIKE '%.tt') AS templates, count(*) FILTER (file_path ILIKE '%/install.ps1') AS install_scripts,
@@ -346,6 +380,17 @@ _SQL = {
     "expectations": """SELECT check_name, lo, hi, coalesce(n, 0) AS n, coalesce(n, 0) BETWEEN lo AND hi AS passed FROM
         (VALUES ('Brand#1.ECONOMY', 1, 1000000), ('Brand#2.SMALL', 0, 3), ('Nowhere', 0, 0), ('Nobody', 1, 5)) v(check_name, lo, hi)
         LEFT JOIN (SELECT namespace AS check_name, count(*) AS n FROM {symbol_refs} GROUP BY namespace) USING (check_name)""",
+    "package_report_e2e": f"""WITH {RESOLVED},
+        found AS (SELECT * FROM (SELECT j.job_id, r.*, {CLASSIFIED} AS usage_type FROM {{symbol_refs}} r JOIN resolved a
+          ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution
+          AND j.package = a.package AND j.version = a.version) WHERE usage_type IS NOT NULL),
+        job_projects AS (SELECT DISTINCT job_id, project_name FROM {{jobs}} JOIN {{projects}} USING (solution)),
+        job_errors AS (SELECT job_id, 'Project ' || project_name || ': ' || error AS error FROM {{jobs}} JOIN {{project_errors}} USING (solution)),
+        {totals("{jobs}", "found")},
+        heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'packageName': package, 'packageVersion': version,
+          'totalUsageCount': total_usage_count, 'analyzedProjectCount': analyzed_project_count,
+          'errorCount': error_count}})::VARCHAR AS head FROM summaries)
+        {report_parts("found", NINE)}""",
     "package_analysis": f"WITH {RESOLVED}, "
     + analysis(
         """SELECT j.job_id, r.* FROM {symbol_refs} r JOIN resolved a ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name)

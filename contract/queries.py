@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract.views import view
-from refscope.config import COMMENTS_FIRST_SIMILARITY, SHIPPED_SIMILARITY, SHIPPED_USAGE_TYPES, AnalysisOptions
-from refscope.functions.distance import are_similar
-from refscope.functions.text import normalize_whitespace, remove_comments, simplify
+from refscope.config import (
+    COMMENTS_FIRST_SIMILARITY,
+    SHIPPED_SIMILARITY,
+    SHIPPED_USAGE_TYPES,
+    AnalysisOptions,
+    Comparison,
+    SimilarityConfig,
+    Simplifier,
+)
+from refscope.functions.distance import are_similar, register_comparison
+from refscope.functions.text import normalize_whitespace, register_simplifier, remove_comments, simplify
 from refscope.operators import audit, context, dedup, incremental, match, refs, reports, resolve
-from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_incremental, analyze_package, analyze_symbol
+from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
 from refscope.runtime import cut, scratch_root
 from refscope.sources import files, jobs, packages, results
 
@@ -24,6 +32,9 @@ OPTIONS = AnalysisOptions(
     context_lines=1, similarity=COMMENTS_FIRST_SIMILARITY, configured_usage_types=SHIPPED_USAGE_TYPES
 )
 
+# The comparison's own default: 10 edits or a ratio of 0.8.
+DEFAULT_RULE = SimilarityConfig(True, COMMENTS_FIRST_SIMILARITY.simplifiers, (Comparison(),))
+
 # The manifest checks of the test pages: three on content, two on the address.
 PAGE_RULES = [
     audit.Rule("Ad", audit.MANIFEST, "file", "shows an ad", "<!-- ad [0-3]"),
@@ -75,7 +86,7 @@ def _job_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
     projects = wanted.join(view(spark, sf, "projects"), "solution").select("job_id", "project_name")
     failed = wanted.join(view(spark, sf, "project_errors"), "solution")
     errors = failed.select("job_id", reports.error_message(F.col("project_name"), F.col("error")).alias("error"))
-    return _usages(spark, sf), projects, errors
+    return cut(_usages(spark, sf), "usages"), projects, errors
 
 
 # --- sources --------------------------------------------------------------------
@@ -125,12 +136,12 @@ def project_inventory(spark, sf):
     return files.project_inventory(view(spark, sf, "source_files"))
 
 
-def _saved(spark, sf) -> tuple[DataFrame, str]:
-    """Store every package job's usages in a new folder; returns the keyed jobs and the folder."""
+def _saved(spark, sf, chosen: str = "true") -> tuple[DataFrame, str]:
+    """Store the chosen package jobs' usages in a new folder; returns all keyed jobs and the folder."""
     root = f"{scratch_root(spark)}/refscope/results-{uuid.uuid4().hex}"
     keyed = incremental.fingerprint(view(spark, sf, "jobs"), view(spark, sf, "source_state"))
     keyed = cut(keyed, "jobs")
-    results.save_results(keyed, _usages(spark, sf), root)
+    results.save_results(keyed.where(chosen), _usages(spark, sf), root)
     return keyed, root
 
 
@@ -147,7 +158,11 @@ def save_load_results(spark, sf):
 def invalidate_results(spark, sf):
     keyed, root = _saved(spark, sf)
     results.invalidate(spark, root, keyed.where(F.col("force_refresh")))
-    return results.stored_headers(spark, root).select("job_id", "fingerprint", "usage_count")
+    results.compact(spark, root)
+    # Counted from the rows that are left, not from the headers.
+    left = results.load_results(spark, root, keyed).groupBy("fingerprint").agg(F.count("*").alias("rows_left"))
+    found = results.stored_headers(spark, root).select("job_id", "fingerprint", "usage_count")
+    return found.join(left, "fingerprint", "left").na.fill(0, ["rows_left"])
 
 
 # --- references -----------------------------------------------------------------
@@ -184,6 +199,16 @@ def bind_imports(spark, sf):
     )
 
 
+@query
+def lexical_analysis(spark, sf):
+    """Raw files to counts, without an indexer: extract, bind by imports, match symbols, count."""
+    lines = files.explode_lines(view(spark, sf, "code_files"))
+    found = cut(refs.lexical_refs(lines), "lexical")
+    bound = refs.lexical_symbol_refs(found, view(spark, sf, "code_catalog"))
+    matched = match.match_symbol(cut(bound, "bound"), view(spark, sf, "code_targets"))
+    return reports.usage_by_project_type(refs.to_usages(matched))
+
+
 @query
 def generic_fanout(spark, sf):
     nodes = view(spark, sf, "generic_refs").withColumn(
@@ -265,10 +290,9 @@ def batch_usages(spark, sf):
 
 @query
 def unused_packages(spark, sf):
-    bound = view(spark, sf, "symbol_refs").withColumn("package", F.lower("assembly_name"))
-    declared = bound.select("solution", "project_name", "package").distinct()
-    used = bound.where((F.col("node_kind") == "MemberAccess") & (F.col("start_line") >= 4))
-    return audit.unused_packages(declared, used, ["solution", "project_name", "package"])
+    """From manifests to what is declared and never used."""
+    _, unused = analyze_declared(view(spark, sf, "project_manifests"), _tables(spark, sf))
+    return unused
 
 
 # --- context --------------------------------------------------------------------
@@ -357,6 +381,23 @@ def near_dedup(spark, sf):
     )
 
 
+@query
+def near_dedup_default(spark, sf):
+    """With the comparison's own default settings, on the comments-first text."""
+    return dedup.near_dedup(_solution_usages(spark, sf), DEFAULT_RULE).select(
+        "job_id", "project_name", "file_path", "start_line", "usage_type", "code_text"
+    )
+
+
+@query
+def registered_plugins(spark, sf):
+    """A simplifier and a comparison of the caller's own: texts without digits that agree in their first nine characters."""
+    register_simplifier("NoDigits", lambda text: F.regexp_replace(text, "[0-9]", ""))
+    register_comparison("SamePrefix", lambda a, b, rule: F.substring(a, 1, rule.max_distance) == F.substring(b, 1, rule.max_distance))
+    config = SimilarityConfig(True, (Simplifier("NoDigits"),), (Comparison("SamePrefix", max_distance=9),))
+    return dedup.dedup_groups(_solution_usages(spark, sf), config)
+
+
 @query
 def dedup_groups(spark, sf):
     return dedup.dedup_groups(_solution_usages(spark, sf), SHIPPED_SIMILARITY)
@@ -417,7 +458,12 @@ def usage_spread(spark, sf):
 
 @query
 def usage_spread_approx(spark, sf):
-    return reports.usage_spread_approx(_usages(spark, sf))
+    """Exact numbers, and whether each estimate lies within five times its stated error."""
+    usages = cut(_usages(spark, sf), "usages")
+    exact, names = reports.usage_spread(usages), ["files", "projects", "symbols"]
+    near = reports.usage_spread_approx(usages).select("job_id", *[F.col(c).alias(f"{c}_near") for c in names])
+    within = [(F.abs(F.col(f"{c}_near") - F.col(c)) <= F.greatest(0.1 * F.col(c), F.lit(1))).alias(f"{c}_near") for c in names]
+    return exact.join(near, "job_id").select(*exact.columns, *within)
 
 
 @query
@@ -432,20 +478,31 @@ def _summaries(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return reports.summary(view(spark, sf, "analyses"), usages, projects, errors), usages, projects, errors
 
 
+@query
+def package_report_e2e(spark, sf):
+    """An analysis and its own report: all but the times, which are those of the run."""
+    report = analyze_package(_stored(spark, sf, "jobs"), _tables(spark, sf)).report()
+    times = r'"(analyzedAt|analysisDuration)":"[0-9TZ:.-]+",?'
+    return report.withColumn("json", F.when(F.col("part") == 0, F.regexp_replace("json", times, "")).otherwise(F.col("json")))
+
+
 @query
 def report_json(spark, sf):
     return reports.usage_report(*_summaries(spark, sf))
 
 
-@query
-def symbol_report_json(spark, sf):
-    wanted = view(spark, sf, "symbol_jobs")
-    found = analyze_symbol(wanted, _tables(spark, sf))
+def _symbol_found(spark, sf) -> Analysis:
+    """Symbol jobs, with the times their solutions' analyses took."""
     started = view(spark, sf, "analyses").groupBy("solution").agg(
         F.max("analyzed_at").alias("analyzed_at"), F.max("duration_ms").alias("duration_ms")
     )
-    head = found.summary().join(started, "solution")
-    return reports.usage_report(head, found.usages, found.job_projects, found.job_errors, symbol=True)
+    found = analyze_symbol(view(spark, sf, "symbol_jobs").join(started, "solution"), _tables(spark, sf))
+    return found
+
+
+@query
+def symbol_report_json(spark, sf):
+    return _symbol_found(spark, sf).report()
 
 
 @query
@@ -453,6 +510,11 @@ def result_json(spark, sf):
     return reports.full_result(*_summaries(spark, sf))
 
 
+@query
+def symbol_result_json(spark, sf):
+    return _symbol_found(spark, sf).result()
+
+
 @query
 def error_report(spark, sf):
     failed = view(spark, sf, "analyses").join(view(spark, sf, "project_errors"), "solution")
@@ -472,10 +534,10 @@ def fingerprint(spark, sf):
 
 @query
 def jobs_to_run(spark, sf):
-    keyed = incremental.fingerprint(view(spark, sf, "jobs"), view(spark, sf, "source_state"))
-    small = view(spark, sf, "part").where(F.col("p_size") < 3).select(F.col("p_brand").alias("package"))
-    stored = keyed.join(small, "package", "left_semi")
-    run, reuse = incremental.split_jobs(keyed, stored)
+    """After a first run of the jobs marked for refresh: the marks are turned, and all jobs are asked for."""
+    keyed, root = _saved(spark, sf, "force_refresh")
+    again = keyed.withColumn("force_refresh", ~F.col("force_refresh"))
+    run, reuse = incremental.split_jobs(again, results.stored_headers(spark, root))
     return (
         run.withColumn("action", F.lit("run"))
         .unionByName(reuse.withColumn("action", F.lit("reuse")))
@@ -485,12 +547,12 @@ def jobs_to_run(spark, sf):
 
 @query
 def changed_files(spark, sf):
-    seen = view(spark, sf, "events").select(
-        F.lit("docs").alias("solution"), F.col("user_id").cast("string").alias("file_path"), "ts", "event_type"
-    )
-    current = seen.groupBy("solution", "file_path").agg(F.max("ts").alias("mtime"))
-    stored = seen.where(F.col("event_type") != "error").groupBy("solution", "file_path").agg(F.max("ts").alias("mtime"))
-    return incremental.changed_files(current, stored)
+    """Files of orders, stored when ordered, changed when a later item was shipped."""
+    path = lambda key: F.concat(F.lit("src/"), F.col(key).cast("string"), F.lit(".cs")).alias("file_path")
+    solution = F.lit("orders").alias("solution")
+    shipped = view(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("mtime"))
+    stored = view(spark, sf, "orders").select(solution, path("o_orderkey"), F.col("o_orderdate").alias("mtime"))
+    return incremental.changed_files(shipped.select(solution, path("l_orderkey"), "mtime"), cut(stored, "file-state"))
 
 
 # --- audits -----------------------------------------------------------------------

@@ -75,14 +75,38 @@ VIEWS = {
     "commented_code": """
         SELECT p_partkey, concat(p_name, '   // see ', p_brand, chr(10), '  ', p_type, ' /* ', p_brand, chr(10), p_name,
          ' */ end', chr(13), chr(10)) AS code_text FROM {part}""",
+    # Packages with an odd number have a version 1.0; one in three archives also lists ``ref`` items.
     "package_files": """
-        SELECT DISTINCT p_brand AS package, concat(cast(p_size % 3 AS varchar(5)), '.0') AS version,
+        SELECT DISTINCT p_brand AS package, concat(cast(cast(right(p_brand, 1) AS int) % 2 AS varchar(5)), '.0') AS version,
          concat(CASE WHEN p_partkey % 3 = 0 THEN 'ref' WHEN p_partkey % 11 = 0 THEN 'tools' ELSE 'lib' END, '/net6.0/', p_brand, '.', p_type,
-          CASE WHEN p_partkey % 5 = 0 THEN '.xml' WHEN p_partkey % 7 = 0 THEN '.DLL' ELSE '.dll' END) AS path FROM {part}""",
+          CASE WHEN p_partkey % 5 = 0 THEN '.xml' WHEN p_partkey % 7 = 0 THEN '.DLL' ELSE '.dll' END) AS path,
+         cast(right(p_brand, 1) AS int) % 3 <> 0 AS from_archive FROM {part}""",
+    # Every part of a solution gives a path: below its own package's folder, or below another package's.
     "reference_paths": """
-        SELECT DISTINCT n_name AS solution, concat('/home/u/.nuget/packages/', lower(p_brand), '/1.0/lib/', p_brand, '.dll') AS path
+        SELECT DISTINCT n_name AS solution, CASE WHEN n_nationkey % 3 = cast(right(p_brand, 1) AS int) % 3
+          THEN concat('/home/u/.nuget/packages/', lower(p_brand), '/1.0/lib/', p_brand, '.dll')
+          ELSE concat('/home/u/.nuget/packages/', lower(p_type), '/1.0/lib/', p_name, '.dll') END AS path
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
-        JOIN {nation} ON s_nationkey = n_nationkey WHERE p_partkey % 40 = 0""",
+        JOIN {nation} ON s_nationkey = n_nationkey""",
+    # What each project's manifest declares: all packages, and market segments, which are no packages at all.
+    "project_manifests": """
+        SELECT n_name AS solution, s_name AS project_name, concat('<Project><PackageReference Include="', package,
+         '" Version="1.0" /></Project>') AS text FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+        CROSS JOIN (SELECT DISTINCT p_brand AS package FROM {part} UNION SELECT DISTINCT c_mktsegment FROM {customer}) x""",
+    # Files of code: an import, written in two ways, and lines that use its names.
+    "code_files": """
+        SELECT DISTINCT n_name AS solution, s_name AS project_name, concat('src/', cast(l_orderkey AS varchar(20)), '-',
+          cast(l_linenumber AS varchar(20)), '-', cast(l_partkey AS varchar(20)), '-', cast(l_suppkey AS varchar(20)), '.cs') AS file_path,
+         concat(CASE WHEN l_partkey % 2 = 0 THEN 'using N' ELSE 'global using N' END, right(p_brand, 1), '.', replace(p_type, ' ', '_'), ';',
+          chr(10), '  ', replace(p_name, ' ', '_'), '(', cast(l_linenumber AS varchar(20)), ');', chr(10), 'x = new Other();') AS text
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} ON s_nationkey = n_nationkey""",
+    "code_catalog": """
+        SELECT concat('N', right(p_brand, 1), '.', replace(p_type, ' ', '_')) AS namespace, replace(p_name, ' ', '_') AS symbol_name,
+         min(p_brand) AS assembly_name FROM {part}
+        GROUP BY concat('N', right(p_brand, 1), '.', replace(p_type, ' ', '_')), replace(p_name, ' ', '_')""",
+    "code_targets": """
+        SELECT DISTINCT concat('N', right(p_brand, 1)) AS job_id, concat('N', right(p_brand, 1)) AS target FROM {part}""",
     # Every package that occurs in a solution is a job.
     "jobs": """
         SELECT DISTINCT concat(n_name, '|', p_brand) AS job_id, n_name AS solution, p_brand AS package, '1.0' AS version,

@@ -31,8 +31,13 @@ class SimilarityConfig:
         return sorted((s for s in self.simplifiers if s.enabled), key=lambda s: s.priority)
 
     def active_comparisons(self) -> list[Comparison]:
-        known = (c for c in self.comparisons if c.enabled and c.type == "LevenshteinDistanceComparison")
-        return sorted(known, key=lambda c: c.priority)
+        from refscope.functions.distance import COMPARISONS
+
+        return sorted((c for c in self.comparisons if c.enabled and c.type in COMPARISONS), key=lambda c: c.priority)
+
+    def by_distance_only(self) -> bool:
+        """Whether candidates may be looked up by the texts' grams."""
+        return all(c.type == "LevenshteinDistanceComparison" for c in self.active_comparisons())
 
     def describe(self) -> str:
         """Stable text of everything that can change a result; part of the fingerprint."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,12 +34,21 @@ def _rule(a: Column, b: Column, rule: Comparison) -> Column:
     )
 
 
+# Comparisons by name: whether two simplified texts are similar under a rule's settings.
+COMPARISONS: dict[str, Callable[[Column, Column, Comparison], Column]] = {"LevenshteinDistanceComparison": _rule}
+
+
+def register_comparison(name: str, similar: Callable[[Column, Column, Comparison], Column]) -> None:
+    """Add a named, symmetric comparison; equal texts must be similar under it."""
+    COMPARISONS[name] = similar
+
+
 def are_similar(a: Column, b: Column, config: SimilarityConfig) -> Column:
     """True if any enabled comparison accepts the two (already simplified) texts."""
     rules = config.active_comparisons()
     if not config.enabled or not rules:
         return F.lit(False)
-    return reduce(lambda x, y: x | y, [_rule(a, b, r) for r in rules])
+    return reduce(lambda x, y: x | y, [COMPARISONS[r.type](a, b, r) for r in rules])
 
 
 class Reach:

@@ -38,7 +38,7 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
     )
     here = lambda at: _snippet(F.col("lines"), F.col("file_path"), at["start_line"], at["context_lines"])
     texts = files.select(*key, "text", F.lit(True).alias("exists"))
-    if fits_broadcast(asked.select(*key)):
+    if fits_broadcast(asked):
         # Few files are asked for: the others' texts are dropped where they are read.
         texts = texts.join(F.broadcast(asked.select(*key)), key, "left_semi")
     return (

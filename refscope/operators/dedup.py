@@ -68,7 +68,7 @@ def near_dedup(usages: DataFrame, config: SimilarityConfig, order: list[str] = U
     """The greedy near-duplicate filter over every job at once."""
     if not config.enabled or not config.active_comparisons():
         return usages
-    nodes, kept = _resolve(usages, config, order)
+    nodes, kept, _ = _resolve(usages, config, order)
     return _rows(nodes.join(kept, "rank", "left_semi"), usages.columns)
 
 
@@ -80,8 +80,11 @@ def dedup_groups(usages: DataFrame, config: SimilarityConfig, order: list[str] =
     if not config.enabled or not config.active_comparisons():
         groups = exact_groups(usages, config, order)
         return groups.select("job_id", "text", F.col("text").alias("kept_text"), "copies")
-    nodes, kept = _resolve(usages, config, order)
-    absorbed = _absorb(nodes, kept, config)
+    nodes, kept, absorbed = _resolve(usages, config, order, groups=True)
+    absorbed = kept.select("rank", F.col("rank").alias("kept_rank")).unionByName(absorbed)
+    open_ranks = cut(nodes.select("rank").join(absorbed, "rank", "left_anti"), "seekers")
+    if not open_ranks.isEmpty():
+        absorbed = absorbed.unionByName(_absorb(nodes, kept, open_ranks, config))
     names = nodes.select(F.col("rank").alias("kept_rank"), F.col("text").alias("kept_text"))
     return (
         nodes.select("rank", "job_id", "text", "copies")
@@ -106,8 +109,17 @@ def _rows(groups: DataFrame, columns: list[str]) -> DataFrame:
     return groups.select("job_id", "first.*").select(*columns)
 
 
-def _resolve(usages: DataFrame, config: SimilarityConfig, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Number the distinct texts in order and split off the kept ones (by ``rank``)."""
+def _resolve(
+    usages: DataFrame, config: SimilarityConfig, order: list[str], groups: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Number the distinct texts in order and split off the kept ones (by ``rank``).
+
+    The third table, asked for by ``groups``, is ``(rank, kept_rank)`` of the texts
+    dropped by folds before any bucket round: folds keep texts in order, so
+    what drops a text there is its earliest similar kept text. Comparisons
+    other than the edit distance have no bounds to look candidates up by; for
+    them folds do all the work.
+    """
     groups = exact_groups(usages, config, order)
     # The sorted position identifies a text and orders it; it is written at once,
     # so no later recomputation can number the texts differently.
@@ -118,13 +130,15 @@ def _resolve(usages: DataFrame, config: SimilarityConfig, order: list[str]) -> t
     undecided = spread(nodes.select("job_id", "rank", "text"))
     left = undecided.count()
     kept: list[DataFrame] = []
+    absorbed: list[DataFrame] = []
     signatures = None
     shown = BUCKET_HEAD
     while left > 0:
-        kept_now, undecided = _fold(undecided, config)
+        kept_now, undecided, dropped = _fold(undecided, config, groups and signatures is None)
         kept.append(kept_now)
+        absorbed += dropped
         after = undecided.count()
-        if after > left // 2:
+        if after > left // 2 and config.by_distance_only():
             if signatures is None:
                 signatures = cut(_signatures(spread(undecided), config), "signatures")
             kept_now, undecided = _bucket_round(undecided, signatures, config, shown)
@@ -135,11 +149,19 @@ def _resolve(usages: DataFrame, config: SimilarityConfig, order: list[str]) -> t
     out = nodes.select("rank").where(F.lit(False))
     for part in kept:
         out = out.unionByName(part)
-    return nodes, out
+    by = nodes.select("rank", F.col("rank").alias("kept_rank")).where(F.lit(False))
+    for part in absorbed:
+        by = by.unionByName(part)
+    return nodes, out, by
+
 
+def _fold(
+    undecided: DataFrame, config: SimilarityConfig, groups: bool
+) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Settle the first ``HEAD`` undecided texts of each job and drop what they suppress.
 
-def _fold(undecided: DataFrame, config: SimilarityConfig) -> tuple[DataFrame, DataFrame]:
-    """Settle the first ``HEAD`` undecided texts of each job and drop what they suppress."""
+    With ``groups`` the third result tells by which kept text each one is dropped.
+    """
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("rank"))
     heads = (
         undecided.withColumn("place", place)
@@ -161,14 +183,17 @@ def _fold(undecided: DataFrame, config: SimilarityConfig) -> tuple[DataFrame, Da
         ),
         "fold",
     )
-    survives = (F.col("rank") > F.col("upto")) & ~F.exists(
-        "kept", lambda k: are_similar(F.col("text"), k["text"], config)
-    )
-    rest = cut(
-        join_bounded(undecided, settled, ["job_id"], written=True).where(survives).select("job_id", "rank", "text"),
-        "undecided",
-    )
-    return settled.select(F.explode("kept.rank").alias("rank")), rest
+    similar = lambda k: are_similar(F.col("text"), k["text"], config)
+    beyond = F.col("rank") > F.col("upto")
+    met = join_bounded(undecided, settled, ["job_id"], written=True)
+    now_kept = settled.select(F.explode("kept.rank").alias("rank"))
+    if not groups:
+        rest = met.where(beyond & ~F.exists("kept", similar)).select("job_id", "rank", "text")
+        return now_kept, cut(rest, "undecided"), []
+    first = F.get(F.filter("kept", lambda k: (k["rank"] < F.col("rank")) & similar(k)), 0)["rank"]
+    met = cut(met.select("job_id", "rank", "text", beyond.alias("beyond"), first.alias("kept_rank")), "met")
+    dropped = met.where("kept_rank IS NOT NULL").select("rank", "kept_rank")
+    return now_kept, cut(met.where("beyond AND kept_rank IS NULL").select("job_id", "rank", "text"), "undecided"), [dropped]
 
 
 NUMBER_BITS = np.uint64(23)
@@ -345,8 +370,8 @@ def _bucket_round(
     return all_kept, cut(undecided.join(open_ranks, "rank", "left_semi"), "undecided")
 
 
-def _absorb(nodes: DataFrame, kept: DataFrame, config: SimilarityConfig) -> DataFrame:
-    """``(rank, kept_rank)``: every text with its earliest similar kept text.
+def _absorb(nodes: DataFrame, kept: DataFrame, seekers: DataFrame, config: SimilarityConfig) -> DataFrame:
+    """``(rank, kept_rank)``: each of the ``seekers`` with its earliest similar kept text.
 
     Each round shows the next kept members of every bucket. A text has looked
     far enough once all its buckets were shown up to the best partner so far.
@@ -354,8 +379,7 @@ def _absorb(nodes: DataFrame, kept: DataFrame, config: SimilarityConfig) -> Data
     texts = spread(nodes.select("job_id", "rank", "text"))
     signatures = cut(_signatures(texts, config), "signatures")
     index = signatures.join(kept, "rank", "left_semi")
-    seekers = cut(texts.select("rank").join(kept, "rank", "left_anti"), "seekers")
-    out = kept.select("rank", F.col("rank").alias("kept_rank"))
+    out = kept.select("rank", F.col("rank").alias("kept_rank")).where(F.lit(False))
     best = None
     while not seekers.isEmpty():
         heads = cut(_heads(index, BUCKET_HEAD_LIMIT), "heads")

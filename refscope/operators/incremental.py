@@ -11,7 +11,19 @@ from refscope.operators.match import parse_usage_types
 
 def iso_ticks(ts: Column) -> Column:
     """UTC round-trip format with seven fractional digits."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'")
+    return F.concat(utc_text(ts), F.lit("0Z"))
+
+
+def utc_text(ts: Column) -> Column:
+    """A point in time in UTC, to the microsecond, whatever the session's time zone.
+
+    A timestamp without zone is taken as UTC.
+    """
+    wall = ts.cast("timestamp_ntz")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
+    shown = F.when(F.typeof(ts) == "timestamp_ntz", wall).otherwise(shifted).cast("string")
+    clock = F.replace(F.substring(shown, 1, 19), F.lit(" "), F.lit("T"))
+    return F.concat(clock, F.lit("."), F.rpad(F.substring(shown, 21, 6), 6, "0"))
 
 
 def settings_text(options: AnalysisOptions) -> str:
@@ -30,13 +42,20 @@ def settings_text(options: AnalysisOptions) -> str:
     return out
 
 
-def fingerprint(jobs: DataFrame, source_state: DataFrame, options: AnalysisOptions = AnalysisOptions()) -> DataFrame:
+def fingerprint(
+    jobs: DataFrame,
+    source_state: DataFrame,
+    options: AnalysisOptions = AnalysisOptions(),
+    assemblies: DataFrame | None = None,
+) -> DataFrame:
     """Add ``fingerprint`` to jobs ``(solution, package, version[, context_lines])``.
 
     ``source_state(solution, mtime)`` holds the newest source time per solution,
     so a changed source invalidates, not only a changed solution file. Settings
-    other than the defaults are part of the key. A solution without known state
-    gets no fingerprint and is never a hit.
+    other than the defaults are part of the key, and so is, where
+    ``assemblies(job_id, assembly_lc)`` is given, what a job's package was resolved
+    to: a changed listing or path makes another key. A solution without known
+    state gets no fingerprint and is never a hit.
     """
     around = F.col("context_lines") if "context_lines" in jobs.columns else F.lit(options.context_lines)
     key = F.concat(
@@ -47,11 +66,12 @@ def fingerprint(jobs: DataFrame, source_state: DataFrame, options: AnalysisOptio
         around.cast("string"),
         F.lit(settings_text(options)),
     )
-    return (
-        jobs.join(source_state.select("solution", "mtime"), "solution", "left")
-        .withColumn("fingerprint", F.sha2(key, 256))
-        .drop("mtime")
-    )
+    keyed = jobs.join(source_state.select("solution", "mtime"), "solution", "left")
+    if assemblies is None:
+        return keyed.withColumn("fingerprint", F.sha2(key, 256)).drop("mtime")
+    names = assemblies.groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("assembly_lc")), ",").alias("names"))
+    key = F.concat(key, F.lit("|assemblies:"), F.coalesce("names", F.lit("")))
+    return keyed.join(names, "job_id", "left").withColumn("fingerprint", F.sha2(key, 256)).drop("mtime", "names")
 
 
 def source_state(files: DataFrame) -> DataFrame:

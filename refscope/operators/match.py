@@ -67,10 +67,11 @@ def match_symbol(refs: DataFrame, targets: DataFrame, match_member: bool = False
         ).alias("k"),
     ).select("job_id", *scoped, "k.kind", "k.key")
     hits = join_bounded(reachable, wanted, [*scoped, "kind", "key"]).select("job_id", *scoped, *symbol).distinct()
-    # The null namespace joins as its own value; a display name is never null.
-    marked = hits.withColumn("_ns", F.coalesce("namespace", F.lit("\u0000"))).drop("namespace")
-    keyed = refs.withColumn("_ns", F.coalesce("namespace", F.lit("\u0000")))
-    return join_bounded(keyed, marked, [*scoped, "_ns", "display_name"]).drop("_ns")
+    # Null names join as values of their own.
+    missing = {"_ns": "namespace", "_name": "display_name"}
+    named = {key: F.coalesce(column, F.lit("\u0000")) for key, column in missing.items()}
+    marked = hits.withColumns(named).drop(*symbol)
+    return join_bounded(refs.withColumns(named), marked, [*scoped, *missing]).drop(*missing)
 
 
 def parse_usage_types(names: list[str] | None) -> list[str]:

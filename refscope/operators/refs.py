@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refscope.runtime import cut, join_bounded
 
-# A name with more namespaces than this is bound from the imports' side.
+# A name with more namespaces than this does not carry them along.
 AMBIGUOUS = 64
 
 # Usage type by node kind where nothing else matters.
@@ -106,7 +106,7 @@ def to_usages(matched: DataFrame) -> DataFrame:
 
 # Patterns of the lexical lane, one per kind of node, over single lines.
 LEXICAL_PATTERNS = [
-    ("UsingDirective", r"^\s*using\s+([A-Za-z_][A-Za-z0-9_.]*)\s*;"),
+    ("UsingDirective", r"^\s*(?:global\s+)?using\s+([A-Za-z_][A-Za-z0-9_.]*)\s*;"),
     ("QualifiedName", r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"),
     ("Invocation", r"([A-Za-z_][A-Za-z0-9_]*)\("),
     ("GenericName", r"([A-Za-z_][A-Za-z0-9_]*)<[A-Za-z_]"),
@@ -143,17 +143,24 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     plain = names.where(~F.col("name").contains(".")).withColumn("symbol_name", F.col("name"))
     imported = imports.select("solution", "file_path", "namespace").distinct()
     place = ["solution", "file_path"]
-    # A name found in few namespaces is looked up by name, then checked against the
-    # imports. A name found in many would multiply its files by all of them, so the
-    # imports are looked up instead, and the files' names checked.
     homes = catalog.groupBy("symbol_name").agg(F.count("*").alias("homes"))
-    listed = cut(catalog.join(homes, "symbol_name"), "catalog")
-    rare = listed.where(F.col("homes") <= AMBIGUOUS).drop("homes")
-    common = listed.where(F.col("homes") > AMBIGUOUS).drop("homes")
-    plain_rare = join_bounded(plain, rare, ["symbol_name"], written=True).join(
-        imported, [*place, "namespace"], "left_semi"
+    listed = catalog.join(homes, "symbol_name")
+    # A name of few namespaces carries them as one array; it meets its file's imports, also
+    # one array, and only true bindings become rows. Names outside the catalogue are gone by then.
+    rare = listed.where(F.col("homes") <= AMBIGUOUS).groupBy("symbol_name")
+    rare = rare.agg(F.collect_list(F.struct("namespace", "assembly_name")).alias("homes"))
+    near = imported.groupBy(*place).agg(F.collect_set("namespace").alias("near"))
+    bound_rare = F.filter("homes", lambda h: F.array_contains("near", h["namespace"]))
+    plain_rare = (
+        join_bounded(plain, rare, ["symbol_name"])
+        .join(near, place)
+        .select(*place, "name", "symbol_name", F.explode(bound_rare).alias("home"))
+        .select(*place, "name", "symbol_name", "home.*")
     )
-    plain_common = join_bounded(imported, common, ["namespace"], written=True).join(plain, [*place, "symbol_name"])
+    # The few names of many namespaces meet their file's imports first.
+    common = cut(listed.where(F.col("homes") > AMBIGUOUS).drop("homes"), "common-names")
+    plain_common = join_bounded(plain, common.select("symbol_name").distinct(), ["symbol_name"], "left_semi")
+    plain_common = join_bounded(plain_common.join(imported, place), common, ["namespace", "symbol_name"], written=True)
 
     parts = F.split("name", r"\.")
     chains = names.where(F.col("name").contains(".")).select(
@@ -171,3 +178,39 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     found = [part.select(*columns) for part in (plain_rare, plain_common, chain_bound)]
     bound = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
     return refs.where(F.col("node_kind") != "UsingDirective").join(bound, ["solution", "file_path", "name"])
+
+
+# What the lexical kinds are called among bound references, and under which parent.
+LEXICAL_NODES = {"Invocation": ("IdentifierName", "Invocation")}
+
+
+def lexical_symbol_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``symbol_refs`` of lexically found references: imports as they are written, other names bound by them.
+
+    An import is bound to a namespace; every other symbol counts as a type, the
+    lexical lane knows no kinds of symbols. ``code_text`` is the name as written.
+    """
+    place = ["solution", "project_name", "file_path", "line_no"]
+    using = F.col("node_kind") == "UsingDirective"
+    imports = refs.where(using).select("solution", "file_path", F.col("name").alias("namespace"))
+    none = F.lit(None).cast("string")
+    directives = refs.where(using).select(
+        *place, "node_kind", "name", F.lit("Namespace").alias("symbol_kind"),
+        F.substring_index("name", ".", -1).alias("symbol_name"),
+        F.when(F.col("name").contains("."), F.regexp_extract("name", r"^(.*)\.", 1)).alias("namespace"),
+        F.col("name").alias("display_name"), none.alias("assembly_name"),
+    )
+    bound = bind_by_imports(refs, imports, catalog).select(
+        *place, "node_kind", "name", F.lit("NamedType").alias("symbol_kind"), "symbol_name", "namespace",
+        F.concat_ws(".", "namespace", "symbol_name").alias("display_name"), "assembly_name",
+    )
+    node, parent = F.col("node_kind"), F.lit("Other")
+    for kind, (name, above) in LEXICAL_NODES.items():
+        parent = F.when(F.col("node_kind") == kind, above).otherwise(parent)
+        node = F.when(F.col("node_kind") == kind, name).otherwise(node)
+    line = F.col("line_no").cast("int")
+    return directives.unionByName(bound).select(
+        "solution", "project_name", "file_path", line.alias("start_line"), line.alias("end_line"),
+        node.alias("node_kind"), parent.alias("parent_kind"), "symbol_kind", "symbol_name", "namespace",
+        "display_name", "assembly_name", F.col("name").alias("code_text"),
+    )

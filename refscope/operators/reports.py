@@ -7,11 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.runtime import join_bounded
+from refscope.operators.incremental import utc_text
 from refscope.schemas import USAGE_ORDER
 
-PAGE_ENTRIES = 10_000
-
 
 def usage_by_project(usages: DataFrame) -> DataFrame:
     return usages.groupBy("job_id", "project_name").agg(F.count("*").alias("usages"))
@@ -146,11 +144,6 @@ def _camel(name: Column) -> Column:
     return F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
-def _inner(json: Column) -> Column:
-    """A JSON object or array without its outer brackets."""
-    return F.regexp_extract(json, r"(?s)^.(.*).$", 1)
-
-
 def usage_object(pascal: bool = False) -> Column:
     """One usage as a JSON object: the report's nine fields, or all twelve of a full result."""
     fields = [
@@ -181,71 +174,50 @@ def usage_object(pascal: bool = False) -> Column:
     return F.to_json(F.struct(*columns), KEEP_NULLS)
 
 
-def _page(key: Column, pages: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), pages)
+# Parts of a report in reading order.
+PARTS = ("summary", "project", "usage", "error")
 
 
-def _documents(
-    head: DataFrame, usages: DataFrame, job_projects: DataFrame, job_errors: DataFrame, pascal: bool, entries: int
+def _parts(
+    head: DataFrame, usages: DataFrame, job_projects: DataFrame, job_errors: DataFrame, pascal: bool
 ) -> DataFrame:
-    """Assemble ``(job_id, page, json)`` from a head object and three lists of entries.
+    """``(job_id, part, position, json)``: a report as rows, the same for every size.
 
-    A report of up to ``entries`` entries is one document. A larger one is split
-    into pages by a hash of the entry, so no task ever holds a job of any size;
-    all pages together hold the whole report, each with the same head.
+    One row for the head, one for each project, usage and error; nothing is
+    gathered per job. Sorted by job, part, position and json the rows read as the
+    report; ``part`` numbers ``PARTS``.
     """
 
-    def entry(df: DataFrame, part: int, order: list[Column], value: Column) -> DataFrame:
-        return df.select(
-            "job_id", F.lit(part).alias("part"), F.to_json(F.struct(*order)).alias("position"), value.alias("json")
-        )
-
-    quoted = lambda c: _inner(F.to_json(F.array(c)))
-    line = [F.col("project_name"), F.col("file_path"), F.lpad(F.col("start_line").cast("string"), 10, "0").alias("l")]
-    line += [F.lpad(F.col("end_line").cast("string"), 10, "0").alias("e"), F.col("usage_type"), F.col("symbol_name")]
-    line += [F.col("code_text")]
-    parts = (
-        entry(usages, 0, line, usage_object(pascal))
-        .unionByName(
-            entry(job_projects.select("job_id", "project_name").distinct(), 1, [F.col("project_name")], quoted("project_name"))
-        )
-        .unionByName(entry(job_errors, 2, [F.col("error")], quoted("error")))
-    )
-    pages = parts.groupBy("job_id").agg(F.ceil(F.count("*") / entries).cast("bigint").alias("pages"))
-    paged = (
-        join_bounded(parts, pages, ["job_id"])
-        .withColumn("page", _page(F.concat(F.col("part").cast("string"), F.col("position")), F.col("pages")))
-        .groupBy("job_id", "page")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "position", "json"))).alias("entries"))
-    )
-
-    def listed(part: int) -> Column:
-        chosen = F.filter("entries", lambda e: e["part"] == part)
-        return F.concat(F.lit("["), F.array_join(F.transform(chosen, lambda e: e["json"]), ","), F.lit("]"))
+    def rows(df: DataFrame, part: str, position: Column, value: Column) -> DataFrame:
+        number = F.lit(PARTS.index(part)).alias("part")
+        return df.select("job_id", number, position.alias("position"), value.alias("json"))
 
-    lists = {0: "Usages" if pascal else "usages", 1: "AnalyzedProjects" if pascal else "analyzedProjects"}
-    lists[2] = "Errors" if pascal else "errors"
-    body = [F.concat(F.lit(f'"{lists[p]}":'), F.coalesce(listed(p), F.lit("[]"))) for p in (1, 0, 2)]
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^.(.*).$", 1)
+    numbers = [F.lpad(F.col(c).cast("string"), 10, "0") for c in ("start_line", "end_line")]
+    place = F.concat_ws("|", "project_name", "file_path", *numbers, "usage_type", "symbol_name")
+    projects = job_projects.select("job_id", "project_name").distinct()
     return (
-        head.join(paged, "job_id", "left")
-        .withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
-        .select("job_id", "page", F.concat(F.lit("{"), F.concat_ws(",", "head", *body), F.lit("}")).alias("json"))
+        rows(head, "summary", F.lit(""), F.col("head"))
+        .unionByName(rows(projects, "project", F.col("project_name"), quoted("project_name")))
+        .unionByName(rows(usages, "usage", place, usage_object(pascal)))
+        .unionByName(rows(job_errors, "error", F.col("error"), quoted("error")))
     )
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """Store a report in reading order: files and their rows are sorted by job, part, position and json."""
+    order = ["job_id", "part", "position", "json"]
+    report.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
 def _timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.concat(utc_text(ts), F.lit("Z"))
 
 
 def usage_report(
-    summaries: DataFrame,
-    usages: DataFrame,
-    job_projects: DataFrame,
-    job_errors: DataFrame,
-    symbol: bool = False,
-    entries: int = PAGE_ENTRIES,
+    summaries: DataFrame, usages: DataFrame, job_projects: DataFrame, job_errors: DataFrame, symbol: bool = False
 ) -> DataFrame:
-    """The camel-case report of package jobs, or of symbol jobs if ``symbol``."""
+    """The camel-case report of package jobs, or of symbol jobs if ``symbol``, in parts."""
     subject = (
         [F.col("target").alias("targetSymbol")]
         if symbol
@@ -260,28 +232,28 @@ def usage_report(
         F.col("analyzed_project_count").alias("analyzedProjectCount"),
         F.col("error_count").alias("errorCount"),
     )
-    head = summaries.select("job_id", F.concat(F.lit('"summary":'), F.to_json(fields, KEEP_NULLS)).alias("head"))
-    return _documents(head, usages, job_projects, job_errors, pascal=False, entries=entries)
+    head = summaries.select("job_id", F.to_json(fields, KEEP_NULLS).alias("head"))
+    return _parts(head, usages, job_projects, job_errors, pascal=False)
 
 
 def full_result(
-    summaries: DataFrame,
-    usages: DataFrame,
-    job_projects: DataFrame,
-    job_errors: DataFrame,
-    entries: int = PAGE_ENTRIES,
+    summaries: DataFrame, usages: DataFrame, job_projects: DataFrame, job_errors: DataFrame, symbol: bool = False
 ) -> DataFrame:
-    """The Pascal-case result with every usage field, context bounds included."""
+    """The Pascal-case result with every usage field, context bounds included, in parts.
+
+    A symbol job is named ``symbol:`` and its target, its version is ``N/A``.
+    """
+    name = F.concat(F.lit("symbol:"), F.col("target")) if symbol else F.col("package")
     fields = F.struct(
         F.col("solution").alias("SolutionPath"),
-        F.col("package").alias("PackageName"),
-        F.col("version").alias("PackageVersion"),
+        name.alias("PackageName"),
+        (F.lit("N/A") if symbol else F.col("version")).alias("PackageVersion"),
         _timestamp(F.col("analyzed_at")).alias("AnalyzedAt"),
         duration_text(F.col("duration_ms")).alias("AnalysisDuration"),
         F.col("total_usage_count").alias("TotalUsageCount"),
     )
-    head = summaries.select("job_id", _inner(F.to_json(fields, KEEP_NULLS)).alias("head"))
-    return _documents(head, usages, job_projects, job_errors, pascal=True, entries=entries)
+    head = summaries.select("job_id", F.to_json(fields, KEEP_NULLS).alias("head"))
+    return _parts(head, usages, job_projects, job_errors, pascal=True)
 
 
 def error_report(failures: DataFrame, symbol: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,13 @@ from refscope.operators.context import attach_context
 from refscope.operators.dedup import near_dedup
 from refscope.operators.match import filter_usage_types, match_assembly, match_symbol
 from refscope.operators.refs import expand_nodes, to_usages
-from refscope.operators.reports import batch_outcome, batch_results, error_message, summary
+from refscope.operators.audit import unused_packages
+from refscope.operators.reports import batch_outcome, batch_results, error_message, full_result, summary, usage_report
 from refscope.operators.resolve import job_assemblies, resolve_assemblies
 from refscope.operators.incremental import fingerprint, split_jobs
 from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_COLUMNS
+from refscope.sources.packages import declared_packages
 from refscope.sources.results import load_results, save_results, stored_headers
 
 
@@ -34,19 +38,37 @@ class Tables:
 
 @dataclass
 class Analysis:
-    """Result tables, all keyed by ``job_id``."""
+    """Result tables, all keyed by ``job_id``.
+
+    ``jobs`` carries ``analyzed_at`` and ``duration_ms``. All jobs of a run are
+    one plan and share its times, unless the jobs came with times of their own.
+    """
 
     jobs: DataFrame
     usages: DataFrame
     job_projects: DataFrame
     job_errors: DataFrame
+    symbol: bool = False
 
     def summary(self) -> DataFrame:
         return summary(self.jobs, self.usages, self.job_projects, self.job_errors)
 
+    def report(self) -> DataFrame:
+        """The camel-case report in parts."""
+        return usage_report(self.summary(), self.usages, self.job_projects, self.job_errors, self.symbol)
+
+    def result(self) -> DataFrame:
+        """The full Pascal-case result in parts."""
+        return full_result(self.summary(), self.usages, self.job_projects, self.job_errors, self.symbol)
+
 
-def _finish(jobs: DataFrame, matched: DataFrame, tables: Tables, options: AnalysisOptions) -> Analysis:
-    """Context, near-duplicates, then usage types: the order decides the result."""
+def _finish(
+    jobs: DataFrame, matched: DataFrame, tables: Tables, options: AnalysisOptions, started: float, symbol: bool = False
+) -> Analysis:
+    """Context, near-duplicates, then usage types: the order decides the result.
+
+    The usages are written: counts, reports and stores read them, none computes them again.
+    """
     usages = to_usages(matched)
     asks_context = options.context_lines > 0 or "context_lines" in jobs.columns
     if asks_context:
@@ -60,11 +82,16 @@ def _finish(jobs: DataFrame, matched: DataFrame, tables: Tables, options: Analys
         usages = attach_context(cut(usages, "usages"), tables.files)
     usages = near_dedup(usages.select(*USAGE_COLUMNS), options.similarity)
     usages = filter_usage_types(usages, options.usage_types, options.configured_usage_types)
-    return _analysis(jobs, usages, tables)
+    return _analysis(jobs, cut(usages, "found"), tables, started, symbol)
 
 
-def _analysis(jobs: DataFrame, usages: DataFrame, tables: Tables) -> Analysis:
-    """Add every job's projects (also those without usages) and project errors."""
+def _analysis(jobs: DataFrame, usages: DataFrame, tables: Tables, started: float, symbol: bool) -> Analysis:
+    """Add the run's times, every job's projects (also those without usages) and project errors."""
+    took = {
+        "analyzed_at": F.lit(datetime.fromtimestamp(started, UTC)),
+        "duration_ms": F.lit(int((time.time() - started) * 1000)).cast("bigint"),
+    }
+    jobs = jobs.withColumns({name: value for name, value in took.items() if name not in jobs.columns})
     scoped = jobs.select("job_id", "solution")
     job_projects = scoped.join(tables.projects.select("solution", "project_name").distinct(), "solution").select(
         "job_id", "project_name"
@@ -74,7 +101,7 @@ def _analysis(jobs: DataFrame, usages: DataFrame, tables: Tables) -> Analysis:
         errors = scoped.join(tables.project_errors, "solution").select(
             "job_id", error_message(F.col("project_name"), F.col("error")).alias("error")
         )
-    return Analysis(jobs, usages, job_projects, errors)
+    return Analysis(jobs, usages, job_projects, errors, symbol)
 
 
 def analyze_package(jobs: DataFrame, tables: Tables, options: AnalysisOptions = AnalysisOptions()) -> Analysis:
@@ -85,16 +112,43 @@ def analyze_package(jobs: DataFrame, tables: Tables, options: AnalysisOptions =
     """
     if tables.reference_paths is None or tables.package_assemblies is None:
         raise ValueError("package jobs need reference paths and package assemblies")
+    started = time.time()
+    wanted = _job_assemblies(jobs, tables, options)
+    return _finish(jobs, match_assembly(expand_nodes(tables.refs), wanted), tables, options, started)
+
+
+def _job_assemblies(jobs: DataFrame, tables: Tables, options: AnalysisOptions) -> DataFrame:
     resolved = resolve_assemblies(jobs, tables.reference_paths, tables.package_assemblies, options.strict_paths)
-    wanted = job_assemblies(jobs, resolved)
-    return _finish(jobs, match_assembly(expand_nodes(tables.refs), wanted), tables, options)
+    return job_assemblies(jobs, resolved)
 
 
 def analyze_symbol(jobs: DataFrame, tables: Tables, options: AnalysisOptions = AnalysisOptions()) -> Analysis:
     """Usages of namespaces, types or members. ``jobs(job_id, solution, target[, context_lines])``."""
+    started = time.time()
     targets = jobs.select("job_id", "solution", "target")
     matched = match_symbol(expand_nodes(tables.refs), targets, options.match_member)
-    return _finish(jobs, matched, tables, options)
+    return _finish(jobs, matched, tables, options, started, symbol=True)
+
+
+def analyze_declared(
+    manifests: DataFrame, tables: Tables, options: AnalysisOptions = AnalysisOptions()
+) -> tuple[Analysis, DataFrame]:
+    """(usages of all declared packages, declared packages no one uses).
+
+    ``manifests(solution, project_name, text)``. Every package that a manifest
+    declares is a job of its solution. The second table, ``(solution,
+    project_name, package, version)``, lists what a project declares without
+    any reference of that project into the package's assemblies; all references
+    count, whatever similarity or usage types ``options`` ask for.
+    """
+    declared = cut(declared_packages(manifests.select("solution", "project_name", "text")), "declared")
+    job = F.concat_ws("|", "solution", "package", "version").alias("job_id")
+    jobs = declared.select(job, "solution", "package", "version").distinct()
+    every = AnalysisOptions(strict_paths=options.strict_paths)
+    found = analyze_package(cut(jobs, "declared-jobs"), tables, every)
+    used = found.usages.select("job_id", "solution", "project_name").distinct()
+    used = used.join(found.jobs.select("job_id", "package", "version"), "job_id")
+    return found, unused_packages(declared, used, ["solution", "project_name", "package", "version"])
 
 
 def analyze_batch(
@@ -133,14 +187,18 @@ def analyze_incremental(
     the plan, and their results are stored; the others are read from the store. A
     job whose solution has no known source state is computed and not stored.
     """
+    started = time.time()
     named = jobs
+    assemblies = None
     if symbol:
         named = jobs.withColumn("package", F.col("target")).withColumn("version", F.lit("symbol"))
-    keyed = cut(fingerprint(named, source_state, options), "jobs")
+    else:
+        assemblies = _job_assemblies(jobs, tables, options)
+    keyed = cut(fingerprint(named, source_state, options, assemblies), "jobs")
     run, reuse = split_jobs(keyed, stored_headers(jobs.sparkSession, root))
     run = cut(run, "run")
     fresh = (analyze_symbol if symbol else analyze_package)(run, tables, options)
-    usages = cut(fresh.usages, "results")
-    save_results(run, usages, root)
+    save_results(run, fresh.usages, root)
     stored = load_results(jobs.sparkSession, root, reuse)
-    return _analysis(keyed, usages.unionByName(stored.select(*USAGE_COLUMNS)), tables)
+    usages = cut(fresh.usages.unionByName(stored.select(*USAGE_COLUMNS)), "all-usages")
+    return _analysis(keyed, usages, tables, started, symbol)

@@ -1,25 +1,40 @@
-"""Helpers every operator shares: checked broadcasts, salted joins, written cuts."""
+"""Helpers every operator shares: written cuts of known size, bounded broadcasts, their removal."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
-_runs: dict[str, str] = {}
+
+@dataclass(frozen=True)
+class Size:
+    """Rows of a written table and their bytes, unpacked."""
+
+    rows: int
+    bytes: int
+
+
+# What ``cut`` wrote: by table, and by application in the order of writing.
+_sizes: WeakKeyDictionary[DataFrame, Size] = WeakKeyDictionary()
+_paths: dict[str, list[str]] = {}
+_own_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts, named by ``spark.checkpoint.dir``.
 
-    Only a single-machine session may go without the setting: a folder on one
-    machine is lost with that machine.
+    A cluster must name it: a folder on one machine is lost with that machine.
+    Only where it is unset and the session is local, as in tests, a folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -27,22 +42,67 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _runs:
-        _runs[app] = tempfile.mkdtemp(prefix="refscope-")
-    return _runs[app]
+    if app not in _own_roots:
+        _own_roots[app] = tempfile.mkdtemp(prefix="refscope-")
+    return _own_roots[app]
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Estimate of a row in memory: 16 bytes a column and what strings and nested values hold."""
+    total = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return total.cast("bigint")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     A written table survives lost executors, has a short lineage, is columnar
-    (a later step reads only its columns) and has a known size, so the next
-    join is planned from real numbers.
+    (a later step reads only its columns) and has a known size: rows and bytes are
+    observed while they are written, at no further pass or exchange. ``released``
+    removes the tables again.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/refscope/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes"))
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    watched.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    found = seen.get
+    _sizes[table] = Size(found.get("rows") or 0, found.get("bytes") or 0)
+    return table
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Remove all tables this application has cut but the first ``keep``; returns how many went."""
+    paths = _paths.get(spark.sparkContext.applicationId, [])
+    gone = paths[keep:]
+    del paths[keep:]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in gone:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Own all tables cut inside the block and remove them at its end.
+
+    What the block computed must be stored or collected by then: a DataFrame
+    that reads a removed table fails.
+    """
+    before = len(_paths.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -56,11 +116,13 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure whether ``df`` is small; never looks at more than ``rows + 1`` rows."""
-    head = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n"))
-    seen = head.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
-    return seen["rows"] <= rows and seen["bytes"] <= size
+def fits_broadcast(table: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether a table made by ``cut`` is small. Nothing is run: its size is known from its writing."""
+    known = _sizes.get(table)
+    if known is None:
+        raise ValueError("only a written table has a known size")
+    most_rows, most_bytes = rows or BROADCAST_ROWS, size or BROADCAST_BYTES
+    return known.rows <= most_rows and known.bytes <= most_bytes
 
 
 def join_bounded(
@@ -68,20 +130,15 @@ def join_bounded(
 ) -> DataFrame:
     """Join a large side with one that is usually small.
 
-    The small side is written first (unless it already is a ``written`` table):
-    it is computed once, then measured, then used. Measured small: broadcast,
-    the large side does not move. Otherwise: a shuffle join whose large side is
-    spread over ``SALTS`` sub-keys, so that a hot key is shared by that many
-    tasks; the other side is copied per sub-key.
+    The small side is written first (unless it already is a table made by ``cut``).
+    Known to be small: broadcast, the large side does not move. Otherwise a
+    shuffle join; adaptive execution splits the partitions of hot keys among
+    tasks and hands the other side's rows of those keys, and no others, to each.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"join type {how} does not keep the large side whole under salting")
+        raise ValueError(f"join type {how} does not keep the large side whole")
     side = small if written else cut(small, "side")
-    if fits_broadcast(side):
-        return big.join(F.broadcast(side), on, how)
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(side) if fits_broadcast(side) else side.hint("merge"), on, how)
 
 
 def local_session(cores: str = "8", app: str = "refscope") -> SparkSession:

@@ -36,26 +36,34 @@ def read_source_files(spark: SparkSession, root: str, solution: str, pattern: st
     """``source_files(solution, project_name, file_path, mtime, text)`` below ``root``.
 
     The project is the first folder below ``root``. Binary files are left out at
-    listing time, before any content is read. A file that vanishes or cannot be
-    read is skipped and does not fail the job; Spark does not list files of zero
-    bytes, which hold no usage either.
+    listing time, before any content is read. Bytes that are no UTF-8 give a null
+    text, which ``unreadable_files`` reports; a file that cannot be fetched
+    fails the run, so that a passing fault of the storage never looks like a
+    smaller solution. Files of zero bytes have an empty text.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", "true")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .text(root, wholetext=True)
-        .where(~is_binary(F.col("_metadata.file_path")))
+        .load(root)
+        .where(~is_binary(F.col("path")))
     )
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     inside = F.substring_index(path, root.rstrip("/") + "/", -1)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return raw.select(
         F.lit(solution).alias("solution"),
         F.when(inside.contains("/"), F.substring_index(inside, "/", 1)).otherwise(F.lit("")).alias("project_name"),
         inside.alias("file_path"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
-        F.regexp_replace("value", "^﻿", "").alias("text"),
+        F.col("modificationTime").alias("mtime"),
+        F.regexp_replace(text, "^\ufeff", "").alias("text"),
+    )
+
+
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """``project_errors(solution, project_name, error)``: one row for each file without a text."""
+    return files.where(F.col("text").isNull()).select(
+        "solution", "project_name", F.concat(F.lit("Cannot read file: "), F.col("file_path")).alias("error")
     )
 
 

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 def parse_jobs(documents: DataFrame, column: str = "value") -> DataFrame:
     """``jobs(solution, package, version, force_refresh)`` from JSON documents.
 
-    Keys are accepted in any casing. A document that is null, not JSON or lacks
-    a required key fails the run: an unread list must not look like an empty one.
+    Keys are accepted in any casing. A document that is null, no JSON object,
+    whose list is no array of objects, or that lacks a required key fails the
+    run: an unread list must not look like an empty one. A null or absent list is empty.
     """
-    doc = F.col(column)
-    listed = F.coalesce(F.get_json_object(doc, "$.jobs"), F.get_json_object(doc, "$.Jobs"))
-    readable = F.get_json_object(doc, "$").isNotNull() & (F.trim(doc) != "null")
-    checked = F.when(readable, F.coalesce(listed, F.lit("[]"))).otherwise(
-        F.raise_error(F.lit("Failed to deserialize batch configuration")).cast("string")
-    )
+    doc = F.trim(F.col(column))
+    bad = F.raise_error(F.lit("Failed to deserialize batch configuration")).cast("string")
+    readable = doc.startswith("{") & F.get_json_object(doc, "$").isNotNull()
+    keys = F.from_json(F.when(readable, doc).otherwise(bad), "map<string,string>")
+    lists = F.map_filter(F.transform_keys(keys, lambda k, _: F.lower(k)), lambda k, v: (k == "jobs") & v.isNotNull())
+    listed = F.try_element_at(lists, F.lit("jobs"))
+    parts = F.from_json(listed, "array<string>")
+    objects = listed.startswith("[") & parts.isNotNull() & F.forall(parts, lambda x: F.coalesce(x.startswith("{"), F.lit(False)))
+    checked = F.when(listed.isNull(), F.lit("[]")).when(objects, listed).otherwise(bad)
     items = F.from_json(checked, "array<map<string,string>>")
     job = F.transform_keys("item", lambda k, _: F.lower(k))
     parsed = documents.select(F.explode(items).alias("item")).select(job.alias("job"))

@@ -17,10 +17,31 @@ def package_references(manifests: DataFrame, text: str = "text", pattern: str =
     return manifests.select(*keys, F.explode(F.array_distinct(names)).alias("package"))
 
 
+# The element and attributes of a declared package.
+REFERENCE_ELEMENT = r"(?s)<PackageReference\b[^>]*>"
+INCLUDE, VERSION = r'Include="([^"]*)"', r'Version="([^"]*)"'
+
+
+def declared_packages(manifests: DataFrame, text: str = "text") -> DataFrame:
+    """As ``package_references``, with the declared ``version`` (empty if none), each pair once per manifest row."""
+    keys = [c for c in manifests.columns if c != text]
+    elements = F.regexp_extract_all(F.col(text), F.lit(REFERENCE_ELEMENT), 0)
+    named = F.transform(
+        elements,
+        lambda e: F.struct(
+            F.regexp_extract(e, INCLUDE, 1).alias("package"), F.regexp_extract(e, VERSION, 1).alias("version")
+        ),
+    )
+    return (
+        manifests.select(*keys, F.explode(named).alias("r")).select(*keys, "r.*").where("package <> ''").distinct()
+    )
+
+
 def read_package_files(spark: SparkSession, root: str) -> DataFrame:
-    """``package_files(package, version, path, from_archive)`` of an unpacked package folder.
+    """``package_files(package, version, path, from_archive)`` of a folder of unpacked packages.
 
-    Only the listing is used; file contents are pruned from the scan.
+    Only the listing is used; file contents are pruned from the scan. A package
+    version that keeps its archive at its top counts as read from it.
     """
     paths = (
         spark.read.format("binaryFile")
@@ -29,11 +50,15 @@ def read_package_files(spark: SparkSession, root: str) -> DataFrame:
         .select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("inside"))
     )
     parts = F.split("inside", "/")
-    return paths.where(F.size(parts) >= 3).select(
+    files = paths.where(F.size(parts) >= 3).select(
         parts[0].alias("package"),
         parts[1].alias("version"),
         F.array_join(F.slice(parts, 3, F.size(parts)), "/").alias("path"),
-        F.lit(False).alias("from_archive"),
+    )
+    archive = F.col("path").rlike(r"(?i)^[^/]*\.nupkg$")
+    kept = files.where(archive).select("package", "version", F.lit(True).alias("archived")).distinct()
+    return files.join(kept, ["package", "version"], "left").select(
+        "package", "version", "path", F.coalesce("archived", F.lit(False)).alias("from_archive")
     )
 
 

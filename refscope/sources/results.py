@@ -2,33 +2,65 @@
 
 Saving only ever appends. A save writes the rows of all its jobs as one
 generation and then the headers that point there, so a result becomes visible
-whole or not at all, and a later save replaces an earlier one by being newer.
+whole or not at all. Generations are numbered: a later save, or a later
+``invalidate``, replaces an earlier one whatever any machine's clock says.
+``compact`` removes what is replaced or forgotten.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refscope.runtime import join_bounded
+from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_SCHEMA
 
-HEADER = "fingerprint string, generation string, job_id string, usage_count bigint, saved_at timestamp"
-USAGES = (
-    ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA)
-    + ", fingerprint string, generation string"
-)
+HEADER = "fingerprint string, job_id string, usage_count bigint, saved_at timestamp, generation string"
+USAGES = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA) + ", fingerprint string"
 
+# So many asked-for results are named in the scan itself, which then skips files and row groups.
+NAMED_RESULTS = 1_000
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, or an empty one if nothing was saved there yet."""
-    try:
-        return spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path object) of a place in the store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    files, mark = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(mark)
+
+
+def _generations(spark: SparkSession, root: str) -> list[str]:
+    """Generations whose headers are all written, oldest first."""
+    files, place = _files(spark, f"{root}/headers")
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    found = sorted(n.removeprefix("generation=") for n in names if n.startswith("generation="))
+    return [g for g in found if _complete(spark, f"{root}/headers/generation={g}")]
+
+
+def _next_generation(spark: SparkSession, root: str) -> str:
+    """A name that sorts after all others; two savers at once differ by its end."""
+    last = _generations(spark, root)[-1:]
+    number = int(last[0].split("-")[0]) + 1 if last else 1
+    return f"{number:012d}-{uuid.uuid4().hex}"
+
+
+def _headers(spark: SparkSession, root: str) -> DataFrame:
+    paths = [f"{root}/headers/generation={g}" for g in _generations(spark, root)]
+    if not paths:
+        return spark.createDataFrame([], HEADER)
+    return spark.read.schema(HEADER).option("basePath", f"{root}/headers").parquet(*paths)
+
+
+def _write_headers(headers: DataFrame, root: str, generation: str) -> None:
+    headers.select("fingerprint", "job_id", "usage_count", F.current_timestamp().alias("saved_at")).write.parquet(
+        f"{root}/headers/generation={generation}"
+    )
 
 
 def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
@@ -37,29 +69,29 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
     Rows are laid out by fingerprint, then place: a reader of a few results
     touches few files, and a result of any size spreads over several.
     """
-    generation = uuid.uuid4().hex
+    spark = usages.sparkSession
+    generation = _next_generation(spark, root)
     # Jobs that ask for the same thing have the same result; it is stored once.
     keyed = jobs.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("job_id").alias("job_id"))
+    keyed = cut(keyed, "stored-jobs")
+    _write_generation(join_bounded(usages, keyed, ["job_id"], written=True), keyed, root, generation)
+
+
+def _write_generation(rows: DataFrame, keyed: DataFrame, root: str, generation: str) -> None:
+    """Rows first, then the headers with their counts, taken from what was written."""
+    spark = rows.sparkSession
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
-    rows = join_bounded(usages, keyed, ["job_id"])
     rows.repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
-    written = _read(usages.sparkSession, f"{root}/usages", USAGES).where(F.col("generation") == generation)
-    counts = written.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
-    header = keyed.join(counts, "fingerprint", "left").select(
-        "fingerprint",
-        F.lit(generation).alias("generation"),
-        "job_id",
-        F.coalesce("usage_count", F.lit(0)).alias("usage_count"),
-        F.current_timestamp().alias("saved_at"),
-    )
-    header.write.mode("append").parquet(f"{root}/headers")
+    counts = spark.read.schema(USAGES).parquet(path).groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
+    header = keyed.join(counts, "fingerprint", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)))
+    _write_headers(header, root, generation)
 
 
 def _latest(spark: SparkSession, root: str) -> DataFrame:
-    newest = F.max(F.struct("saved_at", "generation", "job_id", "usage_count")).alias("h")
+    newest = F.max(F.struct("generation", "job_id", "usage_count", "saved_at")).alias("h")
     return (
-        _read(spark, f"{root}/headers", HEADER)
+        _headers(spark, root)
         .groupBy("fingerprint")
         .agg(newest)
         .select("fingerprint", "h.generation", "h.job_id", "h.usage_count", "h.saved_at")
@@ -68,37 +100,55 @@ def _latest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stored_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Headers whose rows are all there; a damaged, missing or forgotten result is a miss."""
-    latest = _latest(spark, root)
-    rows = _read(spark, f"{root}/usages", USAGES)
-    present = rows.groupBy("generation", "fingerprint").agg(F.count("*").alias("present"))
-    return (
-        latest.join(present, ["generation", "fingerprint"], "left")
-        .where(F.coalesce("present", F.lit(0)) == F.col("usage_count"))
-        .drop("present")
-    )
+    """Newest headers whose generation is there; a damaged, missing or forgotten result is a miss.
+
+    Headers are written last and are trusted: no usage row is read. Of the
+    generations (few, after ``compact``) only the writer's mark is looked for.
+    """
+    there = [g for g in _generations(spark, root) if _complete(spark, f"{root}/usages/generation={g}")]
+    return _latest(spark, root).where(F.col("generation").isin(there) | (F.col("usage_count") == 0))
 
 
 def load_results(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
     """Stored usage rows for ``jobs(job_id, fingerprint)``, from the newest generation.
 
-    Rows carry the asking job's id, whatever the job was called when it was stored.
+    Only the generations that hold an asked-for result are read, by their own
+    paths. Rows carry the asking job's id, whatever the job was called when it was stored.
     """
-    wanted = _latest(spark, root).select("generation", "fingerprint").join(
-        jobs.select("fingerprint", "job_id"), "fingerprint"
-    )
-    rows = _read(spark, f"{root}/usages", USAGES).drop("job_id")
-    return join_bounded(rows, wanted, ["generation", "fingerprint"]).drop("generation")
+    asked = jobs.select("fingerprint", "job_id")
+    wanted = cut(stored_headers(spark, root).select("generation", "fingerprint").join(asked, "fingerprint"), "wanted")
+    # One value a save, not one a result.
+    generations = sorted(r["generation"] for r in wanted.select("generation").distinct().collect())
+    paths = [f"{root}/usages/generation={g}" for g in generations if _complete(spark, f"{root}/usages/generation={g}")]
+    if not paths:
+        return spark.createDataFrame([], USAGES)
+    rows = spark.read.schema(f"{USAGES}, generation string").option("basePath", f"{root}/usages").parquet(*paths)
+    few = [r["fingerprint"] for r in wanted.select("fingerprint").distinct().limit(NAMED_RESULTS + 1).collect()]
+    if len(few) <= NAMED_RESULTS:
+        rows = rows.where(F.col("fingerprint").isin(few))
+    return join_bounded(rows.drop("job_id"), wanted, ["generation", "fingerprint"], written=True).drop("generation")
 
 
 def invalidate(spark: SparkSession, root: str, keys: DataFrame) -> None:
     """Forget the results of ``keys`` by a newer header without rows. Harmless if not stored."""
     gone = _latest(spark, root).join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    forgotten = gone.select(
-        "fingerprint",
-        "generation",
-        "job_id",
-        F.lit(-1).cast("bigint").alias("usage_count"),
-        F.current_timestamp().alias("saved_at"),
-    )
-    forgotten.write.mode("append").parquet(f"{root}/headers")
+    forgotten = gone.withColumn("usage_count", F.lit(-1).cast("bigint"))
+    _write_headers(forgotten, root, _next_generation(spark, root))
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Write all live results as one new generation and remove every older one.
+
+    Superseded and forgotten rows are gone afterwards. Older generations go
+    oldest first, headers before rows, so that a run that dies half-way leaves
+    no forgotten result without the header that hides it. Run it alone.
+    """
+    old = _generations(spark, root)
+    if not old:
+        return
+    live = cut(stored_headers(spark, root).select("fingerprint", "job_id"), "live")
+    _write_generation(load_results(spark, root, live), live, root, _next_generation(spark, root))
+    for generation in old:
+        for part in ("headers", "usages"):
+            files, place = _files(spark, f"{root}/{part}/generation={generation}")
+            files.delete(place, True)

@@ -3,7 +3,7 @@
 import pytest
 
 from refscope.config import Comparison, SimilarityConfig, AnalysisOptions
-from refscope.plans.analyze import Tables, analyze_batch, analyze_incremental, analyze_package, analyze_symbol
+from refscope.plans.analyze import Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
 
 REF = (
     "solution string, project_name string, file_path string, start_line int, end_line int, node_kind string, parent_kind string,"
@@ -125,3 +125,36 @@ def test_incremental_symbol(spark, tmp_path):
     jobs = spark.createDataFrame([("n", "s", "N", False)], "job_id string, solution string, target string, force_refresh boolean")
     for _ in range(2):
         assert len(lines(analyze_incremental(jobs, tables(spark), state, str(tmp_path / "store"), symbol=True))) == 4
+
+
+def test_declared_but_unused(spark):
+    text = '<PackageReference Include="Lib" Version="1" /><PackageReference Include="Polly" Version="7.2.3" />'
+    rows = [("s", "p1", text), ("s", "idle", text)]
+    manifests = spark.createDataFrame(rows, "solution string, project_name string, text string")
+    found, unused = analyze_declared(manifests, tables(spark), AnalysisOptions(usage_types=["Inheritance"]))
+    assert sorted(tuple(r) for r in unused.collect()) == [
+        ("s", "idle", "Lib", "1"), ("s", "idle", "Polly", "7.2.3"), ("s", "p1", "Polly", "7.2.3")
+    ]
+    assert {r["package"]: r["total_usage_count"] for r in found.summary().collect()} == {"Lib": 4, "Polly": 0}
+
+
+def test_an_analysis_reports_itself(spark):
+    import json
+
+    for found, name in (
+        (analyze_package(package_jobs(spark, "Lib"), tables(spark)), "Lib"),
+        (analyze_symbol(spark.createDataFrame([("n", "s", "N")], "job_id string, solution string, target string"), tables(spark)), "symbol:N"),
+    ):
+        head = json.loads(found.result().where("part = 0").first()["json"])
+        assert (head["PackageName"], head["TotalUsageCount"]) == (name, 4) and head["AnalyzedAt"].endswith("Z")
+        assert found.report().where("part = 2").count() == 4
+
+
+def test_a_changed_listing_is_computed_again(spark, tmp_path):
+    state = spark.sql("SELECT 's' AS solution, timestamp'2024-01-01' AS mtime")
+    jobs, root = package_jobs(spark, "Lib"), str(tmp_path / "store")
+    before = tables(spark)
+    assert len(lines(analyze_incremental(jobs, before, state, root))) == 4
+    after = tables(spark)
+    after.reference_paths = spark.createDataFrame([("s", "/x/packages/lib/1/Other.dll")], "solution string, path string")
+    assert lines(analyze_incremental(jobs, after, state, root)) == [("p1", 4)]

@@ -119,3 +119,27 @@ def test_heads_are_cut_down_before_the_shuffle(spark):
     index = spark.createDataFrame([("j", 1, 1, 1, 5)], "job_id string, gram bigint, band int, rank bigint, length int")
     plan = dedup._heads(index, 32)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_registered_comparison(spark):
+    from pyspark.sql import functions as F
+
+    from refscope.functions.distance import COMPARISONS, register_comparison
+
+    register_comparison("SameStart", lambda a, b, r: F.substring(a, 1, r.max_distance) == F.substring(b, 1, r.max_distance))
+    try:
+        config = SimilarityConfig(True, (), (Comparison("SameStart", max_distance=2),))
+        texts = [f"{a}{b}{i}" for i in range(40) for a in "abc" for b in "xyz"]
+        groups = {r["text"]: r["kept_text"] for r in dedup.dedup_groups(usages(spark, {"j": texts}), config).collect()}
+        first = {}
+        for t in texts:
+            first.setdefault(t[:2], t)
+        assert groups == {t: first[t[:2]] for t in texts}
+        kept = dedup.near_dedup(usages(spark, {"j": texts}), config).collect()
+        assert sorted(r["code_text"] for r in kept) == sorted(first.values())
+        # Beside the edit distance, either may accept.
+        both = SimilarityConfig(True, (), (Comparison("SameStart", max_distance=2), Comparison(max_distance=1, threshold=1.0)))
+        some = usages(spark, {"j": ["ab1", "ab999", "xb1", "q"]})
+        assert sorted(r["code_text"] for r in dedup.near_dedup(some, both).collect()) == ["ab1", "q"]
+    finally:
+        del COMPARISONS["SameStart"]

@@ -37,9 +37,9 @@ def test_symbol_matches_once(spark):
     assert matched(spark, [(1, "A", "A")], ["A"]) == [("j0", 1)]
 
 
-@pytest.mark.parametrize("rows", [500_000, 0])
+@pytest.mark.parametrize("rows", [500_000, -1])
 def test_assembly_ignores_case_and_null(spark, monkeypatch, rows):
-    monkeypatch.setattr(runtime, "fits_broadcast", lambda df: rows > 0)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", rows)
     refs = spark.createDataFrame(
         [("s", "LIB", 1), ("s", "lib", 2), ("s", None, 3), ("t", "lib", 4), ("s", "other", 5)],
         "solution string, assembly_name string, id int",
@@ -49,21 +49,14 @@ def test_assembly_ignores_case_and_null(spark, monkeypatch, rows):
     assert found == [("j", 1), ("j", 2), ("k", 1), ("k", 2)]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, monkeypatch, how):
-    big = spark.range(2000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) AS k")  # one key holds a third
-    small = spark.range(0, 40).selectExpr("id AS k", "id * 2 AS v")
-    plain = {tuple(r) for r in runtime.join_bounded(big, small, ["k"], how).collect()}
-    monkeypatch.setattr(runtime, "fits_broadcast", lambda df: False)
-    salted = [tuple(r) for r in runtime.join_bounded(big, small, ["k"], how).collect()]
-    assert set(salted) == plain and len(salted) == len(plain)
-
-
-def test_broadcast_check_measures(spark):
-    df = spark.range(100)
-    assert runtime.fits_broadcast(df)
-    assert not runtime.fits_broadcast(df, rows=99)
-    assert not runtime.fits_broadcast(df, size=100)
+@pytest.mark.parametrize("limit", [500_000, -1])
+def test_null_names_lose_no_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", limit)
+    refs = spark.createDataFrame(
+        [(1, "A.B", None), (2, None, "A"), (3, None, None), (4, "A", "A.x")], "id int, namespace string, display_name string"
+    )
+    targets = spark.createDataFrame([("j", "A")], "job_id string, target string")
+    assert sorted(r["id"] for r in match.match_symbol(refs, targets).collect()) == [1, 2, 4]
 
 
 def test_usage_type_names():

@@ -32,41 +32,53 @@ def test_summary_and_duration(spark):
     assert found == {"j": (7, 2, 1, "01:01:01.001"), "k": (0, 1, 0, "01:01:01.001")}
 
 
-@pytest.mark.parametrize("entries", [10_000, 3])
-def test_report_documents_hold_everything(spark, entries):
+def read(report):
+    """A job's parts in reading order: (part, parsed json)."""
+    out = {}
+    for r in sorted(report.collect(), key=lambda r: (r["job_id"], r["part"], r["position"], r["json"])):
+        out.setdefault(r["job_id"], []).append((reports.PARTS[r["part"]], json.loads(r["json"])))
+    return out
+
+
+@pytest.mark.parametrize("n", [7, 400])
+def test_report_parts_hold_everything(spark, n):
     jobs, projects, errors = parts(spark)
-    head = reports.summary(jobs, usages(spark), projects, errors)
-    rows = reports.usage_report(head, usages(spark), projects, errors, entries=entries).collect()
-    pages = [json.loads(r["json"]) for r in rows if r["job_id"] == "j"]
-    assert (len(pages) > 1) == (entries == 3)
-    assert all(p["summary"] == pages[0]["summary"] for p in pages)
-    assert pages[0]["summary"] == {
+    head = reports.summary(jobs, usages(spark, n), projects, errors)
+    found = read(reports.usage_report(head, usages(spark, n), projects, errors))
+    assert found["j"][0] == ("summary", {
         "solutionPath": "s", "packageName": "P", "packageVersion": "1", "analyzedAt": "2024-01-02T03:04:05.678901Z",
-        "analysisDuration": "01:01:01.001", "totalUsageCount": 7, "analyzedProjectCount": 2, "errorCount": 1,
-    }
-    listed = [u for p in pages for u in p["usages"]]
-    assert sorted(u["startLine"] for u in listed) == list(range(7))
+        "analysisDuration": "01:01:01.001", "totalUsageCount": n, "analyzedProjectCount": 2, "errorCount": 1,
+    })
+    listed = [x for part, x in found["j"] if part == "usage"]
+    assert sorted(u["startLine"] for u in listed) == list(range(n))
+    assert [(u["projectName"], u["startLine"]) for u in listed] == sorted((u["projectName"], u["startLine"]) for u in listed)
     assert listed[0] == {
-        "projectName": listed[0]["projectName"], "filePath": 'a"b\\c', "startLine": listed[0]["startLine"],
-        "endLine": listed[0]["endLine"], "codeText": "code\n\tüx", "usageType": "methodInvocation", "symbolName": "S",
-        "namespace": None, "assemblyName": "L",
+        "projectName": "p0", "filePath": 'a"b\\c', "startLine": 0, "endLine": 0, "codeText": "code\n\tüx",
+        "usageType": "methodInvocation", "symbolName": "S", "namespace": None, "assemblyName": "L",
     }
-    assert sorted(x for p in pages for x in p["analyzedProjects"]) == ["p0", "p1"]
-    assert [x for p in pages for x in p["errors"]] == ['Project p1: "bad"']
-    empty = [json.loads(r["json"]) for r in rows if r["job_id"] == "k"]
-    assert [e["usages"] for e in empty] == [[]] and empty[0]["analyzedProjects"] == ["p9"]
+    assert [x for part, x in found["j"] if part == "project"] == ["p0", "p1"]
+    assert [x for part, x in found["j"] if part == "error"] == ['Project p1: "bad"']
+    assert [part for part, _ in found["k"]] == ["summary", "project"]
+
+
+def test_a_report_is_stored_in_reading_order(spark, tmp_path):
+    jobs, projects, errors = parts(spark)
+    report = reports.usage_report(reports.summary(jobs, usages(spark), projects, errors), usages(spark), projects, errors)
+    reports.write_report(report, str(tmp_path / "r"))
+    rows = [tuple(r) for p in sorted(tmp_path.glob("r/part-*")) for r in spark.read.parquet(str(p)).collect()]
+    assert rows == sorted(rows) and len(rows) == report.count()
 
 
 def test_full_result(spark):
     jobs, projects, errors = parts(spark)
     head = reports.summary(jobs, usages(spark, 1), projects, errors)
-    rows = {r["job_id"]: json.loads(r["json"]) for r in reports.full_result(head, usages(spark, 1), projects, errors).collect()}
-    assert list(rows["j"]) == [
-        "SolutionPath", "PackageName", "PackageVersion", "AnalyzedAt", "AnalysisDuration", "TotalUsageCount",
-        "AnalyzedProjects", "Usages", "Errors",
-    ]
-    assert rows["j"]["Usages"][0]["Type"] == "MethodInvocation"
-    assert (rows["j"]["Usages"][0]["ContextStartLine"], rows["j"]["Usages"][0]["HasContext"]) == (1, True)
+    found = read(reports.full_result(head, usages(spark, 1), projects, errors))
+    assert list(found["j"][0][1]) == ["SolutionPath", "PackageName", "PackageVersion", "AnalyzedAt", "AnalysisDuration", "TotalUsageCount"]
+    usage = next(x for part, x in found["j"] if part == "usage")
+    assert (usage["Type"], usage["ContextStartLine"], usage["HasContext"]) == ("MethodInvocation", 1, True)
+    symbols = head.drop("package", "version").withColumn("target", F.lit("A.B"))
+    named = read(reports.full_result(symbols, usages(spark, 1), projects, errors, symbol=True))["j"][0][1]
+    assert (named["PackageName"], named["PackageVersion"]) == ("symbol:A.B", "N/A")
 
 
 def test_failed_project_does_not_stop_the_rest(spark):
@@ -110,6 +122,38 @@ def test_fingerprint(spark):
     assert {r["fingerprint"] for r in unknown} == {None}
 
 
+def test_time_zones_change_neither_key_nor_report(spark):
+    jobs, projects, errors = parts(spark)
+    state = spark.sql("SELECT 's' AS solution, timestamp'2024-05-06 07:08:09.123 UTC' AS mtime")
+    plain = state.withColumn("mtime", F.to_timestamp_ntz(F.lit("2024-05-06 07:08:09.123")))
+    head = reports.summary(jobs, usages(spark), projects, errors)
+
+    def seen():
+        keys = [incremental.fingerprint(jobs, s).where("job_id = 'j'").first()["fingerprint"] for s in (state, plain)]
+        return keys, head.select("job_id", "analyzed_at").count(), read(reports.usage_report(head, usages(spark), projects, errors))["j"][0]
+
+    here = seen()
+    assert here[0][0] == here[0][1]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert incremental.fingerprint(jobs, state).where("job_id = 'j'").first()["fingerprint"] == here[0][0]
+        assert incremental.fingerprint(jobs, plain).where("job_id = 'j'").first()["fingerprint"] == here[0][0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_resolved_assemblies_are_part_of_the_key(spark):
+    jobs, _, _ = parts(spark)
+    state = spark.sql("SELECT 's' AS solution, timestamp'2024-05-06' AS mtime")
+
+    def key(*names):
+        table = spark.createDataFrame([("j", n) for n in names], "job_id string, assembly_lc string")
+        return incremental.fingerprint(jobs, state, AnalysisOptions(), table).where("job_id = 'j'").first()["fingerprint"]
+
+    assert key("a", "b") == key("b", "a", "a") and len({key("a"), key("a", "b"), key("c")}) == 3
+
+
 def test_split_jobs(spark):
     jobs = spark.createDataFrame(
         [("a", "f1", False), ("b", "f1", True), ("c", "f2", False), ("d", None, False)],

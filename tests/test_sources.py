@@ -11,10 +11,16 @@ from refscope.sources import files, jobs, packages, results
 
 
 def test_read_source_files(spark, write_files):
-    root = write_files({"App/a b.cs": "one\r\ntwo", "App/x.PNG": b"\x89PNG", "Lib/sub/c+d.cs": b"\xef\xbb\xbfthree\n", "top.cs": "x", "none.cs": ""})
+    root = write_files({"App/a b.cs": "one\r\ntwo", "App/x.PNG": b"\x89PNG", "Lib/sub/c+d.cs": b"\xef\xbb\xbfthree\n", "top.cs": "x", "none.cs": "", "bad.cs": b"\xff\xfe\xfa"})
     found = files.read_source_files(spark, root, "sln")
     rows = {r["file_path"]: (r["project_name"], r["text"]) for r in found.collect()}
-    assert rows == {"App/a b.cs": ("App", "one\r\ntwo"), "Lib/sub/c+d.cs": ("Lib", "three\n"), "top.cs": ("", "x")}
+    assert rows == {
+        "App/a b.cs": ("App", "one\r\ntwo"), "Lib/sub/c+d.cs": ("Lib", "three\n"), "top.cs": ("", "x"), "bad.cs": ("", None),
+        **({"none.cs": ("", "")} if "none.cs" in rows else {}),
+    }
+    errors = files.unreadable_files(found).collect()
+    assert [tuple(r) for r in errors] == [("sln", "", "Cannot read file: bad.cs")]
+    found = found.where("file_path NOT IN ('bad.cs', 'none.cs')")
     assert found.where("mtime IS NULL").count() == 0
     lines = files.explode_lines(found).collect()
     assert sorted((r["file_path"], r["line_no"], r["line"]) for r in lines) == [
@@ -32,14 +38,19 @@ def test_read_jobs(spark, write_files):
         {
             "lower.json": '{"jobs": [\n {"solutionPath": "a.sln", "packageName": "P", "packageVersion": "1", "forceRefresh": true}]}',
             "upper.json": '{"Jobs": [{"SolutionPath": "b.sln", "PackageName": "Q", "PackageVersion": "2"}]}',
+            "shout.json": '{"JOBS": [{"SOLUTIONPATH": "c.sln", "PACKAGENAME": "R", "PACKAGEVERSION": "3"}]}',
             "empty.json": "{}",
+            "null.json": '{"jobs": null}',
         }
     )
     found = jobs.with_job_ids(jobs.read_jobs(spark, root)).collect()
-    assert {tuple(r) for r in found} == {("a.sln", "P", "1", True, "a.sln|P|1"), ("b.sln", "Q", "2", False, "b.sln|Q|2")}
+    assert {tuple(r) for r in found} == {("a.sln", "P", "1", True, "a.sln|P|1"), ("b.sln", "Q", "2", False, "b.sln|Q|2"), ("c.sln", "R", "3", False, "c.sln|R|3")}
 
 
-@pytest.mark.parametrize("text", ["null", "not json", '{"jobs": [{"solutionPath": "a.sln", "packageName": "P"}]}'])
+@pytest.mark.parametrize(
+    "text",
+    ["null", "not json", "[]", '{"jobs": {}}', '{"JOBS": "x"}', '{"jobs": [1]}', '{"jobs": [{"solutionPath": "a.sln", "packageName": "P"}]}'],
+)
 def test_bad_job_lists_fail(spark, text):
     with pytest.raises(Exception, match="batch configuration|job without"):
         jobs.parse_jobs(spark.createDataFrame([(text,)], "value string")).collect()
@@ -49,6 +60,17 @@ def test_package_folder(spark, write_files):
     root = write_files({"acme/1.0/lib/net6.0/Acme.dll": "x", "acme/1.0/lib/net6.0/Acme.xml": "x", "acme/1.0/ref/Acme.Ref.dll": "x"})
     found = packages.assemblies_from_listing(packages.read_package_files(spark, root)).collect()
     assert [tuple(r) for r in found] == [("acme", "1.0", "acme")]
+    # The same folder with its archive beside it counts ``ref`` items as well.
+    write_files({"acme/1.0/acme.1.0.NUPKG": "x", "lone/2.0/ref/net6.0/Lone.dll": "x"})
+    found = packages.assemblies_from_listing(packages.read_package_files(spark, root)).collect()
+    assert sorted(tuple(r) for r in found) == [("acme", "1.0", "acme"), ("acme", "1.0", "acme.ref")]
+
+
+def test_declared_versions(spark):
+    manifest = '<PackageReference Include="A" Version="1" /><PackageReference Version="2"\n Include="A" /><PackageReference Include="B"/>'
+    rows = spark.createDataFrame([("s", "p", manifest), ("s", "q", None)], "solution string, project_name string, text string")
+    found = sorted(tuple(r) for r in packages.declared_packages(rows).collect())
+    assert found == [("s", "p", "A", "1"), ("s", "p", "A", "2"), ("s", "p", "B", "")]
 
 
 def test_declared_packages(spark):
@@ -86,6 +108,34 @@ def test_results_are_replaced_loaded_and_forgotten(spark, tmp_path):
     results.invalidate(spark, root, only_a)
     assert stored() == {("f2", 1), ("f4", 0)}
     assert load() == [("b", 1)]
+    results.compact(spark, root)
+    assert stored() == {("f2", 1), ("f4", 0)} and load() == [("b", 1)]
+    assert len(os.listdir(f"{root}/usages")) == len(os.listdir(f"{root}/headers")) == 1
+    left = spark.read.parquet(f"{root}/usages")
+    assert [r["start_line"] for r in left.collect()] == [1]
+    results.save_results(only_a, spark.createDataFrame([usage("a", 4)], USAGE_SCHEMA), root)
+    assert load() == [("a", 4), ("b", 1)]
+
+
+def test_only_wanted_generations_are_read(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for job in ("a", "b", "c"):
+        keys = spark.createDataFrame([(job, f"f{job}")], "job_id string, fingerprint string")
+        results.save_results(keys, spark.createDataFrame([usage(job, 1)], USAGE_SCHEMA), root)
+    asked = spark.createDataFrame([("b", "fb")], "job_id string, fingerprint string")
+    found = results.load_results(spark, root, asked)
+    assert [r["job_id"] for r in found.collect()] == ["b"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("usages/generation=") <= 1 and "fingerprint" in plan.split("PushedFilters")[1]
+
+
+def test_an_empty_store(spark, tmp_path):
+    root = str(tmp_path / "nowhere")
+    keys = spark.createDataFrame([("a", "f1")], "job_id string, fingerprint string")
+    assert results.stored_headers(spark, root).count() == 0 and results.load_results(spark, root, keys).count() == 0
+    results.invalidate(spark, root, keys)
+    results.compact(spark, root)
+    assert results.load_results(spark, root, keys).count() == 0
 
 
 def test_damaged_result_is_a_miss(spark, tmp_path):
