@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refscope.llm.common import bounded_batches
+
 #: Bounds of the training sample: documents of either label, and lines of one document.
 TRAIN_DOCS = 3000
 TRAIN_LINES = 400
@@ -208,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     bytes; of one document the driver gets at most ``TRAIN_LINES`` lines' figures.
     Ids with contradicting labels, null labels or null ids are left out.
     """
+    bounded_batches(docs.sparkSession)
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -252,6 +255,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     makes the score. Repeated rows have the same score; a null id is not held out;
     an empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_column}`").alias("doc_id"),

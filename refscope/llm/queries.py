@@ -117,14 +117,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = pieces.Tokenizer(spark, pieces.load(PIECE_MODEL))
-    coded = table(spark, sf_dir, "documents").select("doc_id", "text", tokenizer.encode(F.col("text")).alias("ids"))
-    back = coded.select("doc_id", "text", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
-    return back.select(
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", tokenizer.coded(F.col("text")).alias("coded"))
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+        F.size("coded.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("coded.ids").alias("ids_hash"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("coded.decoded")).alias("round_trip"),
     )
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.llm.common import written
+from refscope.llm.common import bounded_batches, written
 from refscope.llm.components import roots
 
 BITS = 64
@@ -300,6 +300,7 @@ def near_duplicates(
     component of null ids only has a null ``component_id``); repeated rows give
     repeated rows; an empty table gives none. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     prints = docs.select(F.col(id_column).alias("doc_id"), fingerprint(F.col(text_column), shingle).alias("fp"))
     prints = written(prints, "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
@@ -320,6 +321,7 @@ def keep_one(docs: DataFrame, shingle: int, distance: int, id_column: str = "doc
     among equal rows any one; rows without id come last. Columns of any name may
     be present.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         row.alias("row"), F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text")

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refscope.llm.common import written
+from refscope.llm.common import bounded_batches, written
 
 KEYS = ("source", "lang", "tokenizer")
 _MOST_RANKS = 1_000_000
@@ -26,6 +26,7 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str) -> Column:
 
     The driver reads the file, whose size is bounded, and sends it to the tasks.
     """
+    bounded_batches(spark)
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     if len(ranks) > _MOST_RANKS:

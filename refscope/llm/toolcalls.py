@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.llm.common import written
+from refscope.llm.common import bounded_batches, written
 
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
@@ -139,6 +139,7 @@ def linked(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     call links to nothing; a missing parent or call makes a root; a null
     conversation is one conversation; an empty table gives an empty table.
     """
+    bounded_batches(items.sparkSession)
     columns = ["conv_id", "turn", "kind", "id", "parent_id", "call_id", "name", "arguments", "role", "content"]
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null"))
     items = written(items.select(*columns, conv.alias("conv")), "items")

@@ -112,4 +112,7 @@ def test_columns(spark, docs):
     assert {(r.text, r.back) for r in got} == {(t, " " if t == "▁" else t) for _, t in rows}
     assert [r.ids for r in got if r.text is None] == [None] and [r.ids for r in got if r.text == ""] == [[]]
     assert all(r.ids == CODEC.encode(r.text).tolist() for r in got if r.text is not None)
+    both = docs(rows).select(coder.coded(F.col("text")).alias("c"), "text", "doc_id").select("c.*", "text", "doc_id").collect()
+    key = lambda r: (str(r.text), str(r.doc_id))
+    assert [(r.ids, r.decoded) for r in sorted(both, key=key)] == [(r.ids, r.back) for r in sorted(df.select("doc_id", "text", "ids", coder.decode(F.col("ids")).alias("back")).collect(), key=key)]
     assert docs([]).select(coder.encode(F.col("text"))).count() == 0
