@@ -48,10 +48,9 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     tokenizer = pieces.Tokenizer(spark, pieces.load(PIECE_MODEL))
-    coded = docs.select("doc_id", "lang", "source", "text", tokenizer.encode(F.col("text")).alias("ids"))
-    coded = coded.select("doc_id", "lang", "source", "text", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
-    same = F.col("text").eqNullSafe(F.col("decoded"))
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    coded = docs.select("doc_id", "lang", "source", "text", tokenizer.coded(F.col("text")).alias("coded"))
+    same = F.col("text").eqNullSafe(F.col("coded.decoded")).alias("round_trip")
+    return coded.select("doc_id", "lang", "source", "coded.ids", F.size("coded.ids").cast("long").alias("n_pieces"), same)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
