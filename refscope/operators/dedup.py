@@ -7,8 +7,8 @@ the sequential greedy result, computed without comparing all pairs:
 2. A *fold* settles the first ``HEAD`` undecided texts of every job in one
    bounded array per job and then drops every later text similar to a kept one.
    Groups of near copies, however large, vanish as soon as one of them is kept.
-3. Where folding no longer halves the work (large jobs of unlike texts), a
-   *bucket round* looks for candidates by shared gram signatures. Each bucket
+3. Where folding no longer halves the work, the texts are unlike each other. If
+   no job has many of them, wider folds finish them all. Else a *bucket round* looks for candidates by shared gram signatures. Each bucket
    shows only its first few undecided members, so a round emits a bounded
    number of candidates per text. A text may be kept only if no bucket hides an
    earlier member from it; the others wait for the next round.
@@ -19,6 +19,7 @@ Both steps are exact, so they can follow each other in any order.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,9 @@ from refscope.runtime import cut, join_bounded, spread
 from refscope.schemas import USAGE_ORDER
 
 HEAD = 64
+# A job of at most ``WIDE_JOB`` undecided texts that are unlike each other is finished by folds of ``WIDE_HEAD``.
+WIDE_HEAD = 1024
+WIDE_JOB = 12_000
 BUCKET_HEAD = 32
 BUCKET_HEAD_LIMIT = 512
 COMMON_GRAMS = 200_000
@@ -133,12 +137,17 @@ def _resolve(
     absorbed: list[DataFrame] = []
     signatures = None
     shown = BUCKET_HEAD
+    head = HEAD
     while left > 0:
-        kept_now, undecided, dropped = _fold(undecided, config, groups and signatures is None)
+        kept_now, undecided, dropped = _fold(undecided, config, groups and signatures is None, head)
         kept.append(kept_now)
         absorbed += dropped
         after = undecided.count()
-        if after > left // 2 and config.by_distance_only():
+        unlike = after > left // 2
+        if unlike and head == HEAD and _largest_job(undecided) <= WIDE_JOB:
+            head = WIDE_HEAD
+            undecided = cut(spread(undecided), "undecided")
+        elif unlike and head == HEAD and config.by_distance_only():
             if signatures is None:
                 signatures = cut(_signatures(spread(undecided), config), "signatures")
             kept_now, undecided = _bucket_round(undecided, signatures, config, shown)
@@ -155,23 +164,29 @@ def _resolve(
     return nodes, out, by
 
 
+def _largest_job(undecided: DataFrame) -> int:
+    counts = undecided.groupBy("job_id").agg(F.count("*").alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def _fold(
-    undecided: DataFrame, config: SimilarityConfig, groups: bool
+    undecided: DataFrame, config: SimilarityConfig, groups: bool, size: int
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Settle the first ``HEAD`` undecided texts of each job and drop what they suppress.
+    """Settle the first ``size`` undecided texts of each job and drop what they suppress.
 
     With ``groups`` the third result tells by which kept text each one is dropped.
     """
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("rank"))
     heads = (
         undecided.withColumn("place", place)
-        .where(F.col("place") <= HEAD)
+        .where(F.col("place") <= size)
         .groupBy("job_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("head"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "text", F.char_length("text").alias("n")))).alias("head"))
     )
+    near = _in_reach(config)
 
     def add(kept: Column, item: Column) -> Column:
-        clash = F.exists(kept, lambda k: are_similar(item["text"], k["text"], config))
+        clash = F.exists(kept, lambda k: near(item["n"], k["n"]) & are_similar(item["text"], k["text"], config))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(item)))
 
     nothing = F.filter("head", lambda item: F.lit(False))
@@ -183,7 +198,8 @@ def _fold(
         ),
         "fold",
     )
-    similar = lambda k: are_similar(F.col("text"), k["text"], config)
+    similar = lambda k: near(F.col("n"), k["n"]) & are_similar(F.col("text"), k["text"], config)
+    undecided = undecided.withColumn("n", F.char_length("text"))
     beyond = F.col("rank") > F.col("upto")
     met = join_bounded(undecided, settled, ["job_id"], written=True)
     now_kept = settled.select(F.explode("kept.rank").alias("rank"))
@@ -196,6 +212,21 @@ def _fold(
     return now_kept, cut(met.where("beyond AND kept_rank IS NULL").select("job_id", "rank", "text"), "undecided"), [dropped]
 
 
+def _in_reach(config: SimilarityConfig) -> Callable[[Column, Column], Column]:
+    """Whether two lengths allow similar texts; says so at a fraction of a comparison's cost."""
+    if not config.by_distance_only():
+        return lambda a, b: F.lit(True)
+    reach = Reach(config)
+    slope = F.lit(1.0 - reach.threshold)
+
+    def within(a: Column, b: Column) -> Column:
+        longer = F.greatest(a, b)
+        cap = F.greatest(F.lit(reach.distance), F.least(longer, F.floor(slope * longer).cast("int") + 1))
+        return F.abs(a - b) <= cap
+
+    return within
+
+
 NUMBER_BITS = np.uint64(23)
 
 
@@ -307,13 +338,10 @@ def _visible(
     smallest rank up to which some bucket has been shown only in part (null if
     every bucket was shown whole as far as this probe is concerned).
     """
-    reach = Reach(config)
-    slope = F.lit(1.0 - reach.threshold)
+    near = _in_reach(config)
 
     def in_reach(h: Column) -> Column:
-        longer = F.greatest(h["length"], F.col("length"))
-        cap = F.greatest(F.lit(reach.distance), F.least(longer, F.floor(slope * longer).cast("int") + 1))
-        return (h["rank"] < F.col("rank")) & (F.abs(h["length"] - F.col("length")) <= cap)
+        return (h["rank"] < F.col("rank")) & near(h["length"], F.col("length"))
 
     # Partners are at most one length band away.
     around = probes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))

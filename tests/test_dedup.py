@@ -71,7 +71,27 @@ def test_folding_equals_sequential(spark, limit, threshold):
     check(spark, jobs, limit, threshold, groups=True)
 
 
+def test_wide_folds_equal_sequential(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HEAD", 2)
+    monkeypatch.setattr(dedup, "WIDE_HEAD", 7)
+    monkeypatch.setattr(dedup, "_bucket_round", None)
+    jobs = {"a": invented(3, 60, "abcdefgh", 0, 30), "b": invented(6, 25, "abcdef", 5, 20)}
+    check(spark, jobs, 3, 0.9, groups=True)
+
+
+def test_unlike_texts_of_a_large_job_go_to_bucket_rounds(spark, monkeypatch):
+    rounds = []
+    bucket = dedup._bucket_round
+    monkeypatch.setattr(dedup, "_bucket_round", lambda *a: rounds.append(1) or bucket(*a))
+    monkeypatch.setattr(dedup, "WIDE_JOB", 100)
+    pick = random.Random(9)
+    texts = [" ".join(pick.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(pick.randint(3, 9))) for _ in range(400)]
+    check(spark, {"a": texts}, 3, 0.9)
+    assert rounds
+
+
 def test_bucket_rounds_equal_sequential(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "WIDE_JOB", 0)
     monkeypatch.setattr(dedup, "HEAD", 2)
     monkeypatch.setattr(dedup, "BUCKET_HEAD", 2)
     monkeypatch.setattr(dedup, "BUCKET_HEAD_LIMIT", 8)
