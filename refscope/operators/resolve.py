@@ -28,21 +28,18 @@ def names_inside_paths(paths: DataFrame, names: DataFrame) -> DataFrame:
     all its windows, so the join finds each path that could hold the name, and
     the final test makes it exact.
     """
-    sizes = F.array(*[F.lit(s) for s in ANCHOR_SIZES])
-    path_windows = (
-        paths.select("path_lc")
-        .distinct()
-        .select("path_lc", F.explode(sizes).alias("size"))
-        .select("path_lc", F.explode(_windows(F.col("path_lc"), F.col("size"))).alias("gram"))
-    )
     size = F.lit(ANCHOR_SIZES[-1])
     for s in reversed(ANCHOR_SIZES):
         size = F.when(F.char_length("name_lc") >= s, F.lit(s)).otherwise(size)
-    name_windows = (
-        names.select("name_lc")
+    sized = cut(names.where(F.col("name_lc") != "").select("name_lc", size.alias("size")).distinct(), "names")
+    name_windows = sized.select("name_lc", F.explode(_windows(F.col("name_lc"), F.col("size"))).alias("gram"))
+    # At most one value for each anchor size: paths offer windows of the sizes that are asked for.
+    used = sorted(r["size"] for r in sized.select("size").distinct().collect())
+    path_windows = (
+        paths.select("path_lc")
         .distinct()
-        .where(F.col("name_lc") != "")
-        .select("name_lc", F.explode(_windows(F.col("name_lc"), size)).alias("gram"))
+        .select("path_lc", F.explode(F.lit(used) if used else F.array().cast("array<int>")).alias("size"))
+        .select("path_lc", F.explode(_windows(F.col("path_lc"), F.col("size"))).alias("gram"))
     )
     # Only windows that occur in some name can lead anywhere.
     sought = name_windows.select("gram").distinct()
