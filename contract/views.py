@@ -88,11 +88,15 @@ VIEWS = {
           ELSE concat('/home/u/.nuget/packages/', lower(p_type), '/1.0/lib/', p_name, '.dll') END AS path
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
         JOIN {nation} ON s_nationkey = n_nationkey""",
-    # What each project's manifest declares: all packages, and market segments, which are no packages at all.
+    # What each project's manifest declares: the packages of its parts, and its customers' segments, which are no packages at all.
     "project_manifests": """
-        SELECT n_name AS solution, s_name AS project_name, concat('<Project><PackageReference Include="', package,
-         '" Version="1.0" /></Project>') AS text FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
-        CROSS JOIN (SELECT DISTINCT p_brand AS package FROM {part} UNION SELECT DISTINCT c_mktsegment FROM {customer}) x""",
+        SELECT n_name AS solution, s_name AS project_name, concat('<Project><PackageReference Include="', p_brand,
+          '" Version="1.0" /></Project>') AS text
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} ON s_nationkey = n_nationkey
+        UNION SELECT n_name, s_name, concat('<Project><PackageReference Include="', c_mktsegment, '" Version="1.0" /></Project>')
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+        JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
     # Files of code: an import, written in two ways, and lines that use its names.
     "code_files": """
         SELECT DISTINCT n_name AS solution, s_name AS project_name, concat('src/', cast(l_orderkey AS varchar(20)), '-',

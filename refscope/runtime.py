@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
@@ -28,6 +30,8 @@ class Size:
 _sizes: WeakKeyDictionary[DataFrame, Size] = WeakKeyDictionary()
 _paths: dict[str, list[str]] = {}
 _own_roots: dict[str, str] = {}
+# Called with each table about to be cut; tests look at the plans behind cuts here.
+watchers: list[Callable[[DataFrame, str], None]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,6 +48,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="refscope-")
+        atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
     return _own_roots[app]
 
 
@@ -69,6 +74,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/refscope/{label}-{uuid.uuid4().hex}"
+    for watch in watchers:
+        watch(df, label)
     seen = Observation()
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes"))
     _paths.setdefault(spark.sparkContext.applicationId, []).append(path)

@@ -1,5 +1,6 @@
 import pytest
 
+from refscope import runtime
 from refscope.runtime import local_session
 
 
@@ -21,3 +22,21 @@ def write_files(tmp_path):
         return str(tmp_path)
 
     return write
+
+
+@pytest.fixture
+def plans():
+    """Plans of all tables cut in a test, by label."""
+    seen = []
+
+    def look(df, label):
+        seen.append((label, df._jdf.queryExecution().executedPlan().toString()))
+
+    runtime.watchers.append(look)
+    yield seen
+    runtime.watchers.remove(look)
+
+
+def nested_loops(plans):
+    """Labels of plans that compare every row with every row."""
+    return [label for label, plan in plans if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan]
