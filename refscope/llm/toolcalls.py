@@ -110,15 +110,20 @@ def depths(nodes: DataFrame) -> DataFrame:
     at = nodes.select("conv_id", "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     at = written(at, "pointers")
     most = at.count()
+    done, open_ = at.where("up IS NULL"), at.where("up IS NOT NULL")
     for turn in range(_MOST_ROUNDS):
-        if (1 << turn) > 2 * most + 2 or at.where("up IS NOT NULL").isEmpty():
+        if (1 << turn) > 2 * most + 2 or open_.isEmpty():
             break
-        above = at.select("conv_id", F.col("id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        at = at.join(above, ["conv_id", "up"], "left").select(
+        # Only items that have not come to a root yet go on; what they point at may have.
+        above = done.unionByName(open_).select(
+            "conv_id", F.col("id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more")
+        )
+        moved = open_.join(above, ["conv_id", "up"], "left").select(
             "conv_id", "id", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
         )
-        at = written(at, "pointers")
-    return at.select("conv_id", "id", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
+        moved = written(moved, "pointers")
+        done, open_ = done.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
+    return done.unionByName(open_).select("conv_id", "id", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
 
 
 def linked(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
