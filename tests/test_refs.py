@@ -97,3 +97,22 @@ def test_binding_by_imports(spark, monkeypatch, ambiguous):
     catalog = spark.createDataFrame([("Acme.Json", "Reader", "Acme"), ("Acme.Old", "Reader", "Old")], "namespace string, symbol_name string, assembly_name string")
     found = {(r["file_path"], r["line_no"], r["namespace"]) for r in refs.bind_by_imports(lexical, imports, catalog).collect()}
     assert found == {("f", 2, "Acme.Json"), ("g", 3, "Acme.Json")}
+
+
+def test_lexical_lane_ends_in_bound_references(spark):
+    text = "global using A.B;\nusing C;\n  Run(Thing);\n  C.Thing.Go();"
+    files = spark.createDataFrame([("s", "p", "f.cs", text)], "solution string, project_name string, file_path string, text string")
+    catalog = spark.createDataFrame([("A.B", "Run", "L1"), ("C", "Thing", "L2"), ("X", "Run", "L3")], "namespace string, symbol_name string, assembly_name string")
+    from refscope.sources.files import explode_lines
+
+    found = refs.lexical_symbol_refs(refs.lexical_refs(explode_lines(files)), catalog)
+    rows = {(r["start_line"], r["usage_type"], r["namespace"], r["symbol_name"], r["assembly_name"]) for r in refs.classify_usage(found).collect()}
+    assert rows == {
+        (1, "UsingDirective", "A", "B", None),
+        (2, "UsingDirective", None, "C", None),
+        (3, "MethodInvocation", "A.B", "Run", "L1"),
+        (3, "Direct", "A.B", "Run", "L1"),
+        (3, "Direct", "C", "Thing", "L2"),
+        (4, "TypeReference", "C", "Thing", "L2"),
+        (4, "Direct", "C", "Thing", "L2"),
+    }
