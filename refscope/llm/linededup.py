@@ -117,11 +117,13 @@ def without_repeats(
     runs = runs.select(F.struct("id", "t1", "t2").alias("key"), "runs").hint("merge")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id_column}`").alias("doc_id"),
-        F.col(f"`{text_column}`").alias("text"),
         document_key(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")).alias("key"),
     )
-    rows = rows.join(runs, "key", "left")
+    # The text moves once, inside its row.
+    inside = F.col("row")
+    rows = rows.join(runs, "key", "left").select(
+        "row", inside.getField(id_column).alias("doc_id"), inside.getField(text_column).alias("text"), "runs"
+    )
 
     def without_runs(lines):
         def gap(i):
