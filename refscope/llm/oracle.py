@@ -125,3 +125,32 @@ score AS (
 SELECT r.doc_id, path, own AS own_license, score, coalesce(own, g.license) AS license,
   CASE WHEN own IS NULL THEN from_dir END AS inherited_from
 FROM r LEFT JOIN g USING (dir)"""
+
+
+# A user's turn goes on from a reply or a system turn just before it, a reply from a user's turn.
+ORACLE["op4_tool_calls"] = """
+WITH t AS (
+  SELECT *, lag(role) OVER c AS before, lag(turn) OVER c = turn - 1 AS near, lead(role) OVER c AS after, lead(turn) OVER c = turn + 1 AS next
+  FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)
+), k AS (
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    coalesce(near AND CASE role WHEN 'user' THEN before <> 'user' WHEN 'assistant' THEN before = 'user' ELSE false END, false) AS goes_on,
+    coalesce(next AND after = 'assistant', false) AS answered FROM t
+), r AS (
+  SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM k
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS position FROM r
+)
+SELECT conv_id, position, turn, kind, CASE kind WHEN 'call' THEN 'c' ELSE 'r' END || turn AS id,
+  CASE kind WHEN 'result' THEN 'c' || (turn - 1) END AS call_id,
+  CASE kind WHEN 'call' THEN answered WHEN 'result' THEN goes_on ELSE false END AS linked,
+  CASE WHEN kind <> 'call' THEN '' WHEN text IS NULL THEN '$.question: missing' WHEN text = '' THEN '$.question: shorter than minLength'
+    WHEN length(text) > 400 THEN '$.question: longer than maxLength' ELSE '' END AS errors,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{' || coalesce('"question":' || CAST(to_json(text) AS varchar) || ',', '') || '"turn":' || turn
+      || '},"id":"c' || turn || '","kind":"call","name":"answer"}'
+    WHEN 'result' THEN '{"call_id":"c' || (turn - 1) || '","content":' || coalesce(CAST(to_json(text) AS varchar), 'null')
+      || ',"kind":"result","name":' || CASE WHEN goes_on THEN '"answer"' ELSE 'null' END || '}'
+    ELSE '{"content":' || coalesce(CAST(to_json(text) AS varchar), 'null') || ',"kind":"message","role":' || coalesce(CAST(to_json(role) AS varchar), 'null') || '}'
+  END AS json
+FROM p"""

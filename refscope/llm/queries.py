@@ -105,7 +105,7 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role",
         F.col("text").alias("content"),
     )
-    return toolcalls.linked(items, TOOL_SCHEMAS)
+    return toolcalls.linked(items, TOOL_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query
