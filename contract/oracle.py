@@ -234,7 +234,7 @@ _SQL = {
         UNION ALL SELECT l.solution, l.file_path, line_no, node_kind, name, c.namespace, c.symbol_name, c.assembly_name
           FROM lexical l JOIN catalog c ON l.name = c.namespace || '.' || c.symbol_name || '.Run'
           WHERE contains(name, '.')""",
-    "lexical_analysis": """WITH numbered AS (SELECT solution, project_name, file_path, i AS line_no, a[i] AS line FROM
+    "lexical_analysis": r"""WITH numbered AS (SELECT solution, project_name, file_path, i AS line_no, a[i] AS line FROM
           (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS a FROM {code_files}))),
         found AS (
           SELECT solution, project_name, file_path, 'UsingDirective' AS usage_type, regexp_extract(line, 'using\s+([A-Za-z0-9_.]+);', 1) AS name
