@@ -138,12 +138,12 @@ def top_k(
         some = asked.join(state, "vec_id").withColumn("rb", right)
         return some.groupBy(*pair).cogroup(held.groupBy(*pair)).applyInPandas(run, schema)
 
-    # No score is larger than the product of the largest components times the dimension.
-    peak = rows.select("dim", F.array_max(F.transform("v", F.abs)).alias("m")).groupBy("dim").agg(F.max("m").alias("m"))
-    bounds = {r["dim"]: int(r["m"]) ** 2 * r["dim"] for r in peak.collect()}
-    most = max(bounds.values(), default=0)
-    if most >= 2**62:
+    # No score is larger than the square of the largest component times the dimension.
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    peak = rows.agg(F.max(largest * largest * F.col("dim"))).first()[0] or 0.0
+    if peak >= 2.0**62:
         raise OverflowError("scores may not fit into a long")
+    most = int(peak * (1 + 1e-9)) + 1
     width = max(1, -(-(2 * most + 1) // BINS))
     longs = lambda x: F.lit(x).cast("long")
     state = written(asked.select("vec_id", longs(-most).alias("low"), longs(width).alias("width")), "ranges")
