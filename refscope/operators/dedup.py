@@ -8,10 +8,11 @@ the sequential greedy result, computed without comparing all pairs:
    bounded array per job and then drops every later text similar to a kept one.
    Groups of near copies, however large, vanish as soon as one of them is kept.
 3. Where folding no longer halves the work, the texts are unlike each other. If
-   no job has many of them, wider folds finish them all. Else a *bucket round* looks for candidates by shared gram signatures. Each bucket
-   shows only its first few undecided members, so a round emits a bounded
-   number of candidates per text. A text may be kept only if no bucket hides an
-   earlier member from it; the others wait for the next round.
+   no job has many of them, wider folds finish them all. Else a *bucket round*
+   looks for candidates by shared gram signatures. Each bucket shows only its
+   first few undecided members, so a round emits a bounded number of candidates
+   per text. A text may be kept only if no bucket hides an earlier member from
+   it; the others wait for the next round.
 
 Both steps are exact, so they can follow each other in any order.
 """
