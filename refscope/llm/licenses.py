@@ -41,7 +41,9 @@ def _python_terms(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.lower()) if w]
 
 
-def document_frequencies(docs: DataFrame, templates: dict[str, str], text_column: str = "text") -> tuple[int, dict[str, int]]:
+def document_frequencies(
+    docs: DataFrame, templates: dict[str, str], text_column: str = "text"
+) -> tuple[int, dict[str, int]]:
     """Number of documents, and of those with each word of the templates: a few sums over all texts."""
     vocabulary = sorted({w for t in templates.values() for w in _python_terms(t)})
     present = F.array_intersect(_terms(F.col(f"`{text_column}`")), F.lit(vocabulary))
@@ -51,7 +53,9 @@ def document_frequencies(docs: DataFrame, templates: dict[str, str], text_column
     return found["all"], {w: found[f"n{i}"] for i, w in enumerate(vocabulary)}
 
 
-def weights(templates: dict[str, str], n_docs: int, frequencies: dict[str, int]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+def weights(
+    templates: dict[str, str], n_docs: int, frequencies: dict[str, int]
+) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
     """Inverse document frequencies, and each template as a unit vector."""
     idf = {w: log((1 + n_docs) / (1 + n)) + 1 for w, n in frequencies.items()}
     vectors = {}
@@ -80,7 +84,15 @@ def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
     return sorted(out)
 
 
-def line_scores(docs: DataFrame, key: Column, idf: dict[str, float], vectors: dict[str, dict[str, float]], unseen: float, threshold: float, text_column: str) -> DataFrame:
+def line_scores(
+    docs: DataFrame,
+    key: Column,
+    idf: dict[str, float],
+    vectors: dict[str, dict[str, float]],
+    unseen: float,
+    threshold: float,
+    text_column: str,
+) -> DataFrame:
     """``(key, score, license)``: per document the best cosine of any of its lines, at least ``threshold``.
 
     All words of a line weigh; those of no template as words that no document
@@ -103,7 +115,8 @@ def line_scores(docs: DataFrame, key: Column, idf: dict[str, float], vectors: di
     weight = F.col("n") * F.coalesce("idf", F.lit(unseen))
     sums = [F.sum(weight * F.coalesce(f"v{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))]
     sums = words.join(known, "word", "left").groupBy("key", "pos").agg(F.sqrt(F.sum(weight * weight)).alias("size"), *sums)
-    best = F.array_max(F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("size"), 6).alias("score"), F.lit(-i).alias("i")) for i in range(len(names))]))
+    cosines = [F.round(F.col(f"d{i}") / F.col("size"), 6).alias("score") for i in range(len(names))]
+    best = F.array_max(F.array(*[F.struct(c, F.lit(-i).alias("i")) for i, c in enumerate(cosines)]))
     found = sums.select("key", best.alias("best")).where(F.col("best.score") >= threshold)
     found = found.groupBy("key").agg(F.max("best").alias("best"))
     name = F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.i"))
@@ -136,7 +149,11 @@ def nearest(files: DataFrame) -> DataFrame:
 
 
 def scan(
-    files: DataFrame, path_column: str = "path", text_column: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD
+    files: DataFrame,
+    path_column: str = "path",
+    text_column: str = "text",
+    templates: dict[str, str] | None = None,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Every row of ``files`` as ``(row, path, own_license, score, license, inherited_from)``.
 

@@ -202,7 +202,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_label: int = TRAIN_DOCS) -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    docs_per_label: int = TRAIN_DOCS,
+) -> Model:
     """A model from a bounded sample of labelled documents.
 
     At most ``docs_per_label`` documents of either label, those of the smallest id

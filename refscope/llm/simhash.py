@@ -235,7 +235,9 @@ def fingerprint_links(fingerprints: DataFrame, distance: int, node_rows: int = N
     work = (
         fingerprints.select("fp", F.explode(F.array(*turned)).alias("_t"))
         .select("fp", "_t.*")
-        .select("turn", node.alias("a"), node.alias("b"), F.lit(0).alias("side"), "depth", F.lit(0).alias("spent"), "key", "fp")
+        .select(
+            "turn", node.alias("a"), node.alias("b"), F.lit(0).alias("side"), "depth", F.lit(0).alias("spent"), "key", "fp"
+        )
     )
     pair = ["turn", "a", "b"]
     parts = []
@@ -273,11 +275,19 @@ def _deeper(work: DataFrame, table: np.ndarray) -> DataFrame:
     rows = rows.withColumn("_q", F.explode(F.expr("sequence(0, shiftleft(1, _down) - 1)")))
     rows = rows.withColumn("_spent", F.col("spent") + F.bit_count(F.col("_own").bitwiseXOR(F.col("_q"))))
     rows = rows.where("_spent <= _may")
-    low, high = "shiftleft(a, _down) | cast(least(_own, _q) as bigint)", "shiftleft(b, _down) | cast(greatest(_own, _q) as bigint)"
+
+    def below(node: str, bits: Column) -> Column:
+        return F.expr(f"shiftleft({node}, _down)").bitwiseOR(bits.cast("long"))
+
+    # A row of a node paired with itself takes the smaller of both descendants first; else each side stays.
+    own, other, first = F.col("_own"), F.col("_q"), F.col("side") == 0
+    itself = F.col("a") == F.col("b")
+    left = F.when(itself, F.least(own, other)).when(first, own).otherwise(other)
+    right = F.when(itself, F.greatest(own, other)).when(first, other).otherwise(own)
     return rows.select(
         "turn",
-        F.expr(f"CASE WHEN a = b THEN {low} WHEN side = 0 THEN shiftleft(a, _down) | cast(_own as bigint) ELSE shiftleft(a, _down) | cast(_q as bigint) END").alias("a"),
-        F.expr(f"CASE WHEN a = b THEN {high} WHEN side = 0 THEN shiftleft(b, _down) | cast(_q as bigint) ELSE shiftleft(b, _down) | cast(_own as bigint) END").alias("b"),
+        below("a", left).alias("a"),
+        below("b", right).alias("b"),
         F.expr("CASE WHEN a = b THEN IF(_own > _q, 1, 0) ELSE side END").alias("side"),
         F.col("_to").alias("depth"),
         F.col("_spent").cast("int").alias("spent"),
@@ -287,7 +297,12 @@ def _deeper(work: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int, distance: int, id_column: str = "doc_id", text_column: str = "text", node_rows: int = NODE_ROWS
+    docs: DataFrame,
+    shingle: int,
+    distance: int,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    node_rows: int = NODE_ROWS,
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id, group)`` for every row of ``docs``.
 
@@ -314,7 +329,9 @@ def near_duplicates(
     return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "group")
 
 
-def keep_one(docs: DataFrame, shingle: int, distance: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle: int, distance: int, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """Rows of ``docs``, all columns, one per component: that of the smallest id.
 
     Among rows of that id the one with the smallest hash of its values stays,

@@ -108,7 +108,12 @@ class Cascade:
 
 
 def build_cascade(
-    universe: DataFrame, key: str, listed: str, bits_per_key: int = BITS_PER_KEY, filter_bits: int = FILTER_BITS, plan_bits: int = PLAN_BITS
+    universe: DataFrame,
+    key: str,
+    listed: str,
+    bits_per_key: int = BITS_PER_KEY,
+    filter_bits: int = FILTER_BITS,
+    plan_bits: int = PLAN_BITS,
 ) -> Cascade:
     """A cascade that tells the listed keys of ``universe(key, listed)`` from all its other keys.
 
@@ -118,7 +123,8 @@ def build_cascade(
     listed; null keys are ignored; an empty list makes a cascade that has
     nothing, a list of all keys one level.
     """
-    keys = universe.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.coalesce(F.col(listed), F.lit(False))).alias("in"))
+    any_listed = F.max(F.coalesce(F.col(listed), F.lit(False))).alias("in")
+    keys = universe.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(any_listed)
     keys = written(keys, "keys")
     n = keys.where("in").count()
     shards = max(1, -(-n * bits_per_key // filter_bits))
@@ -169,7 +175,14 @@ def _passing(one: Cascade, keys: DataFrame, level: int) -> DataFrame:
     return rows.where(hit).select("key", "in")
 
 
-def judged(pages: DataFrame, rules: list[Rule], cascade_key: str, cascade: Cascade, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judged(
+    pages: DataFrame,
+    rules: list[Rule],
+    cascade_key: str,
+    cascade: Cascade,
+    id_column: str = "page_id",
+    url_column: str = "url",
+) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row: the longest rule's verdict, else the list's.
 
     ``cascade_key`` is an SQL expression over ``host`` and ``path``; a listed key
