@@ -90,12 +90,13 @@ def contaminated(
     )
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id_column}`").alias("doc_id"),
         key,
-        F.col(f"`{text_column}`").alias("text"),
     )
     # Candidates grow with the documents: shuffled whatever their size.
-    rows = rows.join(candidates.hint("merge"), "key", "left")
+    inside = F.col("row")
+    rows = rows.join(candidates.hint("merge"), "key", "left").select(
+        "row", inside.getField(id_column).alias("doc_id"), inside.getField(text_column).alias("text"), "found"
+    )
     none = F.array().cast("array<struct<begin:int,n:int,window:string,items:array<string>>>")
 
     def verified(w):
