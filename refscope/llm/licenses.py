@@ -1,9 +1,10 @@
-"""License scans: TF-IDF cosine of lines to license templates, inherited from the nearest directory."""
+"""License scans: TF-IDF cosine of headers and license files to templates, inherited from the nearest directory."""
 
 from __future__ import annotations
 
 import re
-from math import log, sqrt
+from math import ceil, log, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: The standard texts, by public identifier; only the driver reads them.
+FULL_TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 SEPARATORS = "[^a-z0-9]+"
 
 
@@ -42,22 +46,24 @@ def _python_terms(text: str) -> list[str]:
 
 
 def document_frequencies(
-    docs: DataFrame, templates: dict[str, str], text_column: str = "text"
+    docs: DataFrame, templates: list[str], text_column: str = "text"
 ) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those with each word of the templates: a few sums over all texts."""
-    vocabulary = sorted({w for t in templates.values() for w in _python_terms(t)})
-    present = F.array_intersect(_terms(F.col(f"`{text_column}`")), F.lit(vocabulary))
-    rows = docs.select(present.alias("p"))
-    sums = [F.count_if(F.array_contains("p", w)).alias(f"n{i}") for i, w in enumerate(vocabulary)]
-    found = rows.agg(F.count(F.lit(1)).alias("all"), *sums).first()
-    return found["all"], {w: found[f"n{i}"] for i, w in enumerate(vocabulary)}
+    """Number of documents, and of those with each word of the templates: one count over all texts."""
+    vocabulary = sorted({w for t in templates for w in _python_terms(t)})
+    present = F.array_intersect(_terms(F.col(f"`{text_column}`")), F.lit(vocabulary).cast("array<string>"))
+    # No word is empty: the empty one counts the documents.
+    present = F.concat(F.coalesce(present, F.array().cast("array<string>")), F.array(F.lit("")))
+    counts = docs.select(F.explode(present).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["word"]: r["n"] for r in counts.collect()}
+    return found.get("", 0), {w: found.get(w, 0) for w in vocabulary}
 
 
 def weights(
     templates: dict[str, str], n_docs: int, frequencies: dict[str, int]
 ) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
     """Inverse document frequencies, and each template as a unit vector."""
-    idf = {w: log((1 + n_docs) / (1 + n)) + 1 for w, n in frequencies.items()}
+    used = {w for text in templates.values() for w in _python_terms(text)}
+    idf = {w: log((1 + n_docs) / (1 + frequencies[w])) + 1 for w in used}
     vectors = {}
     for name, text in templates.items():
         words = _python_terms(text)
@@ -84,43 +90,114 @@ def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
     return sorted(out)
 
 
-def line_scores(
-    docs: DataFrame,
-    key: Column,
+def _plain_words(text: Column) -> Column:
+    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+
+
+def _mentions(text: Column, need: list[str]) -> Column:
+    """Whether a text in lower case has one of the words: a quick search first; then whole words."""
+    some = F.lit(False)
+    for word in need:
+        some = some | F.contains(text, F.lit(word))
+    return some & F.arrays_overlap(F.split(text, SEPARATORS), F.lit(need))
+
+
+def lines(docs: DataFrame, key: Column, need: list[str], text_column: str) -> DataFrame:
+    """``(key, pos, n_lines, words)`` of every line that has one of the words ``need``."""
+    out = docs.select(key.alias("key"), F.posexplode(F.split(F.lower(F.col(f"`{text_column}`")), "\n")).alias("pos", "line"))
+    return out.where(_mentions(F.col("line"), need)).select("key", "pos", F.lit(1).alias("n_lines"), _plain_words(F.col("line")).alias("words"))
+
+
+def runs(docs: DataFrame, key: Column, need: list[str], most_words: int, text_column: str) -> DataFrame:
+    """``(key, pos, n_lines, words)`` of every run of two lines or more that has one of the words ``need``.
+
+    A run has at most ``most_words`` words. Lines without words, such as the
+    frame of a comment, do not count as lines. From a line on there are at most
+    ``most_words`` runs.
+    """
+    texts = docs.select(key.alias("key"), F.split(F.lower(F.col(f"`{text_column}`")), "\n").alias("lines"))
+    texts = texts.where(F.exists("lines", lambda line: _mentions(line, need)))
+    # A longer line is in no run, so that the rest of it need not move.
+    parts = F.transform("lines", lambda line: F.slice(_plain_words(line), 1, most_words + 1))
+    texts = texts.select("key", F.filter(parts, lambda ws: F.size(ws) > 0).alias("parts"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(i.alias("pos"), F.slice("parts", i, most_words).alias("near")))
+    # Two lines at least, and the first two not yet too long.
+    fits = F.filter(starts, lambda s: (F.size(s["near"]) > 1) & (F.size(s["near"][0]) + F.size(F.get(s["near"], 1)) <= most_words))
+    texts = texts.where(F.size("parts") > 1).select("key", F.explode(fits).alias("s")).select("key", "s.pos", "s.near")
+    ends = F.when(F.size("near") > 1, F.transform(F.sequence(F.lit(2), F.size("near")), lambda n: F.struct(n.alias("n_lines"), F.flatten(F.slice("near", F.lit(1), n)).alias("words"))))
+    good = F.filter(ends, lambda r: (F.size(r["words"]) <= most_words) & F.arrays_overlap(r["words"], F.lit(need)))
+    return texts.select("key", "pos", F.explode(good).alias("r")).select("key", "pos", "r.n_lines", "r.words")
+
+
+def most_words(templates: dict[str, str], threshold: float) -> int:
+    """Of how many words a run is at most: those of the longest template among as many others as the threshold allows.
+
+    With n words of a template and m different others of like weight, the cosine
+    is at most sqrt(n / (n + m)). Only a notice between many frequent words of
+    the templates, or repeated, might reach the threshold in a longer run.
+    """
+    longest = max((len(_python_terms(t)) for t in templates.values()), default=0)
+    return min(ceil(longest / threshold**2), 2**30) if threshold > 0 else 2**30
+
+
+def unit_scores(
+    units: DataFrame,
     idf: dict[str, float],
     vectors: dict[str, dict[str, float]],
     unseen: float,
     threshold: float,
-    text_column: str,
+    ranks: dict[str, int],
 ) -> DataFrame:
-    """``(key, score, license)``: per document the best cosine of any of its lines, at least ``threshold``.
+    """``(key, best)``: per document the best ``(score, i)`` of any of its units, at least ``threshold``.
 
-    All words of a line weigh; those of no template as words that no document
-    has, so prose around a notice lowers its cosine.
+    All words of a unit weigh; those of no template as words that no document
+    has, so prose around a notice lowers its cosine. ``i`` is the negative rank
+    of the template's name.
     """
-    need = anchors(vectors, threshold)
-    lines = docs.select(key.alias("key"), F.posexplode(F.split(F.lower(F.col(f"`{text_column}`")), "\n")).alias("pos", "line"))
-    # A quick search first; then whole words.
-    some = F.lit(False)
-    for word in need:
-        some = some | F.contains("line", F.lit(word))
-    lines = lines.where(some).select("key", "pos", F.filter(F.split("line", SEPARATORS), lambda w: w != "").alias("words"))
-    lines = lines.where(F.arrays_overlap("words", F.lit(need)))
-    words = lines.select("key", "pos", F.explode("words").alias("word")).groupBy("key", "pos", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = units.select("key", "pos", "n_lines", F.explode("words").alias("word")).groupBy("key", "pos", "n_lines", "word").agg(F.count(F.lit(1)).alias("n"))
     names = sorted(vectors)
     table = [(w, float(idf[w]), *[float(vectors[name].get(w, 0.0)) for name in names]) for w in sorted(idf)]
     schema = "word string, idf double" + "".join(f", v{i} double" for i in range(len(names)))
     # As many rows as the templates have words, whatever the input.
-    known = F.broadcast(docs.sparkSession.createDataFrame(table, schema))
+    known = F.broadcast(units.sparkSession.createDataFrame(table, schema))
     weight = F.col("n") * F.coalesce("idf", F.lit(unseen))
     sums = [F.sum(weight * F.coalesce(f"v{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))]
-    sums = words.join(known, "word", "left").groupBy("key", "pos").agg(F.sqrt(F.sum(weight * weight)).alias("size"), *sums)
-    cosines = [F.round(F.col(f"d{i}") / F.col("size"), 6).alias("score") for i in range(len(names))]
-    best = F.array_max(F.array(*[F.struct(c, F.lit(-i).alias("i")) for i, c in enumerate(cosines)]))
-    found = sums.select("key", best.alias("best")).where(F.col("best.score") >= threshold)
-    found = found.groupBy("key").agg(F.max("best").alias("best"))
+    sums = words.join(known, "word", "left").groupBy("key", "pos", "n_lines").agg(F.sqrt(F.sum(weight * weight)).alias("size"), *sums)
+    cosines = [F.struct(F.round(F.col(f"d{i}") / F.col("size"), 6).alias("score"), F.lit(-ranks[name]).alias("i")) for i, name in enumerate(names)]
+    found = sums.select("key", F.array_max(F.array(*cosines)).alias("best")).where(F.col("best.score") >= threshold)
+    return found.groupBy("key").agg(F.max("best").alias("best"))
+
+
+def text_scores(
+    files: DataFrame,
+    key: Column,
+    path: Column,
+    templates: dict[str, str],
+    full_texts: dict[str, str],
+    threshold: float,
+    text_column: str,
+) -> DataFrame:
+    """``(key, score, license)``: per document the best cosine of its lines, runs of lines and, of a license file, its whole text."""
+    total, frequencies = document_frequencies(files, [*templates.values(), *full_texts.values()], text_column)
+    unseen = log(1 + total) + 1
+    names = sorted({*templates, *full_texts})
+    ranks = {name: i for i, name in enumerate(names)}
+    found = []
+    if templates:
+        idf, vectors = weights(templates, total, frequencies)
+        need = anchors(vectors, threshold)
+        units = lines(files, key, need, text_column).unionByName(runs(files, key, need, most_words(templates, threshold), text_column))
+        found.append(unit_scores(units, idf, vectors, unseen, threshold, ranks))
+    if full_texts:
+        idf, vectors = weights(full_texts, total, frequencies)
+        whole = files.where(file_name(path).rlike(LICENSE_FILES))
+        whole = whole.select(key.alias("key"), F.lit(0).alias("pos"), F.lit(0).alias("n_lines"), _plain_words(F.lower(F.col(f"`{text_column}`"))).alias("words"))
+        found.append(unit_scores(whole, idf, vectors, unseen, threshold, ranks))
+    if not found:
+        return files.select(key.alias("key"), F.lit(0.0).alias("score"), F.lit("").alias("license")).limit(0)
+    best = found[0] if len(found) == 1 else found[0].unionByName(found[1]).groupBy("key").agg(F.max("best").alias("best"))
     name = F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.i"))
-    return found.select("key", F.col("best.score").alias("score"), name.alias("license"))
+    return best.select("key", F.col("best.score").alias("score"), name.alias("license"))
 
 
 def directory(path: Column) -> Column:
@@ -128,6 +205,10 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?s)([^/]*)$", 1)
+
+
 def nearest(files: DataFrame) -> DataFrame:
     """``(dir, from_dir, license)``: for each directory of ``files`` the license of the nearest one at or above it.
 
@@ -154,27 +235,30 @@ def scan(
     text_column: str = "text",
     templates: dict[str, str] | None = None,
     threshold: float = THRESHOLD,
+    full_texts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Every row of ``files`` as ``(row, path, own_license, score, license, inherited_from)``.
 
     ``row`` holds the columns of ``files`` whatever their names. A file's own
-    license is that of the template most like any of its lines (TF-IDF cosine at
-    least ``threshold``; word weights from all texts; ties to the first name). A
-    file without one has the license of the nearest directory, its own or one
-    above it, in which a license file has one; of several the best scored. A
-    null or empty text has no license of its own, a null path inherits none,
-    repeated rows are judged alike, an empty table gives an empty table.
+    license is that of the template most like any part of it (TF-IDF cosine at
+    least ``threshold``; word weights from all texts; ties to the first name).
+    Parts are its lines and its runs of lines, so that wrapped notices count, beside
+    ``templates``, and the whole text of a license file beside ``full_texts``. A
+    run has at most ``most_words`` words; lines and whole texts are of any length.
+    Prose on the same line lowers a notice's cosine. A file without one has the
+    license of the nearest directory, its own or one above it, in which a license
+    file has one; of several the best scored. A null or empty text has no license
+    of its own, a null path inherits none, repeated rows are judged alike, an
+    empty table gives an empty table.
     """
     templates = TEMPLATES if templates is None else templates
-    total, frequencies = document_frequencies(files, templates, text_column)
-    idf, vectors = weights(templates, total, frequencies)
+    full_texts = FULL_TEXTS if full_texts is None else full_texts
     path, text = F.col(f"`{path_column}`"), F.col(f"`{text_column}`")
     key = document_key(path, text)
-    scores = written(line_scores(files, key, idf, vectors, log(1 + total) + 1, threshold, text_column), "license-lines")
+    scores = written(text_scores(files, key, path, templates, full_texts, threshold, text_column), "license-scores")
     rows = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"), path.alias("path"), key.alias("key"))
     rows = rows.join(beside(scores), "key", "left").withColumn("dir", directory(F.col("path")))
-    name = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
-    places = written(rows.where("path IS NOT NULL").select("dir", name.alias("name"), "score", "license").distinct(), "places")
+    places = written(rows.where("path IS NOT NULL").select("dir", file_name(F.col("path")).alias("name"), "score", "license").distinct(), "places")
     given = written(nearest(places).withColumnRenamed("license", "given"), "directory-licenses")
     rows = rows.withColumn("dir", F.when(F.col("path").isNotNull(), F.col("dir"))).join(beside(given), "dir", "left")
     inherits = F.col("license").isNull()

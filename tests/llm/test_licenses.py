@@ -49,3 +49,54 @@ def test_scores_equal_a_plain_cosine(spark):
         for t, w in zip(texts, words, strict=True):
             best = max((cosine(vector(w), vector(x.lower().replace(",", "").split())), n) for n, x in templates.items())
             assert got[t] == ((best[1], best[0]) if best[0] >= threshold else (None, None)), t
+
+
+def _plain_best(texts, path, text, threshold=0.8):
+    """Best (score, name) over all runs of lines, of any length, and a license file's whole text."""
+    import re
+
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    unseen = log(1 + len(texts)) + 1
+
+    def best(units, templates):
+        bags = {n: re.findall("[a-z0-9]+", t.lower()) for n, t in templates.items()}
+        idf = {w: log((1 + len(texts)) / (1 + sum(w in x for x in words))) + 1 for b in bags.values() for w in set(b)}
+
+        def vector(ws):
+            return {w: ws.count(w) * idf.get(w, unseen) for w in set(ws)}
+
+        sides = {n: vector(b) for n, b in bags.items()}
+        for unit in units:
+            v = vector(unit)
+            for n, t in sides.items():
+                if v:
+                    yield round(sum(x * t.get(w, 0) for w, x in v.items()) / sqrt(sum(x * x for x in v.values()) * sum(x * x for x in t.values())), 6), n
+
+    rows = [re.findall("[a-z0-9]+", line) for line in (text or "").lower().split("\n")]
+    parts = [sum(rows[a : b + 1], []) for a in range(len(rows)) for b in range(a, len(rows))]
+    found = list(best(parts, L.TEMPLATES))
+    if re.match(L.LICENSE_FILES, path.rsplit("/", 1)[-1]):
+        found += best([sum(rows, [])], L.FULL_TEXTS)
+    score, name = min(((-s, n) for s, n in found), default=(0, None))
+    return (name, -score) if -score >= threshold else (None, None)
+
+
+def test_full_texts_and_wrapped_notices(spark):
+    gpl, apache, cc = L.TEMPLATES["GPL-3.0"], L.TEMPLATES["Apache-2.0"], L.TEMPLATES["CC-BY-4.0"]
+    rows = [(f"full/{name}/LICENSE", f"Copyright (c) 2020 Some One\n\n{text}") for name, text in L.FULL_TEXTS.items()]
+    rows += [
+        ("w/two.c", "/* Some words before.\n * " + gpl.replace("GNU General ", "GNU General\n * ") + "\n */\nint main;"),
+        ("w/words.py", "prose goes here\n" + "\n#\n# ".join(apache.split()) + "\nand more prose"), ("w/crlf.txt", cc.replace("under ", "under\r\n")),
+        ("w/prose.txt", "one two three four\nfive six seven the license\n\nversion 2"), ("w/none.txt", None), ("w/empty.txt", "\n\n"),
+        ("full/MIT/no.txt", L.FULL_TEXTS["MIT"]), ("w/long.txt", ("word " * 30 + "\n") * 2000 + "Released under the\nMIT License.\n" + "word " * 30),
+    ]
+    texts = [t for _, t in rows]
+    got = {r.path: r for r in scan(spark, rows).collect()}
+    for name in L.FULL_TEXTS:
+        assert got[f"full/{name}/LICENSE"].own_license == name
+    assert [got[f"w/{n}"].own_license for n in ("two.c", "words.py", "crlf.txt", "long.txt")] == ["GPL-3.0", "Apache-2.0", "CC-BY-4.0", "MIT"]
+    assert got["full/MIT/no.txt"].own_license is None and got["full/MIT/no.txt"].inherited_from == "full/MIT"
+    for path, text in rows:
+        if len(text or "") < 2000:
+            assert (got[path].own_license, got[path].score) == _plain_best(texts, path, text), path
+    assert {r.own_license for r in scan(spark, rows, full_texts={}).where("path LIKE 'full/%'").collect()} <= {None, *L.TEMPLATES}
