@@ -58,12 +58,20 @@ VIEWS = {
     "source_files": """
         SELECT 'docs' AS solution, source AS project_name, concat('docs/', cast(doc_id AS varchar(20)),
          CASE WHEN doc_id % 9 = 0 THEN '.PNG' ELSE '.txt' END) AS file_path, text FROM {documents}""",
-    # Positions in those documents: some in missing or binary files, some on line 0 or beyond the end.
+    "document_lines": """
+        SELECT doc_id, max(length(t) - length(replace(t, chr(10), '')) + 1) AS n_lines FROM (
+         SELECT doc_id, replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) AS t FROM {documents}) x
+        GROUP BY doc_id""",
+    # Positions in all documents: some in missing or binary files, some on line 0 or up to two lines beyond the end.
     "doc_usages": """
-        SELECT 'docs' AS solution, concat('docs/', cast(event_id % 1200 AS varchar(20)),
+        SELECT 'docs' AS solution, concat('docs/', cast(asked AS varchar(20)),
          CASE WHEN event_id % 9 = 0 THEN '.PNG' ELSE '.txt' END) AS file_path,
-         cast(user_id % 19 AS int) AS start_line, cast(user_id % 19 + event_id % 2 AS int) AS end_line,
-         cast(1 + event_id % 3 AS int) AS context_lines, event_id, event_type AS code_text FROM {events}""",
+         cast((event_id + user_id) % (coalesce(n_lines, 0) + 3) AS int) AS start_line,
+         cast((event_id + user_id) % (coalesce(n_lines, 0) + 3) + event_id % 2 AS int) AS end_line,
+         cast(1 + event_id % 3 AS int) AS context_lines, event_id, event_type AS code_text
+        FROM (SELECT event_id, user_id, event_type,
+          event_id % (SELECT coalesce(max(doc_id), 0) + 2 FROM {documents}) AS asked FROM {events}) e
+        LEFT JOIN {document_lines} ON asked = doc_id""",
     # Text of the files the references point into: five lines each, so lines 6 and 7 are beyond the end.
     "ref_files": """
         SELECT r.solution, r.file_path,

@@ -1,5 +1,6 @@
 """Snippets around a line, and the cases without one."""
 
+from contract.views import view
 from refscope.operators import context
 
 FILES = "solution string, file_path string, text string"
@@ -83,3 +84,16 @@ def test_context_of_every_line(spark):
     assert got[("five.cs", 1)] == "1\n2" and got[("five.cs", 3)] == "2\n3\n4" and got[("trail.cs", 2)] == "a\n"
     assert len(got) == 5 + 1 + 2
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usages_reach_every_document_and_line(spark, tmp_path):
+    spark.sql("SELECT id AS doc_id, array_join(array_repeat('x', cast(1 + id % 40 AS int)), '\r\n') AS text FROM range(1500)").write.parquet(f"{tmp_path}/documents.parquet")
+    events = "SELECT id AS event_id, id % 7 AS user_id, 'view' AS event_type FROM range(90000)"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    rows = view(spark, str(tmp_path), "doc_usages").select("file_path", "start_line", "event_id").collect()
+    assert len(rows) == 90000
+    got = {(r.file_path, r.start_line) for r in rows}
+    names = {f"docs/{i}.{'PNG' if i % 9 == 0 else 'txt'}" for i in range(1500)}
+    assert names < {path for path, _ in got}
+    lines = {i: {line for path, line in got if path.startswith(f"docs/{i}.")} for i in (38, 39, 1479)}
+    assert max(lines[38]) == 41 and max(lines[39]) == 42 and max(lines[1479]) == 42 and min(lines[39]) == 0
