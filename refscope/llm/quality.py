@@ -8,15 +8,14 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refscope.llm.common import bounded_batches
 
-#: Bounds of the training sample: documents of either label, and lines of one document.
+#: Bounds of the training sample: documents of either label, and lines of all of these together.
 TRAIN_DOCS = 3000
-TRAIN_LINES = 400
-TRAIN_BYTES = 200_000
+TRAIN_LINES = 100_000
 #: A document is predicted good from this score on.
 GOOD = 0.7
 _STEPS, _RATE, _DECAY = 120, 0.15, 1e-2
@@ -208,13 +207,15 @@ def fit(
     id_column: str = "doc_id",
     text_column: str = "text",
     docs_per_label: int = TRAIN_DOCS,
+    lines_per_label: int = TRAIN_LINES,
 ) -> Model:
     """A model from a bounded sample of labelled documents.
 
     At most ``docs_per_label`` documents of either label, those of the smallest id
-    hashes, without held-out ones and without texts of over ``TRAIN_BYTES``
-    bytes; of one document the driver gets at most ``TRAIN_LINES`` lines' figures.
-    Ids with contradicting labels, null labels or null ids are left out.
+    hashes, without held-out ones; of these as many, in that order, as have
+    ``lines_per_label`` lines together. A document is taken with all its lines or
+    not at all; one that alone has more lines than that is not taken. Ids with
+    contradicting labels, null labels or null ids are left out.
     """
     bounded_batches(docs.sparkSession)
     known = (
@@ -231,14 +232,18 @@ def fit(
 
     def figures(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
-            yield pd.Series([text_lines(t)[0][:TRAIN_LINES].astype("<f4").tobytes() for t in some])
+            yield pd.Series([text_lines(t)[0].astype("<f4").tobytes() for t in some])
 
     figures.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     text = F.col(f"`{text_column}`")
-    found = docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    found = docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text")).where("text IS NOT NULL")
     # The sample has a fixed bound, whatever the input.
     found = found.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    lines = found.select("id", "y", F.pandas_udf(figures, "binary")(F.encode("text", "UTF-8")).alias("x")).collect()
+    found = found.select("id", "y", F.pandas_udf(figures, "binary")(F.encode("text", "UTF-8")).alias("x"))
+    found = found.withColumn("n", F.octet_length("x") / (4 * FEATURES)).where(F.col("n") <= lines_per_label)
+    # Over the sample alone: at most docs_per_label rows of a label.
+    first = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = found.withColumn("upto", F.sum("n").over(first)).where(F.col("upto") <= lines_per_label).select("id", "y", "x").collect()
     lines.sort(key=lambda r: str(r["id"]))
     return train([(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), int(r["y"])) for r in lines])
 

@@ -81,3 +81,17 @@ def test_edge_cases(spark, docs):
     assert Q.scored(docs([]), Q.fit(docs([]), labels)).count() == 0
     no_label = Q.fit(docs(rows), labels.limit(0))
     assert Q.scored(docs(rows), no_label).where("doc_id = 1").first().score == 0.5
+
+
+def test_sampled_documents_are_taken_whole(spark, docs, monkeypatch):
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"{GOOD}\n" * 450 + f"{BAD}\n" * 50 if i % 2 else BAD) for i in ids]
+    rows[0] = (ids[0], f"{GOOD}\n" * 4000)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train", seen.append)
+    Q.fit(docs(rows), labels)
+    whole = sorted((len(Q.text_lines(t.encode())[0]), i % 2) for i, t in rows)
+    assert len(rows[0][1]) > 200_000 and sorted((len(x), y) for x, y in seen[0]) == whole
+    Q.fit(docs(rows), labels, lines_per_label=1200)
+    assert sorted(len(x) for x, y in seen[1] if y) == [500, 500] and sum(y == 0 for _, y in seen[1]) == sum(i % 2 == 0 for i in ids)
