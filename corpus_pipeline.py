@@ -13,8 +13,13 @@ from refscope.llm.queries import LINE_WORDS, PIECE_MODEL, SIMHASH_DISTANCE, SIMH
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, predicts good."""
+    """Documents that the classifier, fitted on the labelled ones among them, predicts good.
+
+    All documents, if the sample does not hold both labels, so that nothing could be fitted.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return quality.scored(docs, model).where("predicted = 1").select("row.*")
 
 

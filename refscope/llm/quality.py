@@ -80,6 +80,11 @@ class Model:
     moves: np.ndarray
     first: np.ndarray
 
+    @property
+    def fitted(self) -> bool:
+        """Whether the sample held both labels; without them all weights are zero."""
+        return bool(self.weights.any() or self.moves.any() or self.first.any())
+
     def unary(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 

@@ -50,3 +50,11 @@ def test_character_counts_follow_the_text(spark):
     out = P.without_repeated_lines(spark, docs, SF)
     assert out.dtypes == docs.dtypes and out.where("n_chars <> char_length(text)").isEmpty()
     assert linededup.MIN_WORDS == P.LINE_WORDS and decontam.SEPARATORS
+
+
+def test_no_fitted_model_loses_no_documents(spark, docs, tmp_path):
+    table = docs([(1, "Some good words are here."), (2, "More of them."), (3, ""), (None, None)])
+    for name, labels in (("none", []), ("one", [(1, 1, 0), (2, 1, 0)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = P.good_documents(spark, table, f"{tmp_path}/{name}")
+        assert out.columns == table.columns and out.count() == 4
