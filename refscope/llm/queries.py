@@ -5,10 +5,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refscope.llm import decontam, licenses, linededup, pieces, quality, simhash, tokencounts, toolcalls, topk, urlfilter
+from refscope.llm import (
+    decontam,
+    licenses,
+    linededup,
+    periodic,
+    pieces,
+    quality,
+    resample,
+    simhash,
+    tokencounts,
+    toolcalls,
+    topk,
+    urlfilter,
+)
+from refscope.llm.common import let
 from refscope.runtime import scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +179,39 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of whole documents; by a hash of the id, a tenth of these first gets a part that repeats."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+
+    def repeating(w: Column) -> Column:
+        g = F.floor(h / 10).cast("long")
+        a = (g % F.size(w)).cast("int")
+        p = (F.lit(1) + F.floor((F.size(w) - a) / (F.lit(3) + g % 8))).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    planted = F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeating(w)))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
+    found = periodic.periodic_runs(docs, F.col("text"))
+    most = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("most", most)
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("most.start").alias("start"),
+        (-F.col("most.n")).alias("length"),
+        F.col("most.period").alias("period"),
+        F.expr("(-most.n * 1000) div most.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = resample.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample.drawn(weights).select("doc_id", "n_features", "weight", "score", "rank")
