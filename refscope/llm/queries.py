@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from refscope.llm import (
     decontam,
+    extract,
     licenses,
     linededup,
     periodic,
@@ -215,3 +216,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = resample.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return resample.drawn(weights).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract.extracted(pages, F.col("html"), extract.fitted(pages, F.col("html")))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
