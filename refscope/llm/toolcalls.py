@@ -102,28 +102,60 @@ def _serialised(schemas: dict[str, dict], columns: list[str]) -> Column:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """``(conv_id, id, depth)`` of ``nodes(conv_id, id, up)``, each id once: steps to the root; null on a cycle.
+    """``(conv_id, id, depth)`` of ``nodes(conv_id, id, up, also)``, each id once: steps of the longest way up; null above or on a cycle.
 
-    Pointers double each round, so a chain of n steps takes log n rounds of one
-    join by unique key, however long a conversation is.
+    ``up`` and ``also`` are what an item comes after. Each item knows its longest
+    finished way (``base``) and up to two open ways: at which item each goes on
+    and after how many steps. A round follows the open ways through every item that has one open way
+    at most, so single chains double; ways that meet become the longer one. Only items
+    with two open ways that have not met make others wait for a round.
     """
-    at = nodes.select("conv_id", "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
+    one = F.lit(1).cast("long")
+    first, second = F.coalesce("up", "also"), F.when(F.col("up") != F.col("also"), F.col("also"))
+    at = nodes.select(
+        "conv_id", "id", F.when(first.isNull(), one - 1).alias("base"), first.alias("a"), one.alias("s"), second.alias("b"), one.alias("t")
+    )
     at = written(at, "pointers")
-    most = at.count()
-    done, open_ = at.where("up IS NULL"), at.where("up IS NOT NULL")
-    for turn in range(_MOST_ROUNDS):
-        if (1 << turn) > 2 * most + 2 or open_.isEmpty():
+    done, open_ = at.where("a IS NULL"), at.where("a IS NOT NULL")
+    least = left = None
+    waited = 0
+    while True:
+        counts = open_.agg(F.count("a").alias("a"), F.count("b").alias("b")).first()
+        if counts.a == 0:
             break
-        # Only items that have not come to a root yet go on; what they point at may have.
-        above = done.unionByName(open_).select(
-            "conv_id", F.col("id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more")
-        )
-        moved = open_.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "id", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+        left, before = (counts.a, counts.b), left
+        waited = 0 if left != before else waited + 1
+        least = least or counts.a
+        # A chain is at an end after so many rounds; what still turns then is a cycle.
+        if waited > least.bit_length() + 1:
+            break
+        # Only items that have not come to an end go on; what they lead to may have.
+        known = done.unionByName(open_).where("b IS NULL").select("conv_id", "id", "base", "a", "s")
+
+        def through(name: str, known: DataFrame = known) -> DataFrame:
+            return known.select(
+                "conv_id", F.col("id").alias(name), F.col("base").alias(f"{name}_base"), F.col("a").alias(f"{name}_a"), F.col("s").alias(f"{name}_s"), F.lit(True).alias(f"{name}_met")
+            )
+
+        met = open_.join(through("a"), ["conv_id", "a"], "left").join(through("b"), ["conv_id", "b"], "left")
+        ends = {}
+        for name, steps in (("a", "s"), ("b", "t")):
+            ends[f"{name}1"] = F.when(F.col(f"{name}_met"), F.col(f"{name}_a")).otherwise(F.col(name))
+            ends[f"{name}n"] = F.col(steps) + F.when(F.col(f"{name}_met"), F.coalesce(f"{name}_s", one - 1)).otherwise(one - 1)
+        met = met.select("conv_id", "id", F.greatest("base", F.col("a_base") + F.col("s"), F.col("b_base") + F.col("t")).alias("base"), *[c.alias(n) for n, c in ends.items()])
+        same = F.col("a1").eqNullSafe(F.col("b1")) | F.col("a1").isNull()
+        met = met.select(
+            "conv_id",
+            "id",
+            "base",
+            F.coalesce("a1", "b1").alias("a"),
+            F.when(F.col("a1").isNull(), F.col("bn")).when(F.col("a1") == F.col("b1"), F.greatest("an", "bn")).otherwise(F.col("an")).alias("s"),
+            F.when(~same, F.col("b1")).alias("b"),
+            F.col("bn").alias("t"),
         )
-        moved = written(moved, "pointers")
-        done, open_ = done.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
-    return done.unionByName(open_).select("conv_id", "id", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"))
+        met = written(met, "pointers")
+        done, open_ = done.unionByName(met.where("a IS NULL")), met.where("a IS NOT NULL")
+    return done.unionByName(open_).select("conv_id", "id", F.when(F.col("a").isNull(), F.col("base")).alias("depth"))
 
 
 def linked(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -135,13 +167,13 @@ def linked(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     A result is joined to the call of its ``call_id`` in its conversation, a call
     to its results. An item comes after its parent and a result also after its
-    call: ``position`` is the number of items before it on that way, so sorting
+    call: ``position`` is the number of items on the longest way to it, so sorting
     by ``(conv_id, position, turn, id)`` is a topological order; it is null on a
-    cycle. A call's ``errors`` say what in its arguments breaks the tool's schema.
+    cycle and behind one. A call's ``errors`` say what in its arguments breaks the tool's schema.
 
     Every row is kept. If several calls share an id, results belong to the first
     (by turn, name and arguments), so no pairs multiply. A null id, parent or
-    call links to nothing; a missing parent or call makes a root; a null
+    call links to nothing; a missing parent or call is nothing to come after; a null
     conversation is one conversation; an empty table gives an empty table.
     """
     bounded_batches(items.sparkSession)
@@ -153,13 +185,13 @@ def linked(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     results = items.where("kind = 'result' AND call_id IS NOT NULL").groupBy("conv", F.col("call_id").alias("id")).agg(
         F.count(F.lit(1)).alias("answers")
     )
-    # Of each id one node; its way up is the call for a result, else the parent, if that exists.
-    up = F.when(F.col("kind") == "result", F.coalesce("call_id", "parent_id")).otherwise(F.col("parent_id"))
-    nodes = known.groupBy("conv", "id").agg(F.min(up).alias("up"))
-    there = nodes.select("conv", F.col("id").alias("up"), F.lit(True).alias("there"))
-    nodes = nodes.join(there, ["conv", "up"], "left").select(
-        F.col("conv").alias("conv_id"), "id", F.when(F.col("there"), F.col("up")).alias("up")
-    )
+    # Of each id one node; what it comes after counts if it exists.
+    nodes = known.groupBy("conv", "id").agg(F.min("parent_id").alias("up"), F.min(F.when(F.col("kind") == "result", F.col("call_id"))).alias("also"))
+    nodes = written(nodes, "nodes")
+    for before in ("up", "also"):
+        there = nodes.select("conv", F.col("id").alias(before), F.lit(True).alias("there"))
+        nodes = nodes.join(there, ["conv", before], "left").withColumn(before, F.when(F.col("there"), F.col(before))).drop("there")
+    nodes = nodes.select(F.col("conv").alias("conv_id"), "id", "up", "also")
     place = depths(nodes).select(F.col("conv_id").alias("conv"), "id", F.col("depth").alias("position"), F.lit(True).alias("placed"))
     named = calls.select("conv", F.col("id").alias("call_id"), F.col("first.name").alias("call_name"))
     rows = items.join(place, ["conv", "id"], "left").join(results, ["conv", "id"], "left").join(named, ["conv", "call_id"], "left")

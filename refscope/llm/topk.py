@@ -31,7 +31,7 @@ def whole_numbers(vector: Column, scale: int) -> Column:
 
 def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     count = max(1, -(-rows.count() // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")), count
+    return rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")), count
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -48,36 +48,38 @@ def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def _tiles(queries: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Scores tile by tile: (queries, ids of the rows, scores); a row is not scored against its own query."""
-    ids, q = rows["vec_id"].to_numpy(), _matrix(queries["v"])
-    own = queries["vec_id"].to_numpy()
+def _tiles(queries: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Scores tile by tile: (queries, places of the rows, scores); a row is not scored against itself."""
+    ids, q = rows["row"].to_numpy(), _matrix(queries["v"])
+    own = queries["row"].to_numpy()
     for at in range(0, len(rows), ROW_BLOCK):
         some = _matrix(rows["v"].iloc[at : at + ROW_BLOCK])
-        these = ids[at : at + ROW_BLOCK]
+        these = slice(at, at + ROW_BLOCK)
         for start in range(0, len(queries), _TILE):
             part = slice(start, start + _TILE)
-            yield part, these, np.where(own[part, None] == these[None, :], _NONE, _scores(q[part], some))
+            yield part, these, np.where(own[part, None] == ids[None, these], _NONE, _scores(q[part], some))
 
 
 def _histogram(k: int):
+    """Per query a histogram of all scores of a block, from the top down to the bin that completes ``k``.
+
+    The kth value of all rows lies no lower than the kth of one block, so deeper bins need not be summed.
+    """
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            ids = queries["vec_id"].to_numpy()
+        n = len(queries)
+        counts = np.zeros((n, BINS + 2), np.int64)
+        if n and len(rows):
             low, width = queries["low"].to_numpy(), queries["width"].to_numpy()
             for part, _, score in _tiles(queries, rows):
-                n = score.shape[0]
-                # A kth value lies no lower than the kth score of any block: deeper bins cannot hold it.
-                top = -np.sort(-score, axis=1)[:, :k] if score.shape[1] <= k else -np.partition(-score, k - 1, axis=1)[:, :k]
-                real = top != _NONE
-                bins = np.where(real, (top - low[part, None]) // width[part, None], 0)
-                bins = np.clip(bins, -1, BINS)
-                where = np.repeat(ids[part], top.shape[1]).reshape(n, -1)
-                out.append(pd.DataFrame({"query_id": where[real], "bin": bins[real]}))
-        if not out:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "bin": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
-        return pd.concat(out).groupby(["query_id", "bin"]).size().reset_index(name="n")
+                size = score.shape[0]
+                # Bin 0 is below the range, the last one above it.
+                bins = np.clip((score - low[part, None]) // width[part, None], -1, BINS) + 1
+                flat = (np.arange(size)[:, None] * (BINS + 2) + bins)[score != _NONE]
+                counts[part] += np.bincount(flat, minlength=size * (BINS + 2)).reshape(size, -1)
+        above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
+        at, bins = np.nonzero((counts > 0) & (above < k))
+        return pd.DataFrame({"query": queries["row"].to_numpy(np.int64)[at], "bin": bins - 1, "n": counts[at, bins]})
 
     return run
 
@@ -86,15 +88,24 @@ def _winners(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            ids, kth = queries["vec_id"].to_numpy(), queries["kth"].to_numpy()
+            ids, kth = queries["row"].to_numpy(), queries["kth"].to_numpy()
+            names, others, vecs = queries["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["vec_id"].to_numpy()
             for part, these, score in _tiles(queries, rows):
                 at, col = np.nonzero((score >= kth[part, None]) & (score != _NONE))
-                found = pd.DataFrame({"query_id": ids[part][at], "vec_id": these[col], "score": score[at, col]})
+                found = pd.DataFrame(
+                    {
+                        "query": ids[part][at],
+                        "query_id": names[part][at],
+                        "vec_id": vecs[these][col],
+                        "row": others[these][col],
+                        "score": score[at, col],
+                    }
+                )
                 # Of equal scores no block has more than k winners, those of the smallest ids.
-                found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                out.append(found.groupby("query_id").head(k))
+                found = found.sort_values(["query", "score", "vec_id", "row"], ascending=[True, False, True, True])
+                out.append(found.groupby("query").head(k))
         if not out:
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query", "query_id", "vec_id", "row", "score")})
         return pd.concat(out)
 
     return run
@@ -113,18 +124,19 @@ def top_k(
     smaller id.
 
     Vectors that are null or hold null or non-finite components take no part,
-    nor do rows without id; only vectors of one dimension are compared; an id
-    given several times counts once, with its smallest vector; a query with fewer
-    than ``k`` partners gets all; an empty table gives none. Other columns are
-    ignored. Scores beyond a long raise.
+    nor do rows without id; only vectors of one dimension are compared. Rows of
+    one id are rows of their own: each is a candidate for all others, and each
+    that ``queries`` picks has its own ranks. A query with fewer than ``k`` partners gets
+    all; an empty table gives none. Other columns are ignored. Scores beyond a long raise.
     """
     rows = vectors.where(F.col(f"`{id_column}`").isNotNull()).select(
         F.col(f"`{id_column}`").cast("long").alias("vec_id"),
         whole_numbers(F.col(f"`{vector_column}`"), scale).alias("v"),
         F.coalesce(queries, F.lit(False)).alias("asks"),
     )
-    rows = rows.where("v IS NOT NULL AND size(v) > 0").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    rows = written(rows.withColumn("dim", F.size("v")), "vectors")
+    rows = rows.where("v IS NOT NULL AND size(v) > 0").withColumn("dim", F.size("v"))
+    # Ids may repeat; the numbers, written with the rows, tell these apart.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = rows.where("asks").drop("asks")
     asked, query_blocks = _blocks(asked, QUERY_BLOCK, "qb")
     held, row_blocks = _blocks(rows.drop("asks"), ROW_BLOCK, "rb")
@@ -132,10 +144,10 @@ def top_k(
     right = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
     pair = ["dim", "qb", "rb"]
     # New names of the same columns tell the two sides apart.
-    held = held.withColumn("qb", left).select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim", "rb", "qb")])
+    held = held.withColumn("qb", left).select(*[F.col(c).alias(c) for c in ("row", "vec_id", "v", "dim", "rb", "qb")])
 
     def scored(state: DataFrame, run, schema: str) -> DataFrame:
-        some = asked.join(state, "vec_id").withColumn("rb", right)
+        some = asked.join(state, "row").withColumn("rb", right)
         return some.groupBy(*pair).cogroup(held.groupBy(*pair)).applyInPandas(run, schema)
 
     # No score is larger than the square of the largest component times the dimension.
@@ -146,23 +158,23 @@ def top_k(
     most = int(peak * (1 + 1e-9)) + 1
     width = max(1, -(-(2 * most + 1) // BINS))
     longs = lambda x: F.lit(x).cast("long")
-    state = written(asked.select("vec_id", longs(-most).alias("low"), longs(width).alias("width")), "ranges")
+    state = written(asked.select("row", longs(-most).alias("low"), longs(width).alias("width")), "ranges")
     while True:
-        counted = scored(state, _histogram(k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        above = Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        counted = scored(state, _histogram(k), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        above = Window.partitionBy("query").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
         counted = counted.withColumn("upto", F.sum("n").over(above))
         # The first bin from the top that completes k; a query with fewer partners ends at its lowest bin.
-        chosen = counted.groupBy("query_id").agg(
+        chosen = counted.groupBy("query").agg(
             F.max(F.when(F.col("upto") >= k, F.col("bin"))).alias("full"), F.min("bin").alias("least")
         )
-        chosen = chosen.select(F.col("query_id").alias("vec_id"), F.coalesce("full", "least").alias("bin"))
-        state = state.join(chosen, "vec_id").select("vec_id", (F.col("low") + F.col("bin") * F.col("width")).alias("low"))
+        chosen = chosen.select(F.col("query").alias("row"), F.coalesce("full", "least").alias("bin"))
+        state = state.join(chosen, "row").select("row", (F.col("low") + F.col("bin") * F.col("width")).alias("low"))
         if width == 1:
             break
         width = -(-width // BINS)
         state = written(state.withColumn("width", longs(width)), "ranges")
-    state = written(state.select("vec_id", F.col("low").alias("kth")), "kth")
-    found = scored(state, _winners(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    state = written(state.select("row", F.col("low").alias("kth")), "kth")
+    found = scored(state, _winners(k), "query long, query_id long, vec_id long, row long, score long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -13,9 +13,9 @@ def plain(docs, items, size):
     windows = {}
     for item, text in items:
         w = plain_words(text)
-        if item is not None and w:
+        if w:
             for i in range(max(1, len(w) - size + 1)):
-                windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+                windows.setdefault(tuple(w[i : i + size]), set()).update([str(item)] if item is not None else [])
     out = []
     for _, text in docs:
         w, hit, found = plain_words(text), set(), set()
@@ -59,3 +59,17 @@ def test_edge_cases(spark, docs):
 def test_a_hot_word_and_a_hot_window(spark, docs):
     rows = [(i, "common words everywhere " * 20 + f"w{i}") for i in range(200)]
     check(spark, docs, rows, [(1, "common words everywhere common words"), (2, "words everywhere w7")], 5)
+
+
+def test_items_without_id_hit_words(spark, docs):
+    check(spark, docs, [(1, "x y z"), (2, "x y")], [(None, "x y"), (3, "y z")], 10)
+    check(spark, docs, [(1, "x y z")], [(None, "x y")], 10)
+
+
+def test_many_windows_of_one_shingle_and_a_text_full_of_it(spark, docs):
+    """What meets is bounded by the text's places and the windows, not by their product."""
+    items = [(i, f"a b c {' '.join(f'w{i}x{j}' for j in range(7))}") for i in range(120)]
+    hit = items[7][1]
+    rows = [(1, "a b c " * 3000), (2, " ".join(t for _, t in items[:3])), (3, f"z {hit} z")]
+    rows += [(9, " ".join(f"w{i}x{j} w{i}x{j + 1} w{i}x{j + 2}" for i in range(120) for j in range(5)))] * 300
+    check(spark, docs, rows, items, 10)

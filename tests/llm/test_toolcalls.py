@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,49 @@ def test_links_order_and_json(spark):
     assert json.loads(got[1, "m"].json) == {"content": 'say "hi"\n', "kind": "message", "role": "user"}
 
 
+def test_a_result_comes_after_its_call_and_its_parent(spark):
+    rows = [call(1, 0, "c1", None, "add", "{}"), message(1, 1, "m1", "c1", "x")]
+    rows += [message(1, i, f"m{i}", f"m{i - 1}", "x") for i in range(2, 6)]
+    rows += [(1, 6, "result", "r", "m5", "c1", None, None, None, "x"), (1, 7, "result", "lost", "m2", "gone", None, None, None, "x")]
+    rows += [(2, 0, "result", "x", "y", "c", None, None, None, "x"), message(2, 1, "y", "x", "x"), call(2, 2, "c", None, "add", "{}"), message(2, 3, "z", "y", "x")]
+    got = {(r.conv_id, r.id): r.position for r in run(spark, rows)}
+    assert {i: got[1, i] for i in ("c1", "m1", "m5", "r", "lost")} == {"c1": 0, "m1": 1, "m5": 5, "r": 6, "lost": 3}
+    assert {i: p for (c, i), p in got.items() if c == 2} == {"x": None, "y": None, "c": 0, "z": None}
+
+
+def longest(preds):
+    """Steps of the longest way to each item; None on and behind a cycle."""
+    out = {}
+    while True:
+        ready = [i for i, before in preds.items() if i not in out and all(b in out for b in before)]
+        if not ready:
+            return {i: out.get(i) for i in preds}
+        out |= {i: max((out[b] + 1 for b in preds[i]), default=0) for i in ready}
+
+
+def test_random_orders_against_longest_ways(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for conv in range(40):
+        preds = {}
+        for i in range(rng.randint(1, 25)):
+            before = {f"i{rng.randrange(i + (rng.random() < 0.05))}" for _ in range(rng.randint(0, 2)) if i}
+            preds[f"i{i}"] = before
+            two = [*sorted(before), None, None]
+            rows.append((conv, i, "result", f"i{i}", two[0], two[1], None, None, None, "x"))
+        want |= {(conv, i): n for i, n in longest(preds).items()}
+    assert {(r.conv_id, r.id): r.position for r in run(spark, rows)} == want
+
+
+def test_a_long_conversation_of_calls_and_results_takes_few_rounds(spark, plans):
+    rows = []
+    for i in range(0, 600, 3):
+        rows += [call(1, i, f"c{i}", f"r{i - 1}" if i else None, "add", "{}"), message(1, i + 1, f"m{i}", f"c{i}", "x")]
+        rows.append((1, i + 2, "result", f"r{i + 2}", f"m{i}", f"c{i}", None, None, None, "x"))
+    assert all(r.position == r.turn for r in run(spark, rows))
+    assert sum(label == "llm-pointers" for label, _ in plans) < 20
+
+
 def test_schemas():
     cases = {
         '{"tags":["x"]}': [], '{"tags":[]}': ["$.tags: shorter than minItems"], '{"tags":["x","q","y"]}': ["$.tags: longer than maxItems", "$.tags[1]: not in enum"],

@@ -8,16 +8,17 @@ from refscope.llm import topk as T
 
 
 def plain(rows, k, scale):
-    vectors = {}
+    vectors = []
     for i, v in rows:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
         w = [math.floor(scale * x) for x in v]
-        vectors[i] = min(vectors.get(i, w), w)
+        vectors.append((i, w))
     out = []
-    for q, v in vectors.items():
+    for own, (q, v) in enumerate(vectors):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+            others = [(i, w) for at, (i, w) in enumerate(vectors) if at != own and len(w) == len(v)]
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in others)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
@@ -56,6 +57,11 @@ def test_edge_cases(spark):
     check(spark, [(0, [1.0])])
 
 
+def test_rows_of_one_id_are_candidates_each(spark):
+    check(spark, [(1, [0.5, 0.0]), (1, [1.0, 0.0]), (50, [1.0, 0.0])])
+    check(spark, [(0, [1.0, 0.5])] * 9 + [(100, [0.5, 0.5]), (100, [2.0, 0.5])], k=3)
+
+
 def test_large_components(spark):
     check(spark, [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [-3e6, 5.0])])
     with pytest.raises(OverflowError):
