@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refscope.config import AnalysisOptions
 from refscope.operators.match import parse_usage_types
+from refscope.operators.snapshot import digest_parts, digest_sums, digest_text, file_digest
 
 
 def iso_ticks(ts: Column) -> Column:
@@ -51,7 +52,9 @@ def fingerprint(
     """Add ``fingerprint`` to jobs ``(solution, package, version[, context_lines])``.
 
     ``source_state(solution, mtime)`` holds the newest source time per solution,
-    so a changed source invalidates, not only a changed solution file. Settings
+    so a changed source invalidates, not only a changed solution file. With
+    ``files`` and ``digest``, as ``source_state`` below and ``source_digest`` of a snapshot
+    give them, a removed or renamed file does so too, and one restored with an old time. Settings
     other than the defaults are part of the key, and so is, where
     ``assemblies(job_id, assembly_lc)`` is given, what a job's package was resolved
     to: a changed listing or path makes another key. A solution without known
@@ -66,16 +69,23 @@ def fingerprint(
         around.cast("string"),
         F.lit(settings_text(options)),
     )
-    keyed = jobs.join(source_state.select("solution", "mtime"), "solution", "left")
+    state = [c for c in ("mtime", "files", "digest") if c in source_state.columns]
+    keyed = jobs.join(source_state.select("solution", *state), "solution", "left")
+    if "digest" in state:
+        key = F.concat(key, F.lit("|files:"), F.concat_ws("|", F.col("files").cast("string"), "digest"))
     if assemblies is None:
-        return keyed.withColumn("fingerprint", F.sha2(key, 256)).drop("mtime")
+        return keyed.withColumn("fingerprint", F.sha2(key, 256)).drop(*state)
     names = assemblies.groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("assembly_lc")), ",").alias("names"))
     key = F.concat(key, F.lit("|assemblies:"), F.coalesce("names", F.lit("")))
-    return keyed.join(names, "job_id", "left").withColumn("fingerprint", F.sha2(key, 256)).drop("mtime", "names")
+    return keyed.join(names, "job_id", "left").withColumn("fingerprint", F.sha2(key, 256)).drop(*state, "names")
 
 
 def source_state(files: DataFrame) -> DataFrame:
-    return files.groupBy("solution").agg(F.max("mtime").alias("mtime"))
+    """``(solution, mtime, files, digest)`` of ``files(solution, file_path, mtime[, text])``: newest time, number, and digest of all files."""
+    content = [c for c in ("mtime", "text") if c in files.columns]
+    rows = files.select("solution", "mtime", *digest_parts(file_digest(F.col("file_path"), *map(F.col, content))))
+    summed = rows.groupBy("solution").agg(F.max("mtime").alias("mtime"), F.count(F.lit(1)).alias("files"), *digest_sums())
+    return summed.select("solution", "mtime", "files", digest_text().alias("digest"))
 
 
 def split_jobs(jobs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +98,10 @@ def split_jobs(jobs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def changed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
-    """Files that are new or newer than their stored state; deleted files are not listed."""
+    """Files that are new or newer than their stored state, by their times alone.
+
+    Deleted files are not listed; ``snapshot_diff`` compares whole snapshots and lists them.
+    """
     old = stored.groupBy("solution", "file_path").agg(F.max("mtime").alias("stored_mtime"))
     return (
         current.join(old, ["solution", "file_path"], "left")

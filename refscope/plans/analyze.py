@@ -20,7 +20,7 @@ from refscope.operators.resolve import job_assemblies, resolve_assemblies
 from refscope.operators.incremental import fingerprint, split_jobs
 from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_COLUMNS
-from refscope.sources.packages import declared_packages
+from refscope.sources.packages import declared_packages, declared_tree
 from refscope.sources.results import load_results, save_results, stored_headers
 
 
@@ -135,13 +135,18 @@ def analyze_declared(
 ) -> tuple[Analysis, DataFrame]:
     """(usages of all declared packages, declared packages no one uses).
 
-    ``manifests(solution, project_name, text)``. Every package that a manifest
+    ``manifests(solution, project_name, text)``; with ``file_path``, what the property
+    files of a manifest's folders declare counts as well. Every package that a manifest
     declares is a job of its solution. The second table, ``(solution,
     project_name, package, version)``, lists what a project declares without
     any reference of that project into the package's assemblies; all references
     count, whatever similarity or usage types ``options`` ask for.
     """
-    declared = cut(declared_packages(manifests.select("solution", "project_name", "text")), "declared")
+    if "file_path" in manifests.columns:
+        declared = declared_tree(manifests).select("solution", "project_name", "package", "version").distinct()
+    else:
+        declared = declared_packages(manifests.select("solution", "project_name", "text"))
+    declared = cut(declared, "declared")
     job = F.concat_ws("|", "solution", "package", "version").alias("job_id")
     jobs = declared.select(job, "solution", "package", "version").distinct()
     every = AnalysisOptions(strict_paths=options.strict_paths)
