@@ -61,6 +61,18 @@ folded AS (SELECT job_id, list_reduce(list([txt] ORDER BY {ORDER}),
 kept AS (SELECT f.* FROM firsts f JOIN folded USING (job_id) WHERE list_contains(folded.kept, f.txt))"""
 
 
+SPLIT = "list_distinct(regexp_extract_all({0}, '[A-Za-z0-9_]+'))"
+
+
+def of_orders(text: str, alike: str) -> str:
+    """The sequential filter order by order: snippets of two orders are never similar, as the words or the hash of each alone show."""
+    return f"""WITH texts AS (SELECT * REPLACE ({shipped(text)} AS code_text), {text} AS raw FROM {{order_snippets}}),
+firsts AS (SELECT *, code_text AS txt FROM texts QUALIFY row_number() OVER (PARTITION BY code_text ORDER BY {ORDER.replace("code_text", "raw")}) = 1),
+folded AS (SELECT l_orderkey, list_reduce(list([txt] ORDER BY {ORDER.replace("code_text", "raw")}),
+  lambda kept, t: CASE WHEN len(list_filter(kept, lambda k: {alike})) > 0 THEN kept ELSE list_concat(kept, t) END) AS kept FROM firsts GROUP BY l_orderkey)
+SELECT file_path, start_line, end_line, raw AS code_text FROM firsts JOIN folded USING (l_orderkey) WHERE list_contains(folded.kept, txt)"""
+
+
 def context(usages: str, sources: str, n: str) -> str:
     """CTE ``ctx``: the usages with their snippet; ``src`` holds the lines of each file."""
     return f"""src AS (SELECT solution, file_path, CASE WHEN lower(regexp_extract(file_path, '(\\.[^./\\\\]*)$')) IN ({BINARY})
@@ -373,6 +385,25 @@ _SQL = {
     "changed_files": """SELECT 'orders' AS solution, 'src/' || l_orderkey || '.cs' AS file_path, max(l_shipdate) AS mtime
         FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey
         HAVING max(l_shipdate) > max(o_orderdate) OR max(o_orderdate) IS NULL""",
+    "snapshot_diff": """SELECT coalesce(b.solution, a.solution) AS solution, coalesce(b.file_path, a.file_path) AS file_path,
+        CASE WHEN b.file_path IS NULL THEN 'added' WHEN a.file_path IS NULL THEN 'removed' ELSE 'changed' END AS change
+        FROM {files_before} b FULL JOIN {files_after} a ON a.solution = b.solution AND a.file_path = b.file_path
+        WHERE a.file_path IS NULL OR b.file_path IS NULL OR a.text <> b.text""",
+    "declared_tree": """WITH own AS (SELECT *, CASE style WHEN 0 THEN '1.0' WHEN 1 THEN '2.0' WHEN 2 THEN '3.0' WHEN 5 THEN '5.0' END AS given FROM {tree_packages}),
+        shared AS (SELECT DISTINCT solution, package FROM own WHERE package LIKE 'ECONOMY%'),
+        projects AS (SELECT DISTINCT solution, area, area_key, project_name FROM own),
+        every AS (SELECT solution, area, area_key, project_name, package, given, 'own' AS origin, style FROM own WHERE style IN (0, 1, 2, 3, 5)
+          UNION ALL SELECT p.solution, p.area, p.area_key, p.project_name, s.package, CASE WHEN o.style = 6 THEN '6.0' END, 'shared', o.style
+          FROM projects p JOIN shared s ON s.solution = p.solution
+          LEFT JOIN own o ON o.solution = p.solution AND o.project_name = p.project_name AND o.package = s.package
+          WHERE o.style IS NULL OR o.style IN (4, 6))
+        SELECT solution, project_name, 'src/' || area || '/' || project_name || '/' || project_name || '.csproj' AS file_path,
+        CASE WHEN style = 3 THEN lower(package) ELSE package END AS package,
+        coalesce(given, CASE WHEN package LIKE 'ECONOMY%' THEN '4.0' WHEN area_key % 2 = 0 THEN '7.0' WHEN package NOT LIKE 'PROMO%' THEN '8.0' ELSE '' END) AS version,
+        origin FROM every""",
+    "near_dedup_tokens": of_orders("code_text", "len(list_intersect(WORDS(k), WORDS(t[1])))::DOUBLE / "
+        "(len(WORDS(k)) + len(WORDS(t[1])) - len(list_intersect(WORDS(k), WORDS(t[1])))) >= 0.8".replace("WORDS(k)", SPLIT.format("k")).replace("WORDS(t[1])", SPLIT.format("t[1]"))),
+    "near_dedup_unlike": of_orders("tagged", similar("k", "t[1]")),
     "rule_scan": f"""WITH {RULES} SELECT file_path, "check", detail FROM violations""",
     "scan_summary": f"""WITH {RULES} SELECT count(*) FILTER (regexp_matches(file_path, '\\.(csproj|targets|props)$')) AS manifests,
         count(*) FILTER (file_path LIKE '%.tt') AS templates, count(*) FILTER (file_path ILIKE '%/install.ps1') AS install_scripts,
@@ -409,6 +440,11 @@ _SQL = {
         counts AS (SELECT job_id, count(*) AS n FROM kept WHERE usage_type IN ({SHIPPED_TYPES}) GROUP BY job_id)
         SELECT job_id, true AS success, NULL::VARCHAR AS error, coalesce(n, 0) AS usage_count FROM {{jobs}} LEFT JOIN counts USING (job_id)
         UNION ALL SELECT DISTINCT c_mktsegment || '|none', false, 'Solution not found: ' || c_mktsegment, NULL::BIGINT FROM customer""",
+    "delta_analysis": f"""WITH {RESOLVED},
+        found AS (SELECT * FROM (SELECT j.job_id, r.*, {CLASSIFIED} AS usage_type FROM {{refs_after}} r JOIN resolved a
+          ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution
+          AND j.package = a.package AND j.version = a.version) WHERE usage_type IS NOT NULL)
+        SELECT job_id, project_name, usage_type, count(*) AS n, count(*) AS merged FROM found GROUP BY ALL""",
     "incremental_analysis": f"""WITH {RESOLVED},
         found AS (SELECT * FROM (SELECT j.job_id, r.*, {CLASSIFIED} AS usage_type FROM {{symbol_refs}} r JOIN resolved a
           ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,9 @@ from refscope.config import (
 from refscope.functions.distance import are_similar, register_comparison
 from refscope.functions.text import normalize_whitespace, register_simplifier, remove_comments, simplify
 from refscope.operators import audit, context, dedup, incremental, match, refs, reports, resolve
-from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
-from refscope.runtime import cut, scratch_root
+from refscope.operators import snapshot as snapshots
+from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_changes, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
+from refscope.runtime import cut, own_folder
 from refscope.sources import files, jobs, packages, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +139,7 @@ def project_inventory(spark, sf):
 
 def _saved(spark, sf, chosen: str = "true") -> tuple[DataFrame, str]:
     """Store the chosen package jobs' usages in a new folder; returns all keyed jobs and the folder."""
-    root = f"{scratch_root(spark)}/refscope/results-{uuid.uuid4().hex}"
+    root = own_folder(spark, "results")
     keyed = incremental.fingerprint(view(spark, sf, "jobs"), view(spark, sf, "source_state"))
     keyed = cut(keyed, "jobs")
     results.save_results(keyed.where(chosen), _usages(spark, sf), root)
@@ -295,6 +296,12 @@ def unused_packages(spark, sf):
     return unused
 
 
+@query
+def declared_tree(spark, sf):
+    """What projects declare in eight ways of writing, with what the folders above give."""
+    return packages.declared_tree(view(spark, sf, "tree_manifests"))
+
+
 # --- context --------------------------------------------------------------------
 
 
@@ -398,6 +405,25 @@ def registered_plugins(spark, sf):
     return dedup.dedup_groups(_solution_usages(spark, sf), config)
 
 
+def _unlike(spark, sf) -> DataFrame:
+    """All snippets of all orders as one job: some 60 in 100 are unlike all others."""
+    return view(spark, sf, "order_snippets")
+
+
+@query
+def near_dedup_tokens(spark, sf):
+    """One job of very many unlike texts, compared by the share of their words."""
+    config = SimilarityConfig(True, SHIPPED_SIMILARITY.simplifiers, (Comparison("TokenOverlapComparison", threshold=0.8),))
+    return dedup.near_dedup(_unlike(spark, sf).drop("tagged"), config).select("file_path", "start_line", "end_line", "code_text")
+
+
+@query
+def near_dedup_unlike(spark, sf):
+    """The same job by edit distance, over texts that begin with a hash of their order."""
+    tagged = _unlike(spark, sf).withColumn("code_text", F.col("tagged")).drop("tagged")
+    return dedup.near_dedup(tagged, SHIPPED_SIMILARITY).select("file_path", "start_line", "end_line", "code_text")
+
+
 @query
 def dedup_groups(spark, sf):
     return dedup.dedup_groups(_solution_usages(spark, sf), SHIPPED_SIMILARITY)
@@ -555,6 +581,26 @@ def changed_files(spark, sf):
     return incremental.changed_files(shipped.select(solution, path("l_orderkey"), "mtime"), cut(stored, "file-state"))
 
 
+@query
+def snapshot_diff(spark, sf):
+    """Files added, changed and removed, by the digest trees of two snapshots."""
+    before, after = (snapshots.snapshot(view(spark, sf, name)) for name in ("files_before", "files_after"))
+    return snapshots.snapshot_diff(before, after)
+
+
+@query
+def delta_analysis(spark, sf):
+    """A first run over all files, a second over the changed ones; counts by signed addition."""
+    root = own_folder(spark, "changes")
+    wanted, tables = _stored(spark, sf, "jobs"), _tables(spark, sf)
+    for name in ("before", "after"):
+        tables = replace(tables, refs=view(spark, sf, f"refs_{name}"), files=view(spark, sf, f"ref_files_{name}"))
+        store = analyze_changes(wanted, tables, root, name)
+    merged = store.usages().groupBy("job_id", "project_name", "usage_type").agg(F.count(F.lit(1)).alias("merged"))
+    counted = store.counts().select("job_id", "project_name", "usage_type", "n")
+    return counted.join(merged, ["job_id", "project_name", "usage_type"], "full")
+
+
 # --- audits -----------------------------------------------------------------------
 
 
@@ -625,7 +671,7 @@ def batch_analysis(spark, sf):
 @query
 def incremental_analysis(spark, sf):
     """A first run answers the jobs marked for refresh, a second run all jobs and reuses what it may."""
-    root = f"{scratch_root(spark)}/refscope/results-{uuid.uuid4().hex}"
+    root = own_folder(spark, "results")
     wanted, tables, state = _stored(spark, sf, "jobs"), _tables(spark, sf), _stored(spark, sf, "source_state")
     analyze_incremental(wanted.where(F.col("force_refresh")), tables, state, root)
     again = wanted.withColumn("force_refresh", ~F.col("force_refresh"))

@@ -80,6 +80,16 @@ VIEWS = {
         FROM (SELECT DISTINCT n_name AS solution, l_orderkey, concat('src/', cast(l_orderkey AS varchar(20)), '.cs') AS file_path
           FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey) r
         JOIN {orders} ON r.l_orderkey = o_orderkey""",
+    # One job with a snippet for each item of all orders; three words, and a hash, are of the order alone.
+    "order_snippets": """
+        SELECT 'all' AS job_id, 'orders' AS solution, 'p' AS project_name, concat('src/', cast(l_orderkey AS varchar(20)), '.cs') AS file_path,
+         l_linenumber AS start_line, cast(l_partkey AS int) AS end_line, 'Direct' AS usage_type, p_name AS symbol_name, l_orderkey,
+         concat('o', cast(l_orderkey AS varchar(20)), ' k', cast(l_orderkey AS varchar(20)), ' r', cast(l_orderkey AS varchar(20)), ' ',
+          p_name, ' ', replace(p_brand, '#', ''), ' ', l_returnflag, ' ', l_linestatus, ' m', cast(l_linenumber % 2 AS varchar(5)),
+          ' s', cast(l_suppkey % 2 AS varchar(5))) AS code_text,
+         concat(md5(concat('order ', cast(l_orderkey AS varchar(20)))), ' ', l_returnflag, l_linestatus, cast(l_linenumber AS varchar(5)),
+          replace(p_name, 'u', cast(l_suppkey % 10 AS varchar(5)))) AS tagged
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "commented_code": """
         SELECT p_partkey, concat(p_name, '   // see ', p_brand, chr(10), '  ', p_type, ' /* ', p_brand, chr(10), p_name,
          ' */ end', chr(13), chr(10)) AS code_text FROM {part}""",
@@ -105,6 +115,53 @@ VIEWS = {
         UNION SELECT n_name, s_name, concat('<Project><PackageReference Include="', c_mktsegment, '" Version="1.0" /></Project>')
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    # Packages of projects in a tree of folders, and how each is written down (see ``tree_manifests``).
+    "tree_packages": """
+        SELECT DISTINCT r_name AS solution, n_nationkey AS area_key, n_name AS area, s_name AS project_name,
+         replace(p_type, ' ', '.') AS package, cast((length(p_type) + s_suppkey) % 8 AS int) AS style
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    # Project files in eight ways of writing, central versions at the top and in every second area, and one shared file.
+    "tree_manifests": """
+        SELECT solution, project_name, concat('src/', area, '/', project_name, '/', project_name, '.csproj') AS file_path,
+         concat('<Project Sdk="Any"><ItemGroup>', string_agg(element, chr(10)), '</ItemGroup></Project>') AS text FROM (
+          SELECT *, CASE style WHEN 0 THEN concat('<PackageReference Include="', package, '" Version="1.0" />')
+           WHEN 1 THEN concat('<PackageReference Version=', chr(39), '2.0', chr(39), ' Include=', chr(39), package, chr(39), '></PackageReference>')
+           WHEN 2 THEN concat('<PackageReference Include="', package, '">', chr(10), '<Version>3.0</Version></PackageReference>')
+           WHEN 3 THEN concat('<PackageReference Include="', lower(package), '" />')
+           WHEN 4 THEN concat('<!-- <PackageReference Include="', package, '" Version="9.0" /> -->')
+           WHEN 5 THEN concat('<PackageReference Include="', package, '" VersionOverride="5.0" />')
+           WHEN 6 THEN concat('<PackageReference Update="', package, '" Version="6.0" />')
+           ELSE concat('<PackageReference Remove="', package, '" />') END AS element FROM {tree_packages}) x
+        GROUP BY solution, area, project_name
+        UNION ALL SELECT solution, cast(NULL AS varchar(20)), concat('src/', area, '/Directory.Packages.props'),
+         concat('<Project>', string_agg(concat('<PackageVersion Include="', package, '" Version="7.0"/>'), ''), '</Project>')
+        FROM (SELECT DISTINCT solution, area, package FROM {tree_packages} WHERE area_key % 2 = 0) y GROUP BY solution, area
+        UNION ALL SELECT solution, cast(NULL AS varchar(20)), 'Directory.Packages.props',
+         concat('<Project>', string_agg(concat('<PackageVersion Include="', package, '" Version="8.0"/>'), ''), '</Project>')
+        FROM (SELECT DISTINCT solution, package FROM {tree_packages} WHERE package NOT LIKE 'PROMO%') z GROUP BY solution
+        UNION ALL SELECT solution, cast(NULL AS varchar(20)), 'src/Directory.Build.props',
+         concat('<Project>', string_agg(concat('<PackageReference Include="', package, '" Version="4.0"/>'), ''), '</Project>')
+        FROM (SELECT DISTINCT solution, package FROM {tree_packages} WHERE package LIKE 'ECONOMY%') w GROUP BY solution""",
+    # Files of orders in folders of their customers, before and after some were added, removed, renamed and edited.
+    "files_before": """
+        SELECT c_mktsegment AS solution, concat(n_name, '/', c_name, '/', cast(o_orderkey AS varchar(20)), '.cs') AS file_path,
+         concat(o_orderstatus, ' ', o_orderpriority) AS text
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderkey % 80 <> 7""",
+    "files_after": """
+        SELECT c_mktsegment AS solution, concat(n_name, '/', c_name, '/', cast(o_orderkey AS varchar(20)),
+          CASE WHEN o_orderkey % 60 = 5 THEN '.new.cs' ELSE '.cs' END) AS file_path,
+         concat(o_orderstatus, ' ', o_orderpriority, CASE WHEN o_orderkey % 50 = 3 THEN ' edited' ELSE '' END) AS text
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderkey % 70 <> 9""",
+    # The files of the references and what they refer to: before, some are not there yet; after, some are gone
+    # and some are edited, so that only their odd lines refer to anything.
+    "ref_files_before": "SELECT * FROM {ref_files} WHERE NOT file_path LIKE '%07.cs'",
+    "ref_files_after": """
+        SELECT solution, file_path, CASE WHEN file_path LIKE '%13.cs' THEN concat(text, ' // edited') ELSE text END AS text
+        FROM {ref_files} WHERE NOT file_path LIKE '%19.cs'""",
+    "refs_before": "SELECT * FROM {symbol_refs} WHERE NOT file_path LIKE '%07.cs'",
+    "refs_after": """
+        SELECT * FROM {symbol_refs} WHERE NOT file_path LIKE '%19.cs' AND NOT (file_path LIKE '%13.cs' AND start_line % 2 = 0)""",
     # Files of code: an import, written in two ways, and lines that use its names.
     "code_files": """
         SELECT DISTINCT n_name AS solution, s_name AS project_name, concat('src/', cast(l_orderkey AS varchar(20)), '-',

@@ -1,12 +1,13 @@
-"""The edit-distance similarity predicate and the bounds candidate search relies on."""
+"""Similarity predicates and the bounds candidate search relies on."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refscope.config import Comparison, SimilarityConfig
@@ -34,13 +35,92 @@ def _rule(a: Column, b: Column, rule: Comparison) -> Column:
     )
 
 
-# Comparisons by name: whether two simplified texts are similar under a rule's settings.
-COMPARISONS: dict[str, Callable[[Column, Column, Comparison], Column]] = {"LevenshteinDistanceComparison": _rule}
+def tokens(text: Column) -> Column:
+    """Distinct words of a text: runs of letters, digits and underscores."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0))
 
 
-def register_comparison(name: str, similar: Callable[[Column, Column, Comparison], Column]) -> None:
-    """Add a named, symmetric comparison; equal texts must be similar under it."""
+def _overlap(a: Column, b: Column, rule: Comparison) -> Column:
+    """Equal texts, or texts whose shared words are at least ``threshold`` of all their words."""
+    shared = F.size(F.array_intersect(tokens(a), tokens(b)))
+    ratio = shared.cast("double") / F.nullif(F.size(tokens(a)) + F.size(tokens(b)) - shared, F.lit(0))
+    return (a == b) | F.coalesce(ratio >= F.lit(rule.threshold), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """How texts that may be similar find each other without comparing all pairs.
+
+    ``length`` of a text and ``near``, whether two lengths allow similar texts;
+    ``bands``, start lengths of bands so wide that similar texts lie in the same or in
+    adjacent ones; ``keys``, from ``(job_id, rank, length, band, text)`` to ``(job_id, rank,
+    length, band, gram, place)``, of which two similar texts share at least one ``gram``; and
+    ``fits``, whether a key's places in two texts allow these to be similar, given lengths and places of both:
+    true for at least one shared key of any similar pair.
+    """
+
+    length: Callable[[Column], Column]
+    near: Callable[[Column, Column], Column]
+    bands: Callable[[int], list[int]]
+    keys: Callable[[DataFrame], DataFrame]
+    fits: Callable[[Column, Column, Column, Column], Column] = lambda n, p, m, q: F.lit(True)
+
+
+def _overlap_lookup(rule: Comparison) -> Lookup:
+    """Prefix, length and positional bounds of a share of words.
+
+    Texts with n words that share enough of them share one of the n - ceil(t * n) + 1
+    words that are rarest over all texts.
+    """
+    t, hair = rule.threshold, 1e-9
+
+    def bands(longest: int) -> list[int]:
+        starts = [0, 1]
+        while starts[-1] <= longest and t > 0:
+            starts.append(math.floor(starts[-1] / t + hair) + 1)
+        return starts
+
+    def keys(nodes: DataFrame) -> DataFrame:
+        held = ["job_id", "rank", "length", "band"]
+        words = nodes.select(*held, F.explode(tokens(F.col("text"))).alias("word"))
+        uses = words.groupBy("word").agg(F.count("*").alias("uses"))
+        ordered = words.join(uses, "word").groupBy(*held).agg(F.array_sort(F.collect_list(F.struct("uses", "word"))).alias("words"))
+        prefix = F.slice("words", F.lit(1), F.col("length") - F.ceil(F.col("length") * t - hair).cast("int") + 1)
+        found = ordered.select(*held, F.posexplode(prefix).alias("place", "w"))
+        return found.select(*held, F.xxhash64("w.word").alias("gram"), "place")
+
+    def fits(n: Column, p: Column, m: Column, q: Column) -> Column:
+        return F.least(n - p, m - q) >= F.lit(t / (1 + t)) * (n + m) - hair
+
+    return Lookup(
+        length=lambda text: F.size(tokens(text)),
+        near=lambda a, b: F.least(a, b) >= F.lit(t) * F.greatest(a, b) - hair,
+        bands=bands,
+        keys=keys,
+        fits=fits,
+    )
+
+
+# Comparisons by name: whether two simplified texts are similar under a rule's settings, and how similar texts are
+# found. Those without a lookup are settled by folds alone.
+COMPARISONS: dict[str, Callable[[Column, Column, Comparison], Column]] = {
+    "LevenshteinDistanceComparison": _rule,
+    "TokenOverlapComparison": _overlap,
+}
+LOOKUPS: dict[str, Callable[[Comparison], Lookup]] = {"TokenOverlapComparison": _overlap_lookup}
+
+
+def register_comparison(
+    name: str, similar: Callable[[Column, Column, Comparison], Column], lookup: Callable[[Comparison], Lookup] | None = None
+) -> None:
+    """Add a named, symmetric comparison; equal texts must be similar under it.
+
+    With ``lookup``, jobs of many unlike texts find their candidates by its keys.
+    """
     COMPARISONS[name] = similar
+    LOOKUPS.pop(name, None)
+    if lookup:
+        LOOKUPS[name] = lookup
 
 
 def are_similar(a: Column, b: Column, config: SimilarityConfig) -> Column:

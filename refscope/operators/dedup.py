@@ -9,7 +9,8 @@ the sequential greedy result, computed without comparing all pairs:
    Groups of near copies, however large, vanish as soon as one of them is kept.
 3. Where folding no longer halves the work, the texts are unlike each other. If
    no job has many of them, wider folds finish them all. Else a *bucket round*
-   looks for candidates by shared gram signatures. Each bucket shows only its
+   looks for candidates by shared signatures: grams for the edit distance, rare
+   words for a share of words, whatever a registered comparison names. Each bucket shows only its
    first few undecided members, so a round emits a bounded number of candidates
    per text. A text may be kept only if no bucket hides an earlier member from
    it; the others wait for the next round.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from refscope.config import SimilarityConfig
 from refscope.functions import distance
-from refscope.functions.distance import Reach, are_similar
+from refscope.functions.distance import LOOKUPS, Lookup, Reach, are_similar
 from refscope.functions.text import simplify
 from refscope.runtime import cut, join_bounded, spread
 from refscope.schemas import USAGE_ORDER
@@ -121,15 +122,15 @@ def _resolve(
 
     The third table, asked for by ``groups``, is ``(rank, kept_rank)`` of the texts
     dropped by folds before any bucket round: folds keep texts in order, so
-    what drops a text there is its earliest similar kept text. Comparisons
-    other than the edit distance have no bounds to look candidates up by; for
-    them folds do all the work.
+    what drops a text there is its earliest similar kept text. For comparisons
+    without a lookup folds do all the work.
     """
-    groups = exact_groups(usages, config, order)
+    lookup = _lookup(config)
+    texts = exact_groups(usages, config, order)
     # The sorted position identifies a text and orders it; it is written at once,
     # so no later recomputation can number the texts differently.
     nodes = cut(
-        groups.orderBy("job_id", "first").withColumn("rank", F.monotonically_increasing_id()),
+        texts.orderBy("job_id", "first").withColumn("rank", F.monotonically_increasing_id()),
         "nodes",
     )
     undecided = spread(nodes.select("job_id", "rank", "text"))
@@ -148,10 +149,10 @@ def _resolve(
         if unlike and head == HEAD and _largest_job(undecided) <= WIDE_JOB:
             head = WIDE_HEAD
             undecided = cut(spread(undecided), "undecided")
-        elif unlike and head == HEAD and config.by_distance_only():
+        elif unlike and head == HEAD and lookup:
             if signatures is None:
-                signatures = cut(_signatures(spread(undecided), config), "signatures")
-            kept_now, undecided = _bucket_round(undecided, signatures, config, shown)
+                signatures = cut(_signatures(spread(undecided), lookup), "signatures")
+            kept_now, undecided = _bucket_round(undecided, signatures, config, lookup, shown)
             kept.append(kept_now)
             shown = min(shown * 2, BUCKET_HEAD_LIMIT)
             after = undecided.count()
@@ -177,14 +178,16 @@ def _fold(
 
     With ``groups`` the third result tells by which kept text each one is dropped.
     """
+    lookup = _lookup(config)
+    length = lookup.length if lookup else lambda text: F.lit(0)
+    near = lookup.near if lookup else lambda a, b: F.lit(True)
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("rank"))
     heads = (
         undecided.withColumn("place", place)
         .where(F.col("place") <= size)
         .groupBy("job_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "text", F.char_length("text").alias("n")))).alias("head"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "text", length(F.col("text")).alias("n")))).alias("head"))
     )
-    near = _in_reach(config)
 
     def add(kept: Column, item: Column) -> Column:
         clash = F.exists(kept, lambda k: near(item["n"], k["n"]) & are_similar(item["text"], k["text"], config))
@@ -200,7 +203,7 @@ def _fold(
         "fold",
     )
     similar = lambda k: near(F.col("n"), k["n"]) & are_similar(F.col("text"), k["text"], config)
-    undecided = undecided.withColumn("n", F.char_length("text"))
+    undecided = undecided.withColumn("n", length(F.col("text")))
     beyond = F.col("rank") > F.col("upto")
     met = join_bounded(undecided, settled, ["job_id"], written=True)
     now_kept = settled.select(F.explode("kept.rank").alias("rank"))
@@ -213,19 +216,34 @@ def _fold(
     return now_kept, cut(met.where("beyond AND kept_rank IS NULL").select("job_id", "rank", "text"), "undecided"), [dropped]
 
 
-def _in_reach(config: SimilarityConfig) -> Callable[[Column, Column], Column]:
-    """Whether two lengths allow similar texts; says so at a fraction of a comparison's cost."""
-    if not config.by_distance_only():
-        return lambda a, b: F.lit(True)
-    reach = Reach(config)
+def _lookup(config: SimilarityConfig) -> Lookup | None:
+    """How candidates are found under the enabled rules; None if folds must do without."""
+    if config.by_distance_only():
+        return _gram_lookup(Reach(config))
+    rules = config.active_comparisons()
+    return LOOKUPS[rules[0].type](rules[0]) if len(rules) == 1 and rules[0].type in LOOKUPS else None
+
+
+def _gram_lookup(reach: Reach) -> Lookup:
+    """Edit distance: texts share one of their first grams, and lengths tell at a fraction of a comparison's cost."""
     slope = F.lit(1.0 - reach.threshold)
 
-    def within(a: Column, b: Column) -> Column:
+    def near(a: Column, b: Column) -> Column:
         longer = F.greatest(a, b)
         cap = F.greatest(F.lit(reach.distance), F.least(longer, F.floor(slope * longer).cast("int") + 1))
         return F.abs(a - b) <= cap
 
-    return within
+    def keys(nodes: DataFrame) -> DataFrame:
+        common, uses = _common_grams(nodes, reach)
+
+        @F.pandas_udf("array<bigint>")
+        def of(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: _gram_keys(t, reach, common, uses))
+
+        signed = nodes.select("job_id", "rank", "length", "band", of("text").alias("keys"))
+        return signed.select("job_id", "rank", "length", "band", F.explode("keys").alias("gram"), F.lit(0).alias("place"))
+
+    return Lookup(F.char_length, near, reach.bands, keys)
 
 
 NUMBER_BITS = np.uint64(23)
@@ -292,27 +310,14 @@ def _common_grams(nodes: DataFrame, reach: Reach) -> tuple[np.ndarray, np.ndarra
     return top["gram"].to_numpy(np.int64).astype(np.uint64), top["uses"].to_numpy(np.int64)
 
 
-def _signatures(nodes: DataFrame, config: SimilarityConfig) -> DataFrame:
-    """``(job_id, gram, band, rank, length)``: where a text may meet a partner."""
-    reach = Reach(config)
-    common, uses = _common_grams(nodes, reach)
-
-    @F.pandas_udf("array<bigint>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _gram_keys(t, reach, common, uses))
-
-    length = F.char_length("text")
-    longest = nodes.agg(F.max(length)).first()[0] or 0
-    starts = F.array(*[F.lit(n) for n in reach.bands(longest)])
+def _signatures(nodes: DataFrame, lookup: Lookup) -> DataFrame:
+    """``(job_id, gram, band, rank, length, place)``: where a text may meet a partner."""
+    nodes = nodes.withColumn("length", lookup.length(F.col("text")))
+    longest = nodes.agg(F.max("length")).first()[0] or 0
+    starts = F.array(*[F.lit(n) for n in lookup.bands(longest)])
     # Everything about the text is settled per text, before its keys become rows.
-    signed = nodes.select(
-        "job_id",
-        "rank",
-        length.alias("length"),
-        F.size(F.filter(starts, lambda n: n <= length)).alias("band"),
-        keys("text").alias("keys"),
-    )
-    return signed.select("job_id", "rank", "length", "band", F.explode("keys").alias("gram"))
+    band = F.size(F.filter(starts, lambda n: n <= F.col("length"))).alias("band")
+    return lookup.keys(nodes.select("job_id", "rank", "length", band, "text"))
 
 
 BUCKET = ["job_id", "gram", "band"]
@@ -320,18 +325,18 @@ BUCKET = ["job_id", "gram", "band"]
 
 def _heads(index: DataFrame, shown: int) -> DataFrame:
     """The first ``shown`` members of each bucket; cut down before the shuffle and after it."""
-    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("rank"))
+    nth = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("rank"))
     return (
-        index.withColumn("place", place)
-        .where(F.col("place") <= shown)
+        index.withColumn("nth", nth)
+        .where(F.col("nth") <= shown)
         .groupBy(*BUCKET)
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "length"))).alias("head"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "length", "place"))).alias("head"))
         .withColumn("last", F.when(F.size("head") == shown, F.element_at("head", -1)["rank"]))
     )
 
 
 def _visible(
-    heads: DataFrame, probes: DataFrame, texts: DataFrame, config: SimilarityConfig
+    heads: DataFrame, probes: DataFrame, texts: DataFrame, config: SimilarityConfig, lookup: Lookup
 ) -> tuple[DataFrame, DataFrame]:
     """What each probe sees of earlier index members in the shown ``heads``.
 
@@ -339,10 +344,10 @@ def _visible(
     smallest rank up to which some bucket has been shown only in part (null if
     every bucket was shown whole as far as this probe is concerned).
     """
-    near = _in_reach(config)
 
     def in_reach(h: Column) -> Column:
-        return (h["rank"] < F.col("rank")) & near(h["length"], F.col("length"))
+        fits = lookup.fits(h["length"], h["place"], F.col("length"), F.col("place"))
+        return (h["rank"] < F.col("rank")) & lookup.near(h["length"], F.col("length")) & fits
 
     # Partners are at most one length band away.
     around = probes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -368,11 +373,11 @@ def _visible(
 
 
 def _bucket_round(
-    undecided: DataFrame, signatures: DataFrame, config: SimilarityConfig, shown: int
+    undecided: DataFrame, signatures: DataFrame, config: SimilarityConfig, lookup: Lookup, shown: int
 ) -> tuple[DataFrame, DataFrame]:
     """Decide every text whose earlier similar texts are all visible."""
     live = signatures.join(undecided.select("rank"), "rank", "left_semi")
-    edges, limits = _visible(_heads(live, shown), live, undecided, config)
+    edges, limits = _visible(_heads(live, shown), live, undecided, config, lookup)
     waiting = limits.where(F.col("limit") < F.col("rank")).select("rank")
     waiting = cut(waiting, "waiting")
     open_ranks = undecided.select("rank")
@@ -406,14 +411,15 @@ def _absorb(nodes: DataFrame, kept: DataFrame, seekers: DataFrame, config: Simil
     far enough once all its buckets were shown up to the best partner so far.
     """
     texts = spread(nodes.select("job_id", "rank", "text"))
-    signatures = cut(_signatures(texts, config), "signatures")
+    lookup = _lookup(config)
+    signatures = cut(_signatures(texts, lookup), "signatures")
     index = signatures.join(kept, "rank", "left_semi")
     out = kept.select("rank", F.col("rank").alias("kept_rank")).where(F.lit(False))
     best = None
     while not seekers.isEmpty():
         heads = cut(_heads(index, BUCKET_HEAD_LIMIT), "heads")
         probes = signatures.join(seekers, "rank", "left_semi")
-        edges, limits = _visible(heads, probes, texts, config)
+        edges, limits = _visible(heads, probes, texts, config, lookup)
         pairs = edges.withColumnRenamed("earlier", "kept_rank")
         pairs = pairs if best is None else pairs.unionByName(best)
         best = cut(pairs.groupBy("rank").agg(F.min("kept_rank").alias("kept_rank")).join(limits, "rank", "left"), "best")

@@ -104,9 +104,10 @@ def to_usages(matched: DataFrame) -> DataFrame:
     )
 
 
-# Patterns of the lexical lane, one per kind of node, over single lines.
+# Patterns of the lexical lane, one per kind of node, over single lines. An import may name a
+# namespace, the members of a type (``static``) or another name for either (``name =``).
 LEXICAL_PATTERNS = [
-    ("UsingDirective", r"^\s*(?:global\s+)?using\s+([A-Za-z_][A-Za-z0-9_.]*)\s*;"),
+    ("UsingDirective", r"^\s*(?:global\s+)?using\s+(?:static\s+|[A-Za-z_][A-Za-z0-9_]*\s*=\s*)?([A-Za-z_][A-Za-z0-9_.]*)\s*;"),
     ("QualifiedName", r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"),
     ("Invocation", r"([A-Za-z_][A-Za-z0-9_]*)\("),
     ("GenericName", r"([A-Za-z_][A-Za-z0-9_]*)<[A-Za-z_]"),

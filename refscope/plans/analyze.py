@@ -21,6 +21,8 @@ from refscope.operators.incremental import fingerprint, split_jobs
 from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_COLUMNS
 from refscope.sources.packages import declared_packages, declared_tree
+from refscope.operators.snapshot import snapshot, snapshot_diff
+from refscope.sources.changes import ChangeStore, of_files, question
 from refscope.sources.results import load_results, save_results, stored_headers
 
 
@@ -207,3 +209,30 @@ def analyze_incremental(
     stored = load_results(jobs.sparkSession, root, reuse)
     usages = cut(fresh.usages.unionByName(stored.select(*USAGE_COLUMNS)), "all-usages")
     return _analysis(keyed, usages, tables, started, symbol)
+
+
+def analyze_changes(jobs: DataFrame, tables: Tables, root: str, batch: str, strict_paths: bool = False) -> ChangeStore:
+    """Bring the usages stored below ``root`` up to date with ``tables.files``, reading changed files only.
+
+    The files are compared with their state at the last update, by content. References
+    of files that were added or changed are matched; what is stored of changed and removed files no
+    longer holds. The store then answers for all files, with counts kept by
+    addition. It holds usages before near-duplicate removal, which looks at
+    whole jobs, and answers one set of jobs: if these, or what their packages are resolved to,
+    change, the store must be started anew. A ``batch`` that is done already is not done again.
+    """
+    if tables.files is None or tables.reference_paths is None or tables.package_assemblies is None:
+        raise ValueError("changes need source files, reference paths and package assemblies")
+    store = ChangeStore(jobs.sparkSession, root)
+    if store.committed(batch):
+        return store
+    wanted = cut(_job_assemblies(jobs, tables, AnalysisOptions(strict_paths=strict_paths)), "wanted")
+    asks = question(wanted)
+    if store.asked() not in (None, asks):
+        raise ValueError("the store answers other jobs; start a new one")
+    state = snapshot(tables.files)
+    diff = cut(snapshot_diff(store.state(), state), "file-changes")
+    touched = cut(diff.where("change <> 'removed'").select("solution", "file_path"), "touched-files")
+    matched = match_assembly(expand_nodes(of_files(tables.refs, touched)), wanted)
+    store.update(batch, asks, diff, state, to_usages(matched))
+    return store

@@ -73,12 +73,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     removes the tables again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/refscope/{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     for watch in watchers:
         watch(df, label)
     seen = Observation()
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes"))
-    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     watched.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     found = seen.get
@@ -86,6 +85,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared place, removed with the tables that ``cut`` wrote."""
+    path = f"{scratch_root(spark)}/refscope/{label}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release(spark: SparkSession, keep: int = 0) -> int:
     """Remove all tables this application has cut but the first ``keep``; returns how many went."""
     paths = _paths.get(spark.sparkContext.applicationId, [])

@@ -30,28 +30,28 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def complete(spark: SparkSession, path: str) -> bool:
     files, mark = _files(spark, f"{path}/_SUCCESS")
     return files.exists(mark)
 
 
-def _generations(spark: SparkSession, root: str) -> list[str]:
-    """Generations whose headers are all written, oldest first."""
-    files, place = _files(spark, f"{root}/headers")
+def generations(spark: SparkSession, root: str, part: str = "headers") -> list[str]:
+    """Generations whose ``part``, the one written last, is all there, oldest first."""
+    files, place = _files(spark, f"{root}/{part}")
     names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
     found = sorted(n.removeprefix("generation=") for n in names if n.startswith("generation="))
-    return [g for g in found if _complete(spark, f"{root}/headers/generation={g}")]
+    return [g for g in found if complete(spark, f"{root}/{part}/generation={g}")]
 
 
 def _next_generation(spark: SparkSession, root: str) -> str:
     """A name that sorts after all others; two savers at once differ by its end."""
-    last = _generations(spark, root)[-1:]
+    last = generations(spark, root)[-1:]
     number = int(last[0].split("-")[0]) + 1 if last else 1
     return f"{number:012d}-{uuid.uuid4().hex}"
 
 
 def _headers(spark: SparkSession, root: str) -> DataFrame:
-    paths = [f"{root}/headers/generation={g}" for g in _generations(spark, root)]
+    paths = [f"{root}/headers/generation={g}" for g in generations(spark, root)]
     if not paths:
         return spark.createDataFrame([], HEADER)
     return spark.read.schema(HEADER).option("basePath", f"{root}/headers").parquet(*paths)
@@ -78,12 +78,13 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
 
 
 def _write_generation(rows: DataFrame, keyed: DataFrame, root: str, generation: str) -> None:
-    """Rows first, then the headers with their counts, taken from what was written."""
-    spark = rows.sparkSession
+    """Rows first, then the headers with their counts."""
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
+    # Dealing out by ranges samples its input first: written, so that nothing is matched twice.
+    rows = cut(rows, "generation")
     rows.repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
-    counts = spark.read.schema(USAGES).parquet(path).groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
+    counts = rows.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
     header = keyed.join(counts, "fingerprint", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)))
     _write_headers(header, root, generation)
 
@@ -105,7 +106,7 @@ def stored_headers(spark: SparkSession, root: str) -> DataFrame:
     Headers are written last and are trusted: no usage row is read. Of the
     generations (few, after ``compact``) only the writer's mark is looked for.
     """
-    there = [g for g in _generations(spark, root) if _complete(spark, f"{root}/usages/generation={g}")]
+    there = [g for g in generations(spark, root) if complete(spark, f"{root}/usages/generation={g}")]
     return _latest(spark, root).where(F.col("generation").isin(there) | (F.col("usage_count") == 0))
 
 
@@ -119,7 +120,7 @@ def load_results(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
     wanted = cut(stored_headers(spark, root).select("generation", "fingerprint").join(asked, "fingerprint"), "wanted")
     # One value a save, not one a result.
     generations = sorted(r["generation"] for r in wanted.select("generation").distinct().collect())
-    paths = [f"{root}/usages/generation={g}" for g in generations if _complete(spark, f"{root}/usages/generation={g}")]
+    paths = [f"{root}/usages/generation={g}" for g in generations if complete(spark, f"{root}/usages/generation={g}")]
     if not paths:
         return spark.createDataFrame([], USAGES)
     rows = spark.read.schema(f"{USAGES}, generation string").option("basePath", f"{root}/usages").parquet(*paths)
@@ -143,7 +144,7 @@ def compact(spark: SparkSession, root: str) -> None:
     oldest first, headers before rows, so that a run that dies half-way leaves
     no forgotten result without the header that hides it. Run it alone.
     """
-    old = _generations(spark, root)
+    old = generations(spark, root)
     if not old:
         return
     live = cut(stored_headers(spark, root).select("fingerprint", "job_id"), "live")

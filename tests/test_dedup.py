@@ -1,6 +1,7 @@
 """Near-duplicate removal against the sequential rule."""
 
 import random
+import re
 
 import pytest
 
@@ -163,3 +164,40 @@ def test_a_registered_comparison(spark):
         assert sorted(r["code_text"] for r in dedup.near_dedup(some, both).collect()) == ["ab1", "q"]
     finally:
         del COMPARISONS["SameStart"]
+
+
+def overlap(a, b, threshold):
+    x, y = set(re.findall(r"\w+", a)), set(re.findall(r"\w+", b))
+    return a == b or bool(x | y) and len(x & y) / len(x | y) >= threshold
+
+
+@pytest.mark.parametrize(("threshold", "rounds"), [(0.6, False), (0.5, True), (0.8, True)])
+def test_shares_of_words(spark, monkeypatch, threshold, rounds):
+    if rounds:
+        for name, value in (("HEAD", 16), ("WIDE_JOB", 0), ("BUCKET_HEAD", 8), ("BUCKET_HEAD_LIMIT", 64)):
+            monkeypatch.setattr(dedup, name, value)
+    pick = random.Random(int(threshold * 10))
+    words = ["the", "é_1", "of", *[f"w{i}" for i in range(40)]]
+    texts = [" ".join(pick.choices(words, weights=[20, 10, 10] + [1] * 40, k=pick.randint(0, 12))) for _ in range(90)] + ["", "!!", "! !", "the the", "the"]
+    texts += [t + " w1" for t in texts[:30]]
+    jobs = {"a": list(dict.fromkeys(texts)), "b": ["x y z", "x y"], "c": []}
+    config = SimilarityConfig(True, (), (Comparison("TokenOverlapComparison", threshold=threshold),))
+    kept = {j: set() for j in jobs}
+    for row in dedup.near_dedup(usages(spark, jobs), config).collect():
+        kept[row["job_id"]].add(row["code_text"])
+    groups = {(r["job_id"], r["text"]): r["kept_text"] for r in dedup.dedup_groups(usages(spark, jobs), config).collect()}
+    for job, own in jobs.items():
+        want = []
+        for t in own:
+            first = next((k for k in want if overlap(t, k, threshold)), t)
+            assert groups[job, t] == first
+            if first == t:
+                want.append(t)
+        assert kept[job] == set(want)
+
+
+def test_near_dedup_does_not_ask_for_groups(spark, plans):
+    dedup.near_dedup(usages(spark, {"j": ["a", "b"]}), rule(3, 0.9)).count()
+    assert "met" not in [label for label, _ in plans]
+    dedup.dedup_groups(usages(spark, {"j": ["a", "b"]}), rule(3, 0.9)).count()
+    assert "met" in [label for label, _ in plans]
