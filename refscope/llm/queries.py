@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +23,7 @@ from refscope.llm import (
     urlfilter,
 )
 from refscope.llm.common import let
-from refscope.runtime import scratch_root
+from refscope.runtime import own_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +81,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = (F.when(again, second).otherwise(first), F.when(again, F.col(second)).otherwise(F.col(first)))
     kept = rows.groupBy("copy").agg(F.min("doc_id").alias("kept"))
     late = rows.join(kept, "copy").where("doc_id > kept")
-    rollup = tokencounts.Rollup(spark, f"{scratch_root(spark)}/refscope/rollup-{uuid.uuid4().hex}")
+    rollup = tokencounts.Rollup(spark, own_folder(spark, "rollup"))
     rollup.commit("load", tokencounts.event("insert", rows, old, None))
     rollup.commit("recount", tokencounts.event("revise", rows.where(again), new, old))
     rollup.commit("copies", tokencounts.event("delete", late, None, now))
