@@ -116,3 +116,10 @@ def test_lexical_lane_ends_in_bound_references(spark):
         (4, "TypeReference", "C", "Thing", "L2"),
         (4, "Direct", "C", "Thing", "L2"),
     }
+
+
+def test_imports_of_types_and_aliases(spark):
+    texts = ["using static System.Math;", "using Json = Newtonsoft.Json;", "  global using A.B ;", "using (var x = y) {", "using var x = y;"]
+    lines = spark.createDataFrame([("s", "p", "f", i, t) for i, t in enumerate(texts)], "solution string, project_name string, file_path string, line_no int, line string")
+    found = refs.lexical_refs(lines).where("node_kind = 'UsingDirective'")
+    assert {(r.line_no, r.name) for r in found.collect()} == {(0, "System.Math"), (1, "Newtonsoft.Json"), (2, "A.B")}
