@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from math import ceil, log, sqrt
 from pathlib import Path
 
@@ -108,36 +109,90 @@ def lines(docs: DataFrame, key: Column, need: list[str], text_column: str) -> Da
     return out.where(_mentions(F.col("line"), need)).select("key", "pos", F.lit(1).alias("n_lines"), _plain_words(F.col("line")).alias("words"))
 
 
-def runs(docs: DataFrame, key: Column, need: list[str], most_words: int, text_column: str) -> DataFrame:
-    """``(key, pos, n_lines, words)`` of every run of two lines or more that has one of the words ``need``.
+@dataclass(frozen=True)
+class Reach:
+    """How far a run may go: see ``reach``."""
 
-    A run has at most ``most_words`` words. Lines without words, such as the
-    frame of a comment, do not count as lines. From a line on there are at most
-    ``most_words`` runs.
+    vocabulary: list[str]
+    inside: float  # least square weight of a word of some template
+    outside: float  # square weight of any other word
+    weight: float  # most square weight of a run, counted word by word
+    words: int  # most words of a run
+
+
+def reach(templates: dict[str, str], idf: dict[str, float], unseen: float, threshold: float) -> Reach:
+    """Bounds that every run keeps which holds a template's words no more often than the template and reaches the threshold.
+
+    Let t be the template's length. The run's part inside the template is at most
+    t long, so the cosine is below the threshold once the square weight of all
+    else passes t^2 (1 / threshold^2 - 1): heavy words, such as those of no
+    template, end a run soon, and frequent words may surround a notice in large
+    number. Words of the vocabulary beyond a template's own repeat after a while,
+    and repeats weigh by their square: that bounds their number.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    low = min(idf.values()) ** 2
+    weight, within = 0.0, 0
+    for text in templates.values():
+        words = _python_terms(text)
+        rest = sum((words.count(w) * idf[w]) ** 2 for w in set(words)) * (1 / threshold**2 - 1)
+        weight = max(weight, sum(idf[w] ** 2 for w in words) + rest)
+        within = max(within, len(words) + ceil(sqrt(len(idf) * rest / low)))
+    # A margin for rounding of sums.
+    return Reach(sorted(idf), low, unseen**2, weight * (1 + 1e-9), within + int(weight / unseen**2))
+
+
+def _going(parts: Column, limit: Reach) -> Column:
+    """How many of the first of ``parts(words, weight)`` a run may hold: all but those past the limit."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("weight"), F.lit(0).alias("words"))
+
+    def step(a: Column, p: Column) -> Column:
+        weight, words = a["weight"] + p["weight"], a["words"] + F.size(p["words"])
+        fits = (weight <= limit.weight) & (words <= limit.words)
+        # Past the limit the weight stays too large, so that no later part fits.
+        return F.struct((a["n"] + fits.cast("int")).alias("n"), F.when(fits, weight).otherwise(float("inf")).alias("weight"), F.when(fits, words).otherwise(a["words"]).alias("words"))
+
+    return F.aggregate(parts, start, step, lambda a: a["n"])
+
+
+def runs(docs: DataFrame, key: Column, need: list[str], limit: Reach, text_column: str) -> DataFrame:
+    """``(key, pos, n_lines, words)`` of every run of two lines or more within ``limit`` that has one of the words ``need``.
+
+    Lines without words, such as the frame of a comment, do not count as lines.
+    Runs are built around the lines that have a needed word only: each run
+    belongs to the first such line in it. ``pos`` is its first line.
     """
     texts = docs.select(key.alias("key"), F.split(F.lower(F.col(f"`{text_column}`")), "\n").alias("lines"))
     texts = texts.where(F.exists("lines", lambda line: _mentions(line, need)))
     # A longer line is in no run, so that the rest of it need not move.
-    parts = F.transform("lines", lambda line: F.slice(_plain_words(line), 1, most_words + 1))
-    texts = texts.select("key", F.filter(parts, lambda ws: F.size(ws) > 0).alias("parts"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(i.alias("pos"), F.slice("parts", i, most_words).alias("near")))
-    # Two lines at least, and the first two not yet too long.
-    fits = F.filter(starts, lambda s: (F.size(s["near"]) > 1) & (F.size(s["near"][0]) + F.size(F.get(s["near"], 1)) <= most_words))
-    texts = texts.where(F.size("parts") > 1).select("key", F.explode(fits).alias("s")).select("key", "s.pos", "s.near")
-    ends = F.when(F.size("near") > 1, F.transform(F.sequence(F.lit(2), F.size("near")), lambda n: F.struct(n.alias("n_lines"), F.flatten(F.slice("near", F.lit(1), n)).alias("words"))))
-    good = F.filter(ends, lambda r: (F.size(r["words"]) <= most_words) & F.arrays_overlap(r["words"], F.lit(need)))
-    return texts.select("key", "pos", F.explode(good).alias("r")).select("key", "pos", "r.n_lines", "r.words")
-
-
-def most_words(templates: dict[str, str], threshold: float) -> int:
-    """Of how many words a run is at most: those of the longest template among as many others as the threshold allows.
-
-    With n words of a template and m different others of like weight, the cosine
-    is at most sqrt(n / (n + m)). Only a notice between many frequent words of
-    the templates, or repeated, might reach the threshold in a longer run.
-    """
-    longest = max((len(_python_terms(t)) for t in templates.values()), default=0)
-    return min(ceil(longest / threshold**2), 2**30) if threshold > 0 else 2**30
+    parts = F.transform("lines", lambda line: F.slice(_plain_words(line), 1, limit.words + 1))
+    texts = texts.select("key", F.filter(parts, lambda ws: F.size(ws) > 0).alias("parts")).where(F.size("parts") > 1)
+    known = lambda ws: F.size(F.filter(ws, lambda w: w.isin(limit.vocabulary)))
+    weight = lambda ws, n: n * limit.inside + (F.size(ws) - n) * limit.outside
+    weighed = F.transform("parts", lambda ws: F.struct(ws.alias("words"), weight(ws, known(ws)).alias("weight")))
+    # The optimizer moves tests of this column down: no array may be named inside its lambdas.
+    at = F.array_compact(F.transform("parts", lambda ws, i: F.when(F.arrays_overlap(ws, F.lit(need)), i + 1)))
+    texts = texts.select("key", weighed.alias("weighed"), at.alias("at"))
+    # Lines before a line that has a needed word, back to the one before it, nearest first; and those from it on.
+    before = F.greatest(F.lit(1), F.coalesce(F.get("at", F.col("k") - 1), F.lit(0)) + 1, F.col("a") - limit.words)
+    texts = texts.select("key", "weighed", "at", F.posexplode("at").alias("k", "a"))
+    near = texts.select(
+        "key", "a", F.reverse(F.slice("weighed", before, F.col("a") - before + 1)).alias("back"), F.slice("weighed", F.col("a"), F.lit(limit.words)).alias("on")
+    )
+    near = near.select("key", "a", "back", _going(F.col("back"), limit).alias("n_back"), "on", _going(F.col("on"), limit).alias("n_on"))
+    near = near.where("n_back > 0").select(
+        "key", "a", F.slice("back", F.lit(1), F.col("n_back")).alias("back"), F.slice("on", F.lit(1), F.col("n_on")).alias("on")
+    )
+    # Each start: ``n`` lines up to the needed one and what follows it.
+    begun = near.select("key", "a", "back", "on", F.explode(F.sequence(F.lit(1), F.size("back"))).alias("n"))
+    whole = F.concat(F.reverse(F.slice("back", F.lit(2), F.col("n") - 1)), F.col("on"))
+    begun = begun.select("key", (F.col("a") - F.col("n") + 1).alias("pos"), "n", whole.alias("near"))
+    begun = begun.select("key", "pos", "n", "near", _going(F.col("near"), limit).alias("most"))
+    first = F.greatest(F.lit(2), F.col("n"))
+    begun = begun.where(F.col("most") >= first).select("key", "pos", "near", F.explode(F.sequence(first, F.col("most"))).alias("n_lines"))
+    words = F.flatten(F.transform(F.slice("near", F.lit(1), F.col("n_lines")), lambda p: p["words"]))
+    return begun.select("key", "pos", "n_lines", words.alias("words"))
 
 
 def unit_scores(
@@ -186,7 +241,8 @@ def text_scores(
     if templates:
         idf, vectors = weights(templates, total, frequencies)
         need = anchors(vectors, threshold)
-        units = lines(files, key, need, text_column).unionByName(runs(files, key, need, most_words(templates, threshold), text_column))
+        limit = reach(templates, idf, unseen, threshold)
+        units = lines(files, key, need, text_column).unionByName(runs(files, key, need, limit, text_column))
         found.append(unit_scores(units, idf, vectors, unseen, threshold, ranks))
     if full_texts:
         idf, vectors = weights(full_texts, total, frequencies)
@@ -243,8 +299,10 @@ def scan(
     license is that of the template most like any part of it (TF-IDF cosine at
     least ``threshold``; word weights from all texts; ties to the first name).
     Parts are its lines and its runs of lines, so that wrapped notices count, beside
-    ``templates``, and the whole text of a license file beside ``full_texts``. A
-    run has at most ``most_words`` words; lines and whole texts are of any length.
+    ``templates``, and the whole text of a license file beside ``full_texts``. Runs
+    end by the weight of what no template holds (``reach``), so no run is left out
+    that reaches the threshold and holds a notice once; a notice that is repeated
+    is found in the runs around each copy. Lines and whole texts are of any length.
     Prose on the same line lowers a notice's cosine. A file without one has the
     license of the nearest directory, its own or one above it, in which a license
     file has one; of several the best scored. A null or empty text has no license

@@ -55,7 +55,7 @@ def _plain_best(texts, path, text, threshold=0.8):
     """Best (score, name) over all runs of lines, of any length, and a license file's whole text."""
     import re
 
-    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    words = [set(re.findall("[a-z0-9]+", (t or "").lower())) for t in texts]
     unseen = log(1 + len(texts)) + 1
 
     def best(units, templates):
@@ -100,3 +100,30 @@ def test_full_texts_and_wrapped_notices(spark):
         if len(text or "") < 2000:
             assert (got[path].own_license, got[path].score) == _plain_best(texts, path, text), path
     assert {r.own_license for r in scan(spark, rows, full_texts={}).where("path LIKE 'full/%'").collect()} <= {None, *L.TEMPLATES}
+
+
+def test_notices_between_many_frequent_words(spark):
+    """Words that most texts have weigh little: a notice among many of them counts, wherever its lines break."""
+    common = "this is the work under public software and is free to the public under general domain".split()
+    apache = "licensed under the apache license version 2 0".split()
+    rows = [(f"plain/{i}", " ".join(common)) for i in range(300)]
+    broken = [(f"n/{i}", " ".join(common[:9] + apache[:i]) + "\n" + " ".join(apache[i:] + common[6:15])) for i in range(1, 8)]
+    broken += [("n/words", "\n".join(common[:9] + apache + common[6:])), ("n/one", " ".join(common[:9] + apache + common[6:15]))]
+    texts = [t for _, t in rows + broken]
+    got = {r.path: r for r in scan(spark, rows + broken).collect()}
+    for path, text in broken:
+        assert got[path].own_license == "Apache-2.0", path
+        assert (got[path].own_license, got[path].score) == _plain_best(texts, path, text), path
+    assert {got[p].own_license for p, _ in rows} == {None}
+
+
+def test_runs_of_one_frequent_line_are_few(spark):
+    """A line repeated many times gives each start a bounded number of runs, and an unlike word ends them."""
+    words = {w: 1.0 for t in L.TEMPLATES.values() for w in L._python_terms(t)}
+    limit = L.reach(L.TEMPLATES, words, 10.0, 0.8)
+    docs = spark.createDataFrame([(1, "license\n" * 500), (2, "license\nx y z\nlicense"), (3, "license\nthe\nthe x\nlicense")], "id int, text string")
+    got = L.runs(docs, F.col("id"), ["license"], limit, "text").groupBy("key").agg(F.count("*").alias("n"), F.max("n_lines").alias("most"), F.countDistinct("pos", "n_lines").alias("kinds")).collect()
+    got = {r.key: r for r in got}
+    assert all(r.n == r.kinds for r in got.values())
+    assert got[1].most <= limit.weight and got[1].n <= 500 * limit.weight
+    assert 2 not in got and got[3].n == 1
