@@ -121,7 +121,8 @@ def build_cascade(
     pass; level 3 the listed keys that level 2 lets pass; and so on until none
     pass wrongly, so every key of the universe gets its exact answer. A key listed in any row is
     listed; null keys are ignored; an empty list makes a cascade that has
-    nothing, a list of all keys one level.
+    nothing, a list of all keys one level. Filters so small that the levels do not
+    come to an end raise an error.
     """
     any_listed = F.max(F.coalesce(F.col(listed), F.lit(False))).alias("in")
     keys = universe.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(any_listed)
@@ -155,6 +156,8 @@ def build_cascade(
         # The other kind goes on where this level lets it pass; all of this kind are in it.
         other = passing.where(F.col("in") != F.lit(level % 2 == 0))
         passing = written(_passing(now, other, level).unionByName(own), "passing")
+    else:
+        raise RuntimeError(f"{_MOST_LEVELS} levels of filters do not tell all keys apart: give more bits a key")
     filters = universe.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for table in tables:
         filters = filters.join(table, "shard")

@@ -59,3 +59,11 @@ def test_rules_and_parts(spark):
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got}
     assert [found[i] for i in range(len(cases))] == list(cases.values())
     assert found[99] == ("", "", None, "allow") and found[None][3] == "block" and len(got) == len(cases) + 3
+
+
+def test_levels_that_do_not_end_raise(spark, monkeypatch):
+    """Keys that are still mixed up after the last level are an error, not a wrong answer."""
+    keys = spark.range(400).selectExpr("cast(id AS string) AS key", "id % 2 = 0 AS listed")
+    monkeypatch.setattr(U, "_MOST_LEVELS", 1)
+    with pytest.raises(RuntimeError, match="tell all keys apart"):
+        U.build_cascade(keys, "key", "listed", bits_per_key=2)
