@@ -122,6 +122,19 @@ def report_parts(usages: str, item: str) -> str:
   UNION ALL SELECT job_id, 3, error, to_json(error)::VARCHAR FROM job_errors"""
 
 
+def document_lines(parts: str, pascal: bool) -> str:
+    """Lines of one document per job, from the rows of ``parts``."""
+    names = ["AnalyzedProjects", "Usages", "Errors"] if pascal else ["analyzedProjects", "usages", "errors"]
+    head = "head[:-2]" if pascal else """'{"summary":' || head"""
+    frame = [f"SELECT job_id, 0 AS part, 0 AS slot, '' AS position, '' AS json, {head} AS text FROM heads"]
+    for i, name in enumerate(names, 1):
+        frame.append(f"""SELECT job_id, {i}, 0, '', '', ',"{name}":[' FROM heads""")
+        frame.append(f"SELECT job_id, {i}, 2, '', '', '{']' if i < 3 else ']}'}' FROM heads")
+    return f""", parts AS ({parts}) {" UNION ALL ".join(frame)}
+  UNION ALL SELECT job_id, part, 1, position, json, CASE WHEN row_number() OVER (PARTITION BY job_id, part ORDER BY position, json) = 1
+    THEN json ELSE ',' || json END FROM parts JOIN heads USING (job_id) WHERE part > 0"""
+
+
 NINE = (
     "{'projectName': project_name, 'filePath': file_path, 'startLine': start_line, 'endLine': end_line, "
     "'codeText': code_text, 'usageType': lower(usage_type[1:1]) || usage_type[2:], 'symbolName': symbol_name, "
@@ -325,10 +338,11 @@ _SQL = {
     "near_dedup_default": f"""WITH {ALL_USAGES}, {greedy("solution_usages", comments_first("code_text"), 10, 0.8)}
         SELECT job_id, project_name, file_path, start_line, usage_type, code_text FROM kept""",
     "registered_plugins": f"""WITH {ALL_USAGES}, texts AS (SELECT *, regexp_replace(code_text, '[0-9]', '', 'g') AS txt FROM solution_usages),
-        sizes AS (SELECT job_id, txt, count(*) AS copies FROM texts GROUP BY ALL),
-        firsts AS (SELECT job_id, substr(txt, 1, 9) AS start, txt AS kept_text FROM texts
-          QUALIFY row_number() OVER (PARTITION BY job_id, substr(txt, 1, 9) ORDER BY {ORDER}) = 1)
-        SELECT s.job_id, txt AS text, kept_text, copies FROM sizes s JOIN firsts f ON f.job_id = s.job_id AND f.start = substr(s.txt, 1, 9)""",
+        made AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(txt, ''))), '') AS chars FROM texts),
+        sizes AS (SELECT job_id, txt, chars, count(*) AS copies FROM made GROUP BY ALL),
+        firsts AS (SELECT job_id, chars, txt AS kept_text FROM made
+          QUALIFY row_number() OVER (PARTITION BY job_id, chars ORDER BY {ORDER}) = 1)
+        SELECT s.job_id, txt AS text, kept_text, copies FROM sizes s JOIN firsts f ON f.job_id = s.job_id AND f.chars = s.chars""",
     "dedup_groups": f"""WITH {ALL_USAGES}, {greedy("solution_usages", shipped("code_text"))},
         sizes AS (SELECT job_id, txt, count(*) AS copies FROM texts GROUP BY job_id, txt)
         SELECT s.job_id, s.txt AS text, (list_filter(f.kept, lambda k: {similar("k", "s.txt")}))[1] AS kept_text, s.copies
@@ -361,6 +375,13 @@ _SQL = {
         heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'packageName': package,
           'packageVersion': version, {HEAD_FIELDS}}})::VARCHAR AS head FROM summaries)
         {report_parts("job_usages", NINE)}""",
+    "report_documents": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")},
+        heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'packageName': package,
+          'packageVersion': version, {HEAD_FIELDS}}})::VARCHAR AS head FROM summaries){document_lines(report_parts("job_usages", NINE), False)}""",
+    "result_documents": f"""WITH {JOB_PARTS}, {totals("{analyses}", "job_usages")},
+        heads AS (SELECT job_id, to_json({{'SolutionPath': solution, 'PackageName': package, 'PackageVersion': version,
+          'AnalyzedAt': {STAMP.format("analyzed_at")}, 'AnalysisDuration': {DURATION},
+          'TotalUsageCount': total_usage_count}})::VARCHAR AS head FROM summaries){document_lines(report_parts("job_usages", TWELVE), True)}""",
     "symbol_report_json": f"""WITH {FOUND_SYMBOLS},
         heads AS (SELECT job_id, to_json({{'solutionPath': solution, 'targetSymbol': target,
           {HEAD_FIELDS}}})::VARCHAR AS head FROM summaries)
@@ -440,6 +461,16 @@ _SQL = {
         counts AS (SELECT job_id, count(*) AS n FROM kept WHERE usage_type IN ({SHIPPED_TYPES}) GROUP BY job_id)
         SELECT job_id, true AS success, NULL::VARCHAR AS error, coalesce(n, 0) AS usage_count FROM {{jobs}} LEFT JOIN counts USING (job_id)
         UNION ALL SELECT DISTINCT c_mktsegment || '|none', false, 'Solution not found: ' || c_mktsegment, NULL::BIGINT FROM customer""",
+    "batch_isolated": f"""WITH {RESOLVED},
+        with_job AS (SELECT j.job_id, r.* FROM {{symbol_refs}} r JOIN resolved a ON a.solution = r.solution
+          AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution AND j.package = a.package AND j.version = a.version),
+        all_usages AS (SELECT * FROM (SELECT *, {CLASSIFIED} AS usage_type FROM with_job) WHERE usage_type IS NOT NULL),
+        {greedy("all_usages", comments_first("code_text"))},
+        counts AS (SELECT job_id, count(*) AS n FROM kept WHERE usage_type IN ({SHIPPED_TYPES}) GROUP BY job_id),
+        bad AS (SELECT DISTINCT job_id, 'text is not readable' AS error FROM all_usages
+          WHERE file_path = (SELECT max(file_path) FROM {{symbol_refs}}))
+        SELECT job_id, bad.error IS NULL AS success, bad.error, CASE WHEN bad.error IS NULL THEN coalesce(n, 0) END AS usage_count FROM {{jobs}} LEFT JOIN counts USING (job_id) LEFT JOIN bad USING (job_id)
+        UNION ALL SELECT DISTINCT c_mktsegment || '|none', false, 'Solution not found: ' || c_mktsegment, NULL::BIGINT FROM customer""",
     "delta_analysis": f"""WITH {RESOLVED},
         found AS (SELECT * FROM (SELECT j.job_id, r.*, {CLASSIFIED} AS usage_type FROM {{refs_after}} r JOIN resolved a
           ON a.solution = r.solution AND a.assembly_lc = lower(r.assembly_name) JOIN {{jobs}} j ON j.solution = a.solution

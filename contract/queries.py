@@ -22,7 +22,7 @@ from refscope.functions.distance import are_similar, register_comparison
 from refscope.functions.text import normalize_whitespace, register_simplifier, remove_comments, simplify
 from refscope.operators import audit, context, dedup, incremental, match, refs, reports, resolve
 from refscope.operators import snapshot as snapshots
-from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_changes, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
+from refscope.plans.analyze import Analysis, Tables, analyze_batch, analyze_changes, analyze_declared, analyze_incremental, analyze_isolated, analyze_package, analyze_symbol
 from refscope.runtime import cut, own_folder
 from refscope.sources import files, jobs, packages, results
 
@@ -398,10 +398,11 @@ def near_dedup_default(spark, sf):
 
 @query
 def registered_plugins(spark, sf):
-    """A simplifier and a comparison of the caller's own: texts without digits that agree in their first nine characters."""
+    """A simplifier and a comparison of the caller's own: texts without digits that are made of the same characters."""
     register_simplifier("NoDigits", lambda text: F.regexp_replace(text, "[0-9]", ""))
-    register_comparison("SamePrefix", lambda a, b, rule: F.substring(a, 1, rule.max_distance) == F.substring(b, 1, rule.max_distance))
-    config = SimilarityConfig(True, (Simplifier("NoDigits"),), (Comparison("SamePrefix", max_distance=9),))
+    made_of = lambda text: F.array_sort(F.array_distinct(F.split(text, "")))
+    register_comparison("SameCharacters", lambda a, b, rule: made_of(a) == made_of(b))
+    config = SimilarityConfig(True, (Simplifier("NoDigits"),), (Comparison("SameCharacters"),))
     return dedup.dedup_groups(_solution_usages(spark, sf), config)
 
 
@@ -517,6 +518,18 @@ def report_json(spark, sf):
     return reports.usage_report(*_summaries(spark, sf))
 
 
+@query
+def report_documents(spark, sf):
+    """The same reports as lines of one JSON document per job."""
+    return reports.documents(reports.usage_report(*_summaries(spark, sf))).drop("copy")
+
+
+@query
+def result_documents(spark, sf):
+    """The full results as lines of one JSON document per job."""
+    return reports.documents(reports.full_result(*_summaries(spark, sf)), pascal=True).drop("copy")
+
+
 def _symbol_found(spark, sf) -> Analysis:
     """Symbol jobs, with the times their solutions' analyses took."""
     started = view(spark, sf, "analyses").groupBy("solution").agg(
@@ -668,6 +681,21 @@ def batch_analysis(spark, sf):
     return rows.select("job_id", "success", "error", "usage_count")
 
 
+@query
+def batch_isolated(spark, sf):
+    """The same batch with a simplifier that raises on the texts of the last file: its jobs fail, the others do not."""
+    tables, reject = _tables(spark, sf), "text is not readable"
+    last = tables.refs.select(F.max("file_path")).scalar()
+    marked = F.when(F.col("file_path") == last, F.concat(F.lit("\f"), "code_text")).otherwise(F.col("code_text"))
+    register_simplifier("Readable", lambda text: F.when(text.startswith("\f"), F.raise_error(F.lit(reject))).otherwise(text))
+    steps = (Simplifier("Readable", priority=0), *COMMENTS_FIRST_SIMILARITY.simplifiers)
+    options = replace(OPTIONS, similarity=replace(COMMENTS_FIRST_SIMILARITY, simplifiers=steps))
+    tables = replace(tables, refs=tables.refs.withColumn("code_text", marked))
+    rows, _ = analyze_isolated(_batch(spark, sf), tables, options)
+    error = F.when(F.col("error").contains(reject), reject).otherwise(F.col("error"))
+    return rows.select("job_id", "success", error.alias("error"), "usage_count")
+
+
 @query
 def incremental_analysis(spark, sf):
     """A first run answers the jobs marked for refresh, a second run all jobs and reuses what it may."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refscope.operators.incremental import utc_text
+from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_ORDER
 
 
@@ -207,7 +208,57 @@ def _parts(
 def write_report(report: DataFrame, path: str) -> None:
     """Store a report in reading order: files and their rows are sorted by job, part, position and json."""
     order = ["job_id", "part", "position", "json"]
-    report.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    # Written first: the ranges are found by a sample, which would compute the report once more.
+    cut(report, "report").repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+# The names of a document's arrays, by part.
+ARRAYS = ("", "analyzedProjects", "usages", "errors")
+OPENING, ITEM, CLOSING = range(3)
+DOCUMENT_ORDER = ("job_id", "part", "slot", "position", "json", "copy")
+
+
+def documents(report: DataFrame, pascal: bool = False) -> DataFrame:
+    """``(job_id, part, slot, position, json, copy, text)``: a report's parts as one JSON document per job.
+
+    The rows' ``text`` in ``DOCUMENT_ORDER`` is the document. Nothing is gathered per job: brackets are rows of
+    their own, made from the head, and a comma stands before every item that is not the first of its array, which is
+    found by a minimum. A camel-case report has its head as ``summary``, a ``pascal`` result has the head's fields
+    beside its arrays. Equal items stay, told apart by ``copy``; empty arrays are written out. A job without a
+    head has no document.
+    """
+    rows = cut(report.withColumn("copy", F.monotonically_increasing_id()), "document")
+    heads = rows.where(F.col("part") == 0).select("job_id", F.col("json").alias("head"))
+    names = [name[:1].upper() + name[1:] if pascal else name for name in ARRAYS]
+    head = F.substr("head", F.lit(1), F.char_length("head") - 1) if pascal else F.concat(F.lit('{"summary":'), "head")
+
+    def bracket(part: int, slot: int, text: Column | str) -> Column:
+        return F.struct(F.lit(part).alias("part"), F.lit(slot).alias("slot"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+
+    brackets = [bracket(0, OPENING, head)]
+    for part in range(1, len(PARTS)):
+        brackets.append(bracket(part, OPENING, f',"{names[part]}":['))
+        brackets.append(bracket(part, CLOSING, "]" if part + 1 < len(PARTS) else "]}"))
+    frame = heads.select("job_id", F.explode(F.array(*brackets)).alias("b")).select(
+        "job_id", "b.part", "b.slot", F.lit("").alias("position"), F.lit("").alias("json"), F.lit(0).cast("bigint").alias("copy"), "b.text"
+    )
+    items, place = rows.where(F.col("part") > 0), F.struct("position", "json", "copy")
+    first = items.groupBy("job_id", "part").agg(F.min(place).alias("first"))
+    first = first.join(heads.select("job_id"), "job_id", "left_semi")
+    items = join_bounded(items, first, ["job_id", "part"])
+    text = F.concat(F.when(place == F.col("first"), "").otherwise(","), "json")
+    return frame.unionByName(items.select("job_id", "part", F.lit(ITEM).alias("slot"), "position", "json", "copy", text.alias("text")))
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """Store ``documents`` as text, a folder per job: its files in the order of their names are the document.
+
+    Rows are dealt by ranges of the order, so a job of any size is written by as many tasks as it needs, each with one
+    open file at a time.
+    """
+    order = list(DOCUMENT_ORDER)
+    dealt = cut(lines, "lines").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("job_id", "text").write.partitionBy("job_id").text(path)
 
 
 def _timestamp(ts: Column) -> Column:

@@ -1,9 +1,12 @@
 """Whole analyses: the order of stages, projects without usages, errors, reuse."""
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
-from refscope.config import Comparison, SimilarityConfig, AnalysisOptions
-from refscope.plans.analyze import Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_package, analyze_symbol
+from refscope.config import Comparison, Simplifier, SimilarityConfig, AnalysisOptions
+from refscope.functions.text import SIMPLIFIERS
+from refscope.plans.analyze import Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_isolated, analyze_package, analyze_symbol
 
 REF = (
     "solution string, project_name string, file_path string, start_line int, end_line int, node_kind string, parent_kind string,"
@@ -158,3 +161,38 @@ def test_a_changed_listing_is_computed_again(spark, tmp_path):
     after = tables(spark)
     after.reference_paths = spark.createDataFrame([("s", "/x/packages/lib/1/Other.dll")], "solution string, path string")
     assert lines(analyze_incremental(jobs, after, state, root)) == [("p1", 4)]
+
+
+def test_one_text_that_raises_fails_its_job_alone(spark, monkeypatch):
+    refuse = lambda text: F.when(text.contains("else"), F.raise_error(F.lit("cannot read this"))).otherwise(text)
+    monkeypatch.setitem(SIMPLIFIERS, "Refuse", refuse)
+    options = AnalysisOptions(similarity=SimilarityConfig(True, (Simplifier("Refuse"),), SIMILAR.comparisons))
+    given = tables(spark, [
+        *[ref(i, "MemberAccess", f"{i} is text number {i * 7919}", assembly=f"A{i}") for i in range(9)],
+        ref(20, "MemberAccess", "something else", assembly="A4"),
+    ])
+    given.reference_paths = spark.createDataFrame([("s", f"/x/packages/a{i}/1/A{i}.dll") for i in range(9)], "solution string, path string")
+    asked = package_jobs(spark, *[f"A{i}" for i in range(9)], "Nothing")
+    unknown = asked.limit(1).selectExpr("'u' job_id", "'gone' solution", "package", "version", "force_refresh")
+    with pytest.raises(Exception, match="cannot read this"):
+        analyze_batch(asked, given, options)
+    rows, totals = analyze_isolated(asked.unionByName(unknown), given, options)
+    found = {r["job_id"]: (r["success"], r["error"], r["usage_count"]) for r in rows.collect()}
+    assert found.pop("u") == (False, "Solution not found: gone", None)
+    success, error, count = found.pop("A4")
+    assert (success, count) == (False, None) and "cannot read this" in error
+    assert found == {f"A{i}": (True, None, 1) for i in range(9) if i != 4} | {"Nothing": (True, None, 0)}
+    assert tuple(totals.first()) == (11, 9, 2, 8)
+
+
+def test_a_plan_that_is_wrong_for_all_jobs_is_raised(spark, monkeypatch):
+    monkeypatch.setitem(SIMPLIFIERS, "Refuse", lambda text: F.col("no_such_column"))
+    options = AnalysisOptions(similarity=SimilarityConfig(True, (Simplifier("Refuse"),), SIMILAR.comparisons))
+    with pytest.raises(AnalysisException):
+        analyze_isolated(package_jobs(spark, "Lib"), tables(spark), options)
+
+
+def test_isolated_equals_batch(spark):
+    asked, options = package_jobs(spark, "Lib", "Nothing"), AnalysisOptions(similarity=SIMILAR)
+    alone, together = analyze_isolated(asked, tables(spark), options), analyze_batch(asked, tables(spark), options)
+    assert [sorted(map(tuple, x.collect())) for x in alone] == [sorted(map(tuple, x.collect())) for x in together]

@@ -69,6 +69,37 @@ def test_a_report_is_stored_in_reading_order(spark, tmp_path):
     assert rows == sorted(rows) and len(rows) == report.count()
 
 
+@pytest.mark.parametrize("pascal", [False, True])
+def test_one_document_per_job(spark, tmp_path, pascal):
+    jobs, projects, errors = parts(spark)
+    found = usages(spark, 300).unionByName(usages(spark, 3))
+    build = reports.full_result if pascal else reports.usage_report
+    report = build(reports.summary(jobs, found, projects, errors), found, projects, errors)
+    stray = report.where("part = 2").limit(1).withColumn("job_id", F.lit("headless"))
+    # Small ranges are not put together here, so a job crosses files.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.write_documents(reports.documents(report.unionByName(stray), pascal), str(tmp_path / "d"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(p.name for p in tmp_path.glob("d/job_id=*")) == ["job_id=j", "job_id=k"]
+    assert len(list(tmp_path.glob("d/job_id=j/part-*"))) > 1
+    read_parts = read(report)
+    for job in "jk":
+        text = "".join(p.read_text() for p in sorted(tmp_path.glob(f"d/job_id={job}/part-*")))
+        document = json.loads(text)
+        of = {part: [x for kind, x in read_parts[job] if kind == part] for part in reports.PARTS}
+        names = ["AnalyzedProjects", "Usages", "Errors"] if pascal else ["analyzedProjects", "usages", "errors"]
+        head = of["summary"][0] if pascal else {"summary": of["summary"][0]}
+        assert document == head | dict(zip(names, (of["project"], of["usage"], of["error"])))
+    assert len(found.collect()) == 303 and document["Usages" if pascal else "usages"] == []
+
+
+def test_no_documents_without_jobs(spark):
+    empty = spark.createDataFrame([], "job_id string, part int, position string, json string")
+    assert reports.documents(empty).collect() == []
+
+
 def test_full_result(spark):
     jobs, projects, errors = parts(spark)
     head = reports.summary(jobs, usages(spark, 1), projects, errors)
