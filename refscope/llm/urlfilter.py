@@ -15,6 +15,8 @@ BITS_PER_KEY, HASHES = 10, 4
 FILTER_BITS = 1 << 22
 #: The filters are values of the query plan, not a joined table, up to this many bits in all (8 MB).
 PLAN_BITS = 1 << 26
+#: Where rows meet their shard's filters in a join, every shard is that many keys, so that few shards are many tasks.
+SPREAD = 32
 _MOST_LEVELS = 64
 
 
@@ -80,29 +82,50 @@ class Cascade:
         """``rows`` with a boolean column: exact for every key of the universe, false for null.
 
         The first level that does not have the key decides: an even number of
-        levels passed means "not listed". No key is joined with the list. If the
-        filters are few bits they are values in the plan; else each row meets its
+        levels passed means "not listed". No key is joined with the list. Filters of at
+        most ``plan_bits`` bits, over all shards, are one value in the plan; else each row meets its
         shard's filters, one row of bounded size.
         """
         if self.in_plan:
-            found = self.filters.select("levels").scalar() if self.shards == 1 else None
-            if found is not None:
-                return rows.withColumn(name, F.coalesce(self._test(key, found), F.lit(False)))
+            return rows.withColumn(name, F.coalesce(self._test(key, self._own(key)), F.lit(False)))
         columns = rows.columns
         packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), key.alias("key"))
-        packed = packed.withColumn("shard", F.coalesce(_shard(F.col("key"), self.shards), F.lit(0)))
-        side = self.filters.hint("shuffle_merge")
-        found = packed.join(side, "shard").select("row", F.coalesce(self._test(F.col("key"), F.col("levels")), F.lit(False)).alias("in"))
+        found = self._beside(packed).select("row", F.coalesce(self._test(F.col("key"), F.col("levels")), F.lit(False)).alias("in"))
         return found.select("row.*", F.col("in").alias(name))
 
+    def passing(self, keys: DataFrame, level: int) -> DataFrame:
+        """Rows ``(key, in)`` whose key the filters, which are those of one ``level``, let pass."""
+        if self.in_plan:
+            return keys.where(self._hit(F.col("key"), level, F.get(self._own(F.col("key")), 0), self.sizes[0]))
+        rows = self._beside(keys)
+        return rows.where(self._hit(F.col("key"), level, F.get("levels", 0), self.sizes[0])).select("key", "in")
+
+    def _own(self, key: Column) -> Column:
+        """The levels of a key's shard, out of one value: at most ``plan_bits`` bits in all."""
+        if self.shards == 1:
+            return self.filters.select("levels").scalar()
+        every = F.transform(F.array_sort(F.collect_list(F.struct("shard", "levels"))), lambda x: x["levels"])
+        return F.get(self.filters.select(every).scalar(), _shard(key, self.shards))
+
+    def _beside(self, rows: DataFrame) -> DataFrame:
+        """``rows(key, ...)`` with the levels of their shard."""
+        salt = F.pmod(F.xxhash64(F.col("key"), F.lit(-2)), F.lit(SPREAD)).cast("int")
+        rows = rows.withColumn("shard", F.coalesce(_shard(F.col("key"), self.shards), F.lit(0))).withColumn("salt", salt)
+        side = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        return rows.join(side.hint("shuffle_merge"), ["shard", "salt"]).drop("shard", "salt")
+
+    @staticmethod
+    def _hit(key: Column, level: int, words: Column, bits: int) -> Column:
+        hit = F.lit(True)
+        for place in _places(key, level, F.lit(bits)):
+            word = F.get(words, F.shiftright(place, 6).cast("int"))
+            hit = hit & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+        return hit
+
     def _test(self, key: Column, levels: Column) -> Column:
         verdict = F.lit(len(self.sizes) % 2 == 1)
         for level in reversed(range(len(self.sizes))):
-            words = F.get(levels, F.lit(level))
-            hit = F.lit(True)
-            for place in _places(key, level, F.lit(self.sizes[level])):
-                word = F.get(words, F.shiftright(place, 6).cast("int"))
-                hit = hit & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+            hit = self._hit(key, level, F.get(levels, F.lit(level)), self.sizes[level])
             verdict = F.when(hit, verdict).otherwise(F.lit(level % 2 == 1))
         return F.when(key.isNotNull(), verdict)
 
@@ -152,10 +175,10 @@ def build_cascade(
             F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w")
         )
         tables.append(written(dense.select("shard", F.transform("w", lambda x: x["bits"]).alias(f"l{level}")), "filter"))
-        now = Cascade(tables[-1].select("shard", F.array(f"l{level}").alias("levels")), [bits], shards, False)
+        now = Cascade(tables[-1].select("shard", F.array(f"l{level}").alias("levels")), [bits], shards, shards * bits <= plan_bits)
         # The other kind goes on where this level lets it pass; all of this kind are in it.
         other = passing.where(F.col("in") != F.lit(level % 2 == 0))
-        passing = written(_passing(now, other, level).unionByName(own), "passing")
+        passing = written(now.passing(other, level).unionByName(own), "passing")
     else:
         raise RuntimeError(f"{_MOST_LEVELS} levels of filters do not tell all keys apart: give more bits a key")
     filters = universe.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
@@ -164,18 +187,7 @@ def build_cascade(
     levels = [F.col(f"l{i}") for i in range(len(tables))]
     packed = F.array(*levels) if levels else F.array().cast("array<array<bigint>>")
     filters = written(filters.select("shard", packed.alias("levels")), "cascade")
-    return Cascade(filters, sizes, shards, shards == 1 and sum(sizes) <= plan_bits)
-
-
-def _passing(one: Cascade, keys: DataFrame, level: int) -> DataFrame:
-    """Keys that a single level lets pass."""
-    side = one.filters.withColumnRenamed("shard", "_shard").withColumn("words", F.get("levels", F.lit(0)))
-    rows = keys.withColumn("_shard", _shard(F.col("key"), one.shards)).join(side, "_shard")
-    hit = F.lit(True)
-    for place in _places(F.col("key"), level, F.lit(one.sizes[0])):
-        word = F.get("words", F.shiftright(place, 6).cast("int"))
-        hit = hit & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
-    return rows.where(hit).select("key", "in")
+    return Cascade(filters, sizes, shards, shards * sum(sizes) <= plan_bits)
 
 
 def judged(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from refscope.llm import urlfilter as U
 
 
-@pytest.mark.parametrize(("filter_bits", "plan_bits"), [(1 << 22, 1 << 26), (1 << 22, 0), (640, 1 << 26)])
+@pytest.mark.parametrize(("filter_bits", "plan_bits"), [(1 << 22, 1 << 26), (1 << 22, 0), (640, 1 << 26), (640, 0)])
 @pytest.mark.parametrize("share", [0.0, 0.05, 0.6, 1.0])
 def test_cascade_is_exact_over_its_universe(spark, share, filter_bits, plan_bits):
     rng = random.Random(7)
@@ -15,7 +15,8 @@ def test_cascade_is_exact_over_its_universe(spark, share, filter_bits, plan_bits
     rows += [("k1", None), (None, True), ("k2", False)]
     df = spark.createDataFrame(rows, "key string, listed boolean")
     cascade = U.build_cascade(df, "key", "listed", bits_per_key=3, filter_bits=filter_bits, plan_bits=plan_bits)
-    assert cascade.in_plan == (cascade.shards == 1 and sum(cascade.sizes) <= plan_bits)
+    assert cascade.in_plan == (plan_bits > 0 or not cascade.sizes)
+    assert (cascade.shards > 1) == (filter_bits == 640 and len(listed) * 3 > 640)
     got = cascade.contains(df.withColumn("shard", F.lit("s")), F.col("key"), "inside")
     assert got.columns == ["key", "listed", "shard", "inside"]
     assert all(r.inside == (r.key in listed) for r in got.collect())
@@ -67,3 +68,17 @@ def test_levels_that_do_not_end_raise(spark, monkeypatch):
     monkeypatch.setattr(U, "_MOST_LEVELS", 1)
     with pytest.raises(RuntimeError, match="tell all keys apart"):
         U.build_cascade(keys, "key", "listed", bits_per_key=2)
+
+
+def test_few_shards_are_many_keys_of_the_join(spark):
+    """Rows of two shards do not land in two tasks."""
+    rows = spark.range(4000).selectExpr("cast(id AS string) AS key", "id % 2 = 0 AS listed")
+    cascade = U.build_cascade(rows, "key", "listed", filter_bits=16_000, plan_bits=0)
+    assert cascade.shards == 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = cascade.contains(rows.select("key"), F.col("key"), "x")
+        assert found.where("x").count() == 2000
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
