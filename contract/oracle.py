@@ -366,6 +366,10 @@ _SQL = {
           coalesce(sum(CASE WHEN success THEN coalesce(n, 0) END), 0)::BIGINT AS usages FROM r LEFT JOIN c USING (job_id)""",
     "usage_spread": f"""WITH {ALL_USAGES} SELECT job_id, count(*) AS usages, count(DISTINCT file_path) AS files,
         count(DISTINCT project_name) AS projects, count(DISTINCT symbol_name) AS symbols FROM job_usages GROUP BY job_id""",
+    "usage_spread_union": f"""WITH {ALL_USAGES} SELECT package, count(*) AS usages, count(DISTINCT file_path) AS files,
+        count(DISTINCT project_name) AS projects, count(DISTINCT symbol_name) AS symbols, count(*) AS merged, true AS files_near,
+        true AS projects_near, true AS symbols_near FROM job_usages u JOIN {{jobs}} j USING (job_id) JOIN {{source_state}} s ON s.solution = j.solution
+        GROUP BY package""",
     "usage_spread_approx": f"""WITH {ALL_USAGES} SELECT job_id, count(*) AS usages, count(DISTINCT file_path) AS files,
         count(DISTINCT project_name) AS projects, count(DISTINCT symbol_name) AS symbols, true AS files_near, true AS projects_near,
         true AS symbols_near FROM job_usages GROUP BY job_id""",

@@ -166,6 +166,20 @@ def invalidate_results(spark, sf):
     return found.join(left, "fingerprint", "left").na.fill(0, ["rows_left"])
 
 
+@query
+def usage_spread_union(spark, sf):
+    """Spread of each package over all solutions, merged from stored sketches; whether it is near the exact numbers."""
+    keyed, root = _saved(spark, sf)
+    packages_of = keyed.where(F.col("fingerprint").isNotNull()).select("job_id", "package")
+    merged = reports.merged_spread(results.load_sketches(spark, root, keyed).join(packages_of, "job_id"), "package")
+    names = list(reports.SPREAD)
+    near = merged.select("package", F.col("usages").alias("merged"), *[F.col(c).alias(f"{c}_near") for c in names])
+    exact = reports.usage_spread(_usages(spark, sf).join(packages_of, "job_id").withColumn("job_id", F.col("package")))
+    exact = exact.withColumnRenamed("job_id", "package")
+    within = [(F.abs(F.col(f"{c}_near") - F.col(c)) <= F.greatest(0.08 * F.col(c), F.lit(1))).alias(f"{c}_near") for c in names]
+    return exact.join(near, "package").select(*exact.columns, "merged", *within)
+
+
 # --- references -----------------------------------------------------------------
 
 

@@ -54,6 +54,30 @@ def usage_spread_approx(usages: DataFrame, error: float = 0.02) -> DataFrame:
     )
 
 
+# What is counted once however often it occurs: name and column.
+SPREAD = {"files": "file_path", "projects": "project_name", "symbols": "symbol_name"}
+
+
+def usage_sketches(usages: DataFrame, by: str = "job_id", lg: int = 12) -> DataFrame:
+    """``(by, usages, files, projects, symbols)``: a count and three sketches of distinct values.
+
+    A sketch is at most some 2 ** ``lg`` bytes and estimates with a standard error of about 1.04 / sqrt(2 ** ``lg``): 1.6 %
+    as set. Sketches are merged by ``merged_spread``, so the spread of any union of jobs needs no usage. Nulls
+    are no value.
+    """
+    sketches = [F.hll_sketch_agg(column, lg).alias(name) for name, column in SPREAD.items()]
+    return usages.groupBy(by).agg(F.count("*").alias("usages"), *sketches)
+
+
+def merged_spread(sketches: DataFrame, *by: str) -> DataFrame:
+    """As ``usage_spread`` for groups of results by their sketches: usages exactly, the others estimated.
+
+    A value that several results of a group share counts once; a group of results without usages has zeros.
+    """
+    merged = [F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(name)), F.lit(0)).alias(name) for name in SPREAD]
+    return sketches.groupBy(*by).agg(F.coalesce(F.sum("usages"), F.lit(0)).alias("usages"), *merged)
+
+
 def duration_text(milliseconds: Column) -> Column:
     """``hh:mm:ss.fff``; whole days are not shown."""
 

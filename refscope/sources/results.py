@@ -1,7 +1,7 @@
 """Stored results: usage rows by generation, and one header per stored result.
 
 Saving only ever appends. A save writes the rows of all its jobs as one
-generation and then the headers that point there, so a result becomes visible
+generation, sketches of what they hold, and then the headers that point there, so a result becomes visible
 whole or not at all. Generations are numbered: a later save, or a later
 ``invalidate``, replaces an earlier one whatever any machine's clock says.
 ``compact`` removes what is replaced or forgotten.
@@ -14,11 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refscope.operators.reports import SPREAD, usage_sketches
 from refscope.runtime import cut, join_bounded
 from refscope.schemas import USAGE_SCHEMA
 
 HEADER = "fingerprint string, job_id string, usage_count bigint, saved_at timestamp, generation string"
 USAGES = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA) + ", fingerprint string"
+SKETCHES = "fingerprint string, usages bigint, " + ", ".join(f"{name} binary" for name in SPREAD)
 
 # So many asked-for results are named in the scan itself, which then skips files and row groups.
 NAMED_RESULTS = 1_000
@@ -78,13 +80,15 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
 
 
 def _write_generation(rows: DataFrame, keyed: DataFrame, root: str, generation: str) -> None:
-    """Rows first, then the headers with their counts."""
+    """Rows first, then their sketches, then the headers with their counts."""
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
     # Dealing out by ranges samples its input first: written, so that nothing is matched twice.
     rows = cut(rows, "generation")
     rows.repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
-    counts = rows.groupBy("fingerprint").agg(F.count("*").alias("usage_count"))
+    sketches = f"{root}/sketches/generation={generation}"
+    usage_sketches(rows, "fingerprint").write.parquet(sketches)
+    counts = rows.sparkSession.read.schema(SKETCHES).parquet(sketches).select("fingerprint", F.col("usages").alias("usage_count"))
     header = keyed.join(counts, "fingerprint", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)))
     _write_headers(header, root, generation)
 
@@ -130,6 +134,25 @@ def load_results(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
     return join_bounded(rows.drop("job_id"), wanted, ["generation", "fingerprint"], written=True).drop("generation")
 
 
+def load_sketches(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
+    """``(job_id, usages, files, projects, symbols)``: stored sketches for ``jobs(job_id, fingerprint)``.
+
+    No usage is read. A stored result without usages has a count of 0 and null sketches; one that is not stored
+    has no row. Results stored before there were sketches raise an error: ``compact`` makes theirs.
+    """
+    headers = stored_headers(spark, root).select("generation", "fingerprint", "usage_count")
+    wanted = cut(headers.join(jobs.select("fingerprint", "job_id"), "fingerprint"), "wanted")
+    needed = sorted(r["generation"] for r in wanted.where("usage_count > 0").select("generation").distinct().collect())
+    paths = [f"{root}/sketches/generation={g}" for g in needed]
+    if missing := [p for p in paths if not complete(spark, p)]:
+        raise ValueError(f"no sketches at {missing[0]}; compact the store")
+    stored = spark.createDataFrame([], f"{SKETCHES}, generation string")
+    if paths:
+        stored = spark.read.schema(f"{SKETCHES}, generation string").option("basePath", f"{root}/sketches").parquet(*paths)
+    found = wanted.join(stored, ["generation", "fingerprint"], "left")
+    return found.select("job_id", F.col("usage_count").alias("usages"), *SPREAD)
+
+
 def invalidate(spark: SparkSession, root: str, keys: DataFrame) -> None:
     """Forget the results of ``keys`` by a newer header without rows. Harmless if not stored."""
     gone = _latest(spark, root).join(keys.select("fingerprint").distinct(), "fingerprint", "left_semi")
@@ -150,6 +173,6 @@ def compact(spark: SparkSession, root: str) -> None:
     live = cut(stored_headers(spark, root).select("fingerprint", "job_id"), "live")
     _write_generation(load_results(spark, root, live), live, root, _next_generation(spark, root))
     for generation in old:
-        for part in ("headers", "usages"):
+        for part in ("headers", "sketches", "usages"):
             files, place = _files(spark, f"{root}/{part}/generation={generation}")
             files.delete(place, True)

@@ -5,7 +5,9 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
+from refscope.operators import reports
 from refscope.schemas import USAGE_SCHEMA
 from refscope.sources import files, jobs, packages, results
 
@@ -117,6 +119,34 @@ def test_results_are_replaced_loaded_and_forgotten(spark, tmp_path):
     assert load() == [("a", 4), ("b", 1)]
 
 
+def test_sketches_of_any_union_of_results(spark, tmp_path):
+    root = str(tmp_path / "store")
+    keys = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("none", "f3"), ("later", "f4")], "job_id string, fingerprint string")
+    assert results.load_sketches(spark, root, keys).collect() == []
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 'a', 'b') AS job_id", "cast(id div 2 AS string) AS file_path", "id")
+    blank = spark.createDataFrame([], USAGE_SCHEMA)
+    found = blank.unionByName(rows.selectExpr("*", "concat('p', id % 7) AS project_name", "cast(NULL AS string) AS symbol_name").drop("id"), allowMissingColumns=True)
+    results.save_results(keys.where("job_id <> 'later'"), found, root)
+    results.save_results(keys.where("job_id = 'b'"), found.where("job_id = 'b' AND project_name = 'p1'"), root)
+
+    def spread(jobs):
+        merged = reports.merged_spread(results.load_sketches(spark, root, keys.where(jobs)).withColumn("all", F.lit(1)), "all")
+        return [tuple(r)[1:] for r in merged.collect()]
+
+    exact = {row[0]: row[1:] for row in map(tuple, reports.usage_spread(found.where("job_id = 'a' OR project_name = 'p1'").withColumn("job_id", F.lit("x"))).collect())}["x"]
+    (near,) = spread("true")
+    assert near[0] == exact[0] and near[2:] == exact[2:] == (7, 0) and abs(near[1] - exact[1]) <= 0.08 * exact[1]
+    assert spread("job_id = 'none'") == [(0, 0, 0, 0)] and spread("job_id = 'later'") == []
+    results.compact(spark, root)
+    assert spread("true") == [near] and len(os.listdir(f"{root}/sketches")) == 1
+    # The usages themselves are not needed; a generation without sketches is an error.
+    plan = results.load_sketches(spark, root, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "sketches" in plan and "usages/generation" not in plan
+    shutil.move(glob.glob(f"{root}/sketches/generation=*")[0], str(tmp_path / "elsewhere"))
+    with pytest.raises(ValueError, match="compact"):
+        results.load_sketches(spark, root, keys)
+
+
 def test_only_wanted_generations_are_read(spark, tmp_path):
     root = str(tmp_path / "store")
     for job in ("a", "b", "c"):
