@@ -490,4 +490,7 @@ _SQL = {
         SELECT job_id, total_usage_count, analyzed_project_count, error_count FROM summaries""",
 }
 
+# The same rows from another store.
+_SQL["context_chunks"] = _SQL["context_snippet"]
+
 ORACLE = {name: with_views(sql) for name, sql in _SQL.items()}

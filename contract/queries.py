@@ -321,13 +321,23 @@ def declared_tree(spark, sf):
 
 @query
 def context_snippet(spark, sf):
+    return _with_context(spark, sf, view(spark, sf, "source_files"))
+
+
+@query
+def context_chunks(spark, sf):
+    """The same snippets out of a store of line chunks."""
+    return _with_context(spark, sf, cut(context.chunk_lines(view(spark, sf, "source_files")), "chunks"))
+
+
+def _with_context(spark, sf, texts: DataFrame) -> DataFrame:
     plain = view(spark, sf, "doc_usages").select(
         "*",
         F.lit(0).alias("context_start_line"),
         F.lit(0).alias("context_end_line"),
         F.lit(False).alias("has_context"),
     )
-    return context.attach_context(plain, view(spark, sf, "source_files")).select(
+    return context.attach_context(plain, texts).select(
         "event_id", "file_path", "start_line", "context_start_line", "context_end_line", "has_context", "code_text"
     )
 

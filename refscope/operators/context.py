@@ -1,4 +1,4 @@
-"""Lines around a usage."""
+"""Lines around a usage, out of whole files or out of chunks of lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from refscope.runtime import cut, fits_broadcast
 from refscope.sources.files import is_binary, split_lines
 
+#: Lines in a chunk of the line store.
+CHUNK_LINES = 64
+
 
 def _lines() -> Column:
     """Lines of a file row; a binary or unreadable (null) text has none."""
@@ -49,22 +52,35 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _snippet(lines: Column, path: Column, at: Column, around: Column) -> Column:
-    """One snippet as a struct, cut out of the file's line array in place."""
-    total = F.size(lines)
-    status = (
+def _status(total: Column, at: Column, around: Column) -> Column:
+    """Whether there are lines around a place; ``total`` is null for a missing file."""
+    return (
         F.when(around < 0, "negative_context")
         .when(at < 1, "bad_line")
-        .when(lines.isNull(), "missing_file")
+        .when(total.isNull(), "missing_file")
         .when(total == 0, "empty_file")
         .when(at > total, "beyond_end")
         .otherwise("ok")
     )
-    low = F.greatest(F.lit(1), at - around)
-    high = F.least(total, at + around)
+
+
+def _bounds(total: Column, at: Column, around: Column) -> tuple[Column, Column]:
+    return F.greatest(F.lit(1), at - around), F.least(total, at + around)
+
+
+def _snippet(lines: Column, path: Column, at: Column, around: Column) -> Column:
+    """One snippet as a struct, cut out of the file's line array in place."""
+    total = F.when(lines.isNotNull(), F.size(lines))
+    return _described(total, path, at, around, _joined(lines, *_bounds(total, at, around)))
+
+
+def _described(total: Column, path: Column, at: Column, around: Column, text: Column) -> Column:
+    """A snippet as a struct: ``text``, or what stands in where there are no lines (fixed values)."""
+    status = _status(total, at, around)
+    low, high = _bounds(total, at, around)
     ok, empty = status == "ok", status == "empty_file"
     content = (
-        F.when(ok, _joined(lines, low, high))
+        F.when(ok, text)
         .when(empty, F.lit(""))
         .when(status == "missing_file", F.concat(F.lit("// File not found: "), path))
         .when(
@@ -91,15 +107,57 @@ def _snippet(lines: Column, path: Column, at: Column, around: Column) -> Column:
     )
 
 
+def chunk_lines(files: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
+    """``(solution, file_path, chunk, size, total, lines)``: files as chunks of ``size`` lines, for a store.
+
+    Chunk 0 is there for every file, also for one without lines; every chunk knows its file's ``total``. Narrow: a
+    text is split once, where it is read.
+    """
+    lines, chunk = F.col("lines"), F.col("chunk")
+    last = F.greatest(F.lit(0), F.ceil(F.size(lines) / size).cast("int") - 1)
+    return (
+        files.select("solution", "file_path", _lines().alias("lines"))
+        .select("solution", "file_path", F.size(lines).alias("total"), "lines", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+        .select("solution", "file_path", "chunk", F.lit(size).alias("size"), "total", F.slice(lines, chunk * size + 1, F.lit(size)).alias("lines"))
+    )
+
+
+def snippets_of_chunks(positions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As ``snippets``, out of ``chunk_lines``: a position meets the chunks its lines lie in, mostly one or two.
+
+    Whether there are lines is told by each file's chunk 0, of which no line is read. The places then meet their chunks
+    by number, so the work on one file of any length spreads over as many keys as it has chunks.
+    """
+    key, place = ["solution", "file_path"], ["solution", "file_path", "start_line", "context_lines"]
+    at, around, total = F.col("start_line"), F.col("context_lines"), F.col("total")
+    heads = chunks.where(F.col("chunk") == 0).select(*key, "size", "total")
+    placed = cut(positions.select(*place).distinct().join(heads, key, "left"), "placed")
+    low, high = _bounds(total, at, around)
+    chunk_of = lambda line: F.floor((line - 1) / F.col("size")).cast("int")
+    wanted = placed.where(_status(total, at, around) == "ok").select(
+        *place, low.alias("low"), high.alias("high"), F.explode(F.sequence(chunk_of(low), chunk_of(high))).alias("chunk")
+    )
+    start = F.col("chunk") * F.col("size")
+    first = F.greatest(F.col("low") - start, F.lit(1))
+    piece = F.struct("chunk", _joined(F.col("lines"), first, F.least(F.col("high") - start, F.col("size"))).alias("text"))
+    met = wanted.join(chunks.select(*key, "chunk", "size", "lines"), [*key, "chunk"]).select(*place, piece.alias("piece"))
+    texts = met.groupBy(*place).agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda x: x["text"]), "\n")
+    found = placed.join(texts, place, "left").select(*key, _described(total, F.col("file_path"), at, around, text).alias("snippet"))
+    return found.select(*key, "snippet.*")
+
+
 def attach_context(usages: DataFrame, files: DataFrame) -> DataFrame:
     """Replace ``code_text`` by the lines around ``start_line`` where ``context_lines`` > 0.
 
     Positions are reduced to distinct ones before any text moves. ``has_context``
-    is true only for real lines; the stand-in texts are kept.
+    is true only for real lines; the stand-in texts are kept. ``files`` are whole
+    files or, with a column ``chunk``, the stored chunks of ``chunk_lines``.
     """
+    find = snippets_of_chunks if "chunk" in files.columns else snippets
     wanted = F.col("context_lines") > 0
     key = ["solution", "file_path", "start_line", "context_lines"]
-    found = snippets(usages.where(wanted).select(*key), files)
+    found = find(usages.where(wanted).select(*key), files)
     hit = F.col("status").isNotNull()
     return usages.join(found, key, "left").select(
         *[

@@ -1,7 +1,10 @@
 """Snippets around a line, and the cases without one."""
 
+from pyspark.sql import functions as F
+
 from contract.views import view
 from refscope.operators import context
+from refscope.runtime import cut
 
 FILES = "solution string, file_path string, text string"
 TEXTS = [
@@ -52,6 +55,38 @@ def test_snippets(spark):
     }
 
 
+def test_chunks_give_the_same_snippets(spark):
+    texts = [*TEXTS, ("s", "long.cs", "\n".join(f"line {i}" for i in range(1, 24))), ("t", "five.cs", "x\n\n")]
+    files = spark.createDataFrame(texts, FILES)
+    asked = [(s, path, at, around) for s, path, _ in [*texts, ("s", "gone.cs", "")] for at in (-1, 0, 1, 2, 4, 5, 8, 9, 23, 24) for around in (-1, 0, 1, 4, 30)]
+    rows = spark.createDataFrame(asked + asked[:3], "solution string, file_path string, start_line int, context_lines int")
+    rows = rows.withColumn("size", F.lit("other")).withColumn("lines", F.lit(1))
+    whole = sorted(map(tuple, context.snippets(rows, files).collect()))
+    assert len(whole) == len(set(asked))
+    for size in (1, 4, 64):
+        chunks = context.chunk_lines(files, size)
+        assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, context.snippets_of_chunks(rows, chunks).collect())) == whole
+    nothing = context.snippets_of_chunks(rows.limit(0), context.chunk_lines(files.limit(0)))
+    assert nothing.collect() == []
+
+
+def test_a_long_file_is_read_by_many_tasks(spark):
+    lines = 200_000
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: i.cast("string")), "\n")
+    files = spark.range(1).select(F.lit("s").alias("solution"), F.lit("big.cs").alias("file_path"), text.alias("text"))
+    rows = spark.range(1, lines + 1).selectExpr("'s' AS solution", "'big.cs' AS file_path", "cast(id AS int) AS start_line", "1 AS context_lines")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = context.snippets_of_chunks(rows, cut(context.chunk_lines(files), "chunks"))
+        by_task = found.groupBy(F.spark_partition_id()).count().collect()
+        ends = {r["start_line"]: r["content"] for r in found.where(F.col("start_line").isin(1, 64, 65, lines)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(by_task) == 4 and max(r["count"] for r in by_task) < lines / 2
+    assert ends == {1: "1\n2", 64: "63\n64\n65", 65: "64\n65\n66", lines: f"{lines - 1}\n{lines}"}
+
+
 USAGE = (
     "solution string, file_path string, start_line int, end_line int, context_lines int, code_text string,"
     " context_start_line int, context_end_line int, has_context boolean"
