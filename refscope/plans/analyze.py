@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refscope.config import AnalysisOptions
+from refscope.functions.text import simplify
 from refscope.operators.context import attach_context
 from refscope.operators.dedup import near_dedup
 from refscope.operators.match import filter_usage_types, match_assembly, match_symbol
@@ -202,25 +204,47 @@ def analyze_isolated(
 
     References are matched once for all jobs and stored; an error there ends the run. What runs on a job's texts, the
     caller's simplifiers and comparisons among it, runs for all jobs together. If that fails, the jobs
-    are halved by a hash of their id, again and again, until what fails is one job; groups that succeed are kept. With b
-    failing jobs of n these are about 2 * b * log2(n) runs, each over the stored usages of its group alone, so this suits a few
-    failing jobs among many. A plan that is wrong for every job (``AnalysisException``) is raised.
+    are halved by a hash of their id, again and again, until what fails is one job. The simplifiers are tried first, by
+    themselves: a run of one stage. With b failing jobs of n these are about 2 * b * log2(n) runs, each over the stored
+    usages of its group alone, so this suits a few failing jobs among many. A plan that is wrong for every job
+    (``AnalysisException``) is raised.
     """
     plain = _batch_options(options)
     known, failures = _known_jobs(jobs, tables)
     wanted = cut(_job_assemblies(known, tables, plain), "wanted")
     usages = to_usages(match_assembly(expand_nodes(tables.refs), wanted)).select(*USAGE_COLUMNS)
     usages = cut(usages.withColumn("_hash", F.xxhash64("job_id")), "usages")
-    counts: list[DataFrame] = []
-    groups = [(0, 0)]
+
+    def simplified(group: DataFrame) -> None:
+        group.select(simplify(F.col("code_text"), plain.similarity)).write.format("noop").mode("overwrite").save()
+
+    def counted(group: DataFrame) -> DataFrame:
+        kept = near_dedup(group.select(*USAGE_COLUMNS), plain.similarity)
+        kept = filter_usage_types(kept, plain.usage_types, plain.configured_usage_types)
+        return cut(kept.select("job_id"), "counted")
+
+    if plain.similarity.enabled:
+        _, failed = _halving(usages, simplified)
+        if failed:
+            unread = cut(reduce(DataFrame.unionByName, failed), "failed")
+            failures = failures.unionByName(unread)
+            usages = cut(usages.join(unread.select("job_id"), "job_id", "left_anti"), "usages")
+    counts, failed = _halving(usages, counted)
+    failures = reduce(DataFrame.unionByName, failed, failures)
+    found = reduce(DataFrame.unionByName, counts, usages.select("job_id").where(F.lit(False)))
+    results = batch_results(jobs, found, failures)
+    return results, batch_outcome(results)
+
+
+def _halving(usages: DataFrame, run: Callable) -> tuple[list, list[DataFrame]]:
+    """What ``run`` gives for groups of jobs that succeed, and ``(job_id, error)`` of jobs that fail alone."""
+    done, failed, groups = [], [], [(0, 0)]
     while groups:
         depth, value = groups.pop()
-        # The group's last bits of the hash are those of ``value``.
+        # The last bits of the hash of the group's jobs are those of ``value``.
         group = usages.where(F.col("_hash").bitwiseAND(F.lit((1 << depth) - 1)) == F.lit(value))
         try:
-            kept = near_dedup(group.select(*USAGE_COLUMNS), plain.similarity)
-            kept = filter_usage_types(kept, plain.usage_types, plain.configured_usage_types)
-            counts.append(cut(kept.select("job_id"), "counted"))
+            done.append(run(group))
         except AnalysisException:
             raise
         except (PySparkException, Py4JJavaError) as error:
@@ -228,13 +252,10 @@ def analyze_isolated(
             if alone is None:
                 raise
             if alone:
-                failed = group.select("job_id").distinct().withColumn("error", F.lit(_reason(error)))
-                failures = failures.unionByName(failed)
+                failed.append(group.select("job_id").distinct().withColumn("error", F.lit(_reason(error))))
             else:
                 groups += [(depth + 1, value), (depth + 1, value | 1 << depth)]
-    found = reduce(DataFrame.unionByName, counts, usages.select("job_id").where(F.lit(False)))
-    results = batch_results(jobs, found, failures)
-    return results, batch_outcome(results)
+    return done, failed
 
 
 def _reason(error: Exception) -> str:
