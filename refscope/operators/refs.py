@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refscope.runtime import cut, join_bounded
+from refscope.runtime import cut, fits_broadcast, join_bounded
 
 # A name with more namespaces than this does not carry them along.
 AMBIGUOUS = 64
@@ -138,34 +138,48 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     ``imports(solution, file_path, namespace)``, ``catalog(namespace, symbol_name,
     assembly_name)``. A plain name binds if its file imports the symbol's
     namespace; a dotted chain binds if it starts with ``namespace.symbol_name``.
-    Names are resolved once per file, whatever their number of occurrences.
+    References without a name of the catalogue go where they are read; the others
+    move once, to their file's imports. Chains do not move.
     """
-    names = refs.where(F.col("node_kind") != "UsingDirective").select("solution", "file_path", "name").distinct()
-    plain = names.where(~F.col("name").contains(".")).withColumn("symbol_name", F.col("name"))
-    imported = imports.select("solution", "file_path", "namespace").distinct()
     place = ["solution", "file_path"]
-    homes = catalog.groupBy("symbol_name").agg(F.count("*").alias("homes"))
-    listed = catalog.join(homes, "symbol_name")
-    # A name of few namespaces carries them as one array; it meets its file's imports, also
-    # one array, and only true bindings become rows. Names outside the catalogue are gone by then.
-    rare = listed.where(F.col("homes") <= AMBIGUOUS).groupBy("symbol_name")
-    rare = rare.agg(F.collect_list(F.struct("namespace", "assembly_name")).alias("homes"))
-    near = imported.groupBy(*place).agg(F.collect_set("namespace").alias("near"))
-    bound_rare = F.filter("homes", lambda h: F.array_contains("near", h["namespace"]))
-    plain_rare = (
-        join_bounded(plain, rare, ["symbol_name"])
-        .join(near, place)
-        .select(*place, "name", "symbol_name", F.explode(bound_rare).alias("home"))
-        .select(*place, "name", "symbol_name", "home.*")
-    )
-    # The few names of many namespaces meet their file's imports first.
-    common = cut(listed.where(F.col("homes") > AMBIGUOUS).drop("homes"), "common-names")
-    plain_common = join_bounded(plain, common.select("symbol_name").distinct(), ["symbol_name"], "left_semi")
-    plain_common = join_bounded(plain_common.join(imported, place), common, ["namespace", "symbol_name"], written=True)
+    names = refs.where((F.col("node_kind") != "UsingDirective") & F.col("solution").isNotNull() & F.col("file_path").isNotNull())
+    held = [*place, "name", *[c for c in refs.columns if c not in (*place, "name")]]
+    columns = [*held, "symbol_name", "namespace", "assembly_name"]
+    catalog = cut(catalog.select("namespace", "symbol_name", "assembly_name").distinct(), "catalog")
+    homes = catalog.groupBy(F.col("symbol_name").alias("name")).agg(F.count("*").alias("homes"))
+    listed = catalog.withColumnRenamed("symbol_name", "name").join(homes, "name")
+    plain = names.where(~F.col("name").contains("."))
+    near = imports.groupBy(*place).agg(F.collect_set("namespace").alias("near"))
+    bound = None
+    if fits_broadcast(catalog):
+        # Nothing moves any more: imports are looked up one by one.
+        common = listed.drop("homes")
+    else:
+        # A name of few namespaces carries them as one array; it meets its file's imports, also
+        # one array, and only true bindings become rows.
+        rare = listed.where(F.col("homes") <= AMBIGUOUS).groupBy("name")
+        rare = cut(rare.agg(F.collect_list(F.struct("namespace", "assembly_name")).alias("homes")), "rare-names")
+        bound_rare = F.filter("homes", lambda h: F.array_contains("near", h["namespace"]))
+        at_home = join_bounded(plain, rare.select("name"), ["name"], "left_semi").join(near, place)
+        bound = (
+            join_bounded(at_home, rare, ["name"], written=True)
+            .select(*held, F.explode(bound_rare).alias("home"))
+            .select(*held, F.col("name").alias("symbol_name"), "home.*")
+            .select(*columns)
+        )
+        # The few names of many namespaces meet their file's imports first.
+        common = listed.where(F.col("homes") > AMBIGUOUS).drop("homes")
+    common = cut(common, "common-names")
+    if bound is None or not common.isEmpty():
+        at_home = join_bounded(plain, common.select("name").distinct(), ["name"], "left_semi").join(near, place)
+        asked = at_home.select(*held, F.explode("near").alias("namespace"))
+        found = join_bounded(asked, common, ["namespace", "name"], written=True)
+        found = found.withColumn("symbol_name", F.col("name")).select(*columns)
+        bound = found if bound is None else bound.unionByName(found)
 
     parts = F.split("name", r"\.")
     chains = names.where(F.col("name").contains(".")).select(
-        "*",
+        *held,
         F.explode(
             F.transform(
                 F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ".")
@@ -173,12 +187,7 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
         ).alias("qualified"),
     )
     qualified = catalog.withColumn("qualified", F.concat_ws(".", "namespace", "symbol_name"))
-    chain_bound = join_bounded(chains, qualified, ["qualified"]).drop("qualified")
-
-    columns = ["solution", "file_path", "name", "symbol_name", "namespace", "assembly_name"]
-    found = [part.select(*columns) for part in (plain_rare, plain_common, chain_bound)]
-    bound = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
-    return refs.where(F.col("node_kind") != "UsingDirective").join(bound, ["solution", "file_path", "name"])
+    return bound.unionByName(join_bounded(chains, qualified, ["qualified"]).select(*columns))
 
 
 # What the lexical kinds are called among bound references, and under which parent.

@@ -123,3 +123,29 @@ def test_imports_of_types_and_aliases(spark):
     lines = spark.createDataFrame([("s", "p", "f", i, t) for i, t in enumerate(texts)], "solution string, project_name string, file_path string, line_no int, line string")
     found = refs.lexical_refs(lines).where("node_kind = 'UsingDirective'")
     assert {(r.line_no, r.name) for r in found.collect()} == {(0, "System.Math"), (1, "Newtonsoft.Json"), (2, "A.B")}
+
+
+@pytest.mark.parametrize(("broadcast", "ambiguous"), [(500_000, 64), (-1, 64), (-1, 0)])
+def test_only_names_of_the_catalogue_move_to_their_imports(spark, monkeypatch, broadcast, ambiguous):
+    from refscope import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(refs, "AMBIGUOUS", ambiguous)
+    lexical = spark.createDataFrame(
+        [("s", "f", i, "IdentifierName", name) for i, name in enumerate(["Reader", "Reader", "other", "A.Reader.Open", "B.Reader.Open"])]
+        + [("s", "f", 9, "UsingDirective", "A"), (None, "f", 5, "IdentifierName", "Reader"), (None, "f", 6, "QualifiedName", "A.Reader")],
+        "solution string, file_path string, line_no int, node_kind string, name string",
+    )
+    imports = spark.createDataFrame([("s", "f", "A"), ("s", "f", "A"), ("s", "f", "C"), (None, "f", "A")], "solution string, file_path string, namespace string")
+    catalog = spark.createDataFrame(
+        [("A", "Reader", "L1"), ("A", "Reader", "L1"), ("C", "Reader", "L2"), ("B", "Reader", "L3"), ("A", None, "L4")],
+        "namespace string, symbol_name string, assembly_name string",
+    )
+    bound = refs.bind_by_imports(lexical, imports, catalog)
+    if broadcast > 0:
+        plan = bound._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 2
+    found = sorted((r["line_no"], r["namespace"], r["symbol_name"], r["assembly_name"]) for r in bound.collect())
+    assert found == [(i, *home) for i in (0, 1) for home in (("A", "Reader", "L1"), ("C", "Reader", "L2"))] + [
+        (3, "A", "Reader", "L1"), (4, "B", "Reader", "L3"),
+    ]
