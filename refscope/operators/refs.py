@@ -105,16 +105,20 @@ def to_usages(matched: DataFrame) -> DataFrame:
 
 
 # Patterns of the lexical lane, one per kind of node, over single lines. An import may name a
-# namespace, the members of a type (``static``) or another name for either (``name =``).
+# namespace, the members of a type (``static``) or another name for either (``name =``). A name is tried once, from its
+# start, and never given back letter by letter; a generic name may begin inside what the last match ended with.
 LEXICAL_PATTERNS = [
     ("UsingDirective", r"^\s*(?:global\s+)?using\s+(?:static\s+|[A-Za-z_][A-Za-z0-9_]*\s*=\s*)?([A-Za-z_][A-Za-z0-9_.]*)\s*;"),
-    ("QualifiedName", r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"),
-    ("Invocation", r"([A-Za-z_][A-Za-z0-9_]*)\("),
-    ("GenericName", r"([A-Za-z_][A-Za-z0-9_]*)<[A-Za-z_]"),
+    ("QualifiedName", r"(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)++)"),
+    ("Invocation", r"(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_]*+)\("),
+    ("GenericName", r"([A-Za-z_][A-Za-z0-9_]*+)<[A-Za-z_]"),
     ("AttributeList", r"\[([A-Za-z_][A-Za-z0-9_.]*)"),
     ("IdentifierName", r"([A-Za-z_][A-Za-z0-9_]*)"),
 ]
 
+# What a line must hold for a match of the kind; others are not searched.
+LEXICAL_MARKS = {"UsingDirective": "using", "QualifiedName": ".", "Invocation": "(", "GenericName": "<", "AttributeList": "["}
+
 
 def lexical_refs(lines: DataFrame) -> DataFrame:
     """Approximate references from raw lines, where no indexer output exists.
@@ -125,6 +129,8 @@ def lexical_refs(lines: DataFrame) -> DataFrame:
 
     def matches(kind: str, pattern: str) -> Column:
         names = F.regexp_extract_all("line", F.lit(pattern), 1)
+        if kind in LEXICAL_MARKS:
+            names = F.when(F.col("line").contains(LEXICAL_MARKS[kind]), names).otherwise(F.array().cast("array<string>"))
         return F.transform(names, lambda m: F.struct(F.lit(kind).alias("node_kind"), m.alias("name")))
 
     found = [matches(kind, pattern) for kind, pattern in LEXICAL_PATTERNS]

@@ -149,3 +149,20 @@ def test_only_names_of_the_catalogue_move_to_their_imports(spark, monkeypatch, b
     assert found == [(i, *home) for i in (0, 1) for home in (("A", "Reader", "L1"), ("C", "Reader", "L2"))] + [
         (3, "A", "Reader", "L1"), (4, "B", "Reader", "L3"),
     ]
+
+
+def test_lines_without_the_mark_of_a_kind_are_not_searched(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a.b(c<d>[e", "using X;", "plain words", "", None, "1ab.c1.2d(x1y(_q.w", "List<Foo<Bar>>(A.B.C)(", "a..b.c .d(e.(", "a1b2c<T<u.v_"]
+    slow = dict(refs.LEXICAL_PATTERNS) | {
+        "QualifiedName": r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)",
+        "Invocation": r"([A-Za-z_][A-Za-z0-9_]*)\(",
+        "GenericName": r"([A-Za-z_][A-Za-z0-9_]*)<[A-Za-z_]",
+    }
+    lines = spark.createDataFrame([("s", "p", "f", i, t) for i, t in enumerate(texts)], "solution string, project_name string, file_path string, line_no int, line string")
+    every = [lines.select("line_no", F.lit(k), F.explode(F.regexp_extract_all("line", F.lit(p), 1))).collect() for k, p in slow.items()]
+    found = refs.lexical_refs(lines)
+    assert sorted(map(tuple, found.select("line_no", "node_kind", "name").collect())) == sorted(tuple(r) for rows in every for r in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") + plan.lower().count("contains(") >= len(refs.LEXICAL_MARKS)
