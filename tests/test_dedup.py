@@ -201,3 +201,48 @@ def test_near_dedup_does_not_ask_for_groups(spark, plans):
     assert "met" not in [label for label, _ in plans]
     dedup.dedup_groups(usages(spark, {"j": ["a", "b"]}), rule(3, 0.9)).count()
     assert "met" in [label for label, _ in plans]
+
+
+@pytest.mark.parametrize("rule_of", [(3, 0.9), (10, 0.8), (1, 0.95), (0, 0.7)])
+def test_a_text_is_found_by_few_keys(rule_of):
+    """What the earlier of two similar texts shows, the later asks for, whichever grams are frequent; few are shown."""
+    import numpy as np
+
+    from refscope.functions.distance import Reach
+
+    config = rule(*rule_of)
+    reach, pick = Reach(config), random.Random(5)
+    texts = [t for t in invented(7, 160, "abcd", 0, 60) if t]
+    grams = np.unique(np.concatenate([g for t in texts for _, g in dedup._grams(t, reach)]))
+    common = np.sort(grams[np.array(pick.sample(range(len(grams)), len(grams) // 2))])
+    uses = np.array([pick.randint(33, 5000) for _ in common])
+    for limit in (2000, 10):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(dedup, "LONG_TEXT", limit)
+            keys = dedup._keys_of(texts, reach, common, uses)
+        for a, (mark, shown, _) in zip(texts, keys, strict=True):
+            assert 0 < len(shown) <= reach.spread(len(a)) + 1
+            for b, (other, _, asked) in zip(texts, keys, strict=True):
+                if similar(a, b, *rule_of):
+                    assert set(shown) & set(asked)
+                    assert bin((mark ^ other) & (2**64 - 1)).count("1") <= 4 * reach.cap(max(len(a), len(b)))
+
+
+def test_keys_of_two_roles(spark):
+    """A text is found by few grams and looks for all of its own."""
+    from refscope.functions.distance import Reach
+
+    lookup = dedup._gram_lookup(Reach(rule(3, 0.9)))
+    text = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHI"
+    nodes = spark.createDataFrame([("j", 1, text)], "job_id string, rank bigint, text string")
+    roles = [r["role"] for r in dedup._signatures(nodes, lookup).collect()]
+    assert (roles.count(1), roles.count(2), len(roles)) == (6, 41, 47)
+
+
+def test_a_large_job_is_tried_by_a_short_fold(spark, monkeypatch):
+    sizes = []
+    fold = dedup._fold
+    monkeypatch.setattr(dedup, "_fold", lambda *a: sizes.append(a[3]) or fold(*a))
+    monkeypatch.setattr(dedup, "WIDE_JOB", 50)
+    check(spark, {"a": invented(8, 150, "abcdefgh", 20, 40)}, 3, 0.9, groups=True)
+    assert sizes[0] == dedup.TRIAL_HEAD
