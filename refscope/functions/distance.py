@@ -34,6 +34,18 @@ def _rule(a: Column, b: Column, rule: Comparison) -> Column:
     )
 
 
+def _measured(text: Column, rule: Comparison) -> tuple[Column, Column]:
+    """A text's length and the largest distance to a text that is not longer."""
+    return F.char_length(text), F.when(text != "", _cap(F.char_length(text), rule)).otherwise(F.lit(rule.max_distance))
+
+
+def _rule_of(a: Column, b: Column, n: Column, m: Column, cap: Column, other: Column, rule: Comparison) -> Column:
+    """``_rule`` of two measured texts: caps grow with the length, so the greater one is the longer text's."""
+    most = F.greatest(cap, other)
+    some = (n > 0) & (m > 0) & (F.abs(n - m) <= most)
+    return (some & (F.call_function("levenshtein", a, b, most) >= 0)) | (a == b)
+
+
 def tokens(text: Column) -> Column:
     """Distinct words of a text: runs of letters, digits and underscores."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0))
@@ -44,6 +56,10 @@ def _overlap(a: Column, b: Column, rule: Comparison) -> Column:
     return _overlap_of(a, b, tokens(a), tokens(b), rule)
 
 
+def _words(text: Column, rule: Comparison) -> tuple[Column]:
+    return (tokens(text),)
+
+
 def _overlap_of(a: Column, b: Column, words: Column, others: Column, rule: Comparison) -> Column:
     shared = F.size(F.array_intersect(words, others))
     ratio = shared.cast("double") / F.nullif(F.size(words) + F.size(others) - shared, F.lit(0))
@@ -113,7 +129,10 @@ COMPARISONS: dict[str, Callable[[Column, Column, Comparison], Column]] = {
 }
 LOOKUPS: dict[str, Callable[[Comparison], Lookup]] = {"TokenOverlapComparison": _overlap_lookup}
 # What is worked out once per text, and the comparison of two texts by it.
-FORMS: dict[str, tuple[Callable, Callable]] = {"TokenOverlapComparison": (tokens, _overlap_of)}
+FORMS: dict[str, tuple[Callable, Callable]] = {
+    "LevenshteinDistanceComparison": (_measured, _rule_of),
+    "TokenOverlapComparison": (_words, _overlap_of),
+}
 
 
 def register_comparison(
@@ -141,7 +160,8 @@ def are_similar(a: Column, b: Column, config: SimilarityConfig) -> Column:
 def form(text: Column, config: SimilarityConfig) -> Column:
     """A text with all that its comparisons work out of it alone, for many comparisons of one text."""
     rules = enumerate(config.active_comparisons())
-    return F.struct(text.alias("text"), *[FORMS[r.type][0](text).alias(f"f{i}") for i, r in rules if r.type in FORMS])
+    known = [part.alias(f"f{i}_{j}") for i, r in rules if r.type in FORMS for j, part in enumerate(FORMS[r.type][0](text, r))]
+    return F.struct(text.alias("text"), *known)
 
 
 def forms_similar(a: Column, b: Column, config: SimilarityConfig) -> Column:
@@ -149,7 +169,9 @@ def forms_similar(a: Column, b: Column, config: SimilarityConfig) -> Column:
 
     def by(i: int, r: Comparison) -> Column:
         if r.type in FORMS:
-            return FORMS[r.type][1](a["text"], b["text"], a[f"f{i}"], b[f"f{i}"], r)
+            count = len(FORMS[r.type][0](F.lit(""), r))
+            known = [text[f"f{i}_{j}"] for j in range(count) for text in (a, b)]
+            return FORMS[r.type][1](a["text"], b["text"], *known, r)
         return COMPARISONS[r.type](a["text"], b["text"], r)
 
     return reduce(lambda x, y: x | y, [by(i, r) for i, r in enumerate(config.active_comparisons())])

@@ -12,7 +12,10 @@ from refscope.config import SimilarityConfig
 
 def normalize_whitespace(text: Column) -> Column:
     """Every run of (Unicode) white space becomes one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    text = F.coalesce(text, F.lit(""))
+    # Of a text of one byte a character, as most are, only runs other than one space are touched; the general class is slow.
+    ascii_only = F.regexp_replace(text, r"[\t-\r][\t-\r ]*| [\t-\r ]+", " ")
+    return F.trim(F.when(F.octet_length(text) == F.char_length(text), ascii_only).otherwise(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def remove_comments(text: Column) -> Column:

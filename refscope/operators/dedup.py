@@ -8,8 +8,8 @@ the sequential greedy result, computed without comparing all pairs:
    bounded array per job and then drops every later text similar to a kept one.
    Groups of near copies, however large, vanish as soon as one of them is kept.
 3. Where folding no longer halves the work, the texts are unlike each other. If
-   no job has many of them, wider folds finish them all. Else a *bucket round*
-   looks for candidates by shared signatures: grams for the edit distance, rare
+   no job has many of them, wider folds finish them all. Else, where a fold drops
+   next to nothing, a *bucket round* looks for candidates by shared signatures: grams for the edit distance, rare
    words for a share of words, whatever a registered comparison names. Each bucket shows only its
    first few undecided members, so a round emits a bounded number of candidates
    per text. A text may be kept only if no bucket hides an earlier member from
@@ -42,6 +42,8 @@ TRIAL_HEAD = 16
 # A job of at most ``WIDE_JOB`` undecided texts that are unlike each other is finished by folds of ``WIDE_HEAD``.
 WIDE_HEAD = 1024
 WIDE_JOB = 12_000
+# Larger jobs stay with folds as long as one drops a text for so many of its comparisons: a bucket round costs more a text.
+FOLD_WORTH = 512
 BUCKET_HEAD = 32
 BUCKET_HEAD_LIMIT = 512
 COMMON_GRAMS = 200_000
@@ -53,12 +55,17 @@ cloudpickle.register_pickle_by_value(distance)
 
 
 def exact_groups(usages: DataFrame, config: SimilarityConfig, order: list[str] = USAGE_ORDER) -> DataFrame:
-    """One row per (job, simplified text): its first row in order and its size."""
+    """One row per (job, simplified text): its first row in order and its size.
+
+    A minimum of strings is found by sorting the groups. Their hash leads the key: it is compared at a fraction of
+    the cost of names and texts, which mostly begin alike.
+    """
     first = F.struct(*order, *[c for c in usages.columns if c not in order and c != "job_id"])
     return (
         usages.withColumn("_text", simplify(F.col("code_text"), config))
-        .groupBy("job_id", F.col("_text").alias("text"))
+        .groupBy(F.xxhash64("job_id", "_text").alias("_hash"), "job_id", F.col("_text").alias("text"))
         .agg(F.min(first).alias("first"), F.count("*").alias("copies"))
+        .drop("_hash")
     )
 
 
@@ -154,7 +161,7 @@ def _resolve(
         if unlike and head == HEAD and _largest_job(undecided) <= WIDE_JOB:
             head = WIDE_HEAD
             undecided = cut(spread(undecided), "undecided")
-        elif unlike and head == HEAD and lookup:
+        elif unlike and head == HEAD and lookup and _dropped(left, undecided, after, size) * FOLD_WORTH < left * size:
             if signatures is None:
                 signatures = cut(_signatures(spread(undecided), lookup), "signatures")
             kept_now, undecided = _bucket_round(undecided, signatures, config, lookup, shown)
@@ -176,6 +183,11 @@ def _largest_job(undecided: DataFrame) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def _dropped(left: int, undecided: DataFrame, after: int, size: int) -> int:
+    """Texts a fold has dropped besides those it settled one by one, ``size`` of each job that goes on."""
+    return left - after - size * undecided.select("job_id").distinct().count()
+
+
 def _fold(
     undecided: DataFrame, config: SimilarityConfig, groups: bool, size: int
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -185,7 +197,8 @@ def _fold(
     """
     lookup = _lookup(config)
     length = lookup.length if lookup else lambda text: F.lit(0)
-    near = lookup.near if lookup else lambda a, b: F.lit(True)
+    # Under the edit distance the forms hold the lengths and what they allow.
+    near = lookup.near if lookup and not config.by_distance_only() else lambda a, b: F.lit(True)
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("rank"))
     heads = (
         undecided.withColumn("place", place)

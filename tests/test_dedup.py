@@ -246,3 +246,15 @@ def test_a_large_job_is_tried_by_a_short_fold(spark, monkeypatch):
     monkeypatch.setattr(dedup, "WIDE_JOB", 50)
     check(spark, {"a": invented(8, 150, "abcdefgh", 20, 40)}, 3, 0.9, groups=True)
     assert sizes[0] == dedup.TRIAL_HEAD
+
+
+def test_a_large_job_stays_with_folds_while_they_drop_texts(spark, monkeypatch):
+    rounds = []
+    bucket = dedup._bucket_round
+    monkeypatch.setattr(dedup, "_bucket_round", lambda *a: rounds.append(1) or bucket(*a))
+    monkeypatch.setattr(dedup, "WIDE_JOB", 50)
+    pick = random.Random(4)
+    # The first fold sees copies of one line and two numbers only: it drops some of the numbers, not half of them.
+    texts = [f"status of the order {i:02d}" for i in range(14)] + [f"{n} */ end" for n in pick.sample(range(10**5, 10**6), 300)]
+    check(spark, {"a": texts}, 3, 0.9)
+    assert not rounds
