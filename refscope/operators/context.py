@@ -33,21 +33,21 @@ def snippets(positions: DataFrame, files: DataFrame) -> DataFrame:
     """
     key = ["solution", "file_path"]
     asked = cut(
-        positions.select(*key, "start_line", "context_lines")
-        .distinct()
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("start_line", "context_lines")).alias("asked")),
+        positions.groupBy(*key).agg(F.collect_set(F.struct("start_line", "context_lines")).alias("asked")),
         "asked",
     )
-    here = lambda at: _snippet(F.col("lines"), F.col("file_path"), at["start_line"], at["context_lines"])
     texts = files.select(*key, "text", F.lit(True).alias("exists"))
     if fits_broadcast(asked):
         # Few files are asked for: the others' texts are dropped where they are read.
         texts = texts.join(F.broadcast(asked.select(*key)), key, "left_semi")
+    # In the file's line array a place only cuts out its text; what is said of it is worked out row by row.
+    total, at, around = F.col("total"), F.col("at.start_line"), F.col("at.context_lines")
+    here = lambda at: F.struct(*[at[c].alias(c) for c in ("start_line", "context_lines")], _cut_out(at["start_line"], at["context_lines"]).alias("text"))
     return (
         asked.join(texts, key, "left")
         .select(*key, "asked", F.when(F.col("exists"), _lines()).alias("lines"))
-        .select(*key, F.explode(F.transform("asked", here)).alias("snippet"))
+        .select(*key, F.when(F.col("lines").isNotNull(), F.size("lines")).alias("total"), F.explode(F.transform("asked", here)).alias("at"))
+        .select(*key, _described(total, F.col("file_path"), at, around, F.col("at.text")).alias("snippet"))
         .select(*key, "snippet.*")
     )
 
@@ -68,10 +68,10 @@ def _bounds(total: Column, at: Column, around: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(1), at - around), F.least(total, at + around)
 
 
-def _snippet(lines: Column, path: Column, at: Column, around: Column) -> Column:
-    """One snippet as a struct, cut out of the file's line array in place."""
-    total = F.when(lines.isNotNull(), F.size(lines))
-    return _described(total, path, at, around, _joined(lines, *_bounds(total, at, around)))
+def _cut_out(at: Column, around: Column) -> Column:
+    """The lines around a place out of the file's line array; null where there are none."""
+    total = F.size("lines")
+    return F.when((around >= 0) & (at >= 1) & (at <= total), _joined(F.col("lines"), *_bounds(total, at, around)))
 
 
 def _described(total: Column, path: Column, at: Column, around: Column, text: Column) -> Column:

@@ -28,8 +28,12 @@ def drop_binary_files(files: DataFrame) -> DataFrame:
 
 
 def split_lines(text: Column) -> Column:
-    """All lines; a trailing line break gives a final empty line."""
-    return F.split(text, LINE_BREAK)
+    """All lines; a trailing line break gives a final empty line.
+
+    Every ``LINE_BREAK`` becomes a line feed first: a text is split at one fixed character without a pattern.
+    """
+    fed = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(fed, "\n")
 
 
 def read_source_files(spark: SparkSession, root: str, solution: str, pattern: str = "*") -> DataFrame:

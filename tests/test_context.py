@@ -132,3 +132,12 @@ def test_usages_reach_every_document_and_line(spark, tmp_path):
     assert names < {path for path, _ in got}
     lines = {i: {line for path, line in got if path.startswith(f"docs/{i}.")} for i in (38, 39, 1479)}
     assert max(lines[38]) == 41 and max(lines[39]) == 42 and max(lines[1479]) == 42 and min(lines[39]) == 0
+
+
+def test_positions_of_a_file_are_grouped_in_one_exchange(spark, plans):
+    files = spark.createDataFrame([("s", "a.cs", "1\r\n2\r3\n4")], "solution string, file_path string, text string")
+    asked = spark.createDataFrame([("s", "a.cs", 3, 1)] * 2 + [("s", "a.cs", 9, 1)], "solution string, file_path string, start_line int, context_lines int")
+    found = context.snippets(asked, files).select("start_line", "content", "status").collect()
+    assert sorted(map(tuple, found)) == [(3, "2\n3\n4", "ok"), (9, "// Target line 9 is beyond file length (4 lines)", "beyond_end")]
+    plan = next(plan for label, plan in plans if label == "asked")
+    assert plan.count("Exchange hashpartitioning") == 1
