@@ -24,7 +24,7 @@ from refscope.operators.reports import batch_outcome, batch_results, documents,
 from refscope.operators.resolve import job_assemblies, resolve_assemblies
 from refscope.operators.incremental import fingerprint, split_jobs
 from refscope.runtime import cut, join_bounded
-from refscope.schemas import USAGE_COLUMNS
+from refscope.schemas import USAGE_COLUMNS, USAGE_ORDER
 from refscope.sources.packages import declared_packages, declared_tree
 from refscope.operators.snapshot import snapshot, snapshot_diff
 from refscope.sources.changes import ChangeStore, of_files, question
@@ -205,21 +205,23 @@ def analyze_isolated(
     References are matched once for all jobs and stored; an error there ends the run. What runs on a job's texts, the
     caller's simplifiers and comparisons among it, runs for all jobs together. If that fails, the jobs
     are halved by a hash of their id, again and again, until what fails is one job. The simplifiers are tried first, by
-    themselves: a run of one stage. With b failing jobs of n these are about 2 * b * log2(n) runs, each over the stored
-    usages of its group alone, so this suits a few failing jobs among many. A plan that is wrong for every job
-    (``AnalysisException``) is raised.
+    themselves: a run of one stage. With b failing jobs of n these are about 2 * b * log2(n) runs. The stored usages lie
+    in order of the hash, so a run reads the pages of its group and no others, and each level costs half of the one
+    before. Failed jobs are left out as the usages are read. A plan that is wrong for every job (``AnalysisException``)
+    is raised.
     """
     plain = _batch_options(options)
     known, failures = _known_jobs(jobs, tables)
     wanted = cut(_job_assemblies(known, tables, plain), "wanted")
-    usages = to_usages(match_assembly(expand_nodes(tables.refs), wanted)).select(*USAGE_COLUMNS)
-    usages = cut(usages.withColumn("_hash", F.xxhash64("job_id")), "usages")
+    # Counts need what near-duplicates are told by and what puts them in order; the rest is not stored.
+    usages = to_usages(match_assembly(expand_nodes(tables.refs), wanted)).select("job_id", *USAGE_ORDER)
+    usages = cut(usages.withColumn("_hash", F.xxhash64("job_id")).sortWithinPartitions("_hash"), "usages")
 
     def simplified(group: DataFrame) -> None:
         group.select(simplify(F.col("code_text"), plain.similarity)).write.format("noop").mode("overwrite").save()
 
     def counted(group: DataFrame) -> DataFrame:
-        kept = near_dedup(group.select(*USAGE_COLUMNS), plain.similarity)
+        kept = near_dedup(group.drop("_hash"), plain.similarity)
         kept = filter_usage_types(kept, plain.usage_types, plain.configured_usage_types)
         return cut(kept.select("job_id"), "counted")
 
@@ -228,7 +230,7 @@ def analyze_isolated(
         if failed:
             unread = cut(reduce(DataFrame.unionByName, failed), "failed")
             failures = failures.unionByName(unread)
-            usages = cut(usages.join(unread.select("job_id"), "job_id", "left_anti"), "usages")
+            usages = join_bounded(usages, unread, ["job_id"], "left_anti", written=True)
     counts, failed = _halving(usages, counted)
     failures = reduce(DataFrame.unionByName, failed, failures)
     found = reduce(DataFrame.unionByName, counts, usages.select("job_id").where(F.lit(False)))
@@ -238,23 +240,25 @@ def analyze_isolated(
 
 def _halving(usages: DataFrame, run: Callable) -> tuple[list, list[DataFrame]]:
     """What ``run`` gives for groups of jobs that succeed, and ``(job_id, error)`` of jobs that fail alone."""
-    done, failed, groups = [], [], [(0, 0)]
+    done, failed = [], []
+    groups: list[tuple[int, int] | None] = [None]
     while groups:
-        depth, value = groups.pop()
-        # The last bits of the hash of the group's jobs are those of ``value``.
-        group = usages.where(F.col("_hash").bitwiseAND(F.lit((1 << depth) - 1)) == F.lit(value))
+        bounds = groups.pop()
+        # A range of hashes is pushed into the scan.
+        group = usages if bounds is None else usages.where(F.col("_hash").between(*bounds))
         try:
             done.append(run(group))
         except AnalysisException:
             raise
         except (PySparkException, Py4JJavaError) as error:
-            alone = group.agg(F.min("_hash") == F.max("_hash")).first()[0]
-            if alone is None:
+            low, high = group.agg(F.min("_hash"), F.max("_hash")).first()
+            if low is None:
                 raise
-            if alone:
+            if low == high:
                 failed.append(group.select("job_id").distinct().withColumn("error", F.lit(_reason(error))))
             else:
-                groups += [(depth + 1, value), (depth + 1, value | 1 << depth)]
+                middle = (low + high) // 2
+                groups += [(low, middle), (middle + 1, high)]
     return done, failed
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refscope.config import Comparison, Simplifier, SimilarityConfig, AnalysisOptions
 from refscope.functions.text import SIMPLIFIERS
+from refscope.plans import analyze
 from refscope.plans.analyze import Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_isolated, analyze_package, analyze_symbol
 
 REF = (
@@ -185,6 +186,25 @@ def test_one_text_that_raises_fails_its_job_alone(spark, monkeypatch):
     assert tuple(totals.first()) == (11, 9, 2, 8)
 
 
+def test_a_group_of_jobs_reads_its_own_pages(spark, monkeypatch, plans):
+    refuse = lambda text: F.when(text.endswith("5"), F.raise_error(F.lit("not five"))).otherwise(text)
+    monkeypatch.setitem(SIMPLIFIERS, "Refuse", refuse)
+    options = AnalysisOptions(similarity=SimilarityConfig(True, (Simplifier("Refuse"),), SIMILAR.comparisons))
+    given = tables(spark, [ref(i, "MemberAccess", f"{i * 7919} is text {i}", assembly=f"A{i}") for i in range(8)])
+    given.reference_paths = spark.createDataFrame([("s", f"/x/packages/a{i}/1/A{i}.dll") for i in range(8)], "solution string, path string")
+    asked = package_jobs(spark, *[f"A{i}" for i in range(8)])
+    groups, real = [], analyze._halving
+    watched = lambda run: lambda group: (groups.append(group._jdf.queryExecution().executedPlan().toString()), run(group))[1]
+    monkeypatch.setattr(analyze, "_halving", lambda usages, run: real(usages, watched(run)))
+    rows, _ = analyze_isolated(asked, given, options)
+    assert {r["job_id"] for r in rows.collect() if not r["success"]} == {"A5"}
+    halves = [plan for plan in groups if "GreaterThanOrEqual(_hash" in plan and "LessThanOrEqual(_hash" in plan]
+    # All jobs, the halves on the way to the one that fails, and all others.
+    assert len(groups) == len(halves) + 2 and len(halves) > 1
+    stored = [plan for label, plan in plans if label == "usages"]
+    assert len(stored) == 1 and "Sort [_hash" in stored[0]
+
+
 def test_a_plan_that_is_wrong_for_all_jobs_is_raised(spark, monkeypatch):
     monkeypatch.setitem(SIMPLIFIERS, "Refuse", lambda text: F.col("no_such_column"))
     options = AnalysisOptions(similarity=SimilarityConfig(True, (Simplifier("Refuse"),), SIMILAR.comparisons))
