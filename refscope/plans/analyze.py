@@ -297,9 +297,9 @@ def analyze_incremental(
     run = cut(run, "run")
     fresh = (analyze_symbol if symbol else analyze_package)(run, tables, options)
     save_results(run, fresh.usages, root)
-    stored = load_results(jobs.sparkSession, root, reuse)
-    usages = cut(fresh.usages.unionByName(stored.select(*USAGE_COLUMNS)), "all-usages")
-    return _analysis(keyed, usages, tables, started, symbol)
+    # What was computed is written already; what is read from the store may go from there before it is read again.
+    stored = cut(load_results(jobs.sparkSession, root, reuse).select(*USAGE_COLUMNS), "reused")
+    return _analysis(keyed, fresh.usages.unionByName(stored), tables, started, symbol)
 
 
 def analyze_changes(jobs: DataFrame, tables: Tables, root: str, batch: str, strict_paths: bool = False) -> ChangeStore:

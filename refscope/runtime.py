@@ -129,6 +129,11 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores)
 
 
+def is_written(table: DataFrame) -> bool:
+    """Whether a table was made by ``cut``: reading it again computes nothing again."""
+    return table in _sizes
+
+
 def fits_broadcast(table: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
     """Whether a table made by ``cut`` is small. Nothing is run: its size is known from its writing."""
     known = _sizes.get(table)

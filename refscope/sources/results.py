@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refscope.operators.reports import SPREAD, usage_sketches
-from refscope.runtime import cut, join_bounded
+from refscope.runtime import cut, fits_broadcast, is_written, join_bounded
 from refscope.schemas import USAGE_SCHEMA
 
 HEADER = "fingerprint string, job_id string, usage_count bigint, saved_at timestamp, generation string"
@@ -76,18 +76,25 @@ def save_results(jobs: DataFrame, usages: DataFrame, root: str) -> None:
     # Jobs that ask for the same thing have the same result; it is stored once.
     keyed = jobs.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("job_id").alias("job_id"))
     keyed = cut(keyed, "stored-jobs")
-    _write_generation(join_bounded(usages, keyed, ["job_id"], written=True), keyed, root, generation)
+    rows = join_bounded(usages, keyed, ["job_id"], written=True)
+    # Dealing out by ranges samples its input first: written, so that nothing is matched twice. A written table that
+    # few jobs are looked up for is read twice at less than the cost of a copy.
+    if not (is_written(usages) and fits_broadcast(keyed)):
+        rows = cut(rows, "generation")
+    _write_generation(rows, keyed, root, generation)
 
 
 def _write_generation(rows: DataFrame, keyed: DataFrame, root: str, generation: str) -> None:
-    """Rows first, then their sketches, then the headers with their counts."""
+    """Rows first, then their sketches, out of what was written, then the headers with their counts.
+
+    A task that sketches written rows meets few results, so its partial sketches are few.
+    """
     place = ["fingerprint", "project_name", "file_path", "start_line"]
     path = f"{root}/usages/generation={generation}"
-    # Dealing out by ranges samples its input first: written, so that nothing is matched twice.
-    rows = cut(rows, "generation")
     rows.repartitionByRange(*place).sortWithinPartitions(*place).write.parquet(path)
     sketches = f"{root}/sketches/generation={generation}"
-    usage_sketches(rows, "fingerprint").write.parquet(sketches)
+    written = rows.sparkSession.read.schema(USAGES).parquet(path)
+    usage_sketches(written, "fingerprint").write.parquet(sketches)
     counts = rows.sparkSession.read.schema(SKETCHES).parquet(sketches).select("fingerprint", F.col("usages").alias("usage_count"))
     header = keyed.join(counts, "fingerprint", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)))
     _write_headers(header, root, generation)
@@ -171,7 +178,7 @@ def compact(spark: SparkSession, root: str) -> None:
     if not old:
         return
     live = cut(stored_headers(spark, root).select("fingerprint", "job_id"), "live")
-    _write_generation(load_results(spark, root, live), live, root, _next_generation(spark, root))
+    _write_generation(cut(load_results(spark, root, live), "generation"), live, root, _next_generation(spark, root))
     for generation in old:
         for part in ("headers", "sketches", "usages"):
             files, place = _files(spark, f"{root}/{part}/generation={generation}")

@@ -8,6 +8,7 @@ from refscope.config import Comparison, Simplifier, SimilarityConfig, AnalysisOp
 from refscope.functions.text import SIMPLIFIERS
 from refscope.plans import analyze
 from refscope.plans.analyze import Tables, analyze_batch, analyze_declared, analyze_incremental, analyze_isolated, analyze_package, analyze_symbol
+from refscope.sources import results
 
 REF = (
     "solution string, project_name string, file_path string, start_line int, end_line int, node_kind string, parent_kind string,"
@@ -216,3 +217,19 @@ def test_isolated_equals_batch(spark):
     asked, options = package_jobs(spark, "Lib", "Nothing"), AnalysisOptions(similarity=SIMILAR)
     alone, together = analyze_isolated(asked, tables(spark), options), analyze_batch(asked, tables(spark), options)
     assert [sorted(map(tuple, x.collect())) for x in alone] == [sorted(map(tuple, x.collect())) for x in together]
+
+
+def test_a_computed_result_is_not_copied_to_be_stored(spark, tmp_path, plans):
+    state = spark.sql("SELECT 's' AS solution, timestamp'2024-01-01' AS mtime")
+    jobs, root = package_jobs(spark, "Lib", "Nothing"), str(tmp_path / "store")
+    fresh = analyze_incremental(jobs, tables(spark), state, root)
+    again = analyze_incremental(jobs, tables(spark), state, root)
+    assert lines(fresh) == lines(again) and len(lines(again)) == 4
+    labels = [label for label, _ in plans]
+    # Of the usages of a run only those it computed, and those it read from the store, are written.
+    assert labels.count("found") == labels.count("reused") == 2
+    assert "generation" not in labels and "all-usages" not in labels
+    plans.clear()
+    # Usages that are not written yet are computed once.
+    results.save_results(jobs.withColumn("fingerprint", F.col("job_id")), fresh.usages.where("start_line > 0"), str(tmp_path / "other"))
+    assert [label for label, _ in plans if label == "generation"] == ["generation"]
