@@ -19,6 +19,12 @@ def match_assembly(refs: DataFrame, job_assemblies: DataFrame) -> DataFrame:
     return join_bounded(keyed, wanted, ["solution", "assembly_lc"]).drop("assembly_lc")
 
 
+def of_assemblies(refs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """References that some job of ``wanted``, a small written table, matches; the others go where they are read."""
+    keyed = refs.withColumn("assembly_lc", F.lower("assembly_name"))
+    return join_bounded(keyed, wanted, ["solution", "assembly_lc"], "left_semi", written=True).drop("assembly_lc")
+
+
 def _symbol_keys(match_member: bool) -> Column:
     """Every key under which a target can reach this symbol.
 

@@ -26,7 +26,7 @@ _MODULUS = 1 << 32
 class Snapshot:
     """State of solutions at one time.
 
-    ``files(solution, file_path, folder, digest)``; ``folders(solution, folder,
+    ``files(solution, file_path, folder, digest)``, the digest as 16 bytes; ``folders(solution, folder,
     parent, depth, files, own, digest)`` with ``files`` the number of files below,
     ``own`` the digest of the files directly inside, and ``digest`` that of all below.
     The folder of depth 0 has the empty name and stands for the solution.
@@ -61,17 +61,22 @@ def digest_text(columns: list[str] = _SUMS) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(c)), 8, "0") for c in columns])
 
 
-def snapshot(files: DataFrame, content: str = "text") -> Snapshot:
+def snapshot(files: DataFrame, content: str = "text", into: str | None = None) -> Snapshot:
     """The digest tree of ``files(solution, file_path, <content>)``.
 
     ``content`` is what tells versions of a file apart: its text, or, where texts are
     not at hand, a time or hash of them. A path given twice counts twice. Files are
-    added up by folder first; only folders are then spread over their ancestors.
+    added up by folder first; only folders are then spread over their ancestors. The files are written
+    to the new folder ``into``, if given, and kept there; else as a cut.
     """
     digest = file_digest(F.col("file_path"), F.col(content))
-    rows = files.select("solution", "file_path", _folder(F.col("file_path")).alias("folder"), digest.alias("digest"))
-    rows = cut(rows, "file-digests")
-    own = rows.select("solution", "folder", *digest_parts(F.col("digest"))).groupBy("solution", "folder")
+    rows = files.select("solution", "file_path", _folder(F.col("file_path")).alias("folder"), F.unhex(digest).alias("digest"))
+    if into is None:
+        rows = cut(rows, "file-digests")
+    else:
+        rows.write.parquet(into)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(into)
+    own = rows.select("solution", "folder", *digest_parts(F.hex("digest"))).groupBy("solution", "folder")
     own = own.agg(F.count(F.lit(1)).alias("files"), *digest_sums())
     steps = F.split("folder", "/")
     depth = F.when(F.col("folder") == "", 0).otherwise(F.size(steps))
@@ -140,8 +145,11 @@ def changed_folders(old: Snapshot, new: Snapshot) -> DataFrame:
 def snapshot_diff(old: Snapshot, new: Snapshot) -> DataFrame:
     """``(solution, file_path, change)``: files ``added``, ``changed`` or ``removed`` between two snapshots.
 
-    Only files of folders that differ are compared. A renamed file is one removed and one added.
+    Only files of folders that differ are compared. A renamed file is one removed and one added. After an empty
+    snapshot all files are new: nothing is compared.
     """
+    if old.folders.isEmpty():
+        return new.files.select("solution", "file_path").distinct().withColumn("change", F.lit("added"))
     folders = cut(changed_folders(old, new), "changed-places")
 
     def inside(state: Snapshot, name: str) -> DataFrame:

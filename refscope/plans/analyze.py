@@ -17,13 +17,13 @@ from refscope.config import AnalysisOptions
 from refscope.functions.text import simplify
 from refscope.operators.context import attach_context
 from refscope.operators.dedup import near_dedup
-from refscope.operators.match import filter_usage_types, match_assembly, match_symbol
-from refscope.operators.refs import expand_nodes, to_usages
+from refscope.operators.match import filter_usage_types, match_assembly, match_symbol, of_assemblies
+from refscope.operators.refs import expand_nodes, is_usage, to_usages
 from refscope.operators.audit import unused_packages
 from refscope.operators.reports import batch_outcome, batch_results, documents, error_message, full_result, summary, usage_report
 from refscope.operators.resolve import job_assemblies, resolve_assemblies
 from refscope.operators.incremental import fingerprint, split_jobs
-from refscope.runtime import cut, join_bounded
+from refscope.runtime import cut, fits_broadcast, join_bounded
 from refscope.schemas import USAGE_COLUMNS, USAGE_ORDER
 from refscope.sources.packages import declared_packages, declared_tree
 from refscope.operators.snapshot import snapshot, snapshot_diff
@@ -321,9 +321,14 @@ def analyze_changes(jobs: DataFrame, tables: Tables, root: str, batch: str, stri
     asks = question(wanted)
     if store.asked() not in (None, asks):
         raise ValueError("the store answers other jobs; start a new one")
-    state = snapshot(tables.files)
+    generation = store.next_generation()
+    state = snapshot(tables.files, into=store.place("files", generation))
     diff = cut(snapshot_diff(store.state(), state), "file-changes")
     touched = cut(diff.where("change <> 'removed'").select("solution", "file_path"), "touched-files")
-    matched = match_assembly(expand_nodes(of_files(tables.refs, touched)), wanted)
-    store.update(batch, asks, diff, state, to_usages(matched))
+    refs = expand_nodes(tables.refs)
+    if fits_broadcast(wanted):
+        # References that no job asks for do not move to the files.
+        refs = of_assemblies(refs.where(is_usage()), wanted)
+    matched = match_assembly(of_files(refs, touched), wanted)
+    store.update(batch, asks, diff, state, to_usages(matched), generation)
     return store

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+# Keys of a side too large to broadcast, but of at most ``MARKED_ROWS``, are marked in ``MARK_PAGES`` bitmaps of 4 KB each.
+MARKED_ROWS = 8_000_000
+MARK_PAGES = 2_048
+PAGE_BITS = 32_768
 
 
 @dataclass(frozen=True)
@@ -159,6 +163,30 @@ def join_bounded(
     return big.join(F.broadcast(side) if fits_broadcast(side) else side.hint("merge"), on, how)
 
 
+def marked(big: DataFrame, side: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """``join_bounded`` with a written ``side`` that few of the large rows meet.
+
+    Beyond the broadcast bounds the keys of ``side`` are marked by hash in bitmaps of 8 MB in all, which are
+    broadcast: rows without a mark meet nothing and stay where they are, the others are joined. A left join
+    reads the large side twice, so that should be stored.
+    """
+    if how not in ("left_semi", "left"):
+        raise ValueError(f"join type {how} is not looked up by marks")
+    if fits_broadcast(side) or _sizes[side].rows > MARKED_ROWS:
+        return join_bounded(big, side, on, how, written=True)
+    place = F.pmod(F.xxhash64(*on), F.lit(MARK_PAGES * PAGE_BITS))
+    page, bit = F.floor(place / PAGE_BITS).cast("int"), place % PAGE_BITS
+    marks = side.select(page.alias("_page"), bit.alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_marks"))
+    marks = cut(marks, "marks")
+    met = big.withColumns({"_page": page, "_at": bit}).join(F.broadcast(marks), "_page", "left")
+    byte = F.conv(F.hex(F.substr("_marks", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    joined = join_bounded(met.where(hit).select(*big.columns), side, on, how, written=True)
+    if how == "left_semi":
+        return joined
+    return joined.unionByName(met.where(~hit).select(*big.columns), allowMissingColumns=True)
+
+
 def local_session(cores: str = "8", app: str = "refscope") -> SparkSession:
     """A session for tests and the benchmark on one machine."""
     return (

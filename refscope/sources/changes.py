@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refscope.operators.snapshot import Snapshot, digest_parts, digest_sums, digest_text
-from refscope.runtime import cut, join_bounded
+from refscope.runtime import cut, fits_broadcast, marked
 from refscope.schemas import USAGE_COLUMNS, USAGE_SCHEMA
 from refscope.sources.results import complete, generations
 
@@ -25,7 +25,7 @@ _SCHEMAS = {
     "usages": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in USAGE_SCHEMA),
     "tombstones": "solution string, file_path string",
     "counts": "job_id string, solution string, project_name string, usage_type string, n bigint",
-    "files": "solution string, file_path string, folder string, digest string",
+    "files": "solution string, file_path string, folder string, digest binary",
     "folders": "solution string, folder string, parent string, depth int, files bigint, own string, digest string",
     "commits": "batch string, question string",
 }
@@ -38,7 +38,7 @@ def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     few = files.select("file_path").distinct().limit(NAMED_FILES + 1).collect()
     if len(few) <= NAMED_FILES:
         rows = rows.where(F.col("file_path").isin([r["file_path"] for r in few]))
-    return join_bounded(rows, files.select(*FILE).distinct(), FILE, "left_semi")
+    return marked(rows, files, FILE)
 
 
 def question(wanted: DataFrame) -> str:
@@ -80,8 +80,8 @@ class ChangeStore:
         rows, dead = self._read("usages"), self._read("tombstones")
         if files is not None:
             rows, dead = of_files(rows, files), of_files(dead, files)
-        dead = dead.groupBy(*FILE).agg(F.max("generation").alias("since"))
-        merged = join_bounded(rows, dead, FILE, "left")
+        dead = cut(dead.groupBy(*FILE).agg(F.max("generation").alias("since")), "side")
+        merged = marked(rows, dead, FILE, "left")
         return merged.where("since IS NULL OR generation >= since").select(*USAGE_COLUMNS)
 
     def counts(self) -> DataFrame:
@@ -96,20 +96,27 @@ class ChangeStore:
         """Counts by job, project and type with subtotals; null stands for all."""
         return self.counts().rollup("job_id", "project_name", "usage_type").agg(F.sum("n").alias("usages"))
 
-    def update(self, batch: str, asks: str, diff: DataFrame, state: Snapshot, usages: DataFrame) -> None:
+    def next_generation(self) -> str:
+        """A name that sorts after all committed ones; what is written under it counts once its commit is there."""
+        before = generations(self.spark, self.root, "commits")
+        number = int(before[-1].split("-")[0]) + 1 if before else 1
+        return f"{number:012d}-{uuid.uuid4().hex}"
+
+    def place(self, part: str, generation: str) -> str:
+        return f"{self.root}/{part}/generation={generation}"
+
+    def update(self, batch: str, asks: str, diff: DataFrame, state: Snapshot, usages: DataFrame, generation: str) -> None:
         """Replace what is stored of changed and removed files by ``usages`` of the changed and added ones.
 
-        ``diff(solution, file_path, change)``. A batch that is committed already does
+        ``diff(solution, file_path, change)``; the files of ``state`` are at their ``place`` in
+        ``generation`` already. A batch that is committed already does
         nothing; one that died half-way leaves no trace and is done anew.
         """
         if self.committed(batch):
             return
-        before = generations(self.spark, self.root, "commits")
-        number = int(before[-1].split("-")[0]) + 1 if before else 1
-        generation = f"{number:012d}-{uuid.uuid4().hex}"
 
         def write(rows: DataFrame, part: str) -> DataFrame:
-            path = f"{self.root}/{part}/generation={generation}"
+            path = self.place(part, generation)
             rows.write.parquet(path)
             return self.spark.read.schema(_SCHEMAS[part]).parquet(path)
 
@@ -118,9 +125,10 @@ class ChangeStore:
         # Written before it is laid out: dealing out by ranges samples its input first.
         fresh = cut(usages.select(*USAGE_COLUMNS), "fresh-usages")
         place = [*FILE, "start_line"]
-        write(fresh.repartitionByRange(*place).sortWithinPartitions(*place), "usages")
+        # Many usages were dealt out by file as they were matched: they stay there, in order within each task.
+        laid_out = fresh.repartitionByRange(*place) if fits_broadcast(fresh) else fresh
+        write(laid_out.sortWithinPartitions(*place), "usages")
         new = fresh.groupBy(*COUNTED).agg(F.count(F.lit(1)).alias("n"))
         write(old.unionByName(new).groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0"), "counts")
-        write(state.files, "files")
         write(state.folders, "folders")
         write(self.spark.createDataFrame([(batch, asks)], _SCHEMAS["commits"]).coalesce(1), "commits")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from refscope import runtime
 from refscope.plans.analyze import Tables, analyze_changes, analyze_package
 from refscope.schemas import USAGE_COLUMNS
 from refscope.sources import changes
@@ -110,3 +111,31 @@ def test_an_update_that_died_is_done_anew(spark, tmp_path, monkeypatch):
     assert changes.ChangeStore(spark, root).usages().count() == 0 and real(changes.ChangeStore(spark, root)).count() == 0
     check(spark, analyze_changes(jobs, given, root, "one"), jobs, given)
     assert len(files) > 0
+
+
+def test_large_updates_move_only_what_meets(spark, tmp_path, plans, monkeypatch):
+    """Beyond the broadcast bounds: files are told by marks, usages stay with the tasks that matched them."""
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 5)
+    rng, root = random.Random(11), str(tmp_path / "store")
+    jobs, files = jobs_of(spark, "a", "b"), invented(rng)
+    given = tables(spark, files)
+    analyze_changes(jobs, given, root, "one")
+    labels = [label for label, _ in plans]
+    # The state of the files is written once, to its place in the store.
+    assert "file-digests" not in labels and "marks" in labels
+    given = tables(spark, edited(files, rng, 0))
+    check(spark, analyze_changes(jobs, given, root, "two"), jobs, given)
+
+
+def test_marks_equal_a_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 5)
+    big = spark.range(2000).selectExpr("if(id % 50 = 0, null, concat('k', id % 300)) k", "id % 7 n", "id v")
+    side = spark.range(40).selectExpr("if(id = 0, null, concat('k', id * 11)) k", "id % 7 n", "id s")
+    side = runtime.cut(side, "marked-side")
+    for how in ("left_semi", "left"):
+        found, plain = runtime.marked(big, side, ["k", "n"], how), big.join(side, ["k", "n"], how)
+        assert found.columns == plain.columns
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    # Every key has its bit: none of the rows that match is lost, and most others do not move.
+    exchanged = [p for p in runtime.marked(big, side, ["k", "n"])._jdf.queryExecution().executedPlan().toString().split("\n") if "getbit" in p]
+    assert exchanged
