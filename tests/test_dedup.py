@@ -7,6 +7,7 @@ import pytest
 
 from refscope.config import Comparison, SimilarityConfig
 from refscope.operators import dedup
+from tests.conftest import nested_loops
 from tests.test_text import similar
 
 SCHEMA = (
@@ -258,3 +259,36 @@ def test_a_large_job_stays_with_folds_while_they_drop_texts(spark, monkeypatch):
     texts = [f"status of the order {i:02d}" for i in range(14)] + [f"{n} */ end" for n in pick.sample(range(10**5, 10**6), 300)]
     check(spark, {"a": texts}, 3, 0.9)
     assert not rounds
+
+
+def test_bounds_among_the_lengths_that_occur():
+    """Where no partner is longer, a text is found by fewer and longer grams; similar texts still share one."""
+    import numpy as np
+
+    from refscope.functions.distance import Reach
+
+    wide, pick = Reach(rule(3, 0.9)), random.Random(11)
+    close = wide.among([45, 46, 47, 48], 4_000_000)
+    assert (wide.spread(46), close.spread(46), wide.gram(46), close.gram(46)) == (5, 4, 5, 6)
+    texts = [t for t in invented(12, 220, "0123456789abcdef", 20, 60) if t]
+    uses = np.array([pick.randint(0, 900) for _ in range(dedup.SLOTS)], dtype=float)
+    keys = dedup._keys_of(texts, wide.among(sorted({len(t) for t in texts}), 4_000_000), None, uses)
+    pairs = 0
+    for a, (mark, shown, _) in zip(texts, keys, strict=True):
+        for b, (other, _, asked) in zip(texts, keys, strict=True):
+            if a != b and similar(a, b, 3, 0.9):
+                pairs += 1
+                assert set(shown) & set(asked)
+                assert bin((mark ^ other) & (2**64 - 1)).count("1") <= 4 * wide.cap(max(len(a), len(b)))
+    assert pairs > 50
+
+
+def test_members_of_buckets_are_rows_of_a_compiled_join(spark, monkeypatch, plans):
+    """No bucket is gathered into an array, keys that ask are not stored, and the rounds equal the sequential rule."""
+    for name, value in (("WIDE_JOB", 0), ("HEAD", 2), ("BUCKET_HEAD", 4), ("MANY_TEXTS", 0)):
+        monkeypatch.setattr(dedup, name, value)
+    check(spark, {"a": invented(14, 45, "abcdef", 12, 40)}, 3, 0.9)
+    seen = [plan for label, plan in plans if label == "seen"]
+    assert seen and all("ShuffledHashJoin" in plan and "collect_list" not in plan for plan in seen)
+    assert all("MapInArrow" in plan for plan in seen)
+    assert not nested_loops(plans)
