@@ -127,15 +127,15 @@ def lexical_refs(lines: DataFrame) -> DataFrame:
     ``UsingDirective`` names a namespace, the other kinds a name or dotted chain.
     """
 
-    def matches(kind: str, pattern: str) -> Column:
-        names = F.regexp_extract_all("line", F.lit(pattern), 1)
-        if kind in LEXICAL_MARKS:
-            names = F.when(F.col("line").contains(LEXICAL_MARKS[kind]), names).otherwise(F.array().cast("array<string>"))
-        return F.transform(names, lambda m: F.struct(F.lit(kind).alias("node_kind"), m.alias("name")))
+    def names(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("line", F.lit(pattern), 1)
+        return F.when(F.col("line").contains(LEXICAL_MARKS[kind]), found) if kind in LEXICAL_MARKS else found
 
-    found = [matches(kind, pattern) for kind, pattern in LEXICAL_PATTERNS]
+    # Names become rows kind by kind, all by compiled code; kinds without a match give no row.
     keys = ["solution", "project_name", "file_path", "line_no"]
-    return lines.select(*keys, F.explode(F.concat(*found)).alias("ref")).select(*keys, "ref.node_kind", "ref.name")
+    by_kind = lines.select(*keys, F.posexplode(F.array(*[names(*known) for known in LEXICAL_PATTERNS])).alias("kind", "names"))
+    node_kind = F.get(F.lit([kind for kind, _ in LEXICAL_PATTERNS]), F.col("kind")).alias("node_kind")
+    return by_kind.select(*keys, node_kind, F.explode("names").alias("name"))
 
 
 def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -155,12 +155,19 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
     homes = catalog.groupBy(F.col("symbol_name").alias("name")).agg(F.count("*").alias("homes"))
     listed = catalog.withColumnRenamed("symbol_name", "name").join(homes, "name")
     plain = names.where(~F.col("name").contains("."))
-    near = imports.groupBy(*place).agg(F.collect_set("namespace").alias("near"))
+    # Files are told by a hash first: their names, which mostly begin alike, are compared where that is equal.
+    file = F.xxhash64(*place).alias("_file")
+    place = ["_file", *place]
+    imports = imports.select(file, "solution", "file_path", "namespace")
+    plain = plain.select(file, *held)
     bound = None
     if fits_broadcast(catalog):
-        # Nothing moves any more: imports are looked up one by one.
+        # Nothing moves any more: imports are looked up one by one. Those of namespaces outside the catalogue bind nothing.
         common = listed.drop("homes")
+        known = imports.join(F.broadcast(catalog.select("namespace")), "namespace", "left_semi")
+        near = known.select(*place, "namespace").repartition(*place).distinct()
     else:
+        near = imports.groupBy(*place).agg(F.collect_set("namespace").alias("near"))
         # A name of few namespaces carries them as one array; it meets its file's imports, also
         # one array, and only true bindings become rows.
         rare = listed.where(F.col("homes") <= AMBIGUOUS).groupBy("name")
@@ -177,22 +184,27 @@ def bind_by_imports(refs: DataFrame, imports: DataFrame, catalog: DataFrame) ->
         common = listed.where(F.col("homes") > AMBIGUOUS).drop("homes")
     common = cut(common, "common-names")
     if bound is None or not common.isEmpty():
-        at_home = join_bounded(plain, common.select("name").distinct(), ["name"], "left_semi").join(near, place)
-        asked = at_home.select(*held, F.explode("near").alias("namespace"))
+        asked = join_bounded(plain, common.select("name").distinct(), ["name"], "left_semi").join(near, place)
+        asked = asked.select(*held, "namespace" if bound is None else F.explode("near").alias("namespace"))
         found = join_bounded(asked, common, ["namespace", "name"], written=True)
         found = found.withColumn("symbol_name", F.col("name")).select(*columns)
         bound = found if bound is None else bound.unionByName(found)
 
+    # Of a chain only prefixes of as many parts as some name of the catalogue has are looked up.
     parts = F.split("name", r"\.")
-    chains = names.where(F.col("name").contains(".")).select(
+    qualified = catalog.withColumn("qualified", F.concat_ws(".", "namespace", "symbol_name"))
+    sizes = F.size(F.split("qualified", r"\."))
+    least, most = qualified.agg(F.min(sizes), F.max(sizes)).first()
+    least, most = max(least or 2, 2), most or 2
+    long = names.where(F.col("name").contains(".") & (F.size(parts) >= least) & F.lit(least <= most))
+    chains = long.select(
         *held,
         F.explode(
             F.transform(
-                F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ".")
+                F.sequence(F.lit(least), F.least(F.size(parts), F.lit(max(least, most)))), lambda n: F.array_join(F.slice(parts, 1, n), ".")
             )
         ).alias("qualified"),
     )
-    qualified = catalog.withColumn("qualified", F.concat_ws(".", "namespace", "symbol_name"))
     return bound.unionByName(join_bounded(chains, qualified, ["qualified"]).select(*columns))
 
 
@@ -210,10 +222,10 @@ def lexical_symbol_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     using = F.col("node_kind") == "UsingDirective"
     imports = refs.where(using).select("solution", "file_path", F.col("name").alias("namespace"))
     none = F.lit(None).cast("string")
+    last = F.substring_index("name", ".", -1)
     directives = refs.where(using).select(
-        *place, "node_kind", "name", F.lit("Namespace").alias("symbol_kind"),
-        F.substring_index("name", ".", -1).alias("symbol_name"),
-        F.when(F.col("name").contains("."), F.regexp_extract("name", r"^(.*)\.", 1)).alias("namespace"),
+        *place, "node_kind", "name", F.lit("Namespace").alias("symbol_kind"), last.alias("symbol_name"),
+        F.when(F.col("name").contains("."), F.left("name", F.char_length("name") - F.char_length(last) - 1)).alias("namespace"),
         F.col("name").alias("display_name"), none.alias("assembly_name"),
     )
     bound = bind_by_imports(refs, imports, catalog).select(

@@ -70,7 +70,7 @@ def _row_bytes(df: DataFrame) -> Column:
             return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + F.lit(16)
         return F.lit(16)
 
-    return held(F.struct(*[F.col(f"`{name}`") for name in df.columns]), df.schema).cast("bigint")
+    return reduce(lambda x, y: x + y, [held(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(0)).cast("bigint")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

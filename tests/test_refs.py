@@ -166,3 +166,24 @@ def test_lines_without_the_mark_of_a_kind_are_not_searched(spark):
     assert sorted(map(tuple, found.select("line_no", "node_kind", "name").collect())) == sorted(tuple(r) for rows in every for r in rows)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Contains(") + plan.lower().count("contains(") >= len(refs.LEXICAL_MARKS)
+
+
+def test_names_become_rows_by_compiled_code(spark):
+    """No name is turned into a row by one interpreted call each; an import of a namespace outside the catalogue does not move."""
+    lines = spark.createDataFrame([("s", "p", "f", 1, "using A;"), ("s", "p", "f", 2, "Run(1);"), ("s", "p", "f", 3, None)], "solution string, project_name string, file_path string, line_no int, line string")
+    found = refs.lexical_refs(lines)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    catalog = spark.createDataFrame([("A", "Run", "L1"), ("A.B.C", "Run", "L2")], "namespace string, symbol_name string, assembly_name string")
+    imports = spark.createDataFrame([("s", "f", "A"), ("s", "f", "A"), ("s", "f", "Z")], "solution string, file_path string, namespace string")
+    chains = [("s", "p", "f", 4, "QualifiedName", name) for name in ("A.Run", "A.Run.x", "A.B.C", "A.B.C.Run", "A.B.C.Run.y.z", "A.B.C.Walk")]
+    bound = refs.bind_by_imports(found.unionByName(spark.createDataFrame(chains, found.schema)), imports, catalog)
+    assert "collect_set" not in bound._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r["line_no"], r["node_kind"], r["name"], r["assembly_name"]) for r in bound.collect())
+    assert rows == [
+        (2, "IdentifierName", "Run", "L1"),
+        (2, "Invocation", "Run", "L1"),
+        (4, "QualifiedName", "A.B.C.Run", "L2"),
+        (4, "QualifiedName", "A.B.C.Run.y.z", "L2"),
+        (4, "QualifiedName", "A.Run", "L1"),
+        (4, "QualifiedName", "A.Run.x", "L1"),
+    ]
