@@ -292,3 +292,21 @@ def test_members_of_buckets_are_rows_of_a_compiled_join(spark, monkeypatch, plan
     assert seen and all("ShuffledHashJoin" in plan and "collect_list" not in plan for plan in seen)
     assert all("MapInArrow" in plan for plan in seen)
     assert not nested_loops(plans)
+
+
+def test_words_do_not_move_to_be_counted(spark, monkeypatch, plans):
+    """Keys of a share of words are made where the text is: no join brings words their uses, and no word string is shuffled."""
+    for name, value in (("HEAD", 4), ("WIDE_JOB", 0)):
+        monkeypatch.setattr(dedup, name, value)
+    pick = random.Random(16)
+    texts = list(dict.fromkeys(" ".join(pick.sample([*(f"w{i}" for i in range(60)), "é", "über_1"], k=pick.randint(4, 11))) for _ in range(60)))
+    texts += [f"{t} more" for t in texts[::3] if len(t.split()) > 8]
+    config = SimilarityConfig(True, (), (Comparison("TokenOverlapComparison", threshold=0.8),))
+    want = []
+    for t in texts:
+        if not any(overlap(t, k, 0.8) for k in want):
+            want.append(t)
+    assert len(want) < len(texts)
+    assert {r["code_text"] for r in dedup.near_dedup(usages(spark, {"a": texts}), config).collect()} == set(want)
+    signatures = [plan for label, plan in plans if label == "signatures"]
+    assert signatures and not any("Join" in plan or "Exchange" in plan or "collect_list" in plan for plan in signatures)
